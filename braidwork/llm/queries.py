@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from braidwork.llm import urlfilter
+from braidwork.llm import simhash, urlfilter
 from braidwork.shared import table
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate group of every document."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict of every page's url."""
     return urlfilter.filter_urls(table(spark, sf_dir, "pages"))
@@ -32,5 +37,8 @@ def op8_sql() -> str:
     FROM r"""
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op8_urlfilter": op8_urlfilter}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_simhash": op2_simhash,
+    "op8_urlfilter": op8_urlfilter,
+}
 ORACLES: dict[str, str] = {"op8_urlfilter": op8_sql()}
