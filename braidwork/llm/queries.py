@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from braidwork.llm import simhash, urlfilter
+from braidwork.llm import simhash, substring, urlfilter
 from braidwork.shared import table
 
 
@@ -15,6 +16,12 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document keeps once repeated 35-word windows are cut out."""
+    found = substring.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("row.doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op8_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict of every page's url."""
     return urlfilter.filter_urls(table(spark, sf_dir, "pages"))
@@ -39,6 +46,7 @@ def op8_sql() -> str:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
+    "op5_substring": op5_substring,
     "op8_urlfilter": op8_urlfilter,
 }
 ORACLES: dict[str, str] = {"op8_urlfilter": op8_sql()}
