@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidwork.llm import simhash, substring, urlfilter
+from braidwork.llm import media, simhash, substring, urlfilter
 from braidwork.shared import table
 
 
@@ -27,6 +27,11 @@ def op8_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is read back of every document stored as media."""
+    return media.media_columns(table(spark, sf_dir, "documents"))
+
+
 def op8_sql() -> str:
     labels = "|".join(urlfilter.AD_LABELS)
     domains = "|".join(d.replace(".", "[.]") for d in urlfilter.AD_DOMAINS)
@@ -48,5 +53,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op5_substring": op5_substring,
     "op8_urlfilter": op8_urlfilter,
+    "op10_media": op10_media,
 }
 ORACLES: dict[str, str] = {"op8_urlfilter": op8_sql()}
