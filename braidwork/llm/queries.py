@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidwork.llm import media, simhash, substring, urlfilter
+from braidwork.llm import license, media, mixing, simhash, substring, urlfilter
 from braidwork.shared import table
 
 
@@ -22,11 +22,22 @@ def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each document's copies stand in the mixture of sources."""
+    found = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), keep=["doc_id", "source"])
+    return found.select("row.*", "tokens", "exponent", "weight", "epoch", "block", "start_token")
+
+
 def op8_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict of every page's url."""
     return urlfilter.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op9_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and signatures of every document."""
+    return license.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is read back of every document stored as media."""
     return media.media_columns(table(spark, sf_dir, "documents"))
@@ -52,7 +63,9 @@ def op8_sql() -> str:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op5_substring": op5_substring,
+    "op7_mixing": op7_mixing,
     "op8_urlfilter": op8_urlfilter,
+    "op9_license": op9_license,
     "op10_media": op10_media,
 }
 ORACLES: dict[str, str] = {"op8_urlfilter": op8_sql()}
