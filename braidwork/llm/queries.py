@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidwork.llm import license, media, mixing, simhash, substring, urlfilter
+from braidwork.llm import imatch, license, media, mixing, simhash, substring, urlfilter
 from braidwork.shared import table
 
 
@@ -16,6 +16,11 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document, of its edited text, and their likeness."""
+    return imatch.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every document keeps once repeated 35-word windows are cut out."""
     found = substring.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -62,6 +67,7 @@ def op8_sql() -> str:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
+    "op3_imatch": op3_imatch,
     "op5_substring": op5_substring,
     "op7_mixing": op7_mixing,
     "op8_urlfilter": op8_urlfilter,
