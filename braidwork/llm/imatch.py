@@ -35,11 +35,10 @@ from pyspark.sql import functions as F
 
 from braidwork.llm.license import normal_form
 
-#: Subsets: codes in ascending order, and the chance 1 in 4, 16, 64, 256 of a term to be in each.
+#: Subsets: codes in ascending order, and the chance 1 in 16, 32, 64, 256 of a term to be in each.
 CODES = "0123456789abcdefghijklmnopqrstuv"
-RATES = (2, 4, 6, 8)
+RATES = (4, 5, 6, 8)
 MARK = "\x01"
-TABLE = "array<array<struct<t:string,m:array<string>>>>"
 
 
 def terms(text: Column) -> Column:
@@ -51,31 +50,33 @@ def _codes(term: Column) -> Column:
     """Codes of the subsets that a term belongs to."""
     per = len(CODES) // len(RATES)
     inside = lambda k: F.pmod(F.xxhash64(F.lit(k), term), F.lit(2 ** RATES[k // per])) == 0
-    return F.array_compact(F.array(*(F.when(inside(k), F.lit(c)) for k, c in enumerate(CODES))))
+    return F.concat_ws("", *(F.when(inside(k), F.lit(c)) for k, c in enumerate(CODES)))
 
 
-def lexicon(texts: DataFrame, least: float, most: float) -> list[list[dict]]:
-    """Hash table of the band's terms and their subsets; texts: one string column."""
+def lexicon(texts: DataFrame, least: float, most: float) -> list[str]:
+    """Hash table of the band's terms: in a term's slot stands " term=codes "; texts: one string column."""
     n = texts.count()
     df = texts.select(F.explode(terms(F.col(texts.columns[0]))).alias("t")).groupBy("t").agg(F.count("*").alias("df"))
-    band = df.where((F.col("df") >= least * n) & (F.col("df") <= max(most * n, 3))).withColumn("m", _codes(F.col("t"))).where("size(m) > 0")
-    rows = band.withColumn("h", F.xxhash64("t")).select("t", "m", "h").collect()  # bounded by the band
+    band = df.where((F.col("df") >= least * n) & (F.col("df") <= max(most * n, 3))).withColumn("m", _codes(F.col("t"))).where("m <> ''")
+    rows = band.select("t", "m", F.xxhash64("t").alias("h")).collect()  # bounded by the band
     slots = 1
     while slots < 2 * len(rows):
         slots *= 2
-    table: list[list[dict]] = [[] for _ in range(slots)]
+    table = [" "] * slots
     for r in sorted(rows, key=lambda r: r.t):
-        table[r.h % slots].append({"t": r.t, "m": r.m})
+        table[r.h % slots] += f"{r.t}={r.m} "
     return table
 
 
-def fingerprint(text: Column, table: list[list[dict]]) -> Column:
+def fingerprint(text: Column, table: list[str]) -> Column:
     """Array of one hash (or null) for each subset."""
-    listed = F.from_json(F.lit(json.dumps(table, ensure_ascii=False, separators=(",", ":"))), TABLE)
-    slot = lambda w: F.pmod(F.xxhash64(w), F.lit(len(table))).cast("int")
-    coded = lambda w: F.flatten(F.transform(F.filter(F.get(listed, slot(w)), lambda e: e.t == w), lambda e: F.transform(e.m, lambda k: F.concat(k, w))))
+    listed = F.split(F.lit("\n".join(table)), "\n")  # folded into one constant when the query is planned
+    slot = lambda w: F.get(listed, F.pmod(F.xxhash64(w), F.lit(len(table))).cast("int"))
+    codes = lambda w: F.substring_index(F.call_function("substring_index", slot(w), F.concat(F.lit(" "), w, F.lit("=")), F.lit(-1)), " ", 1)  # noqa: E731  empty for other words
+    known = F.filter(F.transform(terms(text), lambda w: F.struct(w.alias("w"), codes(w).alias("m"))), lambda x: x["m"] != "")
+    coded = F.flatten(F.transform(known, lambda x: F.transform(F.split(x["m"], ""), lambda k: F.concat(k, x["w"]))))
     marks = F.array(*(F.lit(c + MARK) for c in CODES))  # each sorts before its subset's terms
-    joined = F.array_join(F.sort_array(F.concat(marks, F.flatten(F.transform(terms(text), coded)))), " ")
+    joined = F.array_join(F.sort_array(F.concat(marks, F.filter(coded, lambda x: x != ""))), " ")
     pieces = F.slice(F.split(joined, MARK), 2, len(CODES))  # " 0term 0term 1" or, empty, " 1"
     return F.transform(pieces, lambda p: F.when(F.length(p) > 2, F.xxhash64(p).bitwiseAND(F.lit(0xFFFFFFFF))))
 

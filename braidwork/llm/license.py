@@ -19,7 +19,7 @@ not depend on each other; only the key and the text are read.
 
 from __future__ import annotations
 
-import json
+from collections.abc import Iterable
 from itertools import product
 from typing import NamedTuple
 
@@ -223,12 +223,19 @@ def _base_columns() -> dict[str, str]:
     }
 
 
+def _quoted(x: str) -> str:
+    return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _array(items: Iterable[str]) -> str:
+    return f"array({', '.join(items)})"
+
+
 def _detections(rules: list[Rule]) -> str:
     """SQL: sorted array of (start, minus_end, priority, rule) of all matches in w."""
-    table = [{"k": r.keyword, "x": f"(?<= ){r.pattern}(?= )", "p": r.priority, "i": i} for i, r in enumerate(rules)]
-    quoted = lambda x: "'" + json.dumps(x).replace("\\", "\\\\").replace("'", "\\'") + "'"
-    listed = f"from_json({quoted(table)}, 'array<struct<k:string,x:string,p:int,i:int>>')"
-    keywords = f"from_json({quoted(sorted({r.keyword for r in rules}))}, 'array<string>')"
+    # Arrays of literals are folded into one constant when the query is planned.
+    listed = _array(f"named_struct('k', {_quoted(r.keyword)}, 'x', {_quoted(f'(?<= ){r.pattern}(?= )')}, 'p', {r.priority}, 'i', {i})" for i, r in enumerate(rules))
+    keywords = _array(map(_quoted, sorted({r.keyword for r in rules})))
     step = f"""aggregate(slice(sequence(1, size(m.h)), b, {STEP}), named_struct('at', a.at, 'out', cast(array() as array<struct<s:int,e:int,p:int,i:int>>)),
         (c, k) -> named_struct('at', c.at + length(m.t[k - 1]) + length(m.h[k - 1]), 'out', concat(c.out, array(named_struct(
             's', c.at + length(m.t[k - 1]), 'e', -(c.at + length(m.t[k - 1]) + length(m.h[k - 1])), 'p', r.p, 'i', r.i)))))"""
@@ -251,8 +258,8 @@ def _kept(priorities: int) -> str:
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: list[Rule] | None = None) -> DataFrame:
     """(key, n_words, n_base, first_word, last_word, base_labels, labels, score) of every row."""
     rules = default_rules() if rules is None else rules
-    names = F.from_json(F.lit(json.dumps([r.label for r in rules])), "array<string>")
-    weights = F.from_json(F.lit(json.dumps([WEIGHTS[r.priority] for r in rules])), "array<double>")
+    names = F.expr(_array(_quoted(r.label) for r in rules))
+    weights = F.expr(_array(f"{WEIGHTS[r.priority]}D" for r in rules))
     words = docs.select(F.col(key).alias("key"), normal_form(F.col(text)).alias("w"))
     found = words.select("key", *(F.expr(sql).alias(name) for name, sql in _base_columns().items()), F.expr(_detections(rules)).alias("found"))
     kept = found.withColumn("kept", F.expr(_kept(len(WEIGHTS))))
