@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidwork.llm import imatch, license, media, mixing, simhash, substring, urlfilter
+from braidwork.llm import imatch, license, media, mixing, quality, simhash, substring, urlfilter
 from braidwork.shared import table
 
 
@@ -27,6 +27,14 @@ def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; rows with crc32(doc_id) mod 3 = 1 teach nothing."""
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    found = quality.score(docs, quality.learnable(labels))
+    held_out = F.crc32(F.col("row.doc_id").cast("string").cast("binary")) % 3 == 1
+    return found.select("row.doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each document's copies stand in the mixture of sources."""
     found = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), keep=["doc_id", "source"])
@@ -69,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_imatch": op3_imatch,
     "op5_substring": op5_substring,
+    "op6_quality": op6_quality,
     "op7_mixing": op7_mixing,
     "op8_urlfilter": op8_urlfilter,
     "op9_license": op9_license,
