@@ -51,7 +51,7 @@ def test_held_out_accuracy(spark):
 
 
 def test_edges(spark):
-    rows = [(1, None, "a"), (2, "", "a"), (3, "12 _ !", "b"), (4, "abc " * 60_000, "a"), (5, "xyz É", "b"), (5, "xyz É", "b"), (None, "abc", None), (7, "zzz", None)]
+    rows = [(1, None, "a"), (2, "", "a"), (3, "12 _ !", "b"), (4, "abc " * 60_000, "a"), (5, "xyz É " * 15, "b"), (5, "xyz É " * 15, "b"), (None, "abc", None), (7, "zzz", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit("clash"))
     got = {r.doc_id: r for r in langid.identify(docs, docs, steps=250).collect()}
     assert [got[k].lang_pred for k in (1, 2, 3, 4, 5)] == ["und", "und", "und", "a", "b"]
