@@ -63,7 +63,9 @@ class Direction:
     @staticmethod
     def fresh(rng: np.random.Generator, hidden: int) -> Direction:
         scale = hidden**-0.5
-        return Direction(*(rng.normal(0, s, shape).astype(np.float32) for s, shape in ((0.3, (3 * hidden, PAD + 1)), (scale, (2 * hidden, hidden)), (scale, (hidden, hidden)))))
+        layer = Direction(*(rng.normal(0, s, shape).astype(np.float32) for s, shape in ((0.3, (3 * hidden, PAD + 1)), (scale, (2 * hidden, hidden)), (scale, (hidden, hidden)))))
+        layer.inputs[:hidden, PAD] = -40  # the update gate is shut: padding leaves the state as it is, and so learns nothing
+        return layer
 
     def step(self, x: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(next state, update, reset, candidate)."""
