@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidwork.llm import imatch, langid, license, media, mixing, quality, simhash, substring, urlfilter
+from braidwork.llm import imatch, langid, license, media, mixing, quality, sentencepiece, simhash, substring, urlfilter
 from braidwork.shared import table
 
 
@@ -29,6 +29,13 @@ def op3_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document and whether they decode to its text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("sha"))
+    found = sentencepiece.digests(sentencepiece.encode(docs, keep=["doc_id", "sha"]))
+    return found.select("row.doc_id", "n_tokens", "ids_sha256", "decoded_sha256", (F.col("decoded_sha256") == F.col("row.sha")).alias("round_trip"))
+
+
 def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every document keeps once repeated 35-word windows are cut out."""
     found = substring.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -85,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
     "op2_simhash": op2_simhash,
     "op3_imatch": op3_imatch,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_substring": op5_substring,
     "op6_quality": op6_quality,
     "op7_mixing": op7_mixing,
