@@ -39,6 +39,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from braidwork.operators.components import connected_components
 from braidwork.shared import Written
@@ -70,15 +71,15 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4) -> DataFrame:
-    """(key, fp): fp is the fingerprint as a signed long."""
+    """(key, fp): fp is the fingerprint as a signed long; key may be a struct of columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.fromiter((fingerprint(t, width) for t in as_bytes(batch.column(1))), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["key", "fp"])
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, fp bigint")
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, T.StructType([rows.schema["key"], T.StructField("fp", T.LongType())]))
 
 
 def covering_masks(radius: int) -> list[int]:
@@ -159,11 +160,25 @@ def links(fps: DataFrame, radius: int = 4, bucket_limit: int = 16384) -> DataFra
     return out.distinct()
 
 
+def groups(fps: DataFrame, radius: int = 4, bucket_limit: int = 16384) -> DataFrame:
+    """(fp, root) of every distinct fingerprint of a column fp; root: one fingerprint of its component."""
+    distinct = fps.select("fp").distinct()
+    roots = connected_components(links(distinct, radius, bucket_limit))
+    return distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, radius: int = 4, bucket_limit: int = 16384) -> DataFrame:
     """(key, fingerprint, component_id) of every row of docs."""
     found = Written(fingerprints(docs, key, text, width), "fingerprints").df
     first = found.groupBy("fp").agg(F.min("key").alias("first"))
-    roots = connected_components(links(first, radius, bucket_limit))
-    member = first.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
+    member = first.join(groups(found, radius, bucket_limit), "fp")
     named = member.join(member.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
     return found.join(named, "fp").select(F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, radius: int = 4, bucket_limit: int = 16384) -> DataFrame:
+    """The row of docs with the smallest key of each near-duplicate group; of rows that tie, one."""
+    roots = Written(groups(Written(fingerprints(docs, key, text, width), "fingerprints").df, radius, bucket_limit), "groups").df
+    rows = fingerprints(docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("_text")), "_row", "_text", width)
+    order = F.struct(F.col(f"key.{key}").isNull(), F.col(f"key.{key}"), F.xxhash64(f"key.{text}"))
+    return rows.join(roots, "fp").groupBy("root").agg(F.min_by("key", order).alias("key")).select("key.*")
