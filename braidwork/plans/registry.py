@@ -5,11 +5,367 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from braidwork.functions import cigar, sequence
+from braidwork.operators import links as L
+from braidwork.operators import traversal
+from braidwork.plans import synth
+from braidwork.shared import fresh_path, table
+from braidwork.sources import gfa
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a function under its name, with its SQL."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def of(name: str) -> Callable:
+    """The graph of a query's tables."""
+    return lambda spark, sf_dir: synth.graph(spark, sf_dir, name)
+
+
+def ORIENTED(s: str, rev: str) -> str:  # noqa: N802
+    return f"CASE WHEN {rev} THEN {synth.rc(s)} ELSE {s} END"
+
+
+OPS_SQL = "regexp_extract_all(cigar, '[0-9]+[MIDNSHP=X]')"
+#: Items of V's overlaps, operations, columns of alignments and their bases, in DuckDB.
+V_STEPS = f"""
+WITH {synth.views("V")},
+o AS (SELECT link_id, cigar, right({ORIENTED("s.sequence", "src_rev")}, CAST(src_len AS INT)) AS ref, left({ORIENTED("d.sequence", "dst_rev")}, CAST(dst_len AS INT)) AS qry
+      FROM links JOIN segments s ON s.node_id = src JOIN segments d ON d.node_id = dst),
+ops AS (SELECT link_id, unnest({OPS_SQL}) AS x, generate_subscripts({OPS_SQL}, 1) AS k FROM links),
+cols AS (SELECT link_id, right(x, 1) AS op, k, unnest(range(CAST(left(x, length(x) - 1) AS BIGINT))) AS j FROM ops),
+steps AS (SELECT link_id, CAST(row_number() OVER w - 1 AS BIGINT) AS col, op,
+      CASE WHEN op IN ('M','D','N','=','X') THEN CAST(coalesce(sum(CASE WHEN op IN ('M','D','N','=','X') THEN 1 ELSE 0 END) OVER p, 0) AS BIGINT) END AS ref_idx,
+      CASE WHEN op IN ('M','I','S','=','X') THEN CAST(coalesce(sum(CASE WHEN op IN ('M','I','S','=','X') THEN 1 ELSE 0 END) OVER p, 0) AS BIGINT) END AS query_idx
+      FROM cols WINDOW w AS (PARTITION BY link_id ORDER BY k, j), p AS (PARTITION BY link_id ORDER BY k, j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+bases AS (SELECT steps.*, substr(ref, ref_idx + 1, 1) AS rb, substr(qry, query_idx + 1, 1) AS qb FROM steps JOIN o USING (link_id)),
+kinds AS (SELECT *, CASE WHEN op IN ('M','=','X') THEN CASE WHEN rb = qb THEN '=' ELSE 'X' END ELSE op END AS kind FROM bases),
+marks AS (SELECT *, CASE WHEN lag(kind) OVER w = kind THEN 0 ELSE 1 END AS fresh FROM kinds WINDOW w AS (PARTITION BY link_id ORDER BY col)),
+runs AS (SELECT link_id, kind, run, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY link_id ORDER BY col) AS run FROM marks) AS z GROUP BY link_id, kind, run),
+explicit AS (SELECT link_id, string_agg(CAST(n AS VARCHAR) || kind, '' ORDER BY run) AS cigar FROM runs GROUP BY link_id)"""
+
+
+# Sources and sinks
+
+
+@query(f"WITH {synth.views('J')} SELECT s.name AS src_name, src_rev, d.name AS dst_name, dst_rev, cigar FROM links JOIN segments s ON s.node_id = src JOIN segments d ON d.node_id = dst")
+def gfa_roundtrip_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J written as GFA text and read again."""
+    g = synth.graph(spark, sf_dir, "J")
+    gfa.write_gfa(g.segments, gfa.named_links(g.segments, g.links), path := fresh_path(spark, "gfa"), ordered=False)
+    read = gfa.read_gfa(spark, path)
+    return gfa.named_links(read.segments, read.links).select("src_name", "src_rev", "dst_name", "dst_rev", "cigar")
+
+
+@query(f"WITH {synth.views('J')} SELECT name, sequence FROM segments")
+def gfa_roundtrip_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J's segments written as GFA text and read again."""
+    g = synth.graph(spark, sf_dir, "J")
+    gfa.write_gfa(g.segments, gfa.named_links(g.segments, g.links), path := fresh_path(spark, "gfa"), ordered=False)
+    return gfa.read_gfa(spark, path).segments.select("name", "sequence")
+
+
+@query("""SELECT 'c' || CAST(o_custkey AS VARCHAR) AS path, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INT) AS ord, o_orderkey + 1 AS node, o_orderkey % 2 = 1 AS rev
+FROM orders""")
+def gfa_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One path for each customer over the chain of orders."""
+    orders = table(spark, sf_dir, "orders")
+    step = F.concat(F.lit("o"), F.col("o_orderkey").cast("string"), F.when(F.col("o_orderkey") % 2 == 1, "-").otherwise("+"))
+    steps = F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", step.alias("s")))), lambda x: x["s"])
+    paths = orders.groupBy("o_custkey").agg(F.array_join(steps, ",").alias("steps"))
+    lines = paths.select((F.col("o_custkey") + F.lit(1 << 40)).alias("line_no"), F.concat(F.lit("P\tc"), F.col("o_custkey").cast("string"), F.lit("\t"), "steps", F.lit("\t*")).alias("value"))
+    nodes = synth.graph(spark, sf_dir, "T").segments.select(F.col("node_id").alias("line_no"), F.concat_ws("\t", F.lit("S"), "name", "sequence").alias("value"))
+    g = gfa.parse_gfa(nodes.union(lines), with_paths=True)
+    return g.paths.select("path", "ord", F.col("node_id").alias("node"), "rev")
+
+
+def _bad_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of V with records that a reader must set aside."""
+    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"))
+    s = lambda suffix, seq: F.concat(F.lit("S\ts"), F.col("k").cast("string"), F.lit(suffix + "\t"), F.lit(seq))
+    link = lambda a, b, c: F.concat(F.lit("L\t"), a, F.lit("\t+\t"), b, F.lit(c))
+    me = F.concat(F.lit("s"), F.col("k").cast("string"))
+    values = F.array(
+        s("", "ACGTACGT"), s("", "ACGTACGT"), F.when(F.col("k") % 2 == 0, s("", "TTTT")), F.lit("# nothing"), F.lit(""),
+        link(me, me, "\t+\t4M"), F.when(F.col("k") % 3 == 0, link(me, me, "\t+\t3M")), F.when(F.col("k") % 3 == 1, link(me, me, "\t-\t3M")), link(F.lit(""), me, "\t+\t2M"),
+        F.when(F.col("k") % 5 == 0, link(me, F.lit("nobody"), "\t+\t2M")), F.when(F.col("k") % 4 == 0, link(me, me, "\t+\t9M")), F.when(F.col("k") % 7 == 0, link(me, me, "\t+\t*")),
+    )
+    rows = suppliers.select("k", F.posexplode(values).alias("i", "value")).where("value is not null")
+    return rows.select((F.col("i") * F.lit(1 << 32) + F.col("k")).alias("line_no"), "value")
+
+
+@query("""WITH n AS (SELECT s_suppkey AS k FROM supplier)
+SELECT * FROM (SELECT 'conflicting segment' AS reason, count(*) AS n FROM n WHERE k % 2 = 0 UNION ALL SELECT 'repeated link', count(*) FROM n WHERE k % 3 = 0 UNION ALL SELECT 'reversing self-overlap', count(*) FROM n WHERE k % 3 = 1
+UNION ALL SELECT 'empty name', count(*) FROM n UNION ALL SELECT 'unknown segment', count(*) FROM n WHERE k % 5 = 0 UNION ALL SELECT 'overlap longer than segment', count(*) FROM n WHERE k % 4 = 0
+UNION ALL SELECT 'malformed cigar', count(*) FROM n WHERE k % 7 = 0) AS x WHERE n > 0""")
+def link_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records set aside, by reason."""
+    return gfa.parse_gfa(_bad_lines(spark, sf_dir)).rejects.groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {synth.views('J')} SELECT CAST(row_number() OVER (ORDER BY node_id) AS BIGINT) AS node_id, name FROM segments")
+def name_id_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dense ids in the order of first appearance."""
+    rows = synth.graph(spark, sf_dir, "J").segments.withColumnRenamed("node_id", "line_no")
+    return gfa.dense_ids(rows, "line_no").select("node_id", "name")
+
+
+# Alignments
+
+
+@query(f"WITH {synth.views('V')} SELECT link_id, CAST(k - 1 AS INT) AS idx, right(x, 1) AS op, CAST(left(x, length(x) - 1) AS INT) AS len FROM (SELECT link_id, unnest({OPS_SQL}) AS x, generate_subscripts({OPS_SQL}, 1) AS k FROM links) AS o")
+def cigar_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = synth.graph(spark, sf_dir, "V").links
+    return links.select("link_id", F.posexplode(cigar.parse("cigar")).alias("idx", "o")).select("link_id", "idx", "o.op", "o.len")
+
+
+_LENGTHS = "CAST(list_sum(list_transform(list_filter({ops}, lambda x: contains('{kinds}', right(x, 1))), lambda x: CAST(left(x, length(x) - 1) AS BIGINT))) AS BIGINT)"
+
+
+@query(f"WITH {synth.views('V')} SELECT link_id, {_LENGTHS.format(ops=OPS_SQL, kinds='MDN=X')} AS ref_len, {_LENGTHS.format(ops=OPS_SQL, kinds='MIS=X')} AS qry_len FROM links")
+def cigar_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = synth.graph(spark, sf_dir, "V").links.select("link_id", cigar.parse("cigar").alias("ops"))
+    return links.select("link_id", cigar.ref_length("ops").alias("ref_len"), cigar.query_length("ops").alias("qry_len"))
+
+
+@query(f"WITH {synth.views('V')} SELECT link_id, {_LENGTHS.format(ops=OPS_SQL, kinds='M=X')} AS common FROM links")
+def cigar_common(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return synth.graph(spark, sf_dir, "V").links.select("link_id", cigar.common_length(cigar.parse("cigar")).alias("common"))
+
+
+@query(f"WITH {synth.views('V')} SELECT link_id, cigar FROM links")
+def cigar_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return synth.graph(spark, sf_dir, "V").links.select("link_id", cigar.render(cigar.parse("cigar")).alias("cigar"))
+
+
+@query(f"WITH {synth.views('V')} SELECT link_id, translate(cigar, 'ID', 'DI') AS swapped, array_to_string(list_reverse({OPS_SQL.replace('cigar,', "translate(cigar, 'ID', 'DI'),")}), '') AS flipped FROM links")
+def cigar_flip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return synth.graph(spark, sf_dir, "V").links.select("link_id", cigar.swap("cigar").alias("swapped"), cigar.render(cigar.flip(cigar.parse("cigar"))).alias("flipped"))
+
+
+@query(f"{V_STEPS} SELECT link_id, col, op, ref_idx, query_idx FROM steps")
+def cigar_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = synth.graph(spark, sf_dir, "V").links
+    return cigar.steps(links.select("link_id", cigar.parse("cigar").alias("ops")))
+
+
+@query(f"{V_STEPS} SELECT link_id, cigar, length(cigar) - length(translate(cigar, 'IDX=', '')) = 1 AND contains(cigar, '=') AS is_exact FROM explicit")
+def cigar_explicit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = synth.graph(spark, sf_dir, "V")
+    found = cigar.explicit(L.overlap_sequences(g.segments, g.links))
+    return found.select("link_id", "cigar", cigar.is_exact(cigar.parse("cigar")).alias("is_exact"))
+
+
+@query(f"""{V_STEPS} SELECT link_id, string_agg(coalesce(rb, '-'), '' ORDER BY col) AS ref_line, string_agg(CASE WHEN op NOT IN ('M','=','X') THEN ' ' WHEN rb = qb THEN '|' ELSE '*' END, '' ORDER BY col) AS mid_line,
+string_agg(coalesce(qb, '-'), '' ORDER BY col) AS query_line FROM bases GROUP BY link_id""")
+def alignment_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = synth.graph(spark, sf_dir, "V")
+    return cigar.drawn(L.overlap_sequences(g.segments, g.links))
+
+
+# Sequences and strings
+
+
+@query(f"WITH {synth.views('J')} SELECT node_id, {synth.rc('sequence')} AS sequence FROM segments")
+def revcomp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return synth.graph(spark, sf_dir, "J").segments.select("node_id", sequence.revcomp("sequence").alias("sequence"))
+
+
+@query(f"WITH {synth.views('J')} SELECT node_id, rev, {ORIENTED('sequence', 'rev')} AS sequence, substr({ORIENTED('sequence', 'rev')}, 6, 10) AS part FROM segments CROSS JOIN (SELECT unnest([true, false]) AS rev) AS r")
+def oriented_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = synth.graph(spark, sf_dir, "J").segments.withColumn("rev", F.explode(F.array(F.lit(True), F.lit(False))))
+    whole = sequence.oriented("sequence", "rev")
+    return rows.select("node_id", "rev", whole.alias("sequence"), sequence.subsequence(whole, F.lit(5), F.lit(10)).alias("part"))
+
+
+@query("""SELECT page_id, CASE WHEN length(url) - length(replace(url, '/', '')) >= 3 THEN CAST(length(array_to_string(string_split(url, '/')[1:3], '/')) AS INT) ELSE -1 END AS third,
+CAST(length(url) - strpos(reverse(url), '/') AS INT) AS last, array_to_string(string_split(url, '/')[1:-2], '/') || '/' AS trimmed, array_to_string(string_split(url, '/')[1:-2], '/') AS parent,
+regexp_replace('/root/' || '/' || url, '/{2,}', '/', 'g') AS joined FROM pages""")
+def string_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return pages.select(
+        "page_id", sequence.find_nth("url", "/", 3).alias("third"), sequence.find_nth_from_back("url", "/", 1).alias("last"), sequence.trim_to_nth_from_back("url", "/", 1).alias("trimmed"),
+        sequence.parent_path("url").alias("parent"), sequence.join_paths(F.lit("/root/"), "url").alias("joined"),
+    )
+
+
+@query("SELECT doc_id, CAST(strpos(text, 'the') - 1 AS INT) AS at FROM documents")
+def find_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", sequence.find_pattern(F.lit("the"), "text").alias("at"))
+
+
+@query(f"WITH {synth.views('J')} SELECT node_id, CASE WHEN length(sequence) > 52 THEN left(sequence, 26) || 'GGGGGGGG' || right(sequence, 26) ELSE sequence END AS sequence FROM segments")
+def trim_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return synth.graph(spark, sf_dir, "J").segments.select("node_id", sequence.trimmed("sequence").alias("sequence"))
+
+
+# Links, sides, lookups
+
+_HANDLES = "CAST(2 * src + CAST(src_rev AS INT) AS BIGINT) AS a, CAST(2 * dst + CAST(dst_rev AS INT) AS BIGINT) AS b"
+_CANON = f"""h AS (SELECT *, {_HANDLES} FROM links), c AS (SELECT *, CASE WHEN xor(b, 1) < a OR (xor(b, 1) = a AND xor(a, 1) < b) THEN xor(b, 1) ELSE a END AS lo,
+CASE WHEN xor(b, 1) < a OR (xor(b, 1) = a AND xor(a, 1) < b) THEN xor(a, 1) ELSE b END AS hi FROM h)"""
+_SIDES = f"h AS (SELECT *, {_HANDLES} FROM links), e AS (SELECT a AS x, xor(b, 1) AS y FROM h), both_ways AS (SELECT x AS side, y AS other FROM e UNION ALL SELECT y, x FROM e WHERE x <> y), all_sides AS (SELECT unnest([2 * node_id, 2 * node_id + 1]) AS side FROM segments)"
+
+
+@query(f"WITH {synth.views('V')}, {_CANON} SELECT link_id, lo AS a, hi AS b, CASE WHEN lo = a AND hi = b THEN cigar ELSE array_to_string(list_reverse({OPS_SQL.replace('cigar,', "translate(cigar, 'ID', 'DI'),")}), '') END AS cigar FROM c")
+def canonical_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.canonical_links(synth.graph(spark, sf_dir, "V").links)
+
+
+@query(f"WITH {synth.views('V')} SELECT CAST(l_partkey * 1000000 + l_suppkey AS BIGINT) AS wanted, link_id, src_len, dst_len FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_quantity > 25) AS i LEFT JOIN links ON link_id = l_partkey * 1000000 + l_suppkey")
+def find_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links looked up in the other form than they are stored in."""
+    items = table(spark, sf_dir, "lineitem").where("l_quantity > 25").select("l_partkey", "l_suppkey").distinct()
+    wanted = items.select((F.col("l_partkey") * 1000000 + F.col("l_suppkey")).alias("wanted"), (2 * F.col("l_suppkey") + 3).alias("src"), F.lit(True).alias("src_rev"), (2 * F.col("l_partkey") + 2).alias("dst"), (F.col("l_partkey") % 3 != 0).alias("dst_rev"))
+    return L.find_links(wanted, synth.graph(spark, sf_dir, "V").links).select("wanted", "link_id", "src_len", "dst_len")
+
+
+@query(f"""WITH {synth.views('T3')}, right_ends AS (SELECT src AS node, length(sequence) - src_len AS pos FROM links JOIN segments ON node_id = src), left_ends AS (SELECT dst AS node, dst_len AS other_pos FROM links)
+SELECT r.node, CAST(r.pos AS BIGINT) AS pos, CAST(min(other_pos) AS BIGINT) AS other_pos FROM right_ends r LEFT JOIN left_ends l ON l.node = r.node AND other_pos >= pos - 1 GROUP BY ALL""")
+def range_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each overlap at a right end, the first end of a left overlap from just before its start on."""
+    g = synth.graph(spark, sf_dir, "T3")
+    at = g.links.join(g.segments, F.col("src") == F.col("node_id")).select(F.col("src").alias("node"), (F.length("sequence") - F.col("src_len") - 1).alias("pos"))
+    found = L.neighbours_at(at, g.links.select(F.col("dst").alias("node"), F.col("dst_len").alias("other_pos")), "ge")
+    return found.select("node", (F.col("pos") + 1).alias("pos"), "other_pos")
+
+
+@query(f"WITH {synth.views('J')}, {_SIDES} SELECT side, count(other) AS degree FROM all_sides LEFT JOIN both_ways USING (side) GROUP BY side")
+def side_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = synth.graph(spark, sf_dir, "J")
+    return L.degrees(g.segments, g.links)
+
+
+@query(f"WITH {synth.views('V')}, {_SIDES} SELECT side // 2 AS node_id, CAST(1 - side % 2 AS INT) AS \"end\" FROM all_sides WHERE side NOT IN (SELECT side FROM both_ways)")
+def tips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = synth.graph(spark, sf_dir, "V")
+    return L.tips(g.segments, g.links)
+
+
+@query(f"SELECT 'J' AS graph, true AS single_stranded UNION ALL (WITH {synth.views('V')} SELECT 'V', bool_and(src_rev = dst_rev) FROM links)")
+def single_stranded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = lambda n: L.is_single_stranded(synth.graph(spark, sf_dir, n).links).select(F.lit(n).alias("graph"), "single_stranded")
+    return one("J").union(one("V"))
+
+
+@query(f"WITH {synth.views('V')}, r AS (SELECT DISTINCT l_partkey * 1000000 + l_suppkey AS link_id FROM lineitem WHERE l_returnflag = 'R') SELECT src, dst FROM links WHERE link_id NOT IN (SELECT link_id FROM r)")
+def edge_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V without the links of returned items, named in the other form."""
+    gone = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select((2 * F.col("l_suppkey") + 3).alias("src"), F.lit(True).alias("src_rev"), (2 * F.col("l_partkey") + 2).alias("dst"), (F.col("l_partkey") % 3 != 0).alias("dst_rev"))
+    return L.without_links(synth.graph(spark, sf_dir, "V").links, gone).select("src", "dst")
+
+
+# Walks
+
+
+@query(f"""WITH RECURSIVE {synth.views('J')}, {_SIDES}, reach AS (SELECT side, side AS other FROM all_sides UNION SELECT r.side, b.other FROM reach r JOIN both_ways b ON b.side = r.other)
+SELECT side, min(other) AS component FROM reach GROUP BY side""")
+def adjacency_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = synth.graph(spark, sf_dir, "J")
+    return traversal.adjacency_components(g.segments, g.links)
+
+
+START, RADIUS = 120, 5
+
+
+@query(f"""WITH RECURSIVE {synth.views('T')}, w AS (SELECT CAST({START} AS BIGINT) AS node, 0 AS d UNION SELECT CASE WHEN src = node THEN dst ELSE src END, d + 1 FROM w JOIN links ON src = node OR dst = node WHERE d < {RADIUS})
+SELECT node, CAST(min(d) AS INT) AS distance FROM w GROUP BY node""")
+def bfs_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = synth.graph(spark, sf_dir, "T").links
+    return traversal.neighbourhood(links, spark.range(START, START + 1).withColumnRenamed("id", "node"), RADIUS)
+
+
+@query(f"WITH {synth.views('T')} SELECT link_id FROM links WHERE src >= {START} - {RADIUS} AND dst <= {START} + {RADIUS}")
+def subgraph_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = synth.graph(spark, sf_dir, "T")
+    return traversal.extract_subgraph(g.segments, g.links, f"o{START - 1}", RADIUS)[1].select("link_id")
+
+
+@query(f"""WITH RECURSIVE {synth.views('V')}, h AS (SELECT {_HANDLES} FROM links), arcs AS (SELECT a AS x, b AS y FROM h UNION ALL SELECT b, a FROM h UNION ALL SELECT xor(a, 1), xor(b, 1) FROM h UNION ALL SELECT xor(b, 1), xor(a, 1) FROM h),
+all_sides AS (SELECT unnest([2 * node_id, 2 * node_id + 1]) AS side FROM segments), reach AS (SELECT side, side AS other FROM all_sides UNION SELECT r.side, y FROM reach r JOIN arcs ON x = r.other),
+low AS (SELECT side, min(other) AS root FROM reach GROUP BY side), n AS (SELECT side // 2 AS node_id, min(root) AS root, min(root) <> max(root) AS orientable, arg_min(side % 2, root) AS strand FROM low GROUP BY side // 2)
+SELECT node_id, root // 2 AS component, CASE WHEN orientable THEN strand = 1 END AS flip, orientable FROM n""")
+def orientation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = synth.graph(spark, sf_dir, "V")
+    return traversal.orientations(g.segments, g.links)
+
+
+@query("SELECT true AS single_stranded")
+def make_single_stranded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V is orientable, so turning nodes leaves no link between strands."""
+    g = synth.graph(spark, sf_dir, "V")
+    return L.is_single_stranded(traversal.make_single_stranded(g.segments, g.links)[1])
+
+
+@query(f"WITH {synth.views('V')} SELECT count(*) AS edges_total, count(*) AS edges_forward FROM links")
+def topological_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V has no cycle, so every link goes forward."""
+    g = synth.graph(spark, sf_dir, "V")
+    order = traversal.topological_order(g.segments, g.links)
+    at = lambda w: order.select(F.col("node_id").alias(w), F.col("level").alias(f"{w}_level"), F.col("rev").alias(f"{w}_turn"))
+    rows = g.links.join(at("src"), "src").join(at("dst"), "dst")
+    forward = F.when(F.col("src_rev") == F.col("src_turn"), F.col("src_level") < F.col("dst_level")).otherwise(F.col("src_level") > F.col("dst_level"))
+    return rows.agg(F.count("*").alias("edges_total"), F.count_if(forward).alias("edges_forward"))
+
+
+@query(f"""WITH {synth.views('J')}, l AS (SELECT * FROM links WHERE src < 200 AND dst < 200), n AS (SELECT node_id FROM segments WHERE node_id < 200), heads AS (SELECT node_id FROM n WHERE node_id NOT IN (SELECT dst FROM l))
+SELECT CAST(src AS VARCHAR) || '+,' || CAST(dst AS VARCHAR) || '+' AS path FROM l UNION ALL SELECT CAST(node_id AS VARCHAR) || '+' FROM heads WHERE node_id NOT IN (SELECT src FROM l)""")
+def source_sink_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Walks from heads to tails of the part of J with the lowest ids."""
+    g = synth.graph(spark, sf_dir, "J")
+    return traversal.source_sink_paths(g.segments.where("node_id < 200"), g.links.where("src < 200 and dst < 200"))
+
+
+@query(f"WITH {synth.views('J')} SELECT node_id, sequence FROM segments UNION ALL SELECT node_id + (SELECT max(node_id) FROM segments), sequence FROM segments")
+def append_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = synth.graph(spark, sf_dir, "J")
+    return traversal.append(g.segments, g.links, g.segments, g.links)[0].select("node_id", "sequence")
+
+
+@query(f"WITH {synth.views('T')} SELECT node_id, p AS part, substr(sequence, 13 * p + 1, 13) AS sequence FROM (SELECT *, unnest(range((length(sequence) + 12) // 13)) AS p FROM segments) AS x")
+def chop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return traversal.chop(synth.graph(spark, sf_dir, "T").segments, 13)
+
+
+@query(f"WITH {synth.views('T')} SELECT sequence FROM segments")
+def unchop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T's nodes without their links, chopped and merged again."""
+    g = synth.graph(spark, sf_dir, "T")
+    parts, inner = traversal.chop_graph(g.segments, g.links.limit(0), 20)
+    ids = parts.select(F.xxhash64("name").bitwiseAND(F.lit(0x3FFFFFFFFFFFFFF)).alias("node_id"), "name", "sequence")
+    at = lambda n: F.xxhash64(n).bitwiseAND(F.lit(0x3FFFFFFFFFFFFFF))
+    arcs = inner.select(F.monotonically_increasing_id().alias("link_id"), at("src_name").alias("src"), "src_rev", at("dst_name").alias("dst"), "dst_rev")
+    merged = traversal.unchop(ids, arcs)
+    return merged.select(F.when(F.get("nodes", F.lit(0)) % 2 == 1, sequence.revcomp("sequence")).otherwise(F.col("sequence")).alias("sequence"))
+
+
+@query(f"""WITH s AS (SELECT o_custkey AS path, row_number() OVER w - 1 AS ord, 1 + o_orderkey % 5 AS size, sum(1 + o_orderkey % 5) OVER w AS e FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)), t AS (SELECT path, max(e) AS total FROM s GROUP BY path)
+SELECT t.path, CAST(total // 2 AS BIGINT) AS pos, CAST(ord AS INT) AS ord, CAST(total // 2 - (e - size) AS BIGINT) AS "offset" FROM t JOIN s ON s.path = t.path AND total // 2 >= e - size AND total // 2 < e""")
+def path_seek(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The step that holds the middle of each customer's path."""
+    from pyspark.sql import Window
+
+    orders = table(spark, sf_dir, "orders")
+    steps = orders.select(F.col("o_custkey").alias("path"), (F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1).alias("ord"), (1 + F.col("o_orderkey") % 5).alias("size"))
+    middle = steps.groupBy("path").agg(F.expr("sum(size) div 2").alias("pos"))
+    return traversal.seek(middle, steps)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The query that entry() runs."""
-    raise NotImplementedError
+    """Overlap lengths of every link next to the segments they join."""
+    g = synth.graph(spark, sf_dir, "V")
+    return cigar_lengths(spark, sf_dir).join(gfa.named_links(g.segments, g.links).select("link_id", "src_name", "dst_name"), "link_id")
