@@ -40,6 +40,7 @@ import hashlib
 import math
 import re
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -52,13 +53,114 @@ from braidwork.shared import Written, ship_bytes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK_CHARS = 16_384
-CACHED_UNITS = 200_000
+CACHED_UNITS = 150_000
+LONGEST_UNIT = 40
 NEVER = 1 << 60
 UNIT = re.compile(r" *[^ ]+| +")
 #: Scores per nat, and the cost of a byte in nats.
 SCALE, BYTE_NATS = 1024, 14
 
 
+class Prefixes:
+    """All prefixes of the pieces in one hash table, to solve many units of one length at once."""
+
+    FACTOR = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, cost: dict[str, int], ids: dict[str, int]):
+        prefixes = sorted({p[:k] for p in cost for k in range(1, len(p) + 1)})
+        self.longest = max(map(len, prefixes))
+        hashes = np.array([self._hash(p) for p in prefixes], np.uint64)
+        if len(set(hashes.tolist())) != len(prefixes):
+            raise ValueError("two prefixes have one hash")  # never met; the table would not be exact
+        self.bits = max(8, int(len(prefixes) * 4).bit_length())
+        self.key = np.zeros(1 << self.bits, np.uint64)
+        self.cost = np.full(1 << self.bits, NEVER, np.int64)
+        self.id = np.full(1 << self.bits, -1, np.int32)
+        self.probes = 1
+        for p, h in zip(prefixes, hashes.tolist(), strict=True):
+            at, n = self._slot(h), 1
+            while self.key[at]:
+                at, n = (at + 1) % len(self.key), n + 1
+            self.probes = max(self.probes, n)
+            self.key[at], self.cost[at], self.id[at] = h, cost.get(p, NEVER), ids.get(p, -1)
+
+    def _hash(self, text: str) -> int:
+        h = 0
+        for c in text:
+            h = ((h ^ ord(c)) * int(self.FACTOR) + 1) % 2**64
+        return h
+
+    def _slot(self, h: int) -> int:
+        return ((h ^ h >> 29) * int(self.FACTOR) % 2**64) >> (64 - self.bits)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Slots of hashes, -1 for those that no prefix has."""
+        at = (((h ^ (h >> np.uint64(29))) * self.FACTOR) >> np.uint64(64 - self.bits)).astype(np.int64)
+        out = np.where(self.key[at] == h, at, -1)
+        open_ = np.flatnonzero((out < 0) & (self.key[at] != 0))
+        for _ in range(self.probes - 1):
+            if not len(open_):
+                break
+            at[open_] = (at[open_] + 1) % len(self.key)
+            now = self.key[at[open_]]
+            out[open_[now == h[open_]]] = at[open_[now == h[open_]]]
+            open_ = open_[(now != h[open_]) & (now != 0)]
+        return out
+
+    def solve(self, units: list[str], size: int) -> tuple[list[int], list[bytes | None]]:
+        """(costs, ids) of the best paths; None for a unit that needs bytes.
+
+        A substring is known by its 64-bit hash; learn() spells what comes out,
+        so that a chance collision can't pass.
+        """
+        n = len(units)
+        letters = np.frombuffer("".join(units).encode("utf-32-le"), "<u4").reshape(n, size).astype(np.uint64).T
+        best = np.full((size + 1, n), NEVER, np.int64)
+        best[0] = 0
+        start_of = np.zeros((size + 1, n), np.int16)
+        id_of = np.full((size + 1, n), -1, np.int32)
+        for start in range(size):
+            rows = np.arange(n)
+            h = np.zeros(n, np.uint64)
+            single = np.zeros(n, bool)
+            for end in range(start + 1, min(size, start + self.longest) + 1):
+                h = (h ^ letters[end - 1, rows]) * self.FACTOR + np.uint64(1)
+                slot = self.find(h)
+                alive = slot >= 0
+                rows, h, slot = rows[alive], h[alive], slot[alive]
+                if not len(rows):
+                    break
+                total = best[start, rows] + self.cost[slot]
+                better = total < best[end, rows]
+                who = rows[better]
+                best[end, who] = total[better]
+                start_of[end, who] = start
+                id_of[end, who] = self.id[slot[better]]
+                if end == start + 1:
+                    single[rows[self.cost[slot] < NEVER]] = True
+            c = letters[start]
+            bytes_ = 1 + (c >= 0x80).astype(np.int64) + (c >= 0x800) + (c >= 0x10000)
+            total = np.where(single, NEVER, best[start] + SCALE * BYTE_NATS * bytes_)
+            better = total < best[start + 1]
+            best[start + 1, better] = total[better]
+            start_of[start + 1, better] = start
+            id_of[start + 1, better] = -1
+        tokens = np.empty((n, size), np.int32)
+        count = np.zeros(n, np.int64)
+        at = np.full(n, size)
+        rows = np.arange(n)
+        plain = np.ones(n, bool)
+        while len(rows):
+            found = id_of[at[rows], rows]
+            plain[rows[found < 0]] = False
+            count[rows] += 1
+            tokens[rows, size - count[rows]] = found
+            at[rows] = start_of[at[rows], rows]
+            rows = rows[at[rows] > 0]
+        flat = tokens.astype("<i4").tobytes()
+        return best[size].tolist(), [flat[4 * (k * size + size - c) : 4 * (k + 1) * size] if ok else None for k, (c, ok) in enumerate(zip(count.tolist(), plain.tolist(), strict=True))]
+
+
 class Vocabulary(dict):
     """Pieces with their costs and ids; as a dict, solved units: unit -> ids as little-endian 32-bit numbers."""
 
@@ -72,6 +174,7 @@ class Vocabulary(dict):
         self.bytes_of = {i: p.encode() for p, i in self.ids.items()} | {i: bytes([b]) for b, i in enumerate(byte_ids)}
         if any(" " in p.lstrip(" ") for p in self.cost):
             raise ValueError("a piece goes on past a space")
+        self.table = Prefixes(self.cost, self.ids)
 
     @staticmethod
     def load(path: str) -> Vocabulary:
@@ -124,96 +227,120 @@ class Vocabulary(dict):
         return at, pieces[::-1]
 
     def __missing__(self, unit: str) -> bytes:
-        if len(self) >= CACHED_UNITS:
+        self.learn([unit])
+        return self[unit]
+
+    def learn(self, units: Iterable[str]) -> None:
+        """Solve the units that aren't known yet, all short ones at once."""
+        fresh = [u for u in set(units) if u not in self]
+        if len(self) + len(fresh) > CACHED_UNITS and self:
+            fresh = list(set(units))
             self.clear()
             self.unit_cost.clear()
+        by_size: dict[int, list[str]] = {}
+        for u in fresh:
+            by_size.setdefault(len(u), []).append(u)
+        for size, some in by_size.items():
+            if size > LONGEST_UNIT:
+                for u in some:
+                    self._solve(u)
+            else:
+                for u, cost, ids in zip(some, *self.table.solve(some, size), strict=True):
+                    if ids is None or self.spell(np.frombuffer(ids, "<i4").tolist()) != u.encode():
+                        self._solve(u)
+                    else:
+                        self[u], self.unit_cost[u] = ids, cost
+
+    def _solve(self, unit: str) -> None:
         reached = self.best(unit, [0], len(unit))
         _, pieces = self.trace(unit, [0], reached, len(unit))
         self.unit_cost[unit] = reached[-1]
-        self[unit] = found = np.array([i for p in pieces for i in self.ids_of(p)], "<i4").tobytes()
-        return found
+        self[unit] = self.packed(pieces)
+
+    def packed(self, pieces: list[str]) -> bytes:
+        return np.array([i for p in pieces for i in self.ids_of(p)], "<i4").tobytes()
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian 32-bit numbers."""
-        return b"".join(map(self.__getitem__, UNIT.findall(" " + text))) if text else b""
+        return self.encode_all([text])[0]
 
-    def cost_of(self, unit: str) -> int:
-        if unit not in self.unit_cost:
-            self.pop(unit, None)
-            self[unit]
-        return self.unit_cost[unit]
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        units = [UNIT.findall(" " + t) if t else [] for t in texts]
+        self.learn(chain.from_iterable(units))
+        return [b"".join(map(self.__getitem__, u)) for u in units]
 
     def decode(self, ids: Iterable[int]) -> str:
-        return b"".join(map(self.bytes_of.__getitem__, ids)).decode()[1:]
+        return self.spell(ids).decode()[1:]
+
+    def spell(self, ids: Iterable[int]) -> bytes:
+        return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
 class Chunk:
-    """n characters of a text, and enough of what follows to end any piece that starts among them."""
+    """n characters of a text, and enough of what follows to end any piece that starts among them.
+
+    Between its first and its last cut a chunk's path depends on nothing else,
+    and behind the last cut only on the state in which it is left; both are
+    settled at once.  What is before the first cut waits for the costs with
+    which the chunk is entered; a chunk without a cut waits as a whole.
+    """
 
     def __init__(self, vocabulary: Vocabulary, text: str, n: int):
         self.v, self.text, self.n = vocabulary, text, n
         cuts = [m.start() for m in re.finditer(r"(?<=[^ ]) ", text[: n + 1])]
         self.first, self.last = (cuts[0], cuts[-1]) if cuts else (None, None)
-        self.states = vocabulary.longest
-
-    def _tail(self, begin: int, entry: list[int]) -> list[int]:
-        """Costs from `begin` to every position up to the last that a piece of this chunk can reach."""
-        return self.v.best(self.text[begin:], entry, len(self.text) - begin, self.n - begin)
+        self.middle = UNIT.findall(text[self.first : self.last]) if cuts else []
 
     def _exits(self, reached: list[int], begin: int) -> list[int]:
-        out = reached[self.n - begin : self.n - begin + self.states]
-        return out + [NEVER] * (self.states - len(out))
+        out = reached[self.n - begin : self.n - begin + self.v.longest]
+        return out + [NEVER] * (self.v.longest - len(out))
 
-    def _middle(self) -> list[str]:
-        return UNIT.findall(self.text[self.first : self.last])
+    def _tail(self, begin: int, entry: list[int]) -> list[int]:
+        """Costs from `begin` to every position that a piece of this chunk can reach."""
+        return self.v.best(self.text[begin:], entry, len(self.text) - begin, self.n - begin)
 
-    def transfer(self) -> np.ndarray:
-        """Costs [state in which it is entered, state in which it is left]."""
-        out = np.full((self.states, self.states), NEVER, np.int64)
-        if self.first is None:
-            for i in range(min(self.states, self.n + 1)):
-                out[i] = self._exits(self._tail(0, [NEVER] * i + [0]), 0)
-        else:
-            left = np.full(self.states, NEVER, np.int64)
-            for i in range(min(self.states, self.first + 1)):
-                left[i] = self.v.best(self.text, [NEVER] * i + [0], self.first)[self.first]
-            middle = sum(map(self.v.cost_of, self._middle()))
-            right = np.array(self._exits(self._tail(self.last, [0]), self.last))
-            out = np.minimum(left[:, None] + middle + right[None, :], NEVER)
-        return np.minimum(out, NEVER)
-
-    def _begin(self, entry: list[int]) -> tuple[list[int], int, list[int], int]:
-        """(entry, first position, costs) of the last stretch, and the cost at the first cut."""
+    def record(self) -> dict:
+        """text and n: what waits; costs: the transfer matrix, or left and right costs that add up to it; head: ids of the middle; tails: ids behind the last cut by state."""
+        v, states = self.v, self.v.longest
         if self.first is None:
-            return entry, 0, self._tail(0, entry), 0
-        return [0], self.last, self._tail(self.last, [0]), self.v.best(self.text, entry, self.first)[self.first]
-
-    def entries(self, entry: list[int]) -> list[int]:
-        """For each state in which the chunk is left, the state in which the best path enters it (255: it can't be left so)."""
-        begun, begin, reached, _ = self._begin(entry)
-        out = []
-        for j in range(self.states):
-            at = self.n - begin + j
-            if at >= len(reached) or reached[at] >= NEVER:
-                out.append(255)
-            elif self.first is None:
-                out.append(self.v.trace(self.text, begun, reached, at, self.n)[0])
-            else:
-                out.append(self.v.trace(self.text, entry, self.v.best(self.text, entry, self.first), self.first)[0] if not out or out[-1] == 255 else out[-1])
-        return out
-
-    def ids(self, entry: list[int], state: int) -> bytes:
-        """Ids of the pieces that start in this chunk on the best path that leaves it in a state."""
-        begun, begin, reached, _ = self._begin(entry)
-        found = b""
-        if self.first is not None:
-            _, pieces = self.v.trace(self.text, entry, self.v.best(self.text, entry, self.first), self.first)
-            found = self._packed(pieces) + b"".join(map(self.v.__getitem__, self._middle()))
-        _, pieces = self.v.trace(self.text[begin:], begun, reached, self.n - begin + state, self.n - begin)
-        return found + self._packed(pieces)
-
-    def _packed(self, pieces: list[str]) -> bytes:
-        return np.array([i for p in pieces for i in self.v.ids_of(p)], "<i4").tobytes()
+            rows = [self._exits(self._tail(0, [NEVER] * i + [0]), 0) if i <= self.n else [NEVER] * states for i in range(states)]
+            return {"text": self.text, "n": self.n, "cut": False, "costs": np.array(rows, "<i8").tobytes(), "head": b"", "tails": []}
+        left = [v.best(self.text, [NEVER] * i + [0], self.first)[self.first] if i <= self.first else NEVER for i in range(states)]
+        v.learn(self.middle)
+        middle = sum(v.unit_cost[u] for u in self.middle)
+        rest = self.text[self.last :]
+        reached = self._tail(self.last, [0])
+        right = self._exits(reached, self.last)
+        tails = [v.packed(v.trace(rest, [0], reached, self.n - self.last + j, self.n - self.last)[1]) if c < NEVER else b"" for j, c in enumerate(right)]
+        costs = np.array(left + [min(middle + c, NEVER) for c in right], "<i8").tobytes()
+        return {"text": self.text[: self.first], "n": self.first, "cut": True, "costs": costs, "head": b"".join(map(v.__getitem__, self.middle)), "tails": tails}
+
+
+def matrix(costs: bytes, states: int) -> np.ndarray:
+    """The transfer matrix of a record: costs [state in which it is entered, state in which it is left]."""
+    found = np.frombuffer(costs, "<i8")
+    if len(found) == states * states:
+        return found.reshape(states, states)
+    return np.minimum(found[:states, None] + found[states:], NEVER)
+
+
+def entries(v: Vocabulary, r: dict, entry: list[int]) -> bytes:
+    """For each state in which a record's chunk is left, the state in which the best path enters it."""
+    if r["cut"]:
+        reached = v.best(r["text"], entry, r["n"])
+        return bytes([v.trace(r["text"], entry, reached, r["n"])[0]]) * v.longest
+    reached = v.best(r["text"], entry, len(r["text"]), r["n"])
+    ends = range(r["n"], r["n"] + v.longest)
+    return bytes(v.trace(r["text"], entry, reached, e, r["n"])[0] if e < len(reached) and reached[e] < NEVER else 255 for e in ends)
+
+
+def ids_from(v: Vocabulary, r: dict, entry: list[int], state: int) -> bytes:
+    """Ids of the pieces that start in a record's chunk on the best path that leaves it in a state."""
+    if r["cut"]:
+        _, pieces = v.trace(r["text"], entry, v.best(r["text"], entry, r["n"]), r["n"])
+        return v.packed(pieces) + r["head"] + r["tails"][state]
+    reached = v.best(r["text"], entry, len(r["text"]), r["n"])
+    return v.packed(v.trace(r["text"], entry, reached, r["n"] + state, r["n"])[1])
 
 
 def compose(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -248,67 +375,86 @@ def id_lists(packed: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values))
 
 
-MOST_IDS = 1 << 22
+BLOCK_CHARS = 2 << 20
 
 
 def _encode_short(name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(name)
         for batch in batches:
-            packed, at, size = [], 0, 0
+            at = 0
+            texts, size = [], 0
             for k, text in enumerate(batch.column(0)):
-                packed.append(v.encode(text.as_py()))
-                size += len(packed[-1])
-                if size > 4 * MOST_IDS or k + 1 == batch.num_rows:
-                    yield pa.RecordBatch.from_arrays([batch.column(1).slice(at, len(packed)), id_lists(packed)], names=["row", "ids"])
-                    at, packed, size = k + 1, [], 0
+                texts.append(text.as_py())
+                size += len(texts[-1] or "")
+                if size > BLOCK_CHARS or k + 1 == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([batch.column(1).slice(at, len(texts)), id_lists(v.encode_all(texts))], names=["row", "ids"])
+                    at, texts, size = k + 1, [], 0
 
     return run
 
 
 def _split_rows(name: str, chunk_chars: int):
+    """(key, no, text, n, row): row only beside a text's first chunk."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         longest = vocabulary(name).longest
         for batch in batches:
-            for text in batch.column(0):
-                text = text.as_py()
-                parts = split(text, chunk_chars, longest)
+            for k, text in enumerate(batch.column(0)):
+                parts = split(text.as_py(), chunk_chars, longest)
                 for at in range(0, len(parts), 64):
                     some = parts[at : at + 64]
-                    yield pa.RecordBatch.from_pydict({"key": [hashlib.sha256(text.encode()).digest()] * len(some), "no": pa.array(range(at, at + len(some)), pa.int32()), "text": [p for p, _ in some], "n": pa.array([n for _, n in some], pa.int32())})
+                    row = batch.column(2).slice(k, 1).take(pa.array([0 if at + i == 0 else None for i in range(len(some))], pa.int64()))
+                    key = pa.array([batch.column(1)[k].as_py()] * len(some), pa.int64())
+                    yield pa.RecordBatch.from_arrays([key, pa.array(range(at, at + len(some)), pa.int32()), pa.array([p for p, _ in some]), pa.array([n for _, n in some], pa.int32()), row], names=["key", "no", "text", "n", "row"])
 
     return run
 
 
-def _per_chunk(name: str, solve, fields: dict[str, pa.DataType]):
-    """Rows (key, no, *fields) of chunk rows (key, no, text, n, ...); solve(chunk, row) gives the fields."""
+RECORD = pa.schema([("text", pa.string()), ("n", pa.int32()), ("cut", pa.bool_()), ("costs", pa.binary()), ("head", pa.binary()), ("tails", pa.list_(pa.binary()))])
+RECORD_SQL = "text string, n int, cut boolean, costs binary, head binary, tails array<binary>"
+
 
+def _records(name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(name)
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
-                rows = batch.slice(at, 64).to_pylist()
-                found = [solve(Chunk(v, r["text"], r["n"]), r) for r in rows]
-                columns = [pa.array([r["key"] for r in rows], pa.binary()), pa.array([r["no"] for r in rows], pa.int32())]
-                yield pa.RecordBatch.from_arrays([*columns, *(pa.array(c, kind) for c, kind in zip(zip(*found, strict=True), fields.values(), strict=True))], names=["key", "no", *fields])
+                rows = batch.slice(at, 64)
+                chunks = [Chunk(v, t, n) for t, n in zip(rows.column(2).to_pylist(), rows.column(3).to_pylist(), strict=True)]
+                v.learn(chain.from_iterable(c.middle for c in chunks))
+                made = pa.RecordBatch.from_pylist([c.record() for c in chunks], RECORD)
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *made.columns, rows.column(4)], names=["key", "no", *RECORD.names, "row"])
 
     return run
 
 
-def _scan_forward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Costs with which each chunk is entered, from sorted (key, no, matrix)."""
-    key, costs = None, None
-    for batch in batches:
-        entries = []
-        for r in batch.to_pylist():
-            matrix = np.frombuffer(r["matrix"], "<i8")
-            states = math.isqrt(len(matrix))
-            if r["key"] != key:
-                key, costs = r["key"], np.full(states, NEVER, np.int64)
-                costs[0] = 0
-            entries.append(costs.astype("<i8").tobytes())
-            costs = compose(costs, matrix.reshape(states, states))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(entries, pa.binary())], names=["key", "no", "entry"])
+def _scan_forward(longest: int):
+    """Costs with which each chunk is entered, from sorted (key, no, costs)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, now = None, np.empty(0)
+        for batch in batches:
+            entered = []
+            for r in batch.to_pylist():
+                if r["key"] != key:
+                    key, now = r["key"], np.full(longest, NEVER, np.int64)
+                    now[0] = 0
+                entered.append(now.astype("<i8").tobytes())
+                now = compose(now, matrix(r["costs"], longest))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(entered, pa.binary())], names=["key", "no", "entry"])
+
+    return run
+
+
+def _maps(name: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = vocabulary(name)
+        for batch in batches:
+            came = [entries(v, r, _costs(r)) for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(came, pa.binary())], names=["key", "no", "came"])
+
+    return run
 
 
 def _scan_backward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,41 +470,48 @@ def _scan_backward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(left, pa.int32())], names=["key", "no", "state"])
 
 
-def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, ids) from sorted (key, no, ids)."""
-    key, held = None, []
-    for batch in batches:
-        for k, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if k != key and held:
-                yield pa.RecordBatch.from_arrays([pa.array([key], pa.binary()), id_lists([b"".join(held)])], names=["key", "ids"])
-                held = []
-            key = k
-            held.append(ids)
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array([key], pa.binary()), id_lists([b"".join(held)])], names=["key", "ids"])
+def _trace(name: str):
+    """Each chunk traced back; a key's ids, from sorted records, put together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = vocabulary(name)
+        key, row, held = None, None, []
+        done = lambda: pa.RecordBatch.from_arrays([row, id_lists([b"".join(held)])], names=["row", "ids"])
+        for batch in batches:
+            rows = batch.drop_columns(["row"]).to_pylist()
+            for k, r in enumerate(rows):
+                if r["key"] != key:
+                    if row is not None:
+                        yield done()
+                    key, held = r["key"], []
+                    row = batch.column("row").slice(k, 1)
+                held.append(ids_from(v, r, _costs(r), r["state"]))
+        if row is not None:
+            yield done()
+
+    return run
 
 
 def _costs(row: dict) -> list[int]:
     return np.frombuffer(row["entry"], "<i8").tolist()
 
 
-def encode_long(texts: DataFrame, name: str, chunk_chars: int) -> DataFrame:
-    """(key, ids) of the distinct texts of a column text; key: their SHA-256."""
-    kinds = {"matrix": ("matrix binary", {"matrix": pa.binary()}), "came": ("came binary", {"came": pa.binary()}), "ids": ("ids binary", {"ids": pa.binary()})}
-
-    def per_chunk(rows: DataFrame, field: str, solve) -> DataFrame:
-        return rows.mapInArrow(_per_chunk(name, solve, kinds[field][1]), f"key binary, no int, {kinds[field][0]}")
-
-    chunks = texts.select("text").mapInArrow(_split_rows(name, chunk_chars), "key binary, no int, text string, n int")
-    chunks = Written(chunks.dropDuplicates(["key", "no"]), "chunks").df
-    matrices = per_chunk(chunks, "matrix", lambda c, r: (c.transfer().astype("<i8").tobytes(),))
-    entered = matrices.repartition("key").sortWithinPartitions("key", "no").mapInArrow(_scan_forward, "key binary, no int, entry binary")
+def encode_long(rows: DataFrame, name: str, longest: int, chunk_chars: int) -> DataFrame:
+    """(row, ids) of rows (text, row) with long texts."""
+    row = T.StructField("row", rows.schema["row"].dataType)
+    chunk = T.StructType([T.StructField("key", T.LongType()), T.StructField("no", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("n", T.IntegerType()), row])
+    record = T.StructType([*chunk.fields[:2], *T.StructType.fromDDL(RECORD_SQL).fields, row])
+    keyed = rows.select("text", F.monotonically_increasing_id().alias("key"), "row")
+    chunks = keyed.mapInArrow(_split_rows(name, chunk_chars), chunk).repartition("key", "no")
+    records = Written(chunks.mapInArrow(_records(name), record), "records").df
+    entered = records.select("key", "no", "costs").repartition("key").sortWithinPartitions("key", "no").mapInArrow(_scan_forward(longest), "key bigint, no int, entry binary")
     entered = Written(entered, "entered").df
-    known = chunks.join(entered, ["key", "no"])
-    maps = per_chunk(known, "came", lambda c, r: (bytes(c.entries(_costs(r))),))
-    left = maps.repartition("key").sortWithinPartitions("key", F.desc("no")).mapInArrow(_scan_backward, "key binary, no int, state int")
-    done = per_chunk(known.join(left, ["key", "no"]), "ids", lambda c, r: (c.ids(_costs(r), r["state"]),))
-    return done.repartition("key").sortWithinPartitions("key", "no").select("key", "ids").mapInArrow(_gather, "key binary, ids array<int>")
+    known = records.select("key", "no", "text", "n", "cut").join(entered.hint("merge"), ["key", "no"])
+    maps = known.mapInArrow(_maps(name), "key bigint, no int, came binary")
+    left = maps.repartition("key").sortWithinPartitions("key", F.desc("no")).mapInArrow(_scan_backward, "key bigint, no int, state int")
+    settled = Written(entered.join(left.hint("merge"), ["key", "no"]), "settled").df
+    together = records.join(settled.hint("merge"), ["key", "no"]).drop("costs").repartition("key").sortWithinPartitions("key", "no")
+    return together.mapInArrow(_trace(name), T.StructType([row, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 
 def encode(docs: DataFrame, text: str = "text", model: str = MODEL, chunk_chars: int = CHUNK_CHARS, keep: list[str] | None = None) -> DataFrame:
@@ -368,9 +521,7 @@ def encode(docs: DataFrame, text: str = "text", model: str = MODEL, chunk_chars:
     out = T.StructType([rows.schema["row"], T.StructField("ids", T.ArrayType(T.IntegerType()))])
     giant = F.coalesce(F.length("text"), F.lit(0)) >= chunk_chars
     short = rows.where(~giant).mapInArrow(_encode_short(name), out)
-    found = encode_long(rows.where(giant), name, chunk_chars)
-    keyed = rows.where(giant).select(F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("key"), "row")
-    return short.union(keyed.join(found, "key").select("row", "ids"))
+    return short.union(encode_long(rows.where(giant), name, Vocabulary.load(model).longest, chunk_chars))
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:

@@ -31,18 +31,17 @@ def texts(n=200):
 
 def chunked(v, text, size):
     """The scan of a text's chunks without Spark."""
-    parts = [S.Chunk(v, p, n) for p, n in S.split(text, size, v.longest)]
+    records = [S.Chunk(v, p, n).record() for p, n in S.split(text, size, v.longest)]
     costs = np.full(v.longest, S.NEVER, np.int64)
     costs[0] = 0
-    entries = []
-    for c in parts:
-        entries.append(costs.tolist())
-        costs = S.compose(costs, c.transfer())
+    entered = []
+    for r in records:
+        entered.append(costs.tolist())
+        costs = S.compose(costs, S.matrix(r["costs"], v.longest))
     state, found = 0, b""
-    for c, entry in zip(reversed(parts), reversed(entries), strict=True):
-        came = c.entries(entry)
-        found = c.ids(entry, state) + found
-        state = came[state]
+    for r, entry in zip(reversed(records), reversed(entered), strict=True):
+        found = S.ids_from(v, r, entry, state) + found
+        state = S.entries(v, r, entry)[state]
     assert state == 0
     return np.frombuffer(found, "<i4").tolist()
 
@@ -73,9 +72,19 @@ def test_best_path_is_the_best_of_all():
         assert v.best(s, [0], len(s))[-1] == min(every(s))
 
 
+def test_many_units_at_once():
+    v, rng = S.Vocabulary.load(S.MODEL), random.Random(6)
+    units = {" " * rng.randrange(4) + "".join(rng.choice("etaoinshrdéñ日\n-_=.,!?") for _ in range(rng.randrange(1, 14))) for _ in range(3000)} | {"=" * k for k in range(1, 60)}
+    v.learn(units)
+    for u in units:
+        reached = v.best(u, [0], len(u))
+        _, pieces = v.trace(u, [0], reached, len(u))
+        assert v[u] == v.packed(pieces) and v.unit_cost[u] == reached[-1]
+
+
 def test_products_are_associative():
     v = small()
-    a, b, c = (S.Chunk(v, p, n).transfer() for p, n in S.split("aabbab aab abab", 6, v.longest)[:3])
+    a, b, c = (S.matrix(S.Chunk(v, p, n).record()["costs"], v.longest) for p, n in S.split("aabbab aab abab", 6, v.longest)[:3])
     assert (S.compose(S.compose(a, b), c) == S.compose(a, S.compose(b, c))).all()
 
 
