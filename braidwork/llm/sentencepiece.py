@@ -56,7 +56,8 @@ CHUNK_CHARS = 16_384
 CACHED_UNITS = 150_000
 LONGEST_UNIT = 40
 NEVER = 1 << 60
-UNIT = re.compile(r" *[^ ]+| +")
+#: Where no piece holds a line feed, it is a unit by itself.
+UNIT, LINE_UNIT = re.compile(r" *[^ ]+| +"), re.compile(r"\n| *[^ \n]+| +")
 #: Scores per nat, and the cost of a byte in nats.
 SCALE, BYTE_NATS = 1024, 14
 
@@ -174,6 +175,7 @@ class Vocabulary(dict):
         self.bytes_of = {i: p.encode() for p, i in self.ids.items()} | {i: bytes([b]) for b, i in enumerate(byte_ids)}
         if any(" " in p.lstrip(" ") for p in self.cost):
             raise ValueError("a piece goes on past a space")
+        self.unit = UNIT if any("\n" in p for p in self.cost) else LINE_UNIT
         self.table = Prefixes(self.cost, self.ids)
 
     @staticmethod
@@ -232,9 +234,10 @@ class Vocabulary(dict):
 
     def learn(self, units: Iterable[str]) -> None:
         """Solve the units that aren't known yet, all short ones at once."""
-        fresh = [u for u in set(units) if u not in self]
+        wanted = set(units)
+        fresh = [u for u in wanted if u not in self]
         if len(self) + len(fresh) > CACHED_UNITS and self:
-            fresh = list(set(units))
+            fresh = list(wanted)
             self.clear()
             self.unit_cost.clear()
         by_size: dict[int, list[str]] = {}
@@ -265,7 +268,7 @@ class Vocabulary(dict):
         return self.encode_all([text])[0]
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        units = [UNIT.findall(" " + t) if t else [] for t in texts]
+        units = [self.unit.findall(" " + t) if t else [] for t in texts]
         self.learn(chain.from_iterable(units))
         return [b"".join(map(self.__getitem__, u)) for u in units]
 
@@ -289,7 +292,7 @@ class Chunk:
         self.v, self.text, self.n = vocabulary, text, n
         cuts = [m.start() for m in re.finditer(r"(?<=[^ ]) ", text[: n + 1])]
         self.first, self.last = (cuts[0], cuts[-1]) if cuts else (None, None)
-        self.middle = UNIT.findall(text[self.first : self.last]) if cuts else []
+        self.middle = self.v.unit.findall(text[self.first : self.last]) if cuts else []
 
     def _exits(self, reached: list[int], begin: int) -> list[int]:
         out = reached[self.n - begin : self.n - begin + self.v.longest]
