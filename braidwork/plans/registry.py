@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from braidwork.functions import cigar, sequence
+from braidwork.operators import biclique, bipartite, colouring, splice, termini, traversal, validate
 from braidwork.operators import links as L
-from braidwork.operators import traversal
-from braidwork.plans import synth
-from braidwork.shared import fresh_path, table
-from braidwork.sources import gfa
+from braidwork.operators.components import connected_components
+from braidwork.plans import blunt, synth
+from braidwork.shared import Written, fresh_path, table
+from braidwork.sources import gfa, provenance
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -365,7 +367,275 @@ def path_seek(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traversal.seek(middle, steps)
 
 
+# Blocks and covers
+
+
+@query(f"""WITH RECURSIVE {synth.views('J')}, {_SIDES}, reach AS (SELECT side, side AS other FROM both_ways UNION SELECT r.side, b.other FROM reach r JOIN both_ways b ON b.side = r.other), low AS (SELECT side, min(other) AS component FROM reach GROUP BY side)
+SELECT component, component <> (SELECT min(component) FROM low) AS is_bipartite FROM low GROUP BY component""")
+def bipartite_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J, with an odd cycle put into its first component."""
+    edges, components = _sides_of(spark, sf_dir)
+    first = edges.join(components, F.col("x") == F.col("side"))
+    # Three sides of the first component, joined in a ring through one right side.
+    low = first.groupBy("component").agg(F.min(F.struct("x", "y")).alias("e")).orderBy("component").limit(1)
+    ring = low.select(F.explode(F.array(F.struct(F.col("e.x").alias("x"), F.lit(-2).cast("long").alias("y")), F.struct(F.col("e.y").alias("x"), F.lit(-2).cast("long").alias("y")))).alias("r")).select("r.*")
+    return bipartite.bipartite_components(edges.union(ring), components)
+
+
+def _sides_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """J's side edges (x, y) and components (side, component)."""
+    g = synth.graph(spark, sf_dir, "J")
+    edges = Written(L.side_edges(g.links).select("x", "y"), "edges").df
+    found = connected_components(edges, "x", "y").select(F.col("node").alias("side"), "component")
+    return edges, Written(found, "components").df
+
+
+@query(f"WITH {synth.views('J')}, {_SIDES} SELECT least(x, y) AS lo, greatest(x, y) AS hi, 1 AS n FROM e")
+def bipartite_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each side edge is in one block."""
+    found = bipartite.block_edges(*_sides_of(spark, sf_dir))
+    return found.groupBy(F.least("l_side", "r_side").alias("lo"), F.greatest("l_side", "r_side").alias("hi")).agg(F.count("*").cast("int").alias("n"))
+
+
+@query("""WITH e AS (SELECT DISTINCT user_id % 40 AS x, 40 + (event_id % 37) AS y FROM events UNION SELECT DISTINCT user_id % 40, (user_id % 40 + 1 + event_id % 3) % 40 FROM events WHERE event_id % 5 = 0)
+SELECT least(x, y) AS lo, greatest(x, y) AS hi, CAST(1 AS BIGINT) AS n, true AS two_sided FROM e WHERE x <> y GROUP BY ALL""")
+def odd_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of a graph with odd cycles: each edge in one block, no side on both sides of one."""
+    events = table(spark, sf_dir, "events")
+    x = F.col("user_id") % 40
+    edges = events.select(x.alias("x"), (40 + F.col("event_id") % 37).alias("y")).union(events.where("event_id % 5 = 0").select(x, (x + 1 + F.col("event_id") % 3) % 40)).where("x <> y").distinct()
+    edges = Written(edges, "edges").df
+    components = connected_components(edges, "x", "y").select(F.col("node").alias("side"), "component")
+    found = Written(bipartite.block_edges(edges, components), "blocks").df
+    lefts = found.select("component", "block", F.col("l_side").alias("r_side")).distinct().withColumn("clash", F.lit(True))
+    rows = found.join(lefts, ["component", "block", "r_side"], "left")
+    return rows.groupBy(F.least("l_side", "r_side").alias("lo"), F.greatest("l_side", "r_side").alias("hi")).agg(F.count("*").alias("n"), F.bool_and(F.col("clash").isNull()).alias("two_sided"))
+
+
+@query(f"""WITH RECURSIVE {synth.views('J')}, {_SIDES}, reach AS (SELECT side, side AS other FROM both_ways UNION SELECT r.side, b.other FROM reach r JOIN both_ways b ON b.side = r.other), low AS (SELECT side, min(other) AS component FROM reach GROUP BY side)
+SELECT component, count(*) AS edges_covered, CAST(0 AS BIGINT) AS uncovered, CAST(0 AS BIGINT) AS non_edges, true AS at_most_edges FROM e JOIN low ON side = x GROUP BY component""")
+def biclique_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cover of J's blocks holds all edges and nothing else, in no more groups than edges."""
+    edges, components = _sides_of(spark, sf_dir)
+    cover = biclique.biclique_cover(bipartite.block_edges(edges, components))
+    pairs = cover.select("component", "block", "biclique", F.least("l_side", "r_side").alias("p"), F.greatest("l_side", "r_side").alias("q"))
+    known = edges.join(components, F.col("x") == F.col("side")).select(F.col("component").alias("c"), F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q"), F.lit(True).alias("edge"))
+    rows = pairs.groupBy("component", "p", "q").agg(F.lit(True).alias("covered")).join(known, ["p", "q"], "full")
+    counts = rows.groupBy(F.coalesce("component", "c").alias("component")).agg(F.count_if(F.col("edge") & F.col("covered")).alias("edges_covered"), F.count_if(F.col("covered").isNull()).alias("uncovered"), F.count_if(F.col("edge").isNull()).alias("non_edges"))
+    groups = cover.groupBy("component").agg(F.count_distinct("block", "biclique").alias("n"))
+    return counts.join(groups, "component").select("component", "edges_covered", "uncovered", "non_edges", (F.col("n") <= F.col("edges_covered")).alias("at_most_edges"))
+
+
+def _kernel(df: DataFrame, group: str, f: Callable[[list[tuple[int, int]]], int], name: str) -> DataFrame:
+    """(group, name): a number that a kernel makes of each group's edges (l_side, r_side)."""
+    import pyarrow as pa
+
+    def solve(rows: pa.Table) -> pa.Table:
+        data = rows.to_pydict()
+        return pa.table({group: pa.array(data[group][:1], pa.int64()), name: pa.array([f(list(zip(data["l_side"], data["r_side"], strict=True)))], pa.int64())})
+
+    return df.groupBy(group).applyInArrow(solve, f"{group} bigint, {name} bigint")
+
+
+@query(f"""WITH RECURSIVE {synth.views('J')}, {_SIDES}, reach AS (SELECT side, side AS other FROM both_ways UNION SELECT r.side, b.other FROM reach r JOIN both_ways b ON b.side = r.other)
+SELECT component, true AS no_more FROM (SELECT side, min(other) AS component FROM reach GROUP BY side) AS low GROUP BY component""")
+def cover_exact_vs_heuristic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chosen cover is never larger than the heuristic one."""
+    blocks_ = Written(bipartite.block_edges(*_sides_of(spark, sf_dir)), "blocks").df
+
+    def saved(edges: list[tuple[int, int]]) -> int:
+        lefts, rights = sorted({a for a, _ in edges}), sorted({b for _, b in edges})
+        rows = [0] * len(lefts)
+        for a, b in edges:
+            rows[lefts.index(a)] |= 1 << rights.index(b)
+        return len(biclique.heuristic_cover(rows, len(rights))) - len(biclique.cover(rows, len(rights)))
+
+    return _kernel(blocks_, "component", saved, "saved").select("component", (F.col("saved") >= 0).alias("no_more"))
+
+
+@query(f"""WITH RECURSIVE {synth.views('J')}, {_SIDES}, reach AS (SELECT side, side AS other FROM both_ways UNION SELECT r.side, b.other FROM reach r JOIN both_ways b ON b.side = r.other)
+SELECT component, CAST(0 AS BIGINT) AS conflicts FROM (SELECT side, min(other) AS component FROM reach GROUP BY side) AS low GROUP BY component""")
+def vertex_colouring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Colours of the complement of each block: no two neighbours alike."""
+    blocks_ = Written(bipartite.block_edges(*_sides_of(spark, sf_dir)), "blocks").df
+
+    def conflicts(edges: list[tuple[int, int]]) -> int:
+        sides = sorted({x for e in edges for x in e})
+        at = {x: k for k, x in enumerate(sides)}
+        adj = [((1 << len(sides)) - 1) & ~(1 << k) for k in range(len(sides))]
+        for a, b in edges:
+            adj[at[a]] &= ~(1 << at[b])
+            adj[at[b]] &= ~(1 << at[a])
+        found = colouring.colours(adj)
+        return sum(found[a] == found[b] for a in range(len(adj)) for b in colouring.bits(adj[a]))
+
+    return _kernel(blocks_, "component", conflicts, "conflicts")
+
+
+# Termini
+
+
+def _ends(spark: SparkSession, sf_dir: str, name: str) -> tuple[gfa.Graph, DataFrame, DataFrame]:
+    g = synth.graph(spark, sf_dir, name)
+    links = Written(g.links, "links").df
+    grouped = Written(termini.group_links(blunt.covered_groups(links), links), "groups").df
+    return gfa.Graph(g.segments, links, None), grouped, termini.termini(termini.extents(grouped), g.segments)
+
+
+_ENDS_SQL = "SELECT src AS node, 1 - CAST(src_rev AS INT) AS \"end\", src_len AS len FROM links UNION ALL SELECT dst, CAST(dst_rev AS INT), dst_len FROM links"
+
+
+@query(f"WITH {synth.views('V')}, x AS ({_ENDS_SQL}) SELECT node, \"end\", max(len) AS longest, min(len) AS shortest FROM x GROUP BY ALL")
+def overlap_extents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest and the shortest extent of each node end over its groups."""
+    _, _, ends = _ends(spark, sf_dir, "V")
+    return ends.groupBy("node", "end").agg(F.max("len").alias("longest"), F.min("len").alias("shortest"))
+
+
+@query(f"WITH {synth.views('V')} SELECT link_id, src AS node, 1 AS n FROM links UNION ALL SELECT link_id, dst, 1 FROM links WHERE src <> dst")
+def splice_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, grouped, _ = _ends(spark, sf_dir, "V")
+    links = synth.graph(spark, sf_dir, "V").links.join(grouped.select("link_id", "biclique_id"), "link_id")
+    return L.splice_sites(links).groupBy("link_id", "node").agg(F.count("*").cast("int").alias("n"))
+
+
+@query(f"WITH {synth.views('T3')}, x AS ({_ENDS_SQL}) SELECT node, \"end\", len, 1 AS rank FROM x")
+def sorted_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In a chain every end has one overlap."""
+    _, grouped, _ = _ends(spark, sf_dir, "T3")
+    found = termini.sorted_overlaps(grouped)
+    return found.select(F.expr("side div 2").alias("node"), (1 - F.col("side") % 2).cast("int").alias("end"), "len", "rank")
+
+
+@query(f"WITH {V_STEPS.split('WITH', 1)[1]} SELECT link_id, cigar = '32=' AS plain, 'short' AS tier FROM explicit")
+def group_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each link's overlap is exact and how long its group's overlaps are."""
+    g, grouped, ends = _ends(spark, sf_dir, "V")
+    tiers = termini.group_classes(grouped, Written(ends, "ends").df)
+    alone = grouped.withColumn("biclique_id", F.col("link_id").cast("string"))
+    single = termini.group_classes(alone, termini.termini(termini.extents(alone), g.segments))
+    return grouped.join(tiers, "biclique_id").select("link_id", "tier").join(single.select(F.col("biclique_id").cast("long").alias("link_id"), F.col("exact").alias("plain")), "link_id").select("link_id", "plain", "tier")
+
+
+@query(f"""WITH {synth.views('T3')} SELECT node_id AS node, CAST(64 AS BIGINT) AS left_max, CAST(64 AS BIGINT) AS right_max FROM segments WHERE node_id IN (SELECT src FROM links) AND node_id IN (SELECT dst FROM links)""")
+def overlapping_overlap_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, _, ends = _ends(spark, sf_dir, "T3")
+    return termini.overlapping_nodes(ends)
+
+
+@query(f"""WITH {synth.views('T3')} SELECT node_id AS node, CAST(0 AS BIGINT) AS start, CAST(64 AS BIGINT) AS stop, left(sequence, 64) AS sequence FROM segments WHERE node_id IN (SELECT dst FROM links)
+UNION ALL SELECT node_id, 32, 96, right(sequence, 64) FROM segments WHERE node_id IN (SELECT src FROM links)""")
+def node_termini(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, _, ends = _ends(spark, sf_dir, "T3")
+    return ends.select("node", "start", "stop", F.when(F.col("rev"), sequence.revcomp("read")).otherwise(F.col("read")).alias("sequence"))
+
+
+@query(f"""WITH {synth.views('J')} SELECT node_id AS node, CAST(CASE WHEN name LIKE 's%' AND node_id IN (SELECT dst FROM links) THEN 32 ELSE 0 END AS BIGINT) AS start,
+CAST(CASE WHEN name LIKE 'p%' AND node_id IN (SELECT src FROM links) THEN 32 ELSE 64 END AS BIGINT) AS stop FROM segments""")
+def backbone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g, _, ends = _ends(spark, sf_dir, "J")
+    return termini.backbone(g.segments, ends).select("node", "start", "stop")
+
+
+@query(f"""WITH {synth.views('T3')}, n AS (SELECT node_id AS node FROM segments WHERE node_id IN (SELECT src FROM links) AND node_id IN (SELECT dst FROM links)) SELECT node, CAST(64 AS BIGINT) AS s, CAST(32 AS BIGINT) AS x FROM n""")
+def splice_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, _, ends = _ends(spark, sf_dir, "T3")
+    return splice.crossing(ends).select("node", "s", "x")
+
+
+@query(f"WITH {synth.views('J')} SELECT link_id, right(sequence, 32) AS sequence FROM links JOIN segments ON node_id = src")
+def exact_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shared sequence that each overlap of J is resolved to."""
+    _, grouped, ends = _ends(spark, sf_dir, "J")
+    ends = Written(ends, "ends").df
+    steps = splice.exact_steps(ends, termini.group_classes(grouped, ends))
+    shared = steps.groupBy("biclique_id").agg(F.min("seq").alias("sequence"))
+    return grouped.join(shared, "biclique_id").select("link_id", "sequence")
+
+
+@query(f"WITH {synth.views('V')}, x AS ({_ENDS_SQL}), t AS (SELECT node, \"end\", max(len) AS len FROM x GROUP BY ALL) SELECT node, \"end\", CASE WHEN \"end\" = 0 THEN left(sequence, CAST(len AS INT)) ELSE right(sequence, CAST(len AS INT)) END AS sequence FROM t JOIN segments ON node_id = node")
+def poa_spells_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Aligned or not, every member's path spells its terminus."""
+    _, grouped, ends = _ends(spark, sf_dir, "V")
+    ends = Written(ends, "ends").df
+    classes = termini.group_classes(grouped, ends)
+    steps = splice.exact_steps(ends, classes).union(splice.aligned_steps(ends, classes))
+    path = steps.groupBy("biclique_id", "side").agg(F.array_sort(F.collect_list(F.struct("ord", "seq"))).alias("s"))
+    read = F.array_join(F.transform("s", lambda x: x["seq"]), "")
+    rows = ends.join(path, ["biclique_id", "side"]).select("node", "end", F.when(F.col("rev"), sequence.revcomp(read)).otherwise(read).alias("sequence"))
+    return rows.groupBy("node", "end").agg(F.max_by("sequence", F.length("sequence")).alias("sequence"))
+
+
+@query("""WITH r AS (SELECT c_nationkey AS grp, c_name AS name, substr(md5(c_name), 1, 12) AS m FROM customer), a AS (SELECT grp, name, replace(replace(translate(m, '456789abcdef', 'ACGTACGTAC--'), '0', 'A'), '1', 'C') AS s FROM r), b AS (SELECT grp, name, replace(replace(s, '2', 'G'), '3', 'T') AS s FROM a),
+c AS (SELECT grp, name, i AS col, substr(s, CAST(i + 1 AS INT), 1) AS base FROM b CROSS JOIN (SELECT unnest(range(12)) AS i) AS n) SELECT grp, CAST(col AS INT) AS col, base FROM c WHERE base <> '-' GROUP BY ALL""")
+def msa_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the graph of aligned rows."""
+    rows = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("grp"), F.col("c_name").alias("name"), F.translate(F.left(F.md5(F.col("c_name").cast("binary")), F.lit(12)), "0123456789abcdef", "ACGTACGTACGTAC--").alias("row"))
+    return splice.msa_graph(rows)[0]
+
+
+# Blunting
+
+
+@lru_cache(maxsize=8)
+def _blunted(spark: SparkSession, sf_dir: str, name: str) -> blunt.Blunted:
+    """A graph's blunted form, written once for the queries that look at it."""
+    g = synth.graph(spark, sf_dir, name)
+    return blunt.blunt(Written(g.segments, "segments").df, Written(g.links, "links").df)
+
+
+def _spelled(name: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        b = _blunted(spark, sf_dir, name)
+        return validate.spelled(b.steps, b.links, b.segments, b.parents)
+
+    QUERIES[f"blunt_spelled_{name.lower()}"] = run
+    ORACLES[f"blunt_spelled_{name.lower()}"] = f"WITH {synth.views(name)} SELECT name, sequence FROM segments"
+
+
+def _two_hops(name: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        b = _blunted(spark, sf_dir, name)
+        return validate.two_hops(b.steps, b.links, b.groups)
+
+    QUERIES[f"blunt_two_hop_{name.lower()}"] = run
+    ORACLES[f"blunt_two_hop_{name.lower()}"] = f"WITH {synth.views(name)} SELECT p.dst AS node, p.link_id AS \"first\", q.link_id AS \"second\" FROM links p JOIN links q ON q.src = p.dst"
+
+
+for _name in synth.SQL:
+    _spelled(_name)
+for _name in ("T", "T3"):
+    _two_hops(_name)
+
+
+def _everywhere(count: Callable[[blunt.Blunted], DataFrame]) -> Query:
+    """(graph, n): how many rows a check gives for each graph."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = [count(_blunted(spark, sf_dir, n)).agg(F.count("*").alias("n")).select(F.lit(n).alias("graph"), "n") for n in synth.SQL]
+        return reduce(DataFrame.union, found)
+
+    return run
+
+
+NOTHING = " UNION ALL ".join(f"SELECT '{n}' AS graph, CAST(0 AS BIGINT) AS n" for n in synth.SQL)
+for _key, _check in {
+    "blunt_no_new_adjacency": lambda b: validate.new_adjacencies(b.steps, b.groups),
+    "blunt_links_kept": lambda b: validate.lost_links(b.steps, b.groups),
+    "validate_blunt": lambda b: validate.not_blunt(b.links),
+    "validate_consistent": lambda b: validate.inconsistent(b.segments, b.provenance(), b.parents),
+    "validate_covered": lambda b: validate.not_covered(b.provenance(), b.parents),
+}.items():
+    QUERIES[_key], ORACLES[_key] = _everywhere(_check), NOTHING
+
+
+@query(f"WITH {synth.views('T')} SELECT name AS parent, CAST(0 AS BIGINT) AS start, CAST(length(sequence) AS BIGINT) AS stop FROM segments")
+def provenance_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Provenance of T, written, read again and merged."""
+    lines = provenance.provenance_lines(_blunted(spark, sf_dir, "T").provenance())
+    return validate.merged_intervals(provenance.parse_provenance(lines))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Overlap lengths of every link next to the segments they join."""
-    g = synth.graph(spark, sf_dir, "V")
-    return cigar_lengths(spark, sf_dir).join(gfa.named_links(g.segments, g.links).select("link_id", "src_name", "dst_name"), "link_id")
+    """What the blunted form of J, walked from end to end, spells for every input segment."""
+    return QUERIES["blunt_spelled_j"](spark, sf_dir)
