@@ -75,3 +75,15 @@ def ship_bytes(spark: SparkSession, data: bytes) -> str:
         write_bytes(spark, path := f"{shared_dir(spark)}/braidwork/files/{name}", data)
         spark.sparkContext.addFile(path)
     return name
+
+
+#: Rows and bytes of a batch that goes to a Python worker, so that long texts don't fill its memory.
+BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df, with the session's Arrow batches no larger than the bounds above."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(min(BATCH_ROWS, int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) or BATCH_ROWS)))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
