@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from braidwork.llm.quality import BLOCK_BYTES
+from braidwork.shared import bounded_batches
 
 CORE, CONTEXT = 224, 16
 SPAN = CORE + 2 * CONTEXT
@@ -276,4 +277,4 @@ def identify(docs: DataFrame, teachers: DataFrame, key: str = "doc_id", text: st
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["key", "lang_pred", "score"])
 
     schema = T.StructType([T.StructField("key", docs.schema[key].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, schema).withColumnRenamed("key", key)
+    return bounded_batches(docs.select(F.col(key).alias("key"), F.col(text).alias("text"))).mapInArrow(run, schema).withColumnRenamed("key", key)

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from braidwork.shared import Written, fresh_path
+from braidwork.shared import Written, bounded_batches, fresh_path
 
 LINE = 576
 PAD = b"\xff"  # never part of UTF-8
@@ -133,7 +133,7 @@ def store(docs: DataFrame, key: str = "doc_id", text: str = "text", folder: str
         if archive is not None:
             yield pa.RecordBatch.from_pydict({"archive": [name], "bytes": pa.array([fs.get_file_info(f"{base}/{name}").size], pa.int64()), "members": pa.array([n], pa.int64())})
 
-    done = docs.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text")).mapInArrow(write, "archive string, bytes bigint, members bigint")
+    done = bounded_batches(docs.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"))).mapInArrow(write, "archive string, bytes bigint, members bigint")
     return folder, Written(done, "manifest").path
 
 

@@ -30,7 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BLOCK_BYTES = 4 << 20
+from braidwork.shared import bounded_batches
+
+BLOCK_BYTES = 2 << 20
 UPPER, LOWER, DIGIT, SYMBOL, BEYOND, SPACE = range(6)
 
 _KIND = np.full(256, SYMBOL, np.uint8)
@@ -223,10 +225,10 @@ def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [chain.scores(b) for b in blocks(batch.column(0))]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(np.concatenate(found) if found else [], pa.float64())], names=["row", "score"])
+            found = [chain.scores(b) for b in blocks(batch.column(0).field(text))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(found) if found else [], pa.float64())], names=["row", "score"])
 
-    rows = docs.select(F.col(text).alias("text"), F.struct(*docs.columns).alias("row"))
+    rows = bounded_batches(docs.select(F.struct(*docs.columns).alias("row")))
     return rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())]))
 
 

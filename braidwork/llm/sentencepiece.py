@@ -49,11 +49,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from braidwork.shared import Written, ship_bytes
+from braidwork.shared import Written, bounded_batches, ship_bytes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK_CHARS = 16_384
-CACHED_UNITS = 150_000
+CACHED_UNITS = 200_000
 LONGEST_UNIT = 40
 NEVER = 1 << 60
 #: Where no piece holds a line feed, it is a unit by itself.
@@ -238,8 +238,7 @@ class Vocabulary(dict):
         fresh = [u for u in wanted if u not in self]
         if len(self) + len(fresh) > CACHED_UNITS and self:
             fresh = list(wanted)
-            self.clear()
-            self.unit_cost.clear()
+            self.forget()
         by_size: dict[int, list[str]] = {}
         for u in fresh:
             by_size.setdefault(len(u), []).append(u)
@@ -254,6 +253,11 @@ class Vocabulary(dict):
                     else:
                         self[u], self.unit_cost[u] = ids, cost
 
+    def forget(self) -> None:
+        """Drop the solved units; an idle worker needs no memory for them."""
+        self.clear()
+        self.unit_cost.clear()
+
     def _solve(self, unit: str) -> None:
         reached = self.best(unit, [0], len(unit))
         _, pieces = self.trace(unit, [0], reached, len(unit))
@@ -378,7 +382,7 @@ def id_lists(packed: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values))
 
 
-BLOCK_CHARS = 2 << 20
+BLOCK_CHARS = 4 << 20
 
 
 def _encode_short(name: str):
@@ -393,6 +397,7 @@ def _encode_short(name: str):
                 if size > BLOCK_CHARS or k + 1 == batch.num_rows:
                     yield pa.RecordBatch.from_arrays([batch.column(1).slice(at, len(texts)), id_lists(v.encode_all(texts))], names=["row", "ids"])
                     at, texts, size = k + 1, [], 0
+        v.forget()
 
     return run
 
@@ -422,12 +427,13 @@ def _records(name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(name)
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                rows = batch.slice(at, 64)
+            for at in range(0, batch.num_rows, 256):
+                rows = batch.slice(at, 256)
                 chunks = [Chunk(v, t, n) for t, n in zip(rows.column(2).to_pylist(), rows.column(3).to_pylist(), strict=True)]
                 v.learn(chain.from_iterable(c.middle for c in chunks))
                 made = pa.RecordBatch.from_pylist([c.record() for c in chunks], RECORD)
                 yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *made.columns, rows.column(4)], names=["key", "no", *RECORD.names, "row"])
+        v.forget()
 
     return run
 
@@ -520,7 +526,7 @@ def encode_long(rows: DataFrame, name: str, longest: int, chunk_chars: int) -> D
 def encode(docs: DataFrame, text: str = "text", model: str = MODEL, chunk_chars: int = CHUNK_CHARS, keep: list[str] | None = None) -> DataFrame:
     """(row, ids): row holds the columns named in keep, all by default."""
     name = ship(docs.sparkSession, model)
-    rows = docs.select(F.col(text).alias("text"), F.struct(*(keep or docs.columns)).alias("row"))
+    rows = bounded_batches(docs.select(F.col(text).alias("text"), F.struct(*(keep or docs.columns)).alias("row")))
     out = T.StructType([rows.schema["row"], T.StructField("ids", T.ArrayType(T.IntegerType()))])
     giant = F.coalesce(F.length("text"), F.lit(0)) >= chunk_chars
     short = rows.where(~giant).mapInArrow(_encode_short(name), out)
@@ -534,7 +540,7 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(name)
         for batch in batches:
-            texts = [v.decode(ids.values.to_pylist()) for ids in batch.column(1)]
+            texts = [v.decode(np.asarray(ids.values).tolist()) for ids in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["row", "ids", "text"])
 
     return encoded.select("row", "ids").mapInArrow(run, T.StructType([*encoded.select("row", "ids").schema, T.StructField("text", T.StringType())]))
@@ -549,10 +555,10 @@ def digests(encoded: DataFrame, model: str = MODEL) -> DataFrame:
         for batch in batches:
             n, ids_sha, text_sha = [], [], []
             for ids in batch.column(1):
-                values = ids.values
+                values = np.asarray(ids.values).astype("<i4", copy=False)
                 n.append(len(values))
-                ids_sha.append(hashlib.sha256(np.asarray(values).astype("<i4").tobytes()).hexdigest())
-                text_sha.append(hashlib.sha256(v.decode(values.to_pylist()).encode()).hexdigest())
+                ids_sha.append(hashlib.sha256(values.tobytes()).hexdigest())
+                text_sha.append(hashlib.sha256(v.decode(values.tolist()).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["row", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from braidwork.operators.components import connected_components
-from braidwork.shared import Written
+from braidwork.shared import Written, bounded_batches
 
 BITS = 64
 SHINGLES_AT_ONCE = 1 << 15
@@ -78,7 +78,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width
             fps = np.fromiter((fingerprint(t, width) for t in as_bytes(batch.column(1))), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["key", "fp"])
 
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    rows = bounded_batches(docs.select(F.col(key).alias("key"), F.col(text).alias("text")))
     return rows.mapInArrow(run, T.StructType([rows.schema["key"], T.StructField("fp", T.LongType())]))
 
 

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from braidwork.shared import Written
+from braidwork.shared import Written, bounded_batches
 
 KEY_BYTES = 12
 FLUSH_BYTES = 40 << 20
@@ -287,7 +287,7 @@ def repeated_spans(texts: DataFrame, width: int = 35, minimiser: int = 3, slots:
     texts: one string column.  hot_units: units of a slot from which its windows travel one by one,
     or four times the mean slot if that is more.
     """
-    counted = texts.mapInArrow(_count_slots(width, minimiser, slots), "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
+    counted = bounded_batches(texts).mapInArrow(_count_slots(width, minimiser, slots), "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
     per_slot = {r.slot: r.n for r in counted.collect()}  # at most `slots` rows
     units = sum(per_slot.values())
     most = max(hot_units, 4 * units // slots)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from braidwork.shared import ship_bytes
+from braidwork.shared import bounded_batches, ship_bytes
 
 #: The rules that come before the method's own list.
 BASE_RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
@@ -138,5 +138,5 @@ def filter_urls(pages: DataFrame, key: str = "page_id", url: str = "url", rules:
             hosts, paths = [h for h, _ in split], [p for _, p in split]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.string()) for x in (hosts, paths, rule, verdict))], names=schema.names)
 
-    out = pages.select(F.col(key).alias("key"), F.col(url).alias("url")).mapInArrow(judge, schema)
+    out = bounded_batches(pages.select(F.col(key).alias("key"), F.col(url).alias("url"))).mapInArrow(judge, schema)
     return out.withColumnRenamed("key", key)
