@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from braidwork.operators.colouring import EXACT, bits, colours
+from braidwork.shared import Written
 
 Group = tuple[int, int]
 #: Beyond so many edges the dual graph, or concepts the lattice, isn't built.
@@ -286,7 +287,10 @@ def cover_edges(edges: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
 
 
 def biclique_cover(block_edges: DataFrame) -> DataFrame:
-    """(component, block, biclique, l_side, r_side): every pair of every group; a block is one task's group."""
+    """(component, block, biclique, l_side, r_side): every pair of every group.
+
+    A block whose sides are all linked is one group; only others go to Python, each as one task's group.
+    """
 
     def solve(rows: pa.Table) -> pa.Table:
         data = rows.to_pydict()
@@ -294,7 +298,11 @@ def biclique_cover(block_edges: DataFrame) -> DataFrame:
         kinds = (("component", pa.int64()), ("block", pa.int32()), ("biclique", pa.int32()), ("l_side", pa.int64()), ("r_side", pa.int64()))
         return pa.table({n: pa.array([r[i] for r in flat], kind) for i, (n, kind) in enumerate(kinds)})
 
-    return block_edges.groupBy("component", "block").applyInArrow(solve, "component bigint, block int, biclique int, l_side bigint, r_side bigint")
+    pairs = block_edges.distinct()
+    counts = pairs.groupBy("component", "block").agg((F.count("*") == F.size(F.collect_set("l_side")) * F.size(F.collect_set("r_side"))).alias("full"))
+    known = Written(pairs.join(counts, ["component", "block"]), "blocks").df
+    full = known.where("full").select("component", "block", F.lit(0).alias("biclique"), "l_side", "r_side")
+    return full.union(known.where("not full").drop("full").groupBy("component", "block").applyInArrow(solve, "component bigint, block int, biclique int, l_side bigint, r_side bigint"))
 
 
 def assigned(cover: DataFrame) -> DataFrame:

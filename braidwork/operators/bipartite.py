@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from braidwork.shared import Written
+
 #: Up to so many sides the best cut is found by going through all.
 EXHAUSTIVE = 8
 
@@ -144,7 +146,7 @@ def blocks(edges: list[Edge]) -> list[list[Edge]]:
 
 
 def block_edges(edges: DataFrame, components: DataFrame) -> DataFrame:
-    """(component, block, l_side, r_side) of side edges (x, y); a component is one group."""
+    """(component, block, l_side, r_side) of side edges (x, y); a component of several edges is one group, one of a single edge needs none."""
 
     def solve(rows: pa.Table) -> pa.Table:
         data = rows.to_pydict()
@@ -153,7 +155,9 @@ def block_edges(edges: DataFrame, components: DataFrame) -> DataFrame:
         return pa.table({n: pa.array([r[i] for r in flat], kind) for i, (n, kind) in enumerate((("component", pa.int64()), ("block", pa.int32()), ("l_side", pa.int64()), ("r_side", pa.int64())))})
 
     placed = edges.join(components, F.col("x") == F.col("side")).select("component", "x", "y")
-    return placed.groupBy("component").applyInArrow(solve, "component bigint, block int, l_side bigint, r_side bigint")
+    sizes = Written(placed.join(placed.groupBy("component").agg(F.count("*").alias("n")), "component"), "sizes").df
+    single = sizes.where("n = 1").select("component", F.lit(0).alias("block"), F.least("x", "y").alias("l_side"), F.greatest("x", "y").alias("r_side"))
+    return single.union(sizes.where("n > 1").groupBy("component").applyInArrow(solve, "component bigint, block int, l_side bigint, r_side bigint"))
 
 
 def bipartite_components(edges: DataFrame, components: DataFrame) -> DataFrame:

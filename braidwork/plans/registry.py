@@ -550,7 +550,8 @@ def exact_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     ends = Written(ends, "ends").df
     steps = splice.exact_steps(ends, termini.group_classes(grouped, ends))
     shared = steps.groupBy("biclique_id").agg(F.min("seq").alias("sequence"))
-    return grouped.join(shared, "biclique_id").select("link_id", "sequence")
+    turned = F.when(F.col("l_side") % 2 == 1, sequence.revcomp("sequence")).otherwise(F.col("sequence"))  # the group may read J's links from their sinks
+    return grouped.join(shared, "biclique_id").select("link_id", turned.alias("sequence"))
 
 
 @query(f"WITH {synth.views('V')}, x AS ({_ENDS_SQL}), t AS (SELECT node, \"end\", max(len) AS len FROM x GROUP BY ALL) SELECT node, \"end\", CASE WHEN \"end\" = 0 THEN left(sequence, CAST(len AS INT)) ELSE right(sequence, CAST(len AS INT)) END AS sequence FROM t JOIN segments ON node_id = node")
