@@ -111,8 +111,8 @@ class Prefixes:
     def solve(self, units: list[str], size: int) -> tuple[list[int], list[bytes | None]]:
         """(costs, ids) of the best paths; None for a unit that needs bytes.
 
-        A substring is known by its 64-bit hash; learn() spells what comes out,
-        so that a chance collision can't pass.
+        A substring is known by its 64-bit hash; what is put together from units
+        is spelled and compared, so that a chance collision can't pass.
         """
         n = len(units)
         letters = np.frombuffer("".join(units).encode("utf-32-le"), "<u4").reshape(n, size).astype(np.uint64).T
@@ -247,11 +247,12 @@ class Vocabulary(dict):
                 for u in some:
                     self._solve(u)
             else:
-                for u, cost, ids in zip(some, *self.table.solve(some, size), strict=True):
-                    if ids is None or self.spell(np.frombuffer(ids, "<i4").tolist()) != u.encode():
+                costs, ids = self.table.solve(some, size)
+                self.unit_cost.update(zip(some, costs, strict=True))
+                self.update(zip(some, ids, strict=True))
+                for u, i in zip(some, ids, strict=True):
+                    if i is None:
                         self._solve(u)
-                    else:
-                        self[u], self.unit_cost[u] = ids, cost
 
     def forget(self) -> None:
         """Drop the solved units; an idle worker needs no memory for them."""
@@ -274,7 +275,15 @@ class Vocabulary(dict):
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         units = [self.unit.findall(" " + t) if t else [] for t in texts]
         self.learn(chain.from_iterable(units))
-        return [b"".join(map(self.__getitem__, u)) for u in units]
+        return [self.joined(u, " " + t) if t else b"" for u, t in zip(units, texts, strict=True)]
+
+    def joined(self, units: list[str], whole: str) -> bytes:
+        """Ids of a text's units, which have to spell it."""
+        found = b"".join(map(self.__getitem__, units))
+        if self.spell(np.frombuffer(found, "<i4").tolist()) != whole.encode():
+            reached = self.best(whole, [0], len(whole))
+            found = self.packed(self.trace(whole, [0], reached, len(whole))[1])
+        return found
 
     def decode(self, ids: Iterable[int]) -> str:
         return self.spell(ids).decode()[1:]
@@ -320,7 +329,7 @@ class Chunk:
         right = self._exits(reached, self.last)
         tails = [v.packed(v.trace(rest, [0], reached, self.n - self.last + j, self.n - self.last)[1]) if c < NEVER else b"" for j, c in enumerate(right)]
         costs = np.array(left + [min(middle + c, NEVER) for c in right], "<i8").tobytes()
-        return {"text": self.text[: self.first], "n": self.first, "cut": True, "costs": costs, "head": b"".join(map(v.__getitem__, self.middle)), "tails": tails}
+        return {"text": self.text[: self.first], "n": self.first, "cut": True, "costs": costs, "head": v.joined(self.middle, self.text[self.first : self.last]), "tails": tails}
 
 
 def matrix(costs: bytes, states: int) -> np.ndarray:
