@@ -6,8 +6,10 @@ unset (local tests) a folder of this machine is chosen.
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -19,7 +21,9 @@ def shared_dir(spark: SparkSession) -> str:
     """URI of the shared folder; set for the session where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = f"file://{tempfile.gettempdir()}/braidwork-{spark.sparkContext.applicationId}"
+        local = f"{tempfile.gettempdir()}/braidwork-{spark.sparkContext.applicationId}"
+        atexit.register(shutil.rmtree, local, ignore_errors=True)
+        found = f"file://{local}"
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
