@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidwork.llm import mixing, quality, sentencepiece, simhash, substring
+from braidwork.llm import mixing, nearcopies, quality, sentencepiece, substring
 from braidwork.shared import Written, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -24,8 +24,8 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate group the document with the smallest id."""
-    return simhash.keep_one(docs)
+    """Of each group of documents whose five-word shingles are at least 0.8 alike the one with the smallest id."""
+    return nearcopies.keep_one(docs)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
