@@ -332,6 +332,14 @@ def source_sink_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traversal.source_sink_paths(g.segments.where("node_id < 200"), g.links.where("src < 200 and dst < 200"))
 
 
+@query(f"""WITH {synth.views('J')}
+SELECT CAST(src AS VARCHAR) || '+,' || CAST(dst AS VARCHAR) || '+' AS path FROM links UNION ALL SELECT CAST(node_id AS VARCHAR) || '+' FROM segments WHERE node_id NOT IN (SELECT src FROM links) AND node_id NOT IN (SELECT dst FROM links)""")
+def source_sink_paths_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Walks from heads to tails of J."""
+    g = synth.graph(spark, sf_dir, "J")
+    return traversal.source_sink_paths(g.segments, g.links)
+
+
 @query(f"WITH {synth.views('J')} SELECT node_id, sequence FROM segments UNION ALL SELECT node_id + (SELECT max(node_id) FROM segments), sequence FROM segments")
 def append_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = synth.graph(spark, sf_dir, "J")
