@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from braidwork.functions.sequence import revcomp
 from braidwork.operators.components import connected_components
 from braidwork.operators.links import all_sides, both_ways, flipped, handle, side_edges
-from braidwork.shared import Written
+from braidwork.shared import Written, fresh_path
 
 
 def adjacency_components(segments: DataFrame, links: DataFrame) -> DataFrame:
@@ -124,24 +124,27 @@ def topological_order(segments: DataFrame, links: DataFrame) -> DataFrame:
     return done.join(flips, "node_id").select("node_id", "rev", "level")
 
 
-def source_sink_paths(segments: DataFrame, links: DataFrame, most_steps: int = 64) -> DataFrame:
-    """(path): "1+,2-" for every walk from a head to a tail that repeats no oriented node; for small graphs."""
+def source_sink_paths(segments: DataFrame, links: DataFrame) -> DataFrame:
+    """(path): "1+,2-" for every walk from a head to a tail that repeats no oriented node, however long.
+
+    No walk repeats a node, so the rounds end; each takes one step of all walks.
+    """
     arcs = links.select(handle("src", "src_rev").alias("h"), handle("dst", "dst_rev").alias("n"))
     arcs = Written(arcs.union(arcs.select(flipped("n"), flipped("h"))).distinct(), "arcs").df
     handles = all_sides(segments).withColumnRenamed("side", "h")
     heads = handles.join(arcs.select(F.col("n").alias("h")), "h", "left_anti").where("h % 2 = 0")
-    walks = heads.select(F.array("h").alias("steps"))
-    ends = []
-    for _ in range(most_steps):
-        now = walks.withColumn("h", F.element_at("steps", -1))
-        ends.append(now.join(arcs.select("h"), "h", "left_anti").select("steps"))
+    tails = Written(handles.join(arcs.select("h"), "h", "left_anti"), "tails").df
+    walks = Written(heads.select(F.array("h").alias("steps")), "walks")
+    ends = fresh_path(segments.sparkSession, "ends")
+    while True:
+        now = walks.df.withColumn("h", F.element_at("steps", -1))
+        now.join(tails, "h", "left_semi").select("steps").write.mode("append").parquet(ends)
         on = now.join(arcs, "h").where(~F.array_contains("steps", F.col("n")))
-        walks = Written(on.select(F.concat("steps", F.array("n")).alias("steps")), "walks").df
-        if not walks.limit(1).count():
+        was, walks = walks, Written(on.select(F.concat("steps", F.array("n")).alias("steps")), "walks")
+        was.drop()
+        if walks.df.isEmpty():
             break
-    found = ends[0]
-    for e in ends[1:]:
-        found = found.union(e)
+    found = segments.sparkSession.read.schema(walks.df.schema).parquet(ends)
     step = lambda h: F.concat(F.floor(h / 2).cast("long").cast("string"), F.when(h % 2 == 1, "-").otherwise("+"))
     return found.select(F.array_join(F.transform("steps", step), ",").alias("path"))
 

@@ -1,8 +1,16 @@
 """Walks from heads to tails, whole and of any length."""
 
+from braidwork.operators import traversal
 from braidwork.plans import registry, synth
 
 
+def test_walks_of_any_length(spark):
+    n = 67
+    segments = spark.createDataFrame([(k, f"n{k}", "A") for k in range(1, n + 1)], "node_id long, name string, sequence string")
+    links = spark.createDataFrame([(k, k, False, k + 1, False) for k in range(1, n)], "link_id long, src long, src_rev boolean, dst long, dst_rev boolean")
+    assert [r.path for r in traversal.source_sink_paths(segments, links).collect()] == [",".join(f"{k}+" for k in range(1, n + 1))]
+
+
 def test_walks_of_the_whole_graph(spark):
     sf = "/root/testdata/sf0.001"
     got = {r.path for r in registry.QUERIES["source_sink_paths_whole"](spark, sf).collect()}
