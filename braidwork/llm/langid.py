@@ -6,8 +6,8 @@ byte a distribution over the languages.  A document's distribution is the mean
 over all its bytes.
 
 It is written and trained in numpy: back-propagation through time, Adam, a
-fixed seed.  It learns from a bounded sample: of each of the ``MOST_LANGUAGES``
-most frequent languages, ``per_language`` documents, the first by a hash of
+fixed seed.  It learns from a bounded sample: of each language
+``per_language`` documents, the first by a hash of
 their key, of which ``PIECES`` pieces of ``PIECE`` characters spread over the
 text are taken.  Every document is labelled over its whole text in Arrow
 batches; windows are computed in blocks, so a long text costs no more memory
@@ -40,7 +40,6 @@ PAD = 256
 HIDDEN = 12
 WINDOWS_AT_ONCE = 1024
 PIECES, PIECE = 4, 96
-MOST_LANGUAGES = 64
 LETTER = re.compile(r"[^\W\d_]")
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -231,17 +230,13 @@ def train(pieces: list[tuple[bytes, str]], steps: int = 260, batch: int = 192, r
 def sample(docs: DataFrame, per_language: int) -> list[tuple[bytes, str]]:
     """Pieces of the sampled documents; docs: key, text, lang."""
     known = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0))
-    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
-    if not counts:
-        return []
+    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
     # The hash of a key, as a number from 0 to 1: half as many again as are needed are read, and the first are taken.
     place = F.pmod(F.xxhash64("key"), F.lit(1 << 40)) / float(1 << 40)
-    chosen = F.lit(False)
-    for r in counts:
-        chosen = chosen | ((F.col("lang") == r.lang) & (F.col("place") < 1.5 * per_language / r.n))
+    chosen = F.col("place") < 1.5 * per_language / F.col("n")
     start = lambda k: F.greatest(F.lit(1), F.floor(F.length("text") * (2 * k + 1) / (2 * PIECES)) - PIECE // 2)
     cut = F.array(*(F.substring(F.col("text"), start(k).cast("int"), F.lit(PIECE)) for k in range(PIECES)))
-    rows = known.withColumn("place", place).where(chosen).select("lang", "place", cut.alias("pieces")).collect()
+    rows = known.withColumn("place", place).join(F.broadcast(counts), "lang").where(chosen).select("lang", "place", cut.alias("pieces")).collect()
     taken: dict[str, list] = {}
     for r in sorted(rows, key=lambda r: (r.place, r.pieces)):
         if len(mine := taken.setdefault(r.lang, [])) < per_language:
