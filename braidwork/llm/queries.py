@@ -32,8 +32,9 @@ def op3_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document and whether they decode to its text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("sha"))
-    found = sentencepiece.digests(sentencepiece.encode(docs, keep=["doc_id", "sha"]))
-    return found.select("row.doc_id", "n_tokens", "ids_sha256", "decoded_sha256", (F.col("decoded_sha256") == F.col("row.sha")).alias("round_trip"))
+    found = sentencepiece.encode_and_read(docs, keep=["doc_id", "sha"], form="packed")
+    read = F.sha2(F.col("text").cast("binary"), 256)
+    return found.select("row.doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), read.alias("decoded_sha256"), (read == F.col("row.sha")).alias("round_trip"))
 
 
 def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,12 +18,14 @@ Longer texts are dealt in chunks to all tasks:
 1. a chunk gives its transfer matrix: entry [i, j] is the best score from i
    characters after its start, where a piece of an earlier chunk ends, to j
    characters after its end;
-2. the matrices of a text, streamed in order, are combined by max-plus products
-   into the scores with which each chunk is entered;
+2. max-plus products are associative: the matrices of FAN neighbours are
+   combined into one, level by level, until a text has FAN or fewer; coming
+   down again, each block's entry scores give those of its members;
 3. with these a chunk gives a map from the state it is left in to the state in
-   which the best path enters it; the maps are composed from the last chunk
-   back, which settles every chunk's last state;
-4. every chunk is traced back by itself.
+   which the best path enters it; maps are composed level by level in the same
+   way, which settles every chunk's last state;
+4. every chunk is traced back by itself, wherever it lies; only its ids travel
+   to the text's row.
 
 Costs are negated scores, so "max-plus" is min-plus in the code.
 
@@ -36,7 +38,6 @@ do not clash.  An empty table gives an empty result.
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from collections.abc import Iterable, Iterator
@@ -56,6 +57,8 @@ CHUNK_CHARS = 16_384
 CACHED_UNITS = 200_000
 LONGEST_UNIT = 40
 NEVER = 1 << 60
+#: Neighbouring chunks that one task combines at a level.
+FAN = 8
 #: Where no piece holds a line feed, it is a unit by itself.
 UNIT, LINE_UNIT = re.compile(r" *[^ ]+| +"), re.compile(r"\n| *[^ \n]+| +")
 #: Scores per nat, and the cost of a byte in nats.
@@ -273,17 +276,22 @@ class Vocabulary(dict):
         return self.encode_all([text])[0]
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        return [ids for ids, _ in self.encode_and_read(texts)]
+
+    def encode_and_read(self, texts: list[str | None]) -> list[tuple[bytes, str]]:
+        """Ids of each text, and the text that they spell."""
         units = [self.unit.findall(" " + t) if t else [] for t in texts]
         self.learn(chain.from_iterable(units))
-        return [self.joined(u, " " + t) if t else b"" for u, t in zip(units, texts, strict=True)]
+        return [(found[0], found[1].decode()[1:]) if t and (found := self.joined(u, " " + t)) else (b"", "") for u, t in zip(units, texts, strict=True)]
 
-    def joined(self, units: list[str], whole: str) -> bytes:
-        """Ids of a text's units, which have to spell it."""
+    def joined(self, units: list[str], whole: str) -> tuple[bytes, bytes]:
+        """Ids of a text's units, which have to spell it, and what they spell."""
         found = b"".join(map(self.__getitem__, units))
-        if self.spell(np.frombuffer(found, "<i4").tolist()) != whole.encode():
+        if (read := self.spell(np.frombuffer(found, "<i4").tolist())) != whole.encode():
             reached = self.best(whole, [0], len(whole))
             found = self.packed(self.trace(whole, [0], reached, len(whole))[1])
-        return found
+            read = self.spell(np.frombuffer(found, "<i4").tolist())
+        return found, read
 
     def decode(self, ids: Iterable[int]) -> str:
         return self.spell(ids).decode()[1:]
@@ -329,7 +337,7 @@ class Chunk:
         right = self._exits(reached, self.last)
         tails = [v.packed(v.trace(rest, [0], reached, self.n - self.last + j, self.n - self.last)[1]) if c < NEVER else b"" for j, c in enumerate(right)]
         costs = np.array(left + [min(middle + c, NEVER) for c in right], "<i8").tobytes()
-        return {"text": self.text[: self.first], "n": self.first, "cut": True, "costs": costs, "head": v.joined(self.middle, self.text[self.first : self.last]), "tails": tails}
+        return {"text": self.text[: self.first], "n": self.first, "cut": True, "costs": costs, "head": v.joined(self.middle, self.text[self.first : self.last])[0], "tails": tails}
 
 
 def matrix(costs: bytes, states: int) -> np.ndarray:
@@ -364,6 +372,26 @@ def compose(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.minimum((a[..., :, None] + b).min(axis=-2), NEVER)
 
 
+def product(costs: list[bytes], states: int) -> bytes:
+    """The matrices of neighbours combined into one, in the same form; one with a cut settles what is before it."""
+    found = [np.frombuffer(c, "<i8") for c in costs]
+    while len(found) > 1:
+        found = [_product(a, b, states) for a, b in zip(found[::2], found[1::2], strict=False)] + found[len(found) // 2 * 2 :]
+    return found[0].astype("<i8").tobytes()
+
+
+def _product(a: np.ndarray, b: np.ndarray, states: int) -> np.ndarray:
+    square = [len(x) == states * states for x in (a, b)]
+    if all(square):
+        return compose(a.reshape(states, states), b.reshape(states, states)).ravel()
+    if square[0]:
+        return np.concatenate([compose(a.reshape(states, states), b[:states, None])[:, 0], b[states:]])
+    left, right = a[:states], a[states:]
+    if square[1]:
+        return np.concatenate([left, compose(right, b.reshape(states, states))])
+    return np.concatenate([np.minimum(left + min(int((right + b[:states]).min()), NEVER), NEVER), b[states:]])
+
+
 def split(text: str, chunk_chars: int, longest: int) -> list[tuple[str, int]]:
     """(characters with what follows, how many are its own) of every chunk of a text, its leading space put on."""
     whole = " " + text
@@ -391,10 +419,14 @@ def id_lists(packed: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values))
 
 
-BLOCK_CHARS = 4 << 20
+BLOCK_CHARS = 2 << 20
+
 
+def _result(row: pa.Array, packed: list[bytes], read: list[str], form: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([row, id_lists(packed) if form == "ids" else pa.array(packed, pa.binary()), pa.array(read, pa.string())], names=["row", "ids", "text"])
 
-def _encode_short(name: str):
+
+def _encode_short(name: str, form: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(name)
         for batch in batches:
@@ -404,7 +436,8 @@ def _encode_short(name: str):
                 texts.append(text.as_py())
                 size += len(texts[-1] or "")
                 if size > BLOCK_CHARS or k + 1 == batch.num_rows:
-                    yield pa.RecordBatch.from_arrays([batch.column(1).slice(at, len(texts)), id_lists(v.encode_all(texts))], names=["row", "ids"])
+                    found = v.encode_and_read(texts)
+                    yield _result(batch.column(1).slice(at, len(texts)), [f[0] for f in found], [f[1] for f in found], form)
                     at, texts, size = k + 1, [], 0
         v.forget()
 
@@ -447,63 +480,108 @@ def _records(name: str):
     return run
 
 
-def _scan_forward(longest: int):
-    """Costs with which each chunk is entered, from sorted (key, no, costs)."""
+def _blocks(work, value: str):
+    """work(rows) -> rows (key, no, value), over each run of equal (key, block) of sorted batches; a run may cross batches."""
+    schema = pa.schema([("key", pa.int64()), ("no", pa.int32()), (value, pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, now = None, np.empty(0)
+        at, rows = None, []
         for batch in batches:
-            entered = []
             for r in batch.to_pylist():
-                if r["key"] != key:
-                    key, now = r["key"], np.full(longest, NEVER, np.int64)
-                    now[0] = 0
-                entered.append(now.astype("<i8").tobytes())
-                now = compose(now, matrix(r["costs"], longest))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(entered, pa.binary())], names=["key", "no", "entry"])
+                if (r["key"], r["block"]) != at:
+                    if rows:
+                        yield pa.RecordBatch.from_pylist(work(rows), schema)
+                    at, rows = (r["key"], r["block"]), []
+                rows.append(r)
+        if rows:
+            yield pa.RecordBatch.from_pylist(work(rows), schema)
 
     return run
 
 
+def _in_blocks(rows: DataFrame, work, value: str, backwards: bool) -> DataFrame:
+    """(key, no, value) by work over every FAN neighbours of a key; rows have key, no and what else work reads."""
+    ordered = rows.withColumn("block", F.expr(f"no div {FAN}").cast("int")).repartition("key", "block")
+    return ordered.sortWithinPartitions("key", "block", F.desc("no") if backwards else F.col("no")).mapInArrow(_blocks(work, value), f"key bigint, no int, {value} binary")
+
+
+def _scan(rows: DataFrame, value: str, combine, pass_on, first, backwards: bool = False) -> DataFrame:
+    """(key, no, came): what reaches each row, from the first of its key (backwards: the last), by an associative scan.
+
+    combine(values) joins neighbours' values; pass_on(came, value) is what leaves
+    a row that `came` reaches; first reaches the first row.
+    """
+    def up(some: list[dict]) -> list[dict]:
+        return [{"key": some[0]["key"], "no": some[0]["block"], value: combine([r[value] for r in some])}]
+
+    def down(some: list[dict]) -> list[dict]:
+        came, out = first if some[0]["came"] is None else some[0]["came"], []
+        for r in some:
+            out.append({"key": r["key"], "no": r["no"], "came": came})
+            came = pass_on(came, r[value])
+        return out
+
+    some = rows.select("key", "no", value)
+    if (some.agg(F.max("no")).first()[0] or 0) < FAN:
+        entered = some.withColumn("came", F.lit(None).cast("binary"))
+    else:
+        above = Written(_in_blocks(some, up, value, backwards), "level").df
+        above = _scan(above, value, combine, pass_on, first, backwards).withColumnRenamed("no", "block")
+        entered = some.withColumn("block", F.expr(f"no div {FAN}").cast("int")).join(above, ["key", "block"]).drop("block")
+    return Written(_in_blocks(entered, down, "came", backwards), "scan").df
+
+
+def _entered(longest: int):
+    """A state vector as it is handed on by a chunk's matrix."""
+    return lambda came, costs: compose(np.frombuffer(came, "<i8"), matrix(costs, longest)).astype("<i8").tobytes()
+
+
 def _maps(name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(name)
         for batch in batches:
             came = [entries(v, r, _costs(r)) for r in batch.to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(came, pa.binary())], names=["key", "no", "came"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(came, pa.binary())], names=["key", "no", "states"])
 
     return run
 
 
-def _scan_backward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The state in which each chunk is left, from (key, no, came) with the last chunk of a key first."""
-    key, state = None, 0
-    for batch in batches:
-        left = []
-        for r in batch.to_pylist():
-            if r["key"] != key:
-                key, state = r["key"], 0
-            left.append(state)
-            state = r["came"][state]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(left, pa.int32())], names=["key", "no", "state"])
+def combined_maps(maps: list[bytes]) -> bytes:
+    """Maps from the state in which a chunk is left to that in which it is entered, the last chunk's first; 255: none."""
+    found = maps[0]
+    for m in maps[1:]:
+        found = bytes(m[s] if s != 255 else 255 for s in found)
+    return found
 
 
 def _trace(name: str):
-    """Each chunk traced back; a key's ids, from sorted records, put together."""
+    """The ids of each chunk, traced back by itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(name)
-        key, row, held = None, None, []
-        done = lambda: pa.RecordBatch.from_arrays([row, id_lists([b"".join(held)])], names=["row", "ids"])
         for batch in batches:
-            rows = batch.drop_columns(["row"]).to_pylist()
-            for k, r in enumerate(rows):
-                if r["key"] != key:
+            ids = [ids_from(v, r, _costs(r), r["state"][0]) for r in batch.to_pylist()]
+            read = [v.spell(np.frombuffer(i, "<i4").tolist()) for i in ids]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary()), pa.array(read, pa.binary())], names=["key", "no", "ids", "read"])
+
+    return run
+
+
+def _gather(form: str):
+    """A text's row with the ids of its chunks one after the other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, row, ids, read = None, None, [], []
+        done = lambda: _result(row, [b"".join(ids)], [b"".join(read).decode()[1:]], form)
+        for batch in batches:
+            for k, at in enumerate(batch.column(0).to_pylist()):
+                if at != key:
                     if row is not None:
                         yield done()
-                    key, held = r["key"], []
+                    key, ids, read = at, [], []
                     row = batch.column("row").slice(k, 1)
-                held.append(ids_from(v, r, _costs(r), r["state"]))
+                ids.append(batch.column(1)[k].as_py())
+                read.append(batch.column(2)[k].as_py())
         if row is not None:
             yield done()
 
@@ -514,32 +592,43 @@ def _costs(row: dict) -> list[int]:
     return np.frombuffer(row["entry"], "<i8").tolist()
 
 
-def encode_long(rows: DataFrame, name: str, longest: int, chunk_chars: int) -> DataFrame:
-    """(row, ids) of rows (text, row) with long texts."""
+def encode_long(rows: DataFrame, name: str, longest: int, chunk_chars: int, form: str) -> DataFrame:
+    """(row, ids, text) of rows (text, row) with long texts."""
     row = T.StructField("row", rows.schema["row"].dataType)
     chunk = T.StructType([T.StructField("key", T.LongType()), T.StructField("no", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("n", T.IntegerType()), row])
     record = T.StructType([*chunk.fields[:2], *T.StructType.fromDDL(RECORD_SQL).fields, row])
     keyed = rows.select("text", F.monotonically_increasing_id().alias("key"), "row")
     chunks = keyed.mapInArrow(_split_rows(name, chunk_chars), chunk).repartition("key", "no")
     records = Written(chunks.mapInArrow(_records(name), record), "records").df
-    entered = records.select("key", "no", "costs").repartition("key").sortWithinPartitions("key", "no").mapInArrow(_scan_forward(longest), "key bigint, no int, entry binary")
-    entered = Written(entered, "entered").df
+    start = np.full(longest, NEVER, np.int64)
+    start[0] = 0
+    entered = _scan(records, "costs", lambda some: product(some, longest), _entered(longest), start.astype("<i8").tobytes()).withColumnRenamed("came", "entry")
     known = records.select("key", "no", "text", "n", "cut").join(entered.hint("merge"), ["key", "no"])
-    maps = known.mapInArrow(_maps(name), "key bigint, no int, came binary")
-    left = maps.repartition("key").sortWithinPartitions("key", F.desc("no")).mapInArrow(_scan_backward, "key bigint, no int, state int")
-    settled = Written(entered.join(left.hint("merge"), ["key", "no"]), "settled").df
-    together = records.join(settled.hint("merge"), ["key", "no"]).drop("costs").repartition("key").sortWithinPartitions("key", "no")
-    return together.mapInArrow(_trace(name), T.StructType([row, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    maps = Written(known.mapInArrow(_maps(name), "key bigint, no int, states binary"), "maps").df
+    left = _scan(maps, "states", combined_maps, lambda state, m: m[state[0] : state[0] + 1], b"\0", backwards=True).withColumnRenamed("came", "state")
+    settled = records.select("key", "no", *(c for c in RECORD.names if c != "costs")).join(entered.hint("merge"), ["key", "no"]).join(left.hint("merge"), ["key", "no"])
+    traced = Written(settled.mapInArrow(_trace(name), "key bigint, no int, ids binary, read binary"), "traced").df
+    whose = records.where("no = 0").select("key", F.lit(0).alias("no"), "row")
+    together = traced.join(whose.hint("merge"), ["key", "no"], "left").select("key", "ids", "read", "row", "no").repartition("key").sortWithinPartitions("key", "no")
+    return together.mapInArrow(_gather(form), result_type(row, form))
+
+
+def result_type(row: T.StructField, form: str) -> T.StructType:
+    return T.StructType([row, T.StructField("ids", T.ArrayType(T.IntegerType()) if form == "ids" else T.BinaryType()), T.StructField("text", T.StringType())])
 
 
 def encode(docs: DataFrame, text: str = "text", model: str = MODEL, chunk_chars: int = CHUNK_CHARS, keep: list[str] | None = None) -> DataFrame:
     """(row, ids): row holds the columns named in keep, all by default."""
+    return encode_and_read(docs, text, model, chunk_chars, keep).select("row", "ids")
+
+
+def encode_and_read(docs: DataFrame, text: str = "text", model: str = MODEL, chunk_chars: int = CHUNK_CHARS, keep: list[str] | None = None, form: str = "ids") -> DataFrame:
+    """(row, ids, text): the ids, and the text that they decode to, both made by one worker; form "packed": ids as little-endian 32-bit numbers."""
     name = ship(docs.sparkSession, model)
     rows = bounded_batches(docs.select(F.col(text).alias("text"), F.struct(*(keep or docs.columns)).alias("row")))
-    out = T.StructType([rows.schema["row"], T.StructField("ids", T.ArrayType(T.IntegerType()))])
     giant = F.coalesce(F.length("text"), F.lit(0)) >= chunk_chars
-    short = rows.where(~giant).mapInArrow(_encode_short(name), out)
-    return short.union(encode_long(rows.where(giant), name, Vocabulary.load(model).longest, chunk_chars))
+    short = rows.where(~giant).mapInArrow(_encode_short(name, form), result_type(rows.schema["row"], form))
+    return short.union(encode_long(rows.where(giant), name, Vocabulary.load(model).longest, chunk_chars, form))
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
@@ -553,22 +642,3 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["row", "ids", "text"])
 
     return encoded.select("row", "ids").mapInArrow(run, T.StructType([*encoded.select("row", "ids").schema, T.StructField("text", T.StringType())]))
-
-
-def digests(encoded: DataFrame, model: str = MODEL) -> DataFrame:
-    """(row, n_tokens, ids_sha256, decoded_sha256); ids are hashed as little-endian 32-bit numbers."""
-    name = ship(encoded.sparkSession, model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(name)
-        for batch in batches:
-            n, ids_sha, text_sha = [], [], []
-            for ids in batch.column(1):
-                values = np.asarray(ids.values).astype("<i4", copy=False)
-                n.append(len(values))
-                ids_sha.append(hashlib.sha256(values.tobytes()).hexdigest())
-                text_sha.append(hashlib.sha256(v.decode(values.tolist()).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["row", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
-    return encoded.mapInArrow(run, T.StructType([encoded.schema["row"], *fields]))

@@ -88,6 +88,16 @@ def test_products_are_associative():
     assert (S.compose(S.compose(a, b), c) == S.compose(a, S.compose(b, c))).all()
 
 
+def test_products_of_many_are_those_one_by_one():
+    v = small()
+    for text in texts(40) + ["a" * 50]:
+        costs = [S.Chunk(v, p, n).record()["costs"] for p, n in S.split(text, 6, v.longest)]
+        want = S.matrix(costs[0], v.longest)
+        for c in costs[1:]:
+            want = S.compose(want, S.matrix(c, v.longest))
+        assert (S.matrix(S.product(costs, v.longest), v.longest) == want).all()
+
+
 def test_public_vocabulary_reads_our_ids():
     from sentencepiece import SentencePieceProcessor
 
@@ -106,6 +116,9 @@ def test_round_trip(spark, chunk):
     assert len(got) == len(rows) and all(r.text == (r.was or "") for r in got)
     v = S.Vocabulary.load(S.MODEL)
     assert all(r.ids == plain(v, r.was) for r in got if len(r.was or "") < 600)
+    at_once = S.encode_and_read(docs, chunk_chars=chunk, form="packed").select("row.doc_id", "row.text", "ids", F.col("text").alias("read")).collect()
+    assert sorted((repr(r.doc_id), r.text or "", np.frombuffer(r.ids, "<i4").tolist()) for r in at_once) == sorted((repr(r.doc_id), r.was or "", r.ids) for r in got)
+    assert all(r.read == (r.text or "") for r in at_once)
 
 
 def test_empty_table(spark):
