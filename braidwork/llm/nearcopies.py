@@ -1,25 +1,32 @@
-"""Near copies: texts whose sets of word shingles have a Jaccard similarity of at least 4/5, every pair of them.
-
-Shingles of a text are put in one order for all texts.  Two sets of n and m
-shingles that are alike share at least 4/5 of the larger one, so they share one
-of the first n - ceil(4n/5) + 1 and m - ceil(4m/5) + 1: texts that share none of
-these keys need no comparison, and none that is alike is lost.  The order puts
-shingles that many texts have last, so a common passage is a key only of texts
-that are made of it.  It is counted on a sample; a poor sample costs time, never
-a pair.
-
-Equal texts are one text.  Keys of one text are dropped after a count, in tasks
-of a bounded number of keys.  Then each key's texts are compared with the one whose place
-of the key is the earliest, which links most of a large group by as many pairs
-as it has members; only texts of a key that are in different components
-afterwards are compared with each other.  Sizes and places of the key bound the
-overlap of a pair before any set is read, and sets are made only for texts of a
-pair.
+"""SimHash near-dedup for word shingles that are at least 4/5 alike, by covering hashing of 128-bit fingerprints.
+
+Texts whose sets of five-word shingles have a Jaccard similarity of 4/5 differ
+in about 15 % of their fingerprint bits, too many for the tables of one covering
+code.  So a fingerprint of 128 bits is cut in four stretches: of a pair within
+23 bits one stretch differs in at most 5, and a covering code of radius 5 on
+each stretch (63 masks, see ``simhash.covering_masks``) guarantees that such a
+pair meets in some table.  Pairs further apart meet if any stretch of theirs is
+near: at a similarity of 0.8 that is 98 of 100 pairs, at 0.85 over 99.  Pairs
+that meet are then held to the exact similarity.
+
+* Texts with equal sets are one node.  A task packs a block for each part of the
+  keys: every node once, then the keys and the nodes they belong to.
+* In a table's bucket a node meets its nearest earlier nodes in an order that
+  differs from table to table: all of a small bucket, at most NEIGHBOURS of a
+  larger one, so that a large group of near copies is never listed as all its
+  pairs.  Beyond LEADERS nodes a bucket is compared with its first LEADERS and
+  with the node's own stretch, which is linear in the bucket.
+* First each node is held against the nearest node it met; what that links
+  needs no more pairs.  Pairs whose nodes are apart afterwards come second.
+
+Sets are made only for texts of a pair.  Whole rows are moved only for texts
+that have a copy or a near copy.
 
 Defined results: words are split and A-Z lower-cased as by SimHash; a text of
 fewer words than a shingle is one shingle, null and wordless texts are alike.
 Of a group the row with the smallest key stays, a null key last.  Repeated rows
-are one group.  An empty table gives an empty result.
+are one group.  Other columns are not read, whatever their names.  An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,148 +37,230 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from braidwork.llm.simhash import as_bytes
+from braidwork.llm.simhash import BITS, as_bytes, bits_of, covering_masks, shingle_hashes
+from braidwork.llm.substring import mix
 from braidwork.operators.components import connected_components
-from braidwork.shared import Written, bounded_batches, ship_bytes
+from braidwork.shared import Written, bounded_batches
 
 #: Alike: NEAR[1] times the shared shingles are at least NEAR[0] times all of both.
 NEAR = (4, 5)
-#: Texts whose shingles are counted for the order, and shingles that go last; neither changes a result.
-SAMPLE, COMMON = 10_000, 1 << 15
-#: Keys that one task counts.
-KEYS_PER_TASK = 100_000
-#: Bits of the map of texts whose sets are needed; chance hits only cost time.
-BITS = 1 << 23
+#: Stretches of a fingerprint of two words, and the radius of each one's code: pairs within STRETCHES * (REACH + 1) - 1 bits surely meet.
+STRETCHES, REACH = 4, 5
+#: Pairs further apart are chance: at a similarity of 4/5 it is 19 bits, give or take 4.
+WITHIN = 34
+#: Nodes that a map task packs at once, and keys that one group compares.
+BLOCK_NODES, KEYS_PER_PART = 4_000, 500_000
+#: Buckets up to SMALL meet in all pairs; in larger ones a node meets so many; beyond LEADERS see above.
+SMALL, NEIGHBOURS, LEADERS = 16, 8, 4_096
+#: Bits of the map of texts whose rows or sets are needed; chance hits only cost time.
+MAP_BITS = 1 << 23
 
+_NODE = np.dtype([("fp", "<u8", 2), ("sid", "<i8"), ("n", "<u4")])
 
-def shingles(text: bytes | None, width: int = 5) -> np.ndarray:
-    """Distinct hashes of the shingles of a UTF-8 text, ascending."""
-    words = text.lower().split() if text else []
-    parts = list(map(b" ".join, zip(*(words[k:] for k in range(width)), strict=False))) or [b" ".join(words)]
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(42)), np.uint64, len(parts)))
 
+def masks() -> list[tuple[int, int]]:
+    """(word of the fingerprint, mask) of all tables: a covering code of each stretch."""
+    width = 2 * BITS // STRETCHES
+    return [(k * width // BITS, m << k * width % BITS) for k in range(STRETCHES) for m in covering_masks(REACH, width)]
 
-def prefix(hashes: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The first shingles in the order; alike sets share one of them."""
-    n = len(hashes)
-    if len(common):
-        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
-        hashes = hashes[np.argsort(np.where(common[at] == hashes, rank[at], 0), kind="stable")]
-    return hashes[: n - -(-NEAR[0] * n // NEAR[1]) + 1]
 
+def described(text: bytes | None, width: int) -> tuple[list[int], int, np.ndarray]:
+    """(fingerprint, identity of the set, the set of shingles ascending) of a UTF-8 text."""
+    hashes = shingle_hashes(text, width)
+    found = np.unique(hashes)
+    return [bits_of(hashes), bits_of(mix(hashes))], xxhash.xxh64_intdigest(found.tobytes()), found
 
-def common_shingles(texts: DataFrame, width: int) -> bytes:
-    """Ascending shingles that several texts of a sample have, then their ranks from 1; rare ones first."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shingles(t, width) for t in as_bytes(batch.column(0))]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["k"])
+def _longs(values: list[int]) -> pa.Array:
+    return pa.array(np.array(values, np.uint64).view(np.int64))
 
-    share = max(1, texts.count() // SAMPLE)
-    some = bounded_batches(texts.where(F.pmod("tid", F.lit(share)) == 0).dropDuplicates(["tid"]).select("text"))
-    counts = some.mapInArrow(run, "k bigint").groupBy("k").agg(F.count("*").alias("n")).where("n > 2")
-    rows = counts.orderBy(F.desc("n"), "k").limit(COMMON).collect()
-    rank = np.arange(len(rows), 0, -1).astype(np.uint64)
-    keys = np.array([r.k for r in rows], np.int64).view(np.uint64)
-    by = np.argsort(keys)
-    return keys[by].tobytes() + rank[by].tobytes()
 
-
-def keyed(texts: DataFrame, width: int) -> DataFrame:
-    """(tid, n, keys) of texts (tid, text): the number of shingles and the first of them."""
-    blob = ship_bytes(texts.sparkSession, common_shingles(texts, width))
+def marks(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
+    """(key, tid, sid, fp, fp2, n) of every row: ids of its text and of its set, fingerprint, size of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with open(SparkFiles.get(blob), "rb") as f:
-            common, rank = np.frombuffer(f.read(), np.uint64).reshape(2, -1)
         for batch in batches:
-            tid = batch.column(0).to_numpy()
-            at = np.unique(tid, return_index=True)[1]
-            found = as_bytes(batch.column(1).take(pa.array(at)))
-            sets = [shingles(t, width) for t in found]
-            keys = [prefix(s, common, rank) for s in sets]
-            ends = np.cumsum([0, *map(len, keys)], dtype=np.int32)
-            flat = pa.array(np.concatenate(keys).view(np.int64) if keys else np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(tid[at]), pa.array(np.array([len(s) for s in sets], np.int32)), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["tid", "n", "keys"])
+            got = [(*fp, sid, len(s)) for fp, sid, s in (described(t, width) for t in as_bytes(batch.column(2)))]
+            fp, fp2, sid = (_longs([g[k] for g in got]) for k in range(3))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sid, fp, fp2, pa.array(np.array([g[3] for g in got], np.int32))], names=["key", "tid", "sid", "fp", "fp2", "n"])
+
+    rows = bounded_batches(docs.select(F.col(key).alias("key"), tid_of(text).alias("tid"), F.col(text).alias("text")))
+    return rows.mapInArrow(run, T.StructType([rows.schema["key"], *T.StructType.fromDDL("tid bigint, sid bigint, fp bigint, fp2 bigint, n int").fields]))
 
-    return bounded_batches(texts.select("tid", "text")).mapInArrow(run, "tid bigint, n int, keys array<bigint>")
 
+def tid_of(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
-def _bounded(a: str, b: str) -> Column:
-    """Whether texts a and b of a key may be alike, by their sizes and the key's places in the order."""
-    n, m, i, j = (F.col(f"{x}.{c}") for c, x in (("n", a), ("n", b), ("at", a), ("at", b)))
-    most = F.least(i, j) + 1 + F.least(n - i - 1, m - j - 1)
-    return most * (NEAR[0] + NEAR[1]) >= NEAR[0] * (n + m)
+
+def _pack(parts: int):
+    """Blocks (part, nodes, keys, at) of the nodes of a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, tables = (np.array(x) for x in zip(*masks(), strict=True))
+        for batch in batches:
+            for begin in range(0, batch.num_rows, BLOCK_NODES):
+                rows = batch.slice(begin, BLOCK_NODES)
+                nodes = np.empty(rows.num_rows, _NODE)
+                nodes["sid"], nodes["n"] = rows.column(0).to_numpy(), rows.column(3).to_numpy()
+                for k in range(2):
+                    nodes["fp"][:, k] = rows.column(1 + k).to_numpy().view(np.uint64)
+                key = ((nodes["fp"][:, words] & tables.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
+                key = ((np.arange(len(tables), dtype=np.uint64) << np.uint64(24)) | key).astype(np.uint32).ravel()
+                at = np.repeat(np.arange(len(nodes), dtype=np.uint16), len(tables))
+                part = (key.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03) >> np.uint64(32)) % np.uint64(parts)
+                order = np.argsort(part.astype(np.uint32), kind="stable")
+                key, at, part = key[order], at[order], part[order]
+                cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.empty(0, np.int64)
+                out: list[list] = [[], [], [], []]
+                for s, e in zip(cuts.tolist(), [*cuts.tolist()[1:], len(part)], strict=True):
+                    used, mine = np.unique(at[s:e], return_inverse=True)
+                    for column, value in zip(out, (int(part[s]), nodes[used].tobytes(), key[s:e].tobytes(), mine.astype("<u2").tobytes()), strict=True):
+                        column.append(value)
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(c, pa.binary()) for c in out[1:])], names=["part", "nodes", "keys", "at"])
+
+    return run
+
+
+def _alike_in_size(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    return np.minimum(n, m).astype(np.int64) * NEAR[1] >= np.maximum(n, m).astype(np.int64) * NEAR[0]
+
+
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x[..., 0] ^ y[..., 0]) + np.bitwise_count(x[..., 1] ^ y[..., 1])
+
+
+def met(key: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, differing bits) of rows of `nodes` that meet under a key and may be alike; see the module's text."""
+    salt = (nodes["sid"].view(np.uint64) ^ (key.astype(np.uint64) >> np.uint64(24)) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+    order = np.argsort((key.astype(np.uint64) << np.uint64(32)) | (salt >> np.uint64(32)))
+    key, fp, n = key[order], nodes["fp"][order], nodes["n"][order]
+    begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
+    size = np.diff(np.concatenate([begin, [len(key)]]))
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    # small buckets: every row with those up to SMALL - 1 after it
+    left = np.where(size <= SMALL, size, 0).repeat(size) - (np.arange(len(key)) - begin.repeat(size))
+    rows = np.flatnonzero(left > 1)
+    for lag in range(1, SMALL):
+        rows = rows[left[rows] > lag]
+        if not len(rows):
+            break
+        bits = _apart(fp[rows], fp[rows + lag])
+        hit = (bits <= WITHIN) & _alike_in_size(n[rows], n[rows + lag])
+        out.append((rows[hit], rows[hit] + lag, bits[hit]))
+    for s, e in zip(begin[size > SMALL].tolist(), (begin + size)[size > SMALL].tolist(), strict=True):
+        for at in range(s, e, 256):
+            mine = np.arange(at, min(at + 256, e))
+            stretch = s + (at - s) // LEADERS * LEADERS
+            others = np.concatenate([np.arange(s, min(s + LEADERS, stretch)), np.arange(stretch, mine[-1] + 1)])
+            bits = _apart(fp[mine][:, None], fp[others][None, :])
+            bits[(others[None, :] >= mine[:, None]) | ~_alike_in_size(n[mine][:, None], n[others][None, :])] = 255
+            near = np.argpartition(bits, min(NEIGHBOURS, len(others)) - 1, axis=1)[:, :NEIGHBOURS]
+            found = np.take_along_axis(bits, near, axis=1)
+            r, c = np.nonzero(found <= WITHIN)
+            out.append((mine[r], others[near[r, c]], found[r, c]))
+    if not out:
+        return order[:0], order[:0], np.empty(0, np.uint8)
+    a, b, bits = (np.concatenate([x[k] for x in out]) for k in range(3))
+    return order[a], order[b], bits
+
+
+def _meet(blocks: pa.Table) -> pa.Table:
+    """(a, b, bits): pairs of sets, each once, that meet in a part of the keys."""
+    nodes, keys = [], []
+    for k in range(blocks.num_rows):
+        own = np.frombuffer(blocks.column("nodes")[k].as_py(), _NODE)
+        nodes.append(own[np.frombuffer(blocks.column("at")[k].as_py(), "<u2")])
+        keys.append(np.frombuffer(blocks.column("keys")[k].as_py(), "<u4"))
+    nodes, key = np.concatenate(nodes), np.concatenate(keys)
+    a, b, bits = met(key, nodes)
+    a, b = nodes["sid"][a], nodes["sid"][b]
+    low, high = np.minimum(a, b), np.maximum(a, b)
+    order = np.lexsort((high, low))
+    low, high, bits = low[order], high[order], bits[order]
+    new = np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])]) & (low != high) if len(low) else np.empty(0, bool)
+    return pa.table([pa.array(low[new]), pa.array(high[new]), pa.array(bits[new].astype(np.int8))], names=["a", "b", "bits"])
+
+
+def meetings(nodes: DataFrame) -> DataFrame:
+    """(a, b, bits): pairs of nodes (sid, fp, fp2, n) that meet in a table."""
+    parts = max(1, nodes.count() * len(masks()) // KEYS_PER_PART)
+    packed = nodes.select("sid", "fp", "fp2", "n").mapInArrow(_pack(parts), "part int, nodes binary, keys binary, at binary")
+    return packed.groupBy("part").applyInArrow(_meet, "a bigint, b bigint, bits tinyint").distinct()
 
 
 def _map_of(ids: DataFrame) -> Column:
-    """The byte for a column tid in a map of ids (tid); the map has BITS bits, whatever their number."""
-    bit = F.pmod("tid", F.lit(BITS)) + 1  # numbered from 1
+    """Whether a column tid hits a map of ids (tid); the map has MAP_BITS bits, whatever their number."""
+    bit = F.pmod("tid", F.lit(MAP_BITS)) + 1  # numbered from 1
     parts = ids.groupBy(F.bitmap_bucket_number(bit).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
-    bits = bytearray(BITS // 8)
+    bits = bytearray(MAP_BITS // 8)
     for r in parts:
         bits[(r.part - 1) * len(r.bits) : r.part * len(r.bits)] = r.bits
-    byte = F.substring(F.lit(bytes(bits)), (F.pmod("tid", F.lit(BITS)) / 8).cast("int") + 1, F.lit(1))
-    return F.conv(F.hex(byte), 16, 10).cast("int")
+    byte = F.substring(F.lit(bytes(bits)), (F.pmod("tid", F.lit(MAP_BITS)) / 8).cast("int") + 1, F.lit(1))
+    return F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), F.pmod("tid", F.lit(8)).cast("int")) == 1
 
 
-def alike(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """Those pairs (a, b) of texts whose sets are alike."""
-    ids = Written(pairs.select(F.explode(F.array("a", "b")).alias("tid")).distinct(), "ids").df
-    byte = _map_of(ids).alias("byte")
+def alike(pairs: DataFrame, tids: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """Those pairs (a, b) of sets that are alike; tids: (sid, tid), a text of each set; texts: (tid, text)."""
 
     def run_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, width).tobytes() for t in as_bytes(batch.column(1))], pa.binary())], names=["tid", "s"])
+            got = [described(t, width) for t in as_bytes(batch.column(0))]
+            yield pa.RecordBatch.from_arrays([_longs([g[1] for g in got]), pa.array([g[2].tobytes() for g in got], pa.binary())], names=["sid", "s"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             near = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                both = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
-                near.append(NEAR[1] * both >= NEAR[0] * (len(x) // 8 + len(y) // 8 - both))
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                near.append(NEAR[1] * both >= NEAR[0] * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    some = texts.select("tid", "text", byte).where("shiftright(byte, int(pmod(tid, 8))) % 2 = 1").select("tid", "text").join(ids, "tid", "left_semi").dropDuplicates(["tid"])
-    sets = Written(bounded_batches(some).mapInArrow(run_sets, "tid bigint, s binary"), "sets").df
-    at = lambda c: sets.select(F.col("tid").alias(c), F.col("s").alias(f"s_{c}"))
-    rows = pairs.join(at("a"), "a").join(at("b"), "b").select("a", "b", "s_a", "s_b")
-    return Written(bounded_batches(rows).mapInArrow(run, "a bigint, b bigint"), "alike").df
-
-
-def links(texts: DataFrame, width: int = 5) -> DataFrame:
-    """(a, b) pairs of texts (tid, text) that are alike; their components are those of all such pairs."""
-    lists = Written(keyed(texts, width), "keys").df
-    parts = max(1, (lists.agg(F.sum(F.size("keys"))).first()[0] or 0) // KEYS_PER_TASK)
-    rows = lists.select("tid", "n", F.posexplode("keys").alias("at", "k"))
-    shared = rows.select("k", "tid").repartition(parts, "k").groupBy("k").agg(F.min("tid").alias("lo"), F.max("tid").alias("hi")).where("lo < hi").select("k")
-    hits = Written(rows.join(shared, "k").select("k", "tid", "n", "at").distinct(), "hits").df
-    place = F.struct("at", "tid", "n")
-    firsts = hits.groupBy("k").agg(F.min(place).alias("p"))
-    near_first = hits.join(firsts, "k").select("k", F.struct("tid", "n", "at").alias("x"), F.col("p").alias("y")).where("x.tid <> y.tid")
-    pair = lambda df: df.where(_bounded("x", "y")).select(F.least("x.tid", "y.tid").alias("a"), F.greatest("x.tid", "y.tid").alias("b")).distinct()
-    tried = Written(pair(near_first), "pairs").df
-    found = alike(tried, texts, width)
-    placed = hits.join(connected_components(found).withColumnRenamed("node", "tid"), "tid", "left").withColumn("c", F.coalesce("component", "tid"))
-    placed = Written(placed.select("k", "tid", "n", "at", "c"), "hits").df
-    mixed = placed.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("members")).where("lo < hi and members > 2").select("k")
-    left = placed.join(mixed, "k", "left_semi").select("k", F.struct("tid", "n", "at", "c").alias("x"))
-    rest = left.join(left.withColumnRenamed("x", "y"), "k").where("x.c < y.c")
-    rest = Written(pair(rest).join(tried, ["a", "b"], "left_anti"), "pairs").df
-    return found.union(alike(rest, texts, width))
+    ids = Written(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(tids, "sid").select("tid"), "ids")
+    some = texts.where(_map_of(ids.df)).join(ids.df, "tid", "left_semi").dropDuplicates(["tid"]).select("text")
+    sets = Written(bounded_batches(some).mapInArrow(run_sets, "sid bigint, s binary"), "sets")
+    at = lambda c: sets.df.select(F.col("sid").alias(c), F.col("s").alias(f"s_{c}"))
+    rows = pairs.select("a", "b").join(at("a"), "a").join(at("b"), "b").select("a", "b", "s_a", "s_b")
+    found = Written(bounded_batches(rows).mapInArrow(run, "a bigint, b bigint"), "alike")
+    sets.drop()
+    ids.drop()
+    return found.df
+
+
+def links(nodes: DataFrame, texts: DataFrame, width: int = 5) -> DataFrame:
+    """(a, b): pairs of nodes (sid, fp, fp2, n, tid) that are alike; their components are those of all pairs that met."""
+    pairs = Written(meetings(nodes), "pairs").df
+    tids = nodes.select("sid", "tid")
+    ends = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), "bits").union(pairs.select("b", "a", "bits"))
+    nearest = ends.groupBy("x").agg(F.min(F.struct("bits", "y")).alias("p")).select(F.least("x", "p.y").alias("a"), F.greatest("x", "p.y").alias("b")).distinct()
+    tried = Written(nearest, "nearest").df
+    found = alike(tried, tids, texts, width)
+    groups = Written(connected_components(found), "groups").df
+    of = lambda c: groups.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}"))
+    apart = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(c_a, a) <> coalesce(c_b, b)")
+    rest = Written(apart.select("a", "b").join(tried, ["a", "b"], "left_anti"), "rest").df
+    return found.union(alike(rest, tids, texts, width))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:
     """The row of docs with the smallest key of each group of near copies; of rows that tie, one."""
-    tid = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    roots = Written(connected_components(links(docs.select(tid.alias("tid"), F.col(text).alias("text")), width)), "groups").df
-    rows = docs.select(tid.alias("tid"), F.struct(*docs.columns).alias("row"))
-    order = F.struct(F.col(f"row.{key}").isNull(), F.col(f"row.{key}"), F.xxhash64(f"row.{text}"))
-    group = F.coalesce("component", "tid").alias("root")
-    return rows.join(roots.withColumnRenamed("node", "tid"), "tid", "left").groupBy(group).agg(F.min_by("row", order).alias("row")).select("row.*")
+    marked = Written(marks(docs, key, text, width), "marks").df
+    nodes = Written(marked.groupBy("sid").agg(F.min(F.struct("tid", "fp", "fp2", "n")).alias("m")).select("sid", "m.*"), "nodes").df
+    texts = docs.select(tid_of(text).alias("tid"), F.col(text).alias("text"))
+    groups = Written(connected_components(links(nodes, texts, width)), "groups").df
+    rooted = marked.join(groups.withColumnRenamed("node", "sid"), "sid", "left").select("key", "tid", F.coalesce("component", "sid").alias("root"))
+    order = F.struct(F.col("key").isNull(), F.col("key"), F.col("tid"))
+    several = rooted.groupBy("root").agg(F.count("*").alias("rows"), F.min(order).alias("first")).where("rows > 1")
+    member = rooted.join(several, "root").select("key", "tid", (F.col("key").eqNullSafe(F.col("first.key")) & (F.col("tid") == F.col("first.tid"))).alias("stays"))
+    member = Written(member.distinct(), "members").df
+    own, tid = docs.columns, tid_of(text)
+    hit = _map_of(member.select("tid"))
+    rows = docs.select(F.struct(*own).alias("row"), F.col(key).alias("key"), tid.alias("tid")).withColumn("hit", hit)
+    some = rows.where("hit").alias("r").join(member.alias("m"), F.col("r.key").eqNullSafe(F.col("m.key")) & (F.col("r.tid") == F.col("m.tid")), "left")
+    some = some.where("m.stays is null or m.stays").select("r.row", "r.key", "r.tid", F.col("m.tid").isNull().alias("alone"))
+    first = some.where("not alone").groupBy("key", "tid").agg(F.first("row").alias("row")).select("row")
+    return rows.where("not hit").select("row").union(some.where("alone").select("row")).union(first).select("row.*")

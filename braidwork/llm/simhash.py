@@ -46,6 +46,8 @@ from braidwork.shared import Written, bounded_batches
 
 BITS = 64
 SHINGLES_AT_ONCE = 1 << 15
+#: Spreads the positions' codes over all vectors, so that every mask holds about half the positions.
+_STEP = 103
 
 
 def bit_sums(hashes: np.ndarray) -> np.ndarray:
@@ -53,17 +55,26 @@ def bit_sums(hashes: np.ndarray) -> np.ndarray:
     return np.unpackbits(hashes.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
 
 
-def fingerprint(text: bytes | None, width: int = 4) -> int:
-    """SimHash of the shingles of a UTF-8 text, A-Z lower-cased."""
+def shingle_hashes(text: bytes | None, width: int = 4) -> np.ndarray:
+    """Hashes of the shingles of a UTF-8 text in order, A-Z lower-cased; a text of fewer words is one shingle."""
     words = text.lower().split() if text else []  # bytes: only A-Z, and only \x20 and \x09-\x0D
-    if not words:
-        return 0
-    shingles = list(map(b" ".join, zip(*(words[k:] for k in range(width)), strict=False))) or [b" ".join(words)]
+    if len(words) < width:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), 42)], np.uint64)
+    shingles = map(b" ".join, zip(*(words[k:] for k in range(width)), strict=False))
+    return np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), np.uint64, len(words) - width + 1)
+
+
+def bits_of(hashes: np.ndarray) -> int:
+    """The fingerprint: bits that over half the hashes set."""
     sums = np.zeros(BITS, np.int64)
-    for at in range(0, len(shingles), SHINGLES_AT_ONCE):
-        part = shingles[at : at + SHINGLES_AT_ONCE]
-        sums += bit_sums(np.fromiter(map(xxhash.xxh64_intdigest, part, repeat(42)), np.uint64, len(part)))
-    return int(np.packbits(2 * sums > len(shingles), bitorder="little").view("<u8")[0])
+    for at in range(0, len(hashes), SHINGLES_AT_ONCE):
+        sums += bit_sums(hashes[at : at + SHINGLES_AT_ONCE])
+    return int(np.packbits(2 * sums > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: bytes | None, width: int = 4) -> int:
+    """SimHash of the shingles of a UTF-8 text, A-Z lower-cased; zero for a text without words."""
+    return bits_of(shingle_hashes(text, width)) if text and not text.isspace() else 0
 
 
 def as_bytes(column: pa.Array) -> list[bytes | None]:
@@ -82,12 +93,15 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width
     return rows.mapInArrow(run, T.StructType([rows.schema["key"], T.StructField("fp", T.LongType())]))
 
 
-def covering_masks(radius: int) -> list[int]:
-    """The masks of all tables, as signed longs."""
+def covering_masks(radius: int, bits: int = BITS) -> list[int]:
+    """The masks of all tables over so many bits, as unsigned numbers."""
     n = radius + 1
-    codes = [1 + p % (2**n - 1) for p in range(BITS)]
-    masks = [sum(1 << p for p in range(BITS) if (codes[p] & v).bit_count() % 2) for v in range(1, 2**n)]
-    return [m - (1 << 64) if m >> 63 else m for m in masks]
+    codes = [1 + p * _STEP % (2**n - 1) for p in range(bits)]
+    return [sum(1 << p for p in range(bits) if (codes[p] & v).bit_count() % 2) for v in range(1, 2**n)]
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
 def forest(fps: np.ndarray, radius: int, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
@@ -143,7 +157,7 @@ def links(fps: DataFrame, radius: int = 4, bucket_limit: int = 16384) -> DataFra
     """
     if radius % 2:
         raise ValueError("midpoints need an even radius")
-    tables = F.explode(F.array(*(F.struct(F.lit(t).cast("tinyint").alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for t, m in enumerate(covering_masks(radius)))))
+    tables = F.explode(F.array(*(F.struct(F.lit(t).cast("tinyint").alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k")) for t, m in enumerate(covering_masks(radius)))))
     rows = fps.select("fp", tables.alias("x")).select("x.t", "x.k", "fp")
     shared = Written(rows.groupBy("t", "k").agg(F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("n > 1"), "buckets")
     pairs = shared.df.where("n = 2").where(F.bit_count(F.col("lo").bitwiseXOR(F.col("hi"))) <= radius).select(F.col("lo").alias("a"), F.col("hi").alias("b"))
@@ -152,7 +166,7 @@ def links(fps: DataFrame, radius: int = 4, bucket_limit: int = 16384) -> DataFra
     out = pairs.union(grouped)
     if shared.df.where(F.col("n") > bucket_limit).limit(1).count():
         flips = [sum(1 << p for p in x) for r in range(radius // 2 + 1) for x in combinations(range(BITS), r)]
-        flips = F.array(*(F.lit(x - (1 << 64) if x >> 63 else x) for x in flips))
+        flips = F.array(*(F.lit(_signed(x)) for x in flips))
         many = rows.join(shared.df.where(F.col("n") > bucket_limit).select("t", "k"), ["t", "k"]).select("fp").distinct()
         points = many.select("fp", F.explode(flips).alias("x")).select(F.col("fp").bitwiseXOR(F.col("x")).alias("at"), "fp")
         stars = points.join(points.groupBy("at").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a < z"), "at")
@@ -174,11 +188,3 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     member = first.join(groups(found, radius, bucket_limit), "fp")
     named = member.join(member.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
     return found.join(named, "fp").select(F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, radius: int = 4, bucket_limit: int = 16384) -> DataFrame:
-    """The row of docs with the smallest key of each near-duplicate group; of rows that tie, one."""
-    roots = Written(groups(Written(fingerprints(docs, key, text, width), "fingerprints").df, radius, bucket_limit), "groups").df
-    rows = fingerprints(docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("_text")), "_row", "_text", width)
-    order = F.struct(F.col(f"key.{key}").isNull(), F.col(f"key.{key}"), F.xxhash64(f"key.{text}"))
-    return rows.join(roots, "fp").groupBy("root").agg(F.min_by("key", order).alias("key")).select("key.*")

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from braidwork.llm import nearcopies
 
@@ -35,9 +36,33 @@ def near_rows():
     return rows + [(9001, "a b"), (9002, "A  b"), (9003, "a b c"), (9004, ""), (9005, None), (9006, " \n"), (9007, "x " * 9000)]
 
 
-@pytest.mark.parametrize("common", [0, 40, 1 << 17])
-def test_groups_are_those_of_all_pairs(spark, monkeypatch, common):
-    monkeypatch.setattr(nearcopies, "COMMON", common)
+def test_masks_leave_no_pair_within_the_radius_apart():
+    rng, masks = random.Random(3), nearcopies.masks()
+    for _ in range(300):
+        differ = rng.sample(range(128), nearcopies.STRETCHES * (nearcopies.REACH + 1) - 1)
+        words = [sum(1 << p % 64 for p in differ if p // 64 == w) for w in range(2)]
+        assert any(not words[w] & m for w, m in masks)
+
+
+def test_large_buckets_hold_together():
+    rng = np.random.default_rng(5)
+    nodes = np.empty(700, nearcopies._NODE)
+    base = rng.integers(0, 1 << 63, (7, 2)).astype(np.uint64)
+    noise = np.array([[sum(1 << int(p) for p in rng.choice(64, 4, False)) for _ in range(2)] for _ in range(700)], np.uint64)
+    nodes["fp"], nodes["sid"], nodes["n"] = base[np.arange(700) % 7] ^ noise, np.arange(700), 100
+    nodes["n"][699] = 200
+    for key in (np.zeros(700, np.uint32), (np.arange(700) // 350).astype(np.uint32)):
+        a, b, bits = nearcopies.met(key, nodes)
+        assert len(a) <= 8 * 700 and (key[a] == key[b]).all() and (bits == nearcopies._apart(nodes["fp"][a], nodes["fp"][b])).all() and bits.max() <= nearcopies.WITHIN
+        group = list(range(700))
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            if group[x] != group[y]:
+                gone = group[y]
+                group = [group[x] if g == gone else g for g in group]
+        assert len({(group[k], k % 7, int(key[k])) for k in range(699)}) == 7 * len(set(key.tolist())) and group.count(group[699]) == 1
+
+
+def test_groups_are_those_of_all_pairs(spark):
     rows = near_rows()
     got = nearcopies.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
     assert sorted(r.doc_id for r in got.collect()) == kept_by_all_pairs(rows)

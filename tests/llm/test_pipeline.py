@@ -2,7 +2,7 @@ import math
 from collections import Counter, defaultdict
 
 import pytest
-from test_simhash import brute as simhash_groups
+from test_nearcopies import kept_by_all_pairs
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 SF = "/root/testdata/sf0.001"
@@ -33,8 +33,7 @@ def test_quality_drops_bad_documents(spark, stages):
 
 def test_one_of_each_group_stays(stages):
     had, kept = stages["simhash"]
-    groups = simhash_groups([(r.doc_id, r.text) for r in had])
-    assert sorted(r.doc_id for r in kept) == sorted({root for _, _, root in groups})
+    assert sorted(r.doc_id for r in kept) == kept_by_all_pairs([(r.doc_id, r.text) for r in had])
 
 
 def test_repeats_go(stages):
@@ -77,10 +76,16 @@ def test_run_is_the_stages(spark, stages):
 
 
 def test_stages_take_nulls_and_empty_tables(spark):
-    schema = "doc_id long, text string, lang string, source string, n_chars long"
-    rows = [(1, None, None, None, None), (None, "", "en", "s", 0), (3, "a fine line", None, "s", 11), (3, "a fine line", None, "s", 11)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row string, whole string, tid long, stays string, epoch int"
+    more = ("r", "w", 7, "x", 2)
+    rows = [(1, None, None, None, None, *more), (None, "", "en", "s", 0, *more), (3, "a fine line", None, "s", 11, *more), (3, "a fine line", None, "s", 11, *more)]
+    stages = dict(corpus_pipeline.STAGES)
     for data in (rows, []):
         docs = spark.createDataFrame(data, schema)
-        for _, stage in corpus_pipeline.STAGES:
-            made = stage(spark, docs, SF)
-            assert made.count() <= 4 * max(len(data), 0)
+        assert {r.doc_id for r in stages["quality"](spark, docs, SF).collect()} <= {1, None, 3}
+        assert sorted(tuple(r) for r in stages["simhash"](spark, docs, SF).collect()) == sorted(set(rows[:1] + rows[2:3]) if data else [])
+        kept = stages["substring"](spark, docs, SF)
+        assert kept.columns == docs.columns and sorted(map(repr, map(tuple, kept.collect()))) == sorted(map(repr, data))
+        mixture = stages["mixing"](spark, docs, SF)
+        assert mixture.columns == docs.columns and {r.doc_id for r in mixture.collect()} == {r[0] for r in data}
+        assert all(r.round_trip for r in stages["sentencepiece"](spark, docs, SF).collect())
