@@ -4,6 +4,12 @@ A document table goes through a quality filter, near-duplicate removal,
 repeated-passage removal, source mixing and tokenisation.  Every stage is
 written as Parquet to the shared folder and read again, so a lost executor costs
 at most the stage that it worked on.
+
+Defined results: a null or empty text is scored by the classifier like any other,
+all of them are one group of copies, repeat nothing, and have no tokens.  A null
+id stays if its document does, and is the last choice of a group.  Equal rows are
+one document.  Columns beyond those of documents travel to the mixture, whatever
+their names, and end there.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,16 +30,17 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents whose five-word shingles are at least 0.8 alike the one with the smallest id."""
+    """Of each group of documents whose five-word shingles are at least 0.8 alike the one with the smallest id (SimHash)."""
     return nearcopies.keep_one(docs)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages that stand elsewhere too; texts that lose nothing stay as they are."""
-    found = substring.remove_repeats(docs.withColumn("whole", F.col("text")))
-    text = F.when(F.col("n_removed") == 0, F.col("row.whole")).otherwise(F.col("kept"))
-    left = found.where("n_removed = 0 or n_removed < n_words").select("row.*", text.alias("text"))
-    return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    found = substring.remove_repeats(docs.select(F.struct(*docs.columns).alias("doc"), "text"))
+    text = F.when(F.col("n_removed") == 0, F.col("row.doc.text")).otherwise(F.col("kept"))
+    made = {"text": text, "n_chars": F.length(text).cast("long")}
+    left = found.where("n_removed = 0 or n_removed < n_words")
+    return left.select(*(made.get(c, F.col("row.doc").getField(c)).alias(c) for c in docs.columns))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +50,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document, and whether they decode to its text."""
-    read = sentencepiece.decode(sentencepiece.encode(docs))
+    read = sentencepiece.encode_and_read(docs)
     same = F.col("text") == F.coalesce("row.text", F.lit(""))
     return read.select("row.doc_id", "row.lang", "row.source", "row.n_chars", F.size("ids").alias("n_tokens"), same.alias("round_trip"), "ids")
 
