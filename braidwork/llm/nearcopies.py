@@ -41,6 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from braidwork.llm import bitmap
 from braidwork.llm.simhash import BITS, as_bytes, bits_of, covering_masks, shingle_hashes
 from braidwork.llm.substring import mix
 from braidwork.operators.components import connected_components
@@ -56,8 +57,6 @@ WITHIN = 34
 BLOCK_NODES, KEYS_PER_PART = 4_000, 500_000
 #: Buckets up to SMALL meet in all pairs; in larger ones a node meets so many; beyond LEADERS see above.
 SMALL, NEIGHBOURS, LEADERS = 16, 8, 4_096
-#: Bits of the map of texts whose rows or sets are needed; chance hits only cost time.
-MAP_BITS = 1 << 23
 
 _NODE = np.dtype([("fp", "<u8", 2), ("sid", "<i8"), ("n", "<u4")])
 
@@ -193,14 +192,8 @@ def meetings(nodes: DataFrame) -> DataFrame:
 
 
 def _map_of(ids: DataFrame) -> Column:
-    """Whether a column tid hits a map of ids (tid); the map has MAP_BITS bits, whatever their number."""
-    bit = F.pmod("tid", F.lit(MAP_BITS)) + 1  # numbered from 1
-    parts = ids.groupBy(F.bitmap_bucket_number(bit).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
-    bits = bytearray(MAP_BITS // 8)
-    for r in parts:
-        bits[(r.part - 1) * len(r.bits) : r.part * len(r.bits)] = r.bits
-    byte = F.substring(F.lit(bytes(bits)), (F.pmod("tid", F.lit(MAP_BITS)) / 8).cast("int") + 1, F.lit(1))
-    return F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), F.pmod("tid", F.lit(8)).cast("int")) == 1
+    """Whether a column tid may be among ids (tid)."""
+    return bitmap.hits(bitmap.collected(ids, F.col("tid"))[0], F.col("tid"))
 
 
 def alike(pairs: DataFrame, tids: DataFrame, texts: DataFrame, width: int) -> DataFrame:
