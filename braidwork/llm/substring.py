@@ -10,12 +10,15 @@ and counted, and runs of equal hashes are confirmed on the words themselves.
 * A map task packs its strings into one compressed block for each bucket.
   Equal strings of a block are one string with a count, so copies of a document
   cost a few bytes each.
-* Minimisers are counted over the whole corpus first (in ``slots`` hashed
-  counters, which bounds what the driver reads).  Windows of a slot that holds
-  more than a bucket's fair share travel one by one, as 16 bytes of SHA-256,
-  dealt by that digest: a frequent minimiser is spread over all buckets.
-* The number of buckets follows the number of strings, so a bucket's memory is
-  bounded at every size.
+* Minimisers are counted over the whole corpus first, each by itself.  Those of
+  more than ``hot_units`` strings mark a bit of a map of one megabyte; windows
+  whose minimiser has its bit marked travel one by one, as 16 bytes of SHA-256,
+  dealt by that digest: a frequent minimiser is spread over all buckets.  A bit
+  that is marked by chance moves its windows in the same way in every task.
+* The number of buckets follows the number of strings, and none of the others
+  has more than ``hot_units``, so no bucket outgrows its share at any size.
+* Texts without a repeated window stay where they are; only the others meet
+  their spans, which are gathered by text beforehand.
 
 Defined results: a null text has no words.  Texts of fewer than ``width`` words
 lose nothing.  Results depend on a row's text alone, so repeated rows, repeated
@@ -32,16 +35,21 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from braidwork.shared import Written, bounded_batches
+from braidwork.llm import bitmap
+from braidwork.shared import Written, bounded_batches, ship_bytes
 
 KEY_BYTES = 12
-FLUSH_BYTES = 40 << 20
+#: Memory of what a task has gathered; what a string and a place cost as Python objects.
+FLUSH_BYTES, STRING_BYTES, REF_BYTES = 64 << 20, 200, 220
 MOST_WINDOWS = 512
-UNITS_PER_BUCKET = 20_000
+UNITS_PER_BUCKET = 10_000
+#: Blocks under so many bytes are not worth compressing.
+SMALL_BLOCK = 512
 
 _REF = np.dtype([("string", "<u4"), ("key", f"S{KEY_BYTES}"), ("start", "<u4")])
 
@@ -89,23 +97,31 @@ def _texts(batch: pa.RecordBatch) -> Iterator[bytes]:
         yield x.as_py() or b""
 
 
-def _count_slots(width: int, m: int, slots: int):
-    """(slot, units) of a task's windows."""
+def _count(width: int, m: int):
+    """(minimiser, n) of a batch's strings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(slots, np.int64)
         for batch in batches:
+            found = []
             for text in _texts(batch):
                 if len(words := text.split()) >= width:
                     least = window_minimisers(word_hashes(words), width, m)
-                    first = least[np.concatenate([[True], least[1:] != least[:-1]])]
-                    np.add.at(total, (first % np.uint64(slots)).astype(np.int64), 1)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["slot", "n"])
+                    found.append(least[np.concatenate([[True], least[1:] != least[:-1]])])
+            if found:
+                least, n = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(least.view(np.int64)), pa.array(n.astype(np.int64))], names=["minimiser", "n"])
 
     return run
 
 
+def _squeezed(data: bytes) -> bytes:
+    return b"0" + data if len(data) < SMALL_BLOCK else b"1" + zstandard.ZstdCompressor(level=3).compress(data)
+
+
+def _unsqueezed(data: bytes) -> bytes:
+    return data[1:] if data[:1] == b"0" else zstandard.ZstdDecompressor().decompress(data[1:])
+
+
 class _Block:
     """What a task has gathered for one bucket: strings, their counts, and where they stand."""
 
@@ -120,11 +136,11 @@ class _Block:
         self.count[k] += 1
         size = len(self.refs)
         self.refs.add((k, key, start))
-        return (len(string) if self.count[k] == 1 else 0) + 60 * (len(self.refs) - size)
+        return (len(string) + STRING_BYTES if self.count[k] == 1 else 0) + REF_BYTES * (len(self.refs) - size)
 
     def packed(self, whole: bool) -> dict:
         refs = np.array(sorted(self.refs), _REF)
-        z = zstandard.ZstdCompressor(level=3).compress
+        z = _squeezed
         strings = list(self.index)
         return {
             "strings": z((b"\n" if whole else b"").join(strings)),
@@ -138,10 +154,12 @@ BLOCK = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("s
 _BLOCK_ARROW = pa.schema([("bucket", pa.int32()), ("strings", pa.binary()), ("counts", pa.binary()), ("refs", pa.binary()), ("whole", pa.bool_())])
 
 
-def _deal(width: int, m: int, slots: int, hot: frozenset[int], buckets: int):
+def _deal(width: int, m: int, hot_map: str, buckets: int):
     """Blocks of super-k-mers by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with open(SparkFiles.get(hot_map), "rb") as f:
+            hot = np.frombuffer(f.read(), np.uint8)
         blocks: dict[tuple[int, bool], _Block] = {}
         held = 0
 
@@ -161,10 +179,11 @@ def _deal(width: int, m: int, slots: int, hot: frozenset[int], buckets: int):
                     continue
                 key = text_key(text)
                 least = window_minimisers(word_hashes(words), width, m)
-                slot = least % np.uint64(slots)
+                bit = least % np.uint64(8 * len(hot))
+                marked = (hot[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1
                 bucket = (mix(least) % np.uint64(buckets)).astype(np.int64)
                 for start, n in super_kmers(least):
-                    if int(slot[start]) in hot:
+                    if marked[start]:
                         for k in range(start, start + n):
                             digest = hashlib.sha256(b" ".join(words[k : k + width])).digest()[:16]
                             held += blocks.setdefault((int.from_bytes(digest[:8], "little") % buckets, False), _Block()).add(digest, key, k)
@@ -235,7 +254,7 @@ def _solve(width: int):
     """Repeated spans of one bucket's blocks."""
 
     def run(blocks: pa.Table) -> pa.Table:
-        raw = zstandard.ZstdDecompressor().decompress
+        raw = _unsqueezed
         out = []
         for whole in (True, False):
             index: dict[bytes, int] = {}
@@ -281,20 +300,17 @@ def _solve(width: int):
     return run
 
 
-def repeated_spans(texts: DataFrame, width: int = 35, minimiser: int = 3, slots: int = 1 << 16, hot_units: int = 5_000, buckets: int | None = None) -> DataFrame:
+def repeated_spans(texts: DataFrame, width: int = 35, minimiser: int = 3, hot_units: int = 5_000, buckets: int | None = None) -> DataFrame:
     """(key, lo, hi): word spans of a text (key: SHA-256 of its UTF-8, cut) that repeated windows cover.
 
-    texts: one string column.  hot_units: units of a slot from which its windows travel one by one,
-    or four times the mean slot if that is more.
+    texts: one string column.  hot_units: strings of a minimiser from which its windows travel one by one.
     """
-    counted = bounded_batches(texts).mapInArrow(_count_slots(width, minimiser, slots), "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
-    per_slot = {r.slot: r.n for r in counted.collect()}  # at most `slots` rows
-    units = sum(per_slot.values())
-    most = max(hot_units, 4 * units // slots)
-    hot = frozenset(s for s, n in per_slot.items() if n > most)
-    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n = buckets or max(4 * parts, units // UNITS_PER_BUCKET)
-    blocks = texts.mapInArrow(_deal(width, minimiser, slots, hot, n), BLOCK)
+    spark = texts.sparkSession
+    counted = bounded_batches(texts).mapInArrow(_count(width, minimiser), "minimiser bigint, n bigint").groupBy("minimiser").agg(F.sum("n").alias("n"))
+    hot, parts = bitmap.collected(counted, F.when(F.col("n") > hot_units, F.col("minimiser")), F.sum("n").alias("units"))
+    units = sum(r.units for r in parts)
+    n = buckets or max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), units // UNITS_PER_BUCKET)
+    blocks = texts.mapInArrow(_deal(width, minimiser, ship_bytes(spark, hot), n), BLOCK)
     return blocks.groupBy("bucket").applyInArrow(_solve(width), "key binary, lo int, hi int")
 
 
@@ -323,8 +339,10 @@ def remove_repeats(docs: DataFrame, text: str = "text", width: int = 35, **how)
     """(row, n_words, n_removed, kept): row holds all columns of docs but the text, kept the words that stay."""
     key = F.substring(F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)), 1, KEY_BYTES)
     spans = Written(repeated_spans(docs.select(F.col(text).alias("text")), width, **how), "spans").df
-    by_text = spans.groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    by_text = Written(spans.groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans-by-text").df
+    has_spans = bitmap.hits(bitmap.collected(by_text, F.xxhash64("key"))[0], F.xxhash64("key"))
     others = [F.col(c) for c in docs.columns if c != text]
-    rows = docs.select(F.col(text).alias("text"), key.alias("key"), F.struct(*others, F.lit(0).alias("_")).alias("row"))
-    joined = rows.join(by_text, "key", "left").select("text", "spans", "row")
+    rows = docs.select(F.col(text).alias("text"), key.alias("key"), F.struct(*others, F.lit(0).alias("_")).alias("row")).withColumn("moves", has_spans)
+    moved = rows.where("moves").join(by_text, "key", "left").select("text", "spans", "row")
+    joined = rows.where("not moves").select("text", F.lit(None).cast(by_text.schema["spans"].dataType).alias("spans"), "row").union(moved)
     return joined.mapInArrow(_strip, T.StructType([joined.schema["row"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())]))

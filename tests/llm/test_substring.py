@@ -36,7 +36,7 @@ def rows_of(seed=1):
     return rows + [(100, None), (101, ""), (102, "one"), (None, rows[3][1]), (4, rows[4][1]), (4, rows[4][1]), (103, "x " * 3000), (104, "    a\x0bb\x0cc\x1cd")]
 
 
-@pytest.mark.parametrize("how", [{}, {"hot_units": 0}, {"buckets": 3, "hot_units": 2, "slots": 8}])
+@pytest.mark.parametrize("how", [{}, {"hot_units": 0}, {"buckets": 3, "hot_units": 2}])
 def test_removes_what_brute_force_removes(spark, how):
     rows = rows_of()
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("kept", F.lit("clash")).withColumn("key", F.lit(1)).repartition(5)
@@ -51,6 +51,18 @@ def test_query_on_a_fixture(spark, tmp_path):
     assert sorted(map(tuple, got), key=repr) == brute(rows, 35)
 
 
+def test_a_frequent_minimiser_is_spread_and_still_counted(spark):
+    """One run of words in every text: its windows leave the bucket of their minimiser."""
+    rng = random.Random(4)
+    rows = [(d, " ".join([f"w{rng.randrange(10**6)}" for _ in range(8)] + ["head", "of", "page"] + [f"v{rng.randrange(3)}" for _ in range(9)])) for d in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    for hot_units in (5, 5_000):
+        got = substring.remove_repeats(docs, width=12, hot_units=hot_units).select("row.doc_id", "n_words", "n_removed", F.sha2("kept", 256)).collect()
+        assert sorted(map(tuple, got), key=repr) == brute(rows, 12)
+    groups = substring.repeated_spans(docs.select("text"), 12, hot_units=5, buckets=64).groupBy("key").count().count()
+    assert groups == len({r[0] for r in brute(rows, 12) if r[2]})
+
+
 def test_equal_hashes_of_different_words_are_told_apart(monkeypatch):
     monkeypatch.setattr(substring, "word_hashes", lambda words: np.zeros(len(words), np.uint64))
     string, offset = substring.repeated_windows([b"a b c d", b"b c d e", b"x y z"], np.array([1, 1, 1]), 3)
