@@ -24,7 +24,15 @@ def collected(keys: DataFrame, key: Column, *more: Column) -> tuple[bytes, list]
     return bytes(bits), parts
 
 
-def hits(bits: bytes, key: Column) -> Column:
-    """Whether the map has a key."""
-    byte = F.substring(F.lit(bits), (bit_of(key) / 8).cast("int") + 1, F.lit(1))
-    return F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), F.pmod(key, F.lit(8)).cast("int")) == 1
+def marked(rows: DataFrame, key: Column, keys: DataFrame, of: Column) -> DataFrame:
+    """rows with a column hit: whether `key` may be among the longs `of` of keys.
+
+    The map is a table of at most 256 rows of 4 KB, so it can be broadcast whatever
+    the keys; as a constant it would swell every plan.
+    """
+    at = bit_of(of) + 1
+    stretches = keys.groupBy(F.bitmap_bucket_number(at).alias("stretch")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+    place = F.bitmap_bit_position(bit_of(key) + 1)
+    byte = F.conv(F.hex(F.substring(F.col("bits"), (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False))
+    return rows.join(F.broadcast(stretches), F.bitmap_bucket_number(bit_of(key) + 1) == F.col("stretch"), "left").select(*rows.columns, hit.alias("hit"))

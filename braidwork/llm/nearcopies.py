@@ -191,11 +191,6 @@ def meetings(nodes: DataFrame) -> DataFrame:
     return packed.groupBy("part").applyInArrow(_meet, "a bigint, b bigint, bits tinyint").distinct()
 
 
-def _map_of(ids: DataFrame) -> Column:
-    """Whether a column tid may be among ids (tid)."""
-    return bitmap.hits(bitmap.collected(ids, F.col("tid"))[0], F.col("tid"))
-
-
 def alike(pairs: DataFrame, tids: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     """Those pairs (a, b) of sets that are alike; tids: (sid, tid), a text of each set; texts: (tid, text)."""
 
@@ -214,7 +209,7 @@ def alike(pairs: DataFrame, tids: DataFrame, texts: DataFrame, width: int) -> Da
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     ids = Written(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(tids, "sid").select("tid"), "ids")
-    some = texts.where(_map_of(ids.df)).join(ids.df, "tid", "left_semi").dropDuplicates(["tid"]).select("text")
+    some = bitmap.marked(texts, F.col("tid"), ids.df, F.col("tid")).where("hit").join(ids.df, "tid", "left_semi").dropDuplicates(["tid"]).select("text")
     sets = Written(bounded_batches(some).mapInArrow(run_sets, "sid bigint, s binary"), "sets")
     at = lambda c: sets.df.select(F.col("sid").alias(c), F.col("s").alias(f"s_{c}"))
     rows = pairs.select("a", "b").join(at("a"), "a").join(at("b"), "b").select("a", "b", "s_a", "s_b")
@@ -251,8 +246,8 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
     member = rooted.join(several, "root").select("key", "tid", (F.col("key").eqNullSafe(F.col("first.key")) & (F.col("tid") == F.col("first.tid"))).alias("stays"))
     member = Written(member.distinct(), "members").df
     own, tid = docs.columns, tid_of(text)
-    hit = _map_of(member.select("tid"))
-    rows = docs.select(F.struct(*own).alias("row"), F.col(key).alias("key"), tid.alias("tid")).withColumn("hit", hit)
+    rows = docs.select(F.struct(*own).alias("row"), F.col(key).alias("key"), tid.alias("tid"))
+    rows = bitmap.marked(rows, F.col("tid"), member.select("tid").distinct(), F.col("tid"))
     some = rows.where("hit").alias("r").join(member.alias("m"), F.col("r.key").eqNullSafe(F.col("m.key")) & (F.col("r.tid") == F.col("m.tid")), "left")
     some = some.where("m.stays is null or m.stays").select("r.row", "r.key", "r.tid", F.col("m.tid").isNull().alias("alone"))
     first = some.where("not alone").groupBy("key", "tid").agg(F.first("row").alias("row")).select("row")

@@ -340,9 +340,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", width: int = 35, **how)
     key = F.substring(F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)), 1, KEY_BYTES)
     spans = Written(repeated_spans(docs.select(F.col(text).alias("text")), width, **how), "spans").df
     by_text = Written(spans.groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans-by-text").df
-    has_spans = bitmap.hits(bitmap.collected(by_text, F.xxhash64("key"))[0], F.xxhash64("key"))
     others = [F.col(c) for c in docs.columns if c != text]
-    rows = docs.select(F.col(text).alias("text"), key.alias("key"), F.struct(*others, F.lit(0).alias("_")).alias("row")).withColumn("moves", has_spans)
-    moved = rows.where("moves").join(by_text, "key", "left").select("text", "spans", "row")
-    joined = rows.where("not moves").select("text", F.lit(None).cast(by_text.schema["spans"].dataType).alias("spans"), "row").union(moved)
+    rows = docs.select(F.col(text).alias("text"), key.alias("key"), F.struct(*others, F.lit(0).alias("_")).alias("row"))
+    rows = bitmap.marked(rows, F.xxhash64("key"), by_text, F.xxhash64("key"))
+    moved = rows.where("hit").join(by_text, "key", "left").select("text", "spans", "row")
+    joined = rows.where("not hit").select("text", F.lit(None).cast(by_text.schema["spans"].dataType).alias("spans"), "row").union(moved)
     return joined.mapInArrow(_strip, T.StructType([joined.schema["row"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())]))
