@@ -16,11 +16,15 @@ that meet are then held to the exact similarity.
   larger one, so that a large group of near copies is never listed as all its
   pairs.  Beyond LEADERS nodes a bucket is compared with its first LEADERS and
   with the node's own stretch, which is linear in the bucket.
+* Nodes that meet no other are done with.  Of the others the sets are made and
+  each shingle that only one of them has is counted: it can be in no
+  intersection, which bounds every pair's similarity exactly.  In a large group
+  of copies with edits of their own this leaves those that can be alike, and
+  only these meet again, under that bound.
 * First each node is held against the nearest node it met; what that links
   needs no more pairs.  Pairs whose nodes are apart afterwards come second.
 
-Sets are made only for texts of a pair.  Whole rows are moved only for texts
-that have a copy or a near copy.
+Whole rows are moved only for texts that have a copy or a near copy.
 
 Defined results: words are split and A-Z lower-cased as by SimHash; a text of
 fewer words than a shingle is one shingle, null and wordless texts are alike.
@@ -58,7 +62,8 @@ BLOCK_NODES, KEYS_PER_PART = 4_000, 500_000
 #: Buckets up to SMALL meet in all pairs; in larger ones a node meets so many; beyond LEADERS see above.
 SMALL, NEIGHBOURS, LEADERS = 16, 8, 4_096
 
-_NODE = np.dtype([("fp", "<u8", 2), ("sid", "<i8"), ("n", "<u4")])
+#: n: size of the set; c: how many of its shingles another set may have.
+_NODE = np.dtype([("fp", "<u8", 2), ("sid", "<i8"), ("n", "<u4"), ("c", "<u4")])
 
 
 def masks() -> list[tuple[int, int]]:
@@ -104,7 +109,7 @@ def _pack(parts: int):
             for begin in range(0, batch.num_rows, BLOCK_NODES):
                 rows = batch.slice(begin, BLOCK_NODES)
                 nodes = np.empty(rows.num_rows, _NODE)
-                nodes["sid"], nodes["n"] = rows.column(0).to_numpy(), rows.column(3).to_numpy()
+                nodes["sid"], nodes["n"], nodes["c"] = (rows.column(c).to_numpy() for c in (0, 3, 4))
                 for k in range(2):
                     nodes["fp"][:, k] = rows.column(1 + k).to_numpy().view(np.uint64)
                 key = ((nodes["fp"][:, words] & tables.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
@@ -124,8 +129,9 @@ def _pack(parts: int):
     return run
 
 
-def _alike_in_size(n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    return np.minimum(n, m).astype(np.int64) * NEAR[1] >= np.maximum(n, m).astype(np.int64) * NEAR[0]
+def _can_be_alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    most = np.minimum(x["c"], y["c"]).astype(np.int64)
+    return (NEAR[0] + NEAR[1]) * most >= NEAR[0] * (x["n"].astype(np.int64) + y["n"])
 
 
 def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -136,7 +142,8 @@ def met(key: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     """(a, b, differing bits) of rows of `nodes` that meet under a key and may be alike; see the module's text."""
     salt = (nodes["sid"].view(np.uint64) ^ (key.astype(np.uint64) >> np.uint64(24)) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
     order = np.argsort((key.astype(np.uint64) << np.uint64(32)) | (salt >> np.uint64(32)))
-    key, fp, n = key[order], nodes["fp"][order], nodes["n"][order]
+    key, nodes = key[order], nodes[order]
+    fp = nodes["fp"]
     begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
     size = np.diff(np.concatenate([begin, [len(key)]]))
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -148,7 +155,7 @@ def met(key: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
         if not len(rows):
             break
         bits = _apart(fp[rows], fp[rows + lag])
-        hit = (bits <= WITHIN) & _alike_in_size(n[rows], n[rows + lag])
+        hit = (bits <= WITHIN) & _can_be_alike(nodes[rows], nodes[rows + lag])
         out.append((rows[hit], rows[hit] + lag, bits[hit]))
     for s, e in zip(begin[size > SMALL].tolist(), (begin + size)[size > SMALL].tolist(), strict=True):
         for at in range(s, e, 256):
@@ -156,7 +163,7 @@ def met(key: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
             stretch = s + (at - s) // LEADERS * LEADERS
             others = np.concatenate([np.arange(s, min(s + LEADERS, stretch)), np.arange(stretch, mine[-1] + 1)])
             bits = _apart(fp[mine][:, None], fp[others][None, :])
-            bits[(others[None, :] >= mine[:, None]) | ~_alike_in_size(n[mine][:, None], n[others][None, :])] = 255
+            bits[(others[None, :] >= mine[:, None]) | ~_can_be_alike(nodes[mine][:, None], nodes[others][None, :])] = 255
             near = np.argpartition(bits, min(NEIGHBOURS, len(others)) - 1, axis=1)[:, :NEIGHBOURS]
             found = np.take_along_axis(bits, near, axis=1)
             r, c = np.nonzero(found <= WITHIN)
@@ -167,8 +174,8 @@ def met(key: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return order[a], order[b], bits
 
 
-def _meet(blocks: pa.Table) -> pa.Table:
-    """(a, b, bits): pairs of sets, each once, that meet in a part of the keys."""
+def _unpacked(blocks: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, bits) of all that meet in a part of the keys, as sids."""
     nodes, keys = [], []
     for k in range(blocks.num_rows):
         own = np.frombuffer(blocks.column("nodes")[k].as_py(), _NODE)
@@ -176,7 +183,12 @@ def _meet(blocks: pa.Table) -> pa.Table:
         keys.append(np.frombuffer(blocks.column("keys")[k].as_py(), "<u4"))
     nodes, key = np.concatenate(nodes), np.concatenate(keys)
     a, b, bits = met(key, nodes)
-    a, b = nodes["sid"][a], nodes["sid"][b]
+    return nodes["sid"][a], nodes["sid"][b], bits
+
+
+def _meet(blocks: pa.Table) -> pa.Table:
+    """(a, b, bits): pairs of sets, each once, that meet in a part of the keys."""
+    a, b, bits = _unpacked(blocks)
     low, high = np.minimum(a, b), np.maximum(a, b)
     order = np.lexsort((high, low))
     low, high, bits = low[order], high[order], bits[order]
@@ -184,54 +196,69 @@ def _meet(blocks: pa.Table) -> pa.Table:
     return pa.table([pa.array(low[new]), pa.array(high[new]), pa.array(bits[new].astype(np.int8))], names=["a", "b", "bits"])
 
 
-def meetings(nodes: DataFrame) -> DataFrame:
-    """(a, b, bits): pairs of nodes (sid, fp, fp2, n) that meet in a table."""
+def _company(blocks: pa.Table) -> pa.Table:
+    """Sets that meet another in a part of the keys."""
+    a, b, _ = _unpacked(blocks)
+    return pa.table([pa.array(np.unique(np.concatenate([a, b])))], names=["sid"])
+
+
+def packed(nodes: DataFrame):
+    """Blocks of nodes (sid, fp, fp2, n, c), grouped by part of the keys."""
     parts = max(1, nodes.count() * len(masks()) // KEYS_PER_PART)
-    packed = nodes.select("sid", "fp", "fp2", "n").mapInArrow(_pack(parts), "part int, nodes binary, keys binary, at binary")
-    return packed.groupBy("part").applyInArrow(_meet, "a bigint, b bigint, bits tinyint").distinct()
+    return nodes.select("sid", "fp", "fp2", "n", "c").mapInArrow(_pack(parts), "part int, nodes binary, keys binary, at binary").groupBy("part")
 
 
-def alike(pairs: DataFrame, tids: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """Those pairs (a, b) of sets that are alike; tids: (sid, tid), a text of each set; texts: (tid, text)."""
+def sets_of(nodes: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """(sid, s) of nodes (sid, tid): the shingles, from texts (tid, text)."""
 
-    def run_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [described(t, width) for t in as_bytes(batch.column(0))]
-            yield pa.RecordBatch.from_arrays([_longs([g[1] for g in got]), pa.array([g[2].tobytes() for g in got], pa.binary())], names=["sid", "s"])
+            ends = np.cumsum([0, *(len(g[2]) for g in got)], dtype=np.int32)
+            flat = np.concatenate([g[2] for g in got]).view(np.int64) if got else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([_longs([g[1] for g in got]), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["sid", "s"])
+
+    some = bitmap.marked(texts, F.col("tid"), nodes, F.col("tid")).where("hit").join(nodes.select("tid"), "tid", "left_semi").dropDuplicates(["tid"]).select("text")
+    return bounded_batches(some).mapInArrow(run, "sid bigint, s array<bigint>")
+
+
+def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those pairs (a, b) of sets (sid, s) that are alike."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             near = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                x, y = x.values.to_numpy().view(np.uint64), y.values.to_numpy().view(np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 near.append(NEAR[1] * both >= NEAR[0] * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    ids = Written(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(tids, "sid").select("tid"), "ids")
-    some = bitmap.marked(texts, F.col("tid"), ids.df, F.col("tid")).where("hit").join(ids.df, "tid", "left_semi").dropDuplicates(["tid"]).select("text")
-    sets = Written(bounded_batches(some).mapInArrow(run_sets, "sid bigint, s binary"), "sets")
-    at = lambda c: sets.df.select(F.col("sid").alias(c), F.col("s").alias(f"s_{c}"))
+    at = lambda c: sets.select(F.col("sid").alias(c), F.col("s").alias(f"s_{c}"))
     rows = pairs.select("a", "b").join(at("a"), "a").join(at("b"), "b").select("a", "b", "s_a", "s_b")
-    found = Written(bounded_batches(rows).mapInArrow(run, "a bigint, b bigint"), "alike")
-    sets.drop()
-    ids.drop()
-    return found.df
+    return Written(bounded_batches(rows).mapInArrow(run, "a bigint, b bigint"), "alike").df
 
 
 def links(nodes: DataFrame, texts: DataFrame, width: int = 5) -> DataFrame:
     """(a, b): pairs of nodes (sid, fp, fp2, n, tid) that are alike; their components are those of all pairs that met."""
-    pairs = Written(meetings(nodes), "pairs").df
-    tids = nodes.select("sid", "tid")
+    met_any = packed(nodes.withColumn("c", F.col("n"))).applyInArrow(_company, "sid bigint").distinct()
+    some = Written(nodes.join(met_any, "sid"), "company").df
+    sets = Written(sets_of(some, texts, width), "sets")
+    only = sets.df.select("sid", F.explode("s").alias("k")).groupBy("k").agg(F.min("sid").alias("sid"), F.max("sid").alias("z")).where("sid = z").groupBy("sid").agg(F.count("*").alias("own"))
+    live = some.join(only, "sid", "left").withColumn("c", F.expr("n - coalesce(own, 0)").cast("int")).where(F.col("c") * NEAR[1] >= F.col("n") * NEAR[0])
+    live = Written(live.select("sid", "fp", "fp2", "n", "c"), "live").df
+    pairs = Written(packed(live).applyInArrow(_meet, "a bigint, b bigint, bits tinyint").distinct(), "pairs").df
     ends = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), "bits").union(pairs.select("b", "a", "bits"))
     nearest = ends.groupBy("x").agg(F.min(F.struct("bits", "y")).alias("p")).select(F.least("x", "p.y").alias("a"), F.greatest("x", "p.y").alias("b")).distinct()
     tried = Written(nearest, "nearest").df
-    found = alike(tried, tids, texts, width)
+    found = alike(tried, sets.df)
     groups = Written(connected_components(found), "groups").df
     of = lambda c: groups.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}"))
     apart = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(c_a, a) <> coalesce(c_b, b)")
     rest = Written(apart.select("a", "b").join(tried, ["a", "b"], "left_anti"), "rest").df
-    return found.union(alike(rest, tids, texts, width))
+    found = found.union(alike(rest, sets.df))
+    sets.drop()
+    return found
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:
@@ -243,6 +270,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
     rooted = marked.join(groups.withColumnRenamed("node", "sid"), "sid", "left").select("key", "tid", F.coalesce("component", "sid").alias("root"))
     order = F.struct(F.col("key").isNull(), F.col("key"), F.col("tid"))
     several = rooted.groupBy("root").agg(F.count("*").alias("rows"), F.min(order).alias("first")).where("rows > 1")
+    several = Written(several, "several").df  # so that a root with many rows can be split among tasks
     member = rooted.join(several, "root").select("key", "tid", (F.col("key").eqNullSafe(F.col("first.key")) & (F.col("tid") == F.col("first.tid"))).alias("stays"))
     member = Written(member.distinct(), "members").df
     own, tid = docs.columns, tid_of(text)

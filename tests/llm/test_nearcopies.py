@@ -50,7 +50,8 @@ def test_large_buckets_hold_together():
     base = rng.integers(0, 1 << 63, (7, 2)).astype(np.uint64)
     noise = np.array([[sum(1 << int(p) for p in rng.choice(64, 4, False)) for _ in range(2)] for _ in range(700)], np.uint64)
     nodes["fp"], nodes["sid"], nodes["n"] = base[np.arange(700) % 7] ^ noise, np.arange(700), 100
-    nodes["n"][699] = 200
+    nodes["c"] = nodes["n"]
+    nodes["c"][699] = 80
     for key in (np.zeros(700, np.uint32), (np.arange(700) // 350).astype(np.uint32)):
         a, b, bits = nearcopies.met(key, nodes)
         assert len(a) <= 8 * 700 and (key[a] == key[b]).all() and (bits == nearcopies._apart(nodes["fp"][a], nodes["fp"][b])).all() and bits.max() <= nearcopies.WITHIN
@@ -68,6 +69,20 @@ def test_groups_are_those_of_all_pairs(spark):
     assert sorted(r.doc_id for r in got.collect()) == kept_by_all_pairs(rows)
 
 
+def test_copies_with_edits_of_their_own(spark):
+    """A large group round one text: some copies are near it, most are too far from all."""
+    rng = random.Random(2)
+    base = [f"b{k}" for k in range(120)]
+    rows = [(0, " ".join(base))]
+    for d in range(1, 200):
+        words = list(base)
+        for at in rng.sample(range(2, 118), rng.randrange(1, 9)):
+            words[at] = f"e{rng.randrange(10**9)}"
+        rows.append((d, " ".join(words)))
+    got = nearcopies.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted(r.doc_id for r in got.collect()) == kept_by_all_pairs(rows)
+
+
 def test_no_near_copy_stays_in_the_pipeline(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
