@@ -150,11 +150,33 @@ def source_sink_paths(segments: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def append(segments: DataFrame, links: DataFrame, more_segments: DataFrame, more_links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One graph of both; the second one's ids are shifted past the first one's."""
-    shift = segments.agg(F.coalesce(F.max("node_id"), F.lit(0))).first()[0]
+    """One graph of both; the second one's node and link ids are shifted past the first one's."""
+    segments, links, _ = append_with_paths(segments, links, None, more_segments, more_links, None)
+    return segments, links
+
+
+def append_with_paths(segments: DataFrame, links: DataFrame, paths: DataFrame | None, more_segments: DataFrame, more_links: DataFrame, more_paths: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """One graph of both with the paths of both; see append.
+
+    Names that the first graph has too get "/" and their new id, so that names
+    stay unique; a path of a name that the first graph has goes on as "name/2".
+    """
+    top = lambda df, c: df.agg(F.coalesce(F.max(c), F.lit(0))).first()[0]
+    shift, link_shift = top(segments, "node_id"), top(links, "link_id") if "link_id" in links.columns else 0
     moved = more_segments.withColumn("node_id", F.col("node_id") + shift)
+    if "name" in segments.columns and "name" in moved.columns:
+        taken = segments.select("name", F.lit(True).alias("_taken")).distinct()
+        moved = moved.join(taken, "name", "left").withColumn("name", F.when(F.col("_taken"), F.concat_ws("/", "name", F.col("node_id").cast("string"))).otherwise(F.col("name"))).drop("_taken")
     moved_links = more_links.withColumns({"src": F.col("src") + shift, "dst": F.col("dst") + shift})
-    return segments.unionByName(moved, allowMissingColumns=True), links.unionByName(moved_links, allowMissingColumns=True)
+    if "link_id" in more_links.columns:
+        moved_links = moved_links.withColumn("link_id", F.col("link_id") + link_shift)
+    if more_paths is not None:
+        more_paths = more_paths.withColumn("node_id", F.col("node_id") + shift)
+        if paths is not None:
+            taken = paths.select("path", F.lit(True).alias("_taken")).distinct()
+            more_paths = more_paths.join(taken, "path", "left").withColumn("path", F.when(F.col("_taken"), F.concat("path", F.lit("/2"))).otherwise(F.col("path"))).drop("_taken")
+            more_paths = paths.unionByName(more_paths, allowMissingColumns=True)
+    return segments.unionByName(moved, allowMissingColumns=True), links.unionByName(moved_links, allowMissingColumns=True), paths if more_paths is None else more_paths
 
 
 def chop(segments: DataFrame, most: int) -> DataFrame:
@@ -199,7 +221,10 @@ def unchop(segments: DataFrame, links: DataFrame) -> DataFrame:
     has = arcs.select(F.col("n").alias("h"))
     starts = found.select(F.col("node").alias("h"), "component").join(has, "h", "left_anti").select("component").distinct()
     circle = found.select("component").distinct().join(starts, "component", "left_anti")
-    arcs = Written(arcs.join(circle.withColumnRenamed("component", "n"), "n", "left_anti").select("h", "n"), "arcs").df
+    # Its mirror image, whose smallest handle is odd, is cut at the same link.
+    begin = circle.where("component % 2 = 0").select(F.col("component").alias("n"))
+    arcs = arcs.join(begin, "n", "left_anti").join(begin.select(flipped("n").alias("h")), "h", "left_anti")
+    arcs = Written(arcs.select("h", "n"), "arcs").df
     back = handles.join(arcs.select(F.col("n").alias("h"), F.col("h").alias("p")), "h", "left")
     state = Written(back.select("h", F.coalesce("p", "h").alias("to"), F.when(F.col("p").isNull(), 0).otherwise(1).cast("long").alias("d")), "chain").df
     while True:
@@ -219,6 +244,16 @@ def unchop(segments: DataFrame, links: DataFrame) -> DataFrame:
     return rows.groupBy("first").agg(steps.alias("x")).select(F.col("first").alias("chain"), F.array_join(F.transform("x", lambda s: s["s"]), "").alias("sequence"), F.transform("x", lambda s: s["h"]).alias("nodes"))
 
 
+def unchop_graph(segments: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(chains, links): runs as unchop gives them, and the links between runs, (src, src_rev, dst, dst_rev) with chains as ends."""
+    chains = Written(unchop(segments, links), "chains").df
+    first, last = F.element_at("nodes", 1), F.element_at("nodes", -1)
+    begin = chains.select(first.alias("n"), F.col("chain").alias("dst"), F.lit(False).alias("dst_rev")).union(chains.select(flipped(last), "chain", F.lit(True)))
+    end = chains.select(last.alias("h"), F.col("chain").alias("src"), F.lit(False).alias("src_rev")).union(chains.select(flipped(first), "chain", F.lit(True)))
+    arcs = links.select(handle("src", "src_rev").alias("h"), handle("dst", "dst_rev").alias("n"))
+    return chains, arcs.join(end, "h").join(begin, "n").select("src", "src_rev", "dst", "dst_rev").distinct()
+
+
 def path_offsets(steps: DataFrame) -> DataFrame:
     """steps (path, ord, size, ...) with begin and end of each step on its path."""
     order = Window.partitionBy("path").orderBy("ord")

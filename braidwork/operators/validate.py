@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,9 +14,7 @@ from braidwork.shared import Written
 
 
 def not_blunt(links: DataFrame) -> DataFrame:
-    """Links with an overlap; links without a cigar have none."""
-    if "cigar" not in links.columns:
-        return links.limit(0)
+    """Links with an overlap or with a cigar that can't be read."""
     ops = cigar.parse("cigar")
     return links.where(F.coalesce((cigar.ref_length(ops) > 0) | (cigar.query_length(ops) > 0), F.lit(True)))
 
@@ -58,14 +58,14 @@ def node_arcs(steps: DataFrame, links: DataFrame) -> DataFrame:
     return joined.join(arcs, ["src", "src_rev", "dst", "dst_rev"], "left_semi").select("node", "a", "b")
 
 
-def spelled(steps: DataFrame, links: DataFrame, pieces: DataFrame, parents: DataFrame, most: int = 100_000) -> DataFrame:
+def spelled(steps: DataFrame, links: DataFrame, pieces: DataFrame, parents: DataFrame) -> DataFrame:
     """(name, sequence): what a walk of linked pieces from each parent's first base to its last one spells; null if there is none."""
     at = F.struct("piece", "rev", "lo", "hi")
     seqs = pieces.select(F.col("name").alias("piece"), "sequence")
     own = Written(steps.select("node", "piece", "rev", "lo", "hi").distinct().join(seqs, "piece").select("node", at.alias("b"), oriented("sequence", "rev").alias("s")), "own").df
     arcs = Written(node_arcs(steps, links).join(own, ["node", "b"]), "arcs").df
     seen = Written(own.where("b.lo = 0").select("node", F.col("b").alias("at"), F.col("s").alias("text"), F.lit(0).alias("k")), "walks").df
-    for k in range(1, most):
+    for k in count(1):  # ends, as no (node, step) is reached twice
         rim = seen.where(F.col("k") == k - 1)
         fresh = rim.join(arcs.withColumnRenamed("a", "at"), ["node", "at"]).select("node", F.col("b").alias("at"), F.concat("text", "s").alias("text"))
         fresh = fresh.groupBy("node", "at").agg(F.min("text").alias("text")).join(seen.select("node", "at"), ["node", "at"], "left_anti").withColumn("k", F.lit(k))
@@ -103,7 +103,7 @@ def new_adjacencies(steps: DataFrame, groups: DataFrame) -> DataFrame:
     return met.withColumns({"p": F.least("l_side", "r_side"), "q": F.greatest("l_side", "r_side")}).join(known, ["p", "q"], "left_anti").select("l_side", "r_side")
 
 
-def two_hops(steps: DataFrame, links: DataFrame, groups: DataFrame, most: int = 10_000) -> DataFrame:
+def two_hops(steps: DataFrame, links: DataFrame, groups: DataFrame) -> DataFrame:
     """(first, second): pairs of overlap links that enter and leave a node by different ends and whose walk the blunted graph has.
 
     The walk goes from a piece shared over the one link along the node's steps
@@ -116,7 +116,7 @@ def two_hops(steps: DataFrame, links: DataFrame, groups: DataFrame, most: int =
     on = steps.where("biclique_id is not null").select("biclique_id", "side", "node", "kind", "piece", at.alias("at")).distinct()
     met = Written(members.join(on, ["biclique_id", "side"]).join(shared, ["link_id", "piece"], "left_semi").select("node", "kind", "link_id", "at"), "met").df
     seen = Written(met.where("kind = 'L'").select("node", F.col("link_id").alias("first"), "at").distinct().withColumn("k", F.lit(0)), "reach").df
-    for k in range(1, most):
+    for k in count(1):  # ends, as no (node, link, step) is reached twice
         on_ = seen.where(F.col("k") == k - 1).join(arcs.withColumnRenamed("a", "at"), ["node", "at"]).select("node", "first", F.col("b").alias("at")).distinct()
         fresh = Written(on_.join(seen.select("node", "first", "at"), ["node", "first", "at"], "left_anti").withColumn("k", F.lit(k)), "reach").df
         if not fresh.limit(1).count():

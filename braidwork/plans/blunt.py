@@ -20,7 +20,7 @@ log = logging.getLogger(__name__)
 class Blunted(NamedTuple):
     #: name, sequence
     segments: DataFrame
-    #: src, src_rev, dst, dst_rev: names, without overlaps
+    #: src, src_rev, dst, dst_rev: names; without overlaps, so without a cigar until they are written
     links: DataFrame
     #: node, lo, hi, piece, rev, kind, biclique_id, side
     steps: DataFrame

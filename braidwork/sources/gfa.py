@@ -26,7 +26,7 @@ class Graph(NamedTuple):
     links: DataFrame
     #: line_no, record, reason
     rejects: DataFrame
-    #: path, ord, node_id, rev
+    #: path, ord, node_id, rev, overlap: the cigar given for the step to the next node, if any
     paths: DataFrame | None = None
 
 
@@ -50,10 +50,11 @@ def parse_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     rows = lines.select("line_no", F.col("value").alias("record"), fields.alias("f"))
     at = lambda k: F.get("f", F.lit(k))
     name = lambda k: F.regexp_replace(F.coalesce(at(k), F.lit("")), "\\s", "")
-    tags = F.map_from_entries(F.transform(F.filter(F.slice("f", 4, 1_000), lambda t: t.rlike("^[A-Za-z0-9]{2}:[A-Za-z]:")), lambda t: F.struct(F.left(t, F.lit(2)), F.regexp_replace(t, "^..:.:", ""))))
+    entries = F.transform(F.filter(F.slice("f", F.lit(4), F.size("f")), lambda t: t.rlike("^[A-Za-z0-9]{2}:[A-Za-z]:")), lambda t: F.struct(F.left(t, F.lit(2)).alias("k"), F.regexp_replace(t, "^..:.:", "").alias("v")))
+    tags = F.aggregate(entries, F.create_map().cast("map<string,string>"), lambda m, e: F.when(F.map_contains_key(m, e["k"]), m).otherwise(F.map_concat(m, F.create_map(e["k"], e["v"]))))  # of equal tags the first
     segments = rows.where(at(0) == "S").select("line_no", "record", name(1).alias("name"), F.coalesce(at(2), F.lit("")).alias("sequence"), tags.alias("tags"))
     links = rows.where(at(0) == "L").select("line_no", "record", name(1).alias("src_name"), (at(2) == "-").alias("src_rev"), name(3).alias("dst_name"), (at(4) == "-").alias("dst_rev"), at(5).alias("cigar"))
-    paths = rows.where(at(0) == "P").select("line_no", name(1).alias("path"), at(2).alias("steps"))
+    paths = rows.where(at(0) == "P").select("line_no", "record", name(1).alias("path"), at(2).alias("steps"), at(3).alias("overlaps"))
     return segments, links, paths
 
 
@@ -120,12 +121,22 @@ def parse_gfa(lines: DataFrame, with_paths: bool = False) -> Graph:
     links, bad_links = checked_links(link_rows, segments)
     paths = None
     if with_paths:
-        steps = path_rows.select("path", F.posexplode(F.split("steps", ",")).alias("ord", "step"))
-        steps = steps.select("path", "ord", F.regexp_replace(F.regexp_replace("step", "[+-]\\s*$", ""), "\\s", "").alias("name"), F.col("step").rlike("-\\s*$").alias("rev"))
-        paths = steps.join(segments.select("name", "node_id"), "name").select("path", "ord", "node_id", "rev")
+        paths, bad_paths = checked_paths(path_rows, segments)
+        bad_links = bad_links.union(bad_paths)
     return Graph(segments, links, bad_segments.union(bad_links), paths)
 
 
+def checked_paths(records: DataFrame, segments: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(steps, rejects): a path with a step whose segment isn't there is set aside as a whole."""
+    steps = records.select("line_no", "path", "overlaps", F.posexplode(F.split(F.coalesce("steps", F.lit("")), ",")).alias("ord", "step"))
+    steps = steps.withColumn("name", F.regexp_replace(F.regexp_replace("step", "[+-]\\s*$", ""), "\\s", "")).withColumn("rev", F.col("step").rlike("-\\s*$"))
+    steps = steps.join(segments.select("name", "node_id"), "name", "left")
+    unknown = steps.where("node_id is null").select("line_no").distinct()
+    overlap = F.get(F.split("overlaps", ","), F.col("ord"))
+    good = steps.join(unknown, "line_no", "left_anti").select("path", "ord", "node_id", "rev", F.when(overlap != "*", overlap).alias("overlap"))
+    return good, records.join(unknown, "line_no", "left_semi").select("line_no", "record", F.lit("path with unknown segment").alias("reason"))
+
+
 def read_gfa(spark: SparkSession, path: str, with_paths: bool = False) -> Graph:
     """The graph of a GFA file (plain or compressed, on any file system)."""
     return parse_gfa(numbered_lines(spark, path), with_paths)

@@ -13,7 +13,7 @@ def test_walks_of_any_length(spark):
 
 def test_walks_of_the_whole_graph(spark):
     sf = "/root/testdata/sf0.001"
-    got = {r.path for r in registry.QUERIES["source_sink_paths_whole"](spark, sf).collect()}
+    got = {r.path for r in registry.QUERIES["source_sink_paths"](spark, sf).collect()}
     g = synth.graph(spark, sf, "J")
     links = {(r.src, r.dst) for r in g.links.collect()}
     linked = {v for e in links for v in e}
