@@ -48,13 +48,16 @@ class Rule(NamedTuple):
 #: Patterns are over the normal form, between spaces.
 SIGNATURES = [
     # Creative Commons
-    ("creative commons", r"creative commons attribution noncommercial noderiv(?:ative)?s(?: works)? {v}(?: international| unported| generic)?(?: public)?(?: licen[sc]e)?", 1, "cc-by-nc-nd-{v}", "1.0 2.0 2.5 3.0 4.0"),
+    ("creative commons", r"creative commons attribution non ?commercial no ?deriv(?:ative)?s?(?: works)? {v}(?: international| unported| generic)?(?: public)?(?: licen[sc]e)?", 1, "cc-by-nc-nd-{v}", "1.0 2.0 2.5 3.0 4.0"),
     ("creative commons", r"creative commons attribution non ?commercial share ?alike {v}(?: international| unported| generic)?(?: public)?(?: licen[sc]e)?", 1, "cc-by-nc-sa-{v}", "1.0 2.0 2.5 3.0 4.0"),
     ("creative commons", r"creative commons attribution non ?commercial {v}(?: international| unported| generic)?(?: public)?(?: licen[sc]e)?", 1, "cc-by-nc-{v}", "1.0 2.0 2.5 3.0 4.0"),
-    ("creative commons", r"creative commons attribution no ?deriv(?:ative)?s(?: works)? {v}(?: international| unported| generic)?(?: public)?(?: licen[sc]e)?", 1, "cc-by-nd-{v}", "1.0 2.0 2.5 3.0 4.0"),
+    ("creative commons", r"creative commons attribution no ?deriv(?:ative)?s?(?: works)? {v}(?: international| unported| generic)?(?: public)?(?: licen[sc]e)?", 1, "cc-by-nd-{v}", "1.0 2.0 2.5 3.0 4.0"),
     ("creative commons", r"creative commons attribution share ?alike {v}(?: international| unported| generic)?(?: public)?(?: licen[sc]e)?", 1, "cc-by-sa-{v}", "1.0 2.0 2.5 3.0 4.0"),
     ("creative commons", r"creative commons attribution {v}(?: international| unported| generic)?(?: public)?(?: licen[sc]e)?", 1, "cc-by-{v}", "1.0 2.0 2.5 3.0 4.0"),
+    ("creative commons", r"creative commons attribution non ?commercial no ?deriv(?:ative)?s?(?: works)?(?: licen[sc]e)?", 2, "cc-by-nc-nd", ""),
+    ("creative commons", r"creative commons attribution non ?commercial share ?alike(?: licen[sc]e)?", 2, "cc-by-nc-sa", ""),
     ("creative commons", r"creative commons attribution non ?commercial(?: licen[sc]e)?", 2, "cc-by-nc", ""),
+    ("creative commons", r"creative commons attribution no ?deriv(?:ative)?s?(?: works)?(?: licen[sc]e)?", 2, "cc-by-nd", ""),
     ("creative commons", r"creative commons attribution share ?alike(?: licen[sc]e)?", 2, "cc-by-sa", ""),
     ("creative commons", r"creative commons attribution(?: licen[sc]e)?", 2, "cc-by", ""),
     ("creative commons", r"creative commons (?:zero|cc0)(?: 1 0)?(?: universal)?", 1, "cc0-1.0", ""),
@@ -81,27 +84,27 @@ SIGNATURES = [
     ("creativecommons", r"creativecommons org publicdomain zero 1 0", 1, "cc0-1.0", ""),
     ("creativecommons", r"creativecommons org publicdomain mark 1 0", 1, "public-domain-mark", ""),
     # GNU
-    ("general public licen", r"(?:gnu )?affero general public licen[sc]e(?: as published by the free software foundation)?(?: either)? v(?:ersion )?{v} or (?:any )?later(?: version)?", 1, "agpl-{v}-or-later", "1.0 3.0"),
-    ("general public licen", r"(?:gnu )?lesser general public licen[sc]e(?: as published by the free software foundation)?(?: either)? v(?:ersion )?{v} or (?:any )?later(?: version)?", 1, "lgpl-{v}-or-later", "2.1 3.0"),
-    ("general public licen", r"(?:gnu )?library general public licen[sc]e(?: as published by the free software foundation)?(?: either)? v(?:ersion )?{v}(?: or (?:any )?later(?: version)?)?", 1, "lgpl-{v}", "2.0 2.1"),
-    ("general public licen", r"(?:gnu )?general public licen[sc]e(?: as published by the free software foundation)?(?: either)? v(?:ersion )?{v} or (?:any )?later(?: version)?", 1, "gpl-{v}-or-later", "1.0 2.0 3.0"),
-    ("general public licen", r"(?:gnu )?affero general public licen[sc]e v(?:ersion )?{v}", 1, "agpl-{v}", "1.0 3.0"),
-    ("general public licen", r"(?:gnu )?lesser general public licen[sc]e v(?:ersion )?{v}", 1, "lgpl-{v}", "2.1 3.0"),
-    ("general public licen", r"(?:gnu )?general public licen[sc]e v(?:ersion )?{v}", 1, "gpl-{v}", "1.0 2.0 3.0"),
+    ("general public licen", r"(?:gnu )?affero general public licen[sc]e(?: as published by the free software foundation)?(?: either)? v(?:ersion)? ?{v} or (?:any )?later(?: version)?", 1, "agpl-{v}-or-later", "1.0 3.0"),
+    ("general public licen", r"(?:gnu )?lesser general public licen[sc]e(?: as published by the free software foundation)?(?: either)? v(?:ersion)? ?{v} or (?:any )?later(?: version)?", 1, "lgpl-{v}-or-later", "2.1 3.0"),
+    ("general public licen", r"(?:gnu )?library general public licen[sc]e(?: as published by the free software foundation)?(?: either)? v(?:ersion)? ?{v}(?: or (?:any )?later(?: version)?)?", 1, "lgpl-{v}", "2.0 2.1"),
+    ("general public licen", r"(?:gnu )?general public licen[sc]e(?: as published by the free software foundation)?(?: either)? v(?:ersion)? ?{v} or (?:any )?later(?: version)?", 1, "gpl-{v}-or-later", "1.0 2.0 3.0"),
+    ("general public licen", r"(?:gnu )?affero general public licen[sc]e v(?:ersion)? ?{v}", 1, "agpl-{v}", "1.0 3.0"),
+    ("general public licen", r"(?:gnu )?lesser general public licen[sc]e v(?:ersion)? ?{v}", 1, "lgpl-{v}", "2.1 3.0"),
+    ("general public licen", r"(?:gnu )?general public licen[sc]e v(?:ersion)? ?{v}", 1, "gpl-{v}", "1.0 2.0 3.0"),
     ("general public licen", r"(?:gnu )?affero general public licen[sc]e", 2, "agpl", ""),
     ("general public licen", r"(?:gnu )?lesser general public licen[sc]e", 2, "lgpl", ""),
     ("general public licen", r"gnu general public licen[sc]e", 2, "gpl", ""),
     ("general public licen", r"general public licen[sc]e", 3, "gpl", ""),
-    ("gpl", r"a ?gpl ?v?{v} or later", 1, "agpl-{v}-or-later", "3.0"),
-    ("gpl", r"lgpl ?v?{v} or later", 1, "lgpl-{v}-or-later", "2.1 3.0"),
-    ("gpl", r"gpl ?v?{v} or later", 1, "gpl-{v}-or-later", "1.0 2.0 3.0"),
+    ("gpl", r"agpl ?v?{v} or (?:any )?later", 1, "agpl-{v}-or-later", "3.0"),
+    ("gpl", r"lgpl ?v?{v} or (?:any )?later", 1, "lgpl-{v}-or-later", "2.1 3.0"),
+    ("gpl", r"gpl ?v?{v} or (?:any )?later", 1, "gpl-{v}-or-later", "1.0 2.0 3.0"),
     ("gpl", r"agpl ?v?{v}(?: only)?", 1, "agpl-{v}", "1.0 3.0"),
     ("gpl", r"lgpl ?v?{v}(?: only)?", 1, "lgpl-{v}", "2.0 2.1 3.0"),
     ("gpl", r"gpl ?v?{v}(?: only)?", 1, "gpl-{v}", "1.0 2.0 3.0"),
     ("gpl", r"(?:gnu )?agpl", 3, "agpl", ""),
     ("gpl", r"(?:gnu )?lgpl", 3, "lgpl", ""),
     ("gpl", r"(?:gnu )?gpl", 3, "gpl", ""),
-    ("free documentation licen", r"(?:gnu )?free documentation licen[sc]e v(?:ersion )?{v}", 1, "gfdl-{v}", "1.1 1.2 1.3"),
+    ("free documentation licen", r"(?:gnu )?free documentation licen[sc]e v(?:ersion)? ?{v}", 1, "gfdl-{v}", "1.1 1.2 1.3"),
     ("free documentation licen", r"(?:gnu )?free documentation licen[sc]e", 2, "gfdl", ""),
     # Permissive
     ("mit licen", r"(?:the )?mit licen[sc]e", 2, "mit", ""),
@@ -109,8 +112,9 @@ SIGNATURES = [
     ("permission is hereby granted", r"permission is hereby granted without written agreement", 3, "permissive", ""),
     ("permission to use copy modify", r"permission to use copy modify and or distribute this software for any purpose with or without fee", 2, "isc", ""),
     ("permission to use copy modify", r"permission to use copy modify and distribute this software", 3, "hpnd", ""),
-    ("apache", r"apache(?: software)? licen[sc]e v(?:ersion )?{v}", 1, "apache-{v}", "1.0 1.1 2.0"),
-    ("apache", r"apache(?: licen[sc]e)? {v}", 1, "apache-{v}", "1.0 1.1 2.0"),
+    ("apache", r"apache(?: software)? licen[sc]e v(?:ersion)? ?{v}", 1, "apache-{v}", "1.0 1.1 2.0"),
+    ("apache", r"apache(?: software)? licen[sc]e {v}", 1, "apache-{v}", "1.0 1.1 2.0"),
+    ("apache", r"apache 2 0(?: licen[sc]e)?", 1, "apache-2.0", ""),
     ("apache", r"apache org licenses license {v}", 1, "apache-{v}", "1.1 2.0"),
     ("apache", r"apache(?: software)? licen[sc]e", 2, "apache", ""),
     ("bsd", r"bsd (?:2|two) clause(?: licen[sc]e)?", 1, "bsd-2-clause", ""),
@@ -126,40 +130,45 @@ SIGNATURES = [
     ("isc licen", r"(?:the )?isc licen[sc]e", 2, "isc", ""),
     ("zlib", r"zlib libpng licen[sc]e", 2, "zlib", ""),
     ("zlib", r"(?:the )?zlib licen[sc]e", 2, "zlib", ""),
-    ("boost software", r"boost software licen[sc]e(?: v(?:ersion )?1(?: 0)?)?", 1, "bsl-1.0", ""),
+    ("boost software", r"boost software licen[sc]e(?: v(?:ersion)? ?1(?: 0)?)?", 1, "bsl-1.0", ""),
     ("unlicen", r"(?:the )?unlicen[sc]e", 2, "unlicense", ""),
     ("wtfpl", r"wtfpl", 2, "wtfpl", ""),
     ("public domain", r"(?:released|placed|dedicated|put) (?:in)?to the public domain", 2, "public-domain", ""),
     ("public domain", r"public domain dedication and licen[sc]e", 1, "pddl-1.0", ""),
     ("public domain", r"(?:in )?the public domain", 3, "public-domain", ""),
     # Weak copyleft and others
-    ("mozilla", r"mozilla public licen[sc]e v(?:ersion )?{v}", 1, "mpl-{v}", "1.0 1.1 2.0"),
+    ("mozilla", r"mozilla public licen[sc]e v(?:ersion)? ?{v}", 1, "mpl-{v}", "1.0 1.1 2.0"),
     ("mozilla", r"mozilla public licen[sc]e {v}", 1, "mpl-{v}", "1.0 1.1 2.0"),
     ("mozilla", r"mozilla public licen[sc]e", 2, "mpl", ""),
     ("mpl", r"mpl ?v?{v}", 1, "mpl-{v}", "1.0 1.1 2.0"),
-    ("eclipse", r"eclipse public licen[sc]e v(?:ersion )?{v}", 1, "epl-{v}", "1.0 2.0"),
+    ("eclipse", r"eclipse public licen[sc]e v(?:ersion)? ?{v}", 1, "epl-{v}", "1.0 2.0"),
     ("eclipse", r"eclipse public licen[sc]e {v}", 1, "epl-{v}", "1.0 2.0"),
     ("eclipse", r"eclipse public licen[sc]e", 2, "epl", ""),
-    ("eclipse", r"eclipse distribution licen[sc]e(?: v(?:ersion )?1 0)?", 1, "edl-1.0", ""),
-    ("european union", r"european union public licen[sc]e v(?:ersion )?{v}", 1, "eupl-{v}", "1.0 1.1 1.2"),
+    ("eclipse", r"eclipse distribution licen[sc]e(?: v(?:ersion)? ?1 0)?", 1, "edl-1.0", ""),
+    ("european union", r"european union public licen[sc]e v(?:ersion)? ?{v}", 1, "eupl-{v}", "1.0 1.1 1.2"),
     ("european union", r"european union public licen[sc]e", 2, "eupl", ""),
-    ("common development", r"common development and distribution licen[sc]e(?: v(?:ersion )?{v})?", 1, "cddl-{v}", "1.0 1.1"),
-    ("common public", r"common public licen[sc]e(?: v(?:ersion )?{v})?", 1, "cpl-{v}", "1.0"),
-    ("artistic", r"artistic licen[sc]e v(?:ersion )?{v}", 1, "artistic-{v}", "1.0 2.0"),
+    ("common development", r"common development and distribution licen[sc]e (?:v(?:ersion)? ?)?{v}", 1, "cddl-{v}", "1.0 1.1"),
+    ("common development", r"common development and distribution licen[sc]e", 2, "cddl", ""),
+    ("common public", r"common public licen[sc]e (?:v(?:ersion)? ?)?{v}", 1, "cpl-{v}", "1.0"),
+    ("common public", r"common public licen[sc]e", 2, "cpl", ""),
+    ("artistic", r"artistic licen[sc]e v(?:ersion)? ?{v}", 1, "artistic-{v}", "1.0 2.0"),
     ("artistic", r"artistic licen[sc]e {v}", 1, "artistic-{v}", "1.0 2.0"),
     ("artistic", r"artistic licen[sc]e", 2, "artistic", ""),
-    ("open font", r"(?:sil )?open font licen[sc]e(?: v(?:ersion )?{v})?", 1, "ofl-{v}", "1.0 1.1"),
-    ("open database", r"open database licen[sc]e(?: v(?:ersion )?1 0)?", 1, "odbl-1.0", ""),
+    ("open font", r"(?:sil )?open font licen[sc]e (?:v(?:ersion)? ?)?{v}", 1, "ofl-{v}", "1.0 1.1"),
+    ("open font", r"(?:sil )?open font licen[sc]e", 2, "ofl", ""),
+    ("open database", r"open database licen[sc]e(?: v(?:ersion)? ?1 0)?", 1, "odbl-1.0", ""),
     ("open data commons", r"open data commons attribution licen[sc]e", 1, "odc-by-1.0", ""),
-    ("open government", r"open government licen[sc]e v(?:ersion )?{v}", 1, "ogl-{v}", "1.0 2.0 3.0"),
+    ("open government", r"open government licen[sc]e v(?:ersion)? ?{v}", 1, "ogl-{v}", "1.0 2.0 3.0"),
     ("open government", r"open government licen[sc]e", 2, "ogl", ""),
-    ("python software", r"python software foundation licen[sc]e(?: v(?:ersion )?2)?", 2, "psf-2.0", ""),
-    ("academic free", r"academic free licen[sc]e(?: v(?:ersion )?{v})?", 1, "afl-{v}", "1.1 2.0 2.1 3.0"),
-    ("open software licen", r"open software licen[sc]e(?: v(?:ersion )?{v})?", 1, "osl-{v}", "1.0 2.0 2.1 3.0"),
+    ("python software", r"python software foundation licen[sc]e(?: v(?:ersion)? ?2)?", 2, "psf-2.0", ""),
+    ("academic free", r"academic free licen[sc]e (?:v(?:ersion)? ?)?{v}", 1, "afl-{v}", "1.1 2.0 2.1 3.0"),
+    ("academic free", r"academic free licen[sc]e", 2, "afl", ""),
+    ("open software licen", r"open software licen[sc]e (?:v(?:ersion)? ?)?{v}", 1, "osl-{v}", "1.0 2.0 2.1 3.0"),
+    ("open software licen", r"open software licen[sc]e", 2, "osl", ""),
     ("microsoft", r"microsoft public licen[sc]e", 2, "ms-pl", ""),
     ("microsoft", r"microsoft reciprocal licen[sc]e", 2, "ms-rl", ""),
     ("business source", r"business source licen[sc]e(?: 1 1)?", 1, "busl-1.1", ""),
-    ("server side public", r"server side public licen[sc]e(?: v(?:ersion )?1)?", 1, "sspl-1.0", ""),
+    ("server side public", r"server side public licen[sc]e(?: v(?:ersion)? ?1)?", 1, "sspl-1.0", ""),
     ("elastic licen", r"elastic licen[sc]e(?: v?2(?: 0)?)?", 1, "elastic-2.0", ""),
     ("openrail", r"(?:creativeml |bigscience )?openrail(?: m| s)?(?: licen[sc]e)?", 2, "openrail", ""),
     ("commons clause", r"commons clause(?: licen[sc]e)?(?: condition)?", 2, "commons-clause", ""),
@@ -181,8 +190,9 @@ SPDX = "mit isc zlib unlicense 0bsd wtfpl apache-2.0 bsd-2-clause bsd-3-clause b
 
 
 def _version(v: str) -> str:
+    """Words of a version; the zero is optional unless another digit stands there ("2 4" is no 2.0)."""
     major, _, minor = v.partition(".")
-    return f"{major}(?: 0)?" if minor == "0" else f"{major} {minor}"
+    return (f"{major}(?: 0)?" if minor == "0" else f"{major} {minor}") + "(?! [0-9] )"
 
 
 def default_rules() -> list[Rule]:

@@ -49,6 +49,34 @@ def test_scan_is_the_plain_scan(spark):
     assert got == sorted(((d, *plain(t)) for d, t in rows), key=repr)
 
 
+#: Sentences and the labels that a reader would give them, written without a look at the rules.
+WANTED = {
+    "Distributed under a GPL v3 or later licence.": "gpl-3.0-or-later",
+    "It runs behind Apache 2.4 as web server.": "",
+    "Licensed under the Apache License, Version 2.0 (the License).": "apache-2.0,licensed",
+    "This file is Apache-2.0 code.": "apache-2.0",
+    "Under the Common Development and Distribution License.": "cddl",
+    "Under the Common Development and Distribution License, Version 1.1.": "cddl-1.1",
+    "The Academic Free License applies.": "afl",
+    "The Academic Free License v. 3.0 applies.": "afl-3.0",
+    "Creative Commons Attribution-NonCommercial-NoDerivs 3.0 Unported": "cc-by-nc-nd-3.0",
+    "Creative Commons Attribution-Non-Commercial-No-Derivs 3.0": "cc-by-nc-nd-3.0",
+    "Creative Commons Attribution Non-Commercial Share-Alike": "cc-by-nc-sa",
+    "GNU General Public License, version 3, 29 June 2007": "gpl,gpl-3.0",
+    "the AGPLv3 or any later version": "agpl-3.0-or-later",
+    "a Mozilla Public License 2.0 project": "mpl-2.0",
+    "SIL Open Font License 1.1": "ofl-1.1",
+    "a copy of the MIT licence": "mit",
+    "This gadget needs no permit at all.": "",
+}
+
+
+def test_labels_that_a_reader_would_give(spark):
+    docs = spark.createDataFrame(list(enumerate(WANTED)), "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in license.scan(docs).collect()}
+    assert {t: got[k] for k, t in enumerate(WANTED)} == WANTED
+
+
 def test_only_two_letters_gain_ascii_when_lower_cased():
     gain = {chr(c) for c in range(0x80, sys.maxunicode + 1) if any(ord(x) < 128 for x in chr(c).lower())}
     assert gain == {"K", "İ"}
