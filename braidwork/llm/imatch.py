@@ -19,8 +19,10 @@ key order.  Keys are cut into ranges by approximate percentiles; a window per
 range looks one row ahead, and each range also receives the first row of the
 next one.  The text is shuffled once and no range grows with a source.
 
-Defined results: a null text is empty; an empty text has no term and the
-fingerprint of 32 dashes; two fingerprints without any term are alike (1.0).
+Defined results: a null text is empty.  A text none of whose terms is in a
+subset has one hash of all its terms instead, so two such texts are alike (1.0)
+only if they have the same ones; an empty text is one of them.  The band's upper
+edge is never under three documents.  Keys may be of any type that has an order.
 Equal keys are ordered by the hash of their texts, null keys come last (dealt by
 that hash).  The last document's successor is the first.  Only the key and the
 text are read.  An empty table gives an empty result.
@@ -32,6 +34,7 @@ import json
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from braidwork.llm.license import normal_form
 
@@ -39,6 +42,8 @@ from braidwork.llm.license import normal_form
 CODES = "0123456789abcdefghijklmnopqrstuv"
 RATES = (4, 5, 6, 8)
 MARK = "\x01"
+#: Keys sampled for a range where the key is no number.
+RANGE_SAMPLE = 50
 
 
 def terms(text: Column) -> Column:
@@ -78,11 +83,14 @@ def fingerprint(text: Column, table: list[str]) -> Column:
     marks = F.array(*(F.lit(c + MARK) for c in CODES))  # each sorts before its subset's terms
     joined = F.array_join(F.sort_array(F.concat(marks, F.filter(coded, lambda x: x != ""))), " ")
     pieces = F.slice(F.split(joined, MARK), 2, len(CODES))  # " 0term 0term 1" or, empty, " 1"
-    return F.transform(pieces, lambda p: F.when(F.length(p) > 2, F.xxhash64(p).bitwiseAND(F.lit(0xFFFFFFFF))))
+    hashes = F.transform(pieces, lambda p: F.when(F.length(p) > 2, F.xxhash64(p)))
+    every = F.xxhash64(F.concat(F.lit("* "), F.array_join(F.sort_array(terms(text)), " ")))
+    alone = F.concat(F.array(every), F.array_repeat(F.lit(None).cast("long"), len(CODES) - 1))
+    return F.when(F.exists(hashes, lambda h: h.isNotNull()), hashes).otherwise(alone)
 
 
 def as_string(hashes: Column) -> Column:
-    return F.array_join(F.transform(hashes, lambda h: F.when(h.isNull(), F.lit("-")).otherwise(F.lower(F.lpad(F.hex(h), 8, "0")))), ".")
+    return F.array_join(F.transform(hashes, lambda h: F.when(h.isNull(), F.lit("-")).otherwise(F.lower(F.lpad(F.hex(h), 16, "0")))), ".")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -95,8 +103,13 @@ def likeness(a: Column, b: Column) -> Column:
 
 def _ranges(docs: DataFrame, parts: int) -> Column:
     """Number of the range of (key, h): descending keys have descending numbers."""
-    found = docs.agg(F.percentile_approx("key", [(k + 1) / parts for k in range(parts - 1)], 10_000)).first()[0] or []
-    bounds = sorted(set(found))
+    if isinstance(docs.schema["key"].dataType, T.NumericType):
+        bounds = sorted(set(docs.agg(F.percentile_approx("key", [(k + 1) / parts for k in range(parts - 1)], 10_000)).first()[0] or []))
+    else:
+        share = max(1, docs.count() // (RANGE_SAMPLE * parts))
+        some = docs.where(F.col("key").isNotNull() & (F.pmod("h", F.lit(share)) == 0)).select("key").distinct().orderBy("key")
+        some = [json.loads(r[0])["key"] for r in some.select(F.to_json(F.struct("key"))).limit(4 * RANGE_SAMPLE * parts).collect()]
+        bounds = [some[k * len(some) // parts] for k in range(1, parts) if len(some) >= parts]
     step = max(1, int(len(bounds) ** 0.5))
     groups = [bounds[k : k + step] for k in range(0, len(bounds), step)] or [[]]
     kind = f"array<{docs.schema['key'].dataType.simpleString()}>"
@@ -110,7 +123,7 @@ def _ranges(docs: DataFrame, parts: int) -> Column:
 def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     """docs (key, h, ...) with next_<column> of the successor in descending (key, h)."""
     parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = docs.withColumn("r", _ranges(docs.select("key"), parts))
+    ranged = docs.withColumn("r", _ranges(docs.select("key", "h"), parts))
     tops = ranged.groupBy("r").agg(F.max(F.struct("key", "h")).alias("top"))  # one row for each range
     order = Window.orderBy(F.desc("r"))
     everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

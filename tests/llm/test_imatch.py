@@ -40,7 +40,9 @@ def plain(rows, least, most):
             mine = sorted((w for w in words_of(text) & lexicon if signed(int_then(k, w), 64) % rate == 0), key=str.encode)
             end = imatch.CODES[k + 1] if k + 1 < len(imatch.CODES) else ""
             piece = "".join(f" {code}{w}" for w in mine) + (f" {end}" if end else "")
-            out.append(f"{xxhash.xxh64_intdigest(piece.encode(), 42) & 0xFFFFFFFF:08x}" if mine else "-")
+            out.append(f"{xxhash.xxh64_intdigest(piece.encode(), 42):016x}" if mine else "-")
+        if set(out) == {"-"}:
+            out[0] = f"{xxhash.xxh64_intdigest(('* ' + ' '.join(sorted(words_of(text), key=str.encode))).encode(), 42):016x}"
         return out
 
     def like(a, b):
@@ -71,3 +73,14 @@ def test_small_tables(spark):
     assert imatch.edited_fingerprints(empty).count() == 0
     got = imatch.edited_fingerprints(spark.createDataFrame([(1, "abcdef")], "doc_id long, text string")).collect()
     assert got[0].edited_sha256 == hashlib.sha256(b"abcdab").hexdigest()
+
+
+def test_keys_that_are_no_numbers(spark):
+    rng = random.Random(8)
+    rows = [(f"k{rng.randrange(10**6)}é\"", " ".join(f"w{int(rng.paretovariate(0.5)) % 300}" for _ in range(40))) for _ in range(500)] + [("k", None), ("", "w1 w2")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").repartition(4)
+    got = {r.doc_id: r.edited_sha256 for r in imatch.edited_fingerprints(docs).collect()}
+    order = sorted(((d, t or "") for d, t in rows), key=lambda r: r[0].encode(), reverse=True)
+    for k, (d, t) in enumerate(order):
+        third = len(t) // 3
+        assert got[d] == hashlib.sha256((t[: len(t) - third] + order[(k + 1) % len(order)][1][:third]).encode()).hexdigest()
