@@ -19,8 +19,9 @@ least once: nothing is dropped, and smaller sources are repeated.
 
 Tokens are runs of ``[^\\x20\\x09-\\x0D]``.  Defined results: a null text has no
 token; a null source is a source; documents without tokens cost nothing and are
-taken in every epoch; repeated rows are each dealt; an empty table gives an
-empty result.  Columns in ``keep`` travel in one struct, so names do not clash.
+taken in every epoch; repeated rows are each dealt; a null key is drawn by its
+text, and rows of one key stand in the order of their texts' hashes (equal texts
+are interchangeable); an empty table gives an empty result.  Columns in ``keep`` travel in one struct, so names do not clash.
 """
 
 from __future__ import annotations
@@ -86,10 +87,11 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
     row: the columns named in keep (all by default).  start_token: the offset
     in the source's stream of that epoch.
     """
-    draw = F.xxhash64(F.lit(seed), F.col(key).cast("string"))
+    draw = F.xxhash64(F.lit(seed), F.coalesce(F.col(key).cast("string"), F.col(text)))
     rows = docs.select(
         F.to_json(F.struct(F.col(source).cast("string").alias("s"))).alias("sid"),  # null is a source too
         draw.alias("draw"),
+        F.xxhash64(F.col(text)).alias("tie"),
         F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("tokens"),
         F.struct(*(keep or docs.columns)).alias("row"),
     )
@@ -112,8 +114,8 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
     in_epoch = Window.partitionBy("sid", "epoch").orderBy(F.xxhash64(F.lit(seed), "epoch", "sid", "block"), "block").rowsBetween(Window.unboundedPreceding, -1)
     bases = epochs.select("sid", "block", "epoch", F.coalesce(F.sum("size").over(in_epoch), F.lit(0)).alias("base"))
     bases = bases.groupBy("sid", "block").agg(F.collect_list(F.struct("epoch", "base")).alias("bases"))  # one entry for each epoch
-    in_block = Window.partitionBy("sid", "block").orderBy("draw").rowsBetween(Window.unboundedPreceding, -1)
-    dealt = rows.join(plan, "sid").select("sid", "draw", "tokens", "row", "weight", "whole", "rest", block)
+    in_block = Window.partitionBy("sid", "block").orderBy("draw", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    dealt = rows.join(plan, "sid").select("sid", "draw", "tie", "tokens", "row", "weight", "whole", "rest", block)
     placed = dealt.withColumn("before", F.coalesce(F.sum("tokens").over(in_block), F.lit(0)))
     copies = placed.join(bases, ["sid", "block"]).select("row", "tokens", "weight", "whole", "rest", "block", "before", F.explode("bases").alias("b"))
     start = F.col("b.base") + F.col("before")
