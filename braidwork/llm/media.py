@@ -17,7 +17,7 @@ it knows (local, HDFS, object stores).
 
 Defined results: a null text is an empty one.  Every payload has at least one
 line of 576 samples.  Repeated rows give repeated members; a null key stays
-null.  Only the key and the text are read, so clashing names do no harm.  An
+null; a key is at most 20,000 bytes as text, which its member's name can hold.  Only the key and the text are read, so clashing names do no harm.  An
 empty table gives an empty result.
 """
 
@@ -31,6 +31,7 @@ import uuid
 import zipfile
 import zlib
 from collections.abc import Callable, Iterator
+from urllib.parse import quote, unquote
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +54,16 @@ BATCH_BYTES = 8 << 20
 EPOCH = (1980, 1, 1, 0, 0, 0)
 
 
+def member_name(n: int, key: str | None) -> str:
+    """A member's name: its number, and its key in printable ASCII."""
+    return f"{n}/{'' if key is None else 'k' + quote(key, safe='')}.png"
+
+
+def key_of(name: str) -> str | None:
+    found = name.partition("/")[2].removesuffix(".png")
+    return unquote(found[1:]) if found else None
+
+
 def payload_of(text: str | None) -> bytes:
     """UTF-8 padded to a positive multiple of a line."""
     data = (text or "").encode()
@@ -123,7 +134,7 @@ def store(docs: DataFrame, key: str = "doc_id", text: str = "text", folder: str
                     stream = fs.open_output_stream(f"{base}/{name}")
                     archive = zipfile.ZipFile(stream, "w", zipfile.ZIP_STORED)
                 for k, t in zip(batch.column(0), batch.column(1), strict=True):
-                    member = zipfile.ZipInfo(f"{n}/{'' if k.as_py() is None else k.as_py()}.png", EPOCH)
+                    member = zipfile.ZipInfo(member_name(n, k.as_py()), EPOCH)
                     archive.writestr(member, encode_png(payload_of(t.as_py())))
                     n += 1
         finally:
@@ -186,7 +197,7 @@ class ArchiveReader(DataSourceReader):
         media: list[bytes] = []
         held = 0
         for m in members:
-            keys.append(m.filename.partition("/")[2].removesuffix(".png") or None)
+            keys.append(key_of(m.filename))
             media.append(read_member(opened, m))
             held += len(media[-1])
             if held >= BATCH_BYTES:

@@ -61,3 +61,8 @@ def test_a_member_is_read_again_alone():
 
 def test_empty_table(spark):
     assert media.media_columns(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_keys_of_any_letters():
+    for key in (None, "", "a", "a\0b", "k/é.png", " %41", "x" * 20_000):
+        assert media.key_of(media.member_name(7, key)) == key and media.member_name(7, key).isascii()
