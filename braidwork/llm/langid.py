@@ -6,10 +6,10 @@ byte a distribution over the languages.  A document's distribution is the mean
 over all its bytes.
 
 It is written and trained in numpy: back-propagation through time, Adam, a
-fixed seed.  It learns from a bounded sample: of each language
-``per_language`` documents, the first by a hash of
-their key, of which ``PIECES`` pieces of ``PIECE`` characters spread over the
-text are taken.  Every document is labelled over its whole text in Arrow
+fixed seed.  It learns from a bounded sample of rows: of each language
+``per_language`` documents, the first by a hash of their key, with their whole
+texts, cut into pieces of ``PIECE`` characters.  A step draws documents alike and
+then pieces of them.  Every document is labelled over its whole text in Arrow
 batches; windows are computed in blocks, so a long text costs no more memory
 than a short one.
 
@@ -39,7 +39,7 @@ SPAN = CORE + 2 * CONTEXT
 PAD = 256
 HIDDEN = 12
 WINDOWS_AT_ONCE = 1024
-PIECES, PIECE = 4, 96
+PIECE = 96
 LETTER = re.compile(r"[^\W\d_]")
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -197,8 +197,8 @@ def pooled(network: Network, texts: list[bytes]) -> np.ndarray:
     return total / np.maximum(np.fromiter(map(len, texts), float, len(texts)), 1)[:, None]
 
 
-def train(pieces: list[tuple[bytes, str]], steps: int = 260, batch: int = 192, rate: float = 0.015, hidden: int = HIDDEN, seed: int = 0) -> Network | None:
-    """Train on (piece, language); None without any."""
+def train(pieces: list[tuple[bytes, str]], weights: list[float] | None = None, steps: int = 260, batch: int = 192, rate: float = 0.015, hidden: int = HIDDEN, seed: int = 0) -> Network | None:
+    """Train on (piece, language), drawn by weight; None without any."""
     languages = sorted({lang for _, lang in pieces})
     if not languages:
         return None
@@ -211,11 +211,13 @@ def train(pieces: list[tuple[bytes, str]], steps: int = 260, batch: int = 192, r
         x[: len(p), k] = np.frombuffer(p.translate(_LOWER), np.uint8)
     label = np.array([languages.index(lang) for _, lang in pieces])
     of = [np.flatnonzero(label == c) for c in range(len(languages))]
+    weight = np.ones(len(pieces)) if weights is None else np.array(weights)
+    chances = [weight[o] / weight[o].sum() for o in of]
     rng = np.random.default_rng(seed)
     first = [np.zeros_like(p) for p in network.params()]
     second = [np.zeros_like(p) for p in network.params()]
     for k in range(1, steps + 1):
-        chosen = np.concatenate([rng.choice(o, -(-batch // len(of))) for o in of])  # all languages alike
+        chosen = np.concatenate([rng.choice(o, -(-batch // len(of)), p=p) for o, p in zip(of, chances, strict=True)])  # all languages alike
         _, gradient = network.gradients(x[:, chosen], label[chosen])
         size = np.sqrt(sum(float((g * g).sum()) for g in gradient))
         now = rate * 0.5 * (1 + np.cos(np.pi * k / (steps + 1)))
@@ -227,26 +229,30 @@ def train(pieces: list[tuple[bytes, str]], steps: int = 260, batch: int = 192, r
     return network
 
 
-def sample(docs: DataFrame, per_language: int) -> list[tuple[bytes, str]]:
-    """Pieces of the sampled documents; docs: key, text, lang."""
+def sample(docs: DataFrame, per_language: int) -> tuple[list[tuple[bytes, str]], list[float]]:
+    """(piece, language) of the sampled documents and the pieces' weights; docs: key, text, lang."""
     known = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0))
     counts = known.groupBy("lang").agg(F.count("*").alias("n"))
     # The hash of a key, as a number from 0 to 1: half as many again as are needed are read, and the first are taken.
     place = F.pmod(F.xxhash64("key"), F.lit(1 << 40)) / float(1 << 40)
     chosen = F.col("place") < 1.5 * per_language / F.col("n")
-    start = lambda k: F.greatest(F.lit(1), F.floor(F.length("text") * (2 * k + 1) / (2 * PIECES)) - PIECE // 2)
-    cut = F.array(*(F.substring(F.col("text"), start(k).cast("int"), F.lit(PIECE)) for k in range(PIECES)))
-    rows = known.withColumn("place", place).join(F.broadcast(counts), "lang").where(chosen).select("lang", "place", cut.alias("pieces")).collect()
+    rows = known.withColumn("place", place).join(F.broadcast(counts), "lang").where(chosen).select("lang", "place", "text").collect()
     taken: dict[str, list] = {}
-    for r in sorted(rows, key=lambda r: (r.place, r.pieces)):
+    for r in sorted(rows, key=lambda r: (r.place, r.text)):
         if len(mine := taken.setdefault(r.lang, [])) < per_language:
             mine.append(r)
-    return [(p.encode(), lang) for lang, rows in sorted(taken.items()) for r in rows for p in dict.fromkeys(r.pieces) if LETTER.search(p)]
+    pieces, weights = [], []
+    for lang, some in sorted(taken.items()):
+        for r in some:
+            mine = [p.encode() for k in range(0, len(r.text), PIECE) if LETTER.search(p := r.text[k : k + PIECE])]
+            pieces += [(p, lang) for p in mine]
+            weights += [1 / max(len(mine), 1)] * len(mine)
+    return pieces, weights
 
 
 def identify(docs: DataFrame, teachers: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 400, **how) -> DataFrame:
     """(key, lang_pred, score) of docs; teachers: key, text and language of documents that may be learnt from."""
-    network = train(sample(teachers.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")), per_language), **how)
+    network = train(*sample(teachers.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")), per_language), **how)
 
     def label(texts: list[str | None]) -> Iterator[tuple[str, float]]:
         data = [t.encode() if t else b"" for t in texts]

@@ -3,6 +3,12 @@ from braidwork.llm import langid
 
 def test_every_language_is_sampled(spark):
     rows = [(k, f"text {k}", f"l{k % 90}") for k in range(270)] + [(999, "no label", None)]
-    found = langid.sample(spark.createDataFrame(rows, "key long, text string, lang string"), 5)
-    assert {lang for _, lang in found} == {f"l{k}" for k in range(90)}
-    assert langid.sample(spark.createDataFrame([], "key long, text string, lang string"), 5) == []
+    found, weights = langid.sample(spark.createDataFrame(rows, "key long, text string, lang string"), 5)
+    assert {lang for _, lang in found} == {f"l{k}" for k in range(90)} and len(weights) == len(found)
+    assert langid.sample(spark.createDataFrame([], "key long, text string, lang string"), 5) == ([], [])
+
+
+def test_whole_texts_are_taught(spark):
+    text = "".join(chr(97 + k % 26) for k in range(1000))
+    found, weights = langid.sample(spark.createDataFrame([(1, text, "x")], "key long, text string, lang string"), 5)
+    assert b"".join(p for p, _ in found).decode() == text and abs(sum(weights) - 1) < 1e-9
