@@ -7,14 +7,15 @@ words repeated at once, distinct words, mean word length.  A two-state chain
 gives every line's chance of being good, and their mean, weighted by the lines'
 lengths, is put on the labels' scale by a logistic curve.
 
-The chain is fitted on the driver on a bounded sample: ``sample_rows`` labelled
-documents of at most ``sample_chars`` characters and ``sample_lines`` lines,
-the first by a hash of their key.  Every document is scored over its whole text
+The chain is fitted on the driver on a bounded sample of rows: ``sample_rows``
+labelled documents, the first by a hash of their key, with their whole texts; for
+the fit a text of more than CHAIN_LINES lines is several chains.  Every document is scored over its whole text
 in Arrow batches; the model is a few hundred numbers.
 
 Defined results: null and empty texts are one empty line.  Rows do not depend
 on each other, so repeated rows and null keys do no harm.  Labels that are null
-are no labels.  Without labels of both kinds the score is the share of label 1
+are no labels.  A score without a key still has its row; what a caller derives
+from the key is then null.  Without labels of both kinds the score is the share of label 1
 (0.5 without any).  Only the key and the text are read from a document.
 """
 
@@ -33,6 +34,9 @@ from pyspark.sql import types as T
 from braidwork.shared import bounded_batches
 
 BLOCK_BYTES = 2 << 20
+CHAIN_LINES = 100
+#: Bytes whose sums are made at once, so that a giant line needs no long array of whole numbers.
+SUMMED_AT_ONCE = 1 << 20
 UPPER, LOWER, DIGIT, SYMBOL, BEYOND, SPACE = range(6)
 
 _KIND = np.full(256, SYMBOL, np.uint8)
@@ -43,8 +47,13 @@ N_OWN = 10
 
 def _sums(flags: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Sums of flags between starts."""
-    total = np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])
-    return np.diff(np.concatenate([total[starts], total[-1:]]))
+    out = np.zeros(len(starts), np.int64)
+    for at in range(0, len(flags), SUMMED_AT_ONCE):
+        end = min(at + SUMMED_AT_ONCE, len(flags))
+        first = max(int(np.searchsorted(starts, at, "right")) - 1, 0)
+        mine = starts[first : np.searchsorted(starts, end)]
+        out[first : first + len(mine)] += np.add.reduceat(flags[at:end], np.maximum(mine - at, 0), dtype=np.int64)
+    return out
 
 
 def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -124,11 +133,12 @@ class Chain:
         return 1 / (1 + np.exp(-(self.slope * self.means(chance, length, lines) + self.offset)))
 
 
-def marginals(unary: np.ndarray, moves: np.ndarray, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(chance of good of every line, expected number of moves [from, to]) by forward-backward, all texts at once."""
+def marginals(unary: np.ndarray, moves: np.ndarray, lines: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(chance of good of every line, expected number of moves [from, to], weighted by text) by forward-backward, all texts at once."""
     order = np.argsort(-lines, kind="stable")
     starts = (np.cumsum(lines) - lines)[order]
     sizes = lines[order]
+    weights = np.ones(len(lines)) if weight is None else weight[order]
     odds = np.clip(unary, -30, 30)
     emit = np.stack([np.exp(-np.maximum(odds, 0)), np.exp(np.minimum(odds, 0))], axis=1)  # bad, good; the larger is 1
     step = np.exp(moves - moves.max())
@@ -150,7 +160,7 @@ def marginals(unary: np.ndarray, moves: np.ndarray, lines: np.ndarray) -> tuple[
         if t:
             arriving = emit[at] * back[:k]
             pair = forward[at - 1][:, :, None] * step * arriving[:, None, :]
-            expected += (pair / pair.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+            expected += (pair / pair.sum(axis=(1, 2), keepdims=True) * weights[:k, None, None]).sum(axis=0)
             back[:k] = arriving @ step.T
             back[:k] /= back[:k].sum(axis=1, keepdims=True)
     return chance, expected
@@ -167,15 +177,19 @@ def fit(texts: list[bytes], labels: np.ndarray, steps: int = 200, rate: float =
     mean, scale = features.mean(axis=0), features.std(axis=0) + 1e-3
     scaled = (features - mean) / scale
     truth = np.repeat(labels, lines).astype(float)
-    weight = np.repeat(0.5 / np.where(labels == 1, share, 1 - share), lines)  # both labels count alike
+    by_text = 0.5 / np.where(labels == 1, share, 1 - share)  # both labels count alike, lines and moves too
+    weight = np.repeat(by_text, lines)
+    chains = np.array([min(CHAIN_LINES, n - at) for n in lines.tolist() for at in range(0, n, CHAIN_LINES)], np.int64)
+    of = np.repeat(np.arange(len(lines)), -(-lines // CHAIN_LINES))
     seen = np.zeros((2, 2))
     for label in (0, 1):
-        seen[label, label] = (lines[labels == label] - 1).sum()
+        mine = labels[of] == label
+        seen[label, label] = ((chains[mine] - 1) * by_text[of[mine]]).sum()
     n = len(truth)
     params = np.zeros(scaled.shape[1] + 5)
     first, second = np.zeros_like(params), np.zeros_like(params)
     for k in range(1, steps + 1):
-        chance, expected = marginals(scaled @ params[:-5] + params[-5], params[-4:].reshape(2, 2), lines)
+        chance, expected = marginals(scaled @ params[:-5] + params[-5], params[-4:].reshape(2, 2), chains, by_text[of])
         missing = (truth - chance) * weight
         slope = np.concatenate([scaled.T @ missing / n, [missing.mean()], ((seen - expected) / n).ravel()]) - decay * params
         first, second = 0.9 * first + 0.1 * slope, 0.999 * second + 0.001 * slope**2
@@ -209,19 +223,18 @@ def blocks(column: pa.Array, most: int = BLOCK_BYTES) -> Iterator[list[bytes]]:
         yield held
 
 
-def sample(docs: DataFrame, labels: DataFrame, rows: int, chars: int, lines: int) -> tuple[list[bytes], np.ndarray]:
+def sample(docs: DataFrame, labels: DataFrame, rows: int) -> tuple[list[bytes], np.ndarray]:
     """Texts and labels of the first rows by the hash of their key; docs: key, text; labels: key, label."""
-    short = docs.where((F.length("text") <= chars) & (F.coalesce(F.regexp_count("text", F.lit("\n")), F.lit(0)) < lines))
     chosen = labels.where("label in (0, 1)").orderBy(F.xxhash64("key"), "key", "label").limit(rows)
-    found = short.join(F.broadcast(chosen), "key").select("key", "text", "label").collect()  # `rows` labels at most
+    found = docs.join(F.broadcast(chosen), "key").select("key", "text", "label").collect()  # `rows` labels at most
     found.sort(key=lambda r: (str(r.key), r.text, r.label))
     return [r.text.encode() for r in found], np.array([r.label for r in found], float)
 
 
-def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample_rows: int = 3000, sample_chars: int = 20_000, sample_lines: int = 100) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample_rows: int = 3000) -> DataFrame:
     """docs with score (0 to 1, higher: label 1 likelier); labels: key and label, whose rows may be learnt from."""
     narrow = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    chain = fit(*sample(narrow, labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")), sample_rows, sample_chars, sample_lines))
+    chain = fit(*sample(narrow, labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")), sample_rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -68,6 +68,6 @@ def test_edges(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert [r.score for r in quality.score(docs, none).collect()] == [0.5] * 6
     some = spark.createDataFrame([(4, 1), (3, 0), (9, None), (1, 7)], "doc_id long, quality int")
-    got = quality.score(docs, some, sample_lines=9999).collect()
+    got = quality.score(docs, some).collect()
     assert len(got) == 6 and all(0 <= r.score <= 1 for r in got)
     assert quality.score(docs.limit(0), some).count() == 0
