@@ -11,12 +11,14 @@ that meet are then held to the exact similarity.
 
 * Texts with equal sets are one node.  A task packs a block for each part of the
   keys: every node once, then the keys and the nodes they belong to.
-* In a table's bucket a node meets its nearest earlier nodes in an order that
-  differs from table to table: all of a small bucket, at most NEIGHBOURS of a
-  larger one, so that a large group of near copies is never listed as all its
-  pairs.  Beyond LEADERS nodes a bucket is compared with its first LEADERS and
-  with the node's own stretch, which is linear in the bucket.
-* Nodes that meet no other are done with.  Of the others the sets are made and
+* A first pass counts each node's company, the most nodes that are near it in one
+  bucket.  In the second one a node of little company meets all of it; two nodes
+  of much company meet only if one is the other's nearest or its greatest in
+  company, in some table.  So small groups are compared in all pairs, and a large
+  group of near copies by its hubs, never as all its pairs.  Beyond LEADERS nodes
+  a bucket is compared with its first LEADERS and with the node's own stretch,
+  in an order that differs from table to table; that is linear in the bucket.
+* Nodes without company are done with.  Of the others the sets are made and
   each shingle that only one of them has is counted: it can be in no
   intersection, which bounds every pair's similarity exactly.  In a large group
   of copies with edits of their own this leaves those that can be alike, and
@@ -59,11 +61,11 @@ STRETCHES, REACH = 4, 5
 WITHIN = 34
 #: Nodes that a map task packs at once, and keys that one group compares.
 BLOCK_NODES, KEYS_PER_PART = 4_000, 500_000
-#: Buckets up to SMALL meet in all pairs; in larger ones a node meets so many; beyond LEADERS see above.
-SMALL, NEIGHBOURS, LEADERS = 16, 8, 4_096
+#: Company up to which a node meets all of it, and size of buckets that are compared by lags; beyond LEADERS see above.
+SMALL, LEADERS = 16, 4_096
 
-#: n: size of the set; c: how many of its shingles another set may have.
-_NODE = np.dtype([("fp", "<u8", 2), ("sid", "<i8"), ("n", "<u4"), ("c", "<u4")])
+#: n: size of the set; c: how many of its shingles another set may have; deg: its company.
+_NODE = np.dtype([("fp", "<u8", 2), ("sid", "<i8"), ("n", "<u4"), ("c", "<u4"), ("deg", "<u4")])
 
 
 def masks() -> list[tuple[int, int]]:
@@ -109,7 +111,7 @@ def _pack(parts: int):
             for begin in range(0, batch.num_rows, BLOCK_NODES):
                 rows = batch.slice(begin, BLOCK_NODES)
                 nodes = np.empty(rows.num_rows, _NODE)
-                nodes["sid"], nodes["n"], nodes["c"] = (rows.column(c).to_numpy() for c in (0, 3, 4))
+                nodes["sid"], nodes["n"], nodes["c"], nodes["deg"] = (rows.column(c).to_numpy() for c in (0, 3, 4, 5))
                 for k in range(2):
                     nodes["fp"][:, k] = rows.column(1 + k).to_numpy().view(np.uint64)
                 key = ((nodes["fp"][:, words] & tables.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
@@ -138,57 +140,95 @@ def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x[..., 0] ^ y[..., 0]) + np.bitwise_count(x[..., 1] ^ y[..., 1])
 
 
-def met(key: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, differing bits) of rows of `nodes` that meet under a key and may be alike; see the module's text."""
+def _buckets(key: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order of the rows by key, begin and size of each bucket)."""
     salt = (nodes["sid"].view(np.uint64) ^ (key.astype(np.uint64) >> np.uint64(24)) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
     order = np.argsort((key.astype(np.uint64) << np.uint64(32)) | (salt >> np.uint64(32)))
-    key, nodes = key[order], nodes[order]
-    fp = nodes["fp"]
+    key = key[order]
     begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
-    size = np.diff(np.concatenate([begin, [len(key)]]))
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    # small buckets: every row with those up to SMALL - 1 after it
-    left = np.where(size <= SMALL, size, 0).repeat(size) - (np.arange(len(key)) - begin.repeat(size))
-    rows = np.flatnonzero(left > 1)
+    return order, begin, np.diff(np.concatenate([begin, [len(key)]]))
+
+
+def _small(nodes: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, bits): all near pairs of rows of small buckets."""
+    left = np.where(size <= SMALL, size, 0).repeat(size) - (np.arange(len(nodes)) - begin.repeat(size))
+    rows, out = np.flatnonzero(left > 1), [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint8))]
     for lag in range(1, SMALL):
         rows = rows[left[rows] > lag]
         if not len(rows):
             break
-        bits = _apart(fp[rows], fp[rows + lag])
+        bits = _apart(nodes["fp"][rows], nodes["fp"][rows + lag])
         hit = (bits <= WITHIN) & _can_be_alike(nodes[rows], nodes[rows + lag])
         out.append((rows[hit], rows[hit] + lag, bits[hit]))
+    a, b, bits = (np.concatenate([x[k] for x in out]) for k in range(3))
+    return a, b, bits
+
+
+def _large(nodes: np.ndarray, begin: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, others, bits or 255 where they are not near), by blocks of rows of large buckets."""
     for s, e in zip(begin[size > SMALL].tolist(), (begin + size)[size > SMALL].tolist(), strict=True):
         for at in range(s, e, 256):
-            mine = np.arange(at, min(at + 256, e))
             stretch = s + (at - s) // LEADERS * LEADERS
-            others = np.concatenate([np.arange(s, min(s + LEADERS, stretch)), np.arange(stretch, mine[-1] + 1)])
-            bits = _apart(fp[mine][:, None], fp[others][None, :])
-            bits[(others[None, :] >= mine[:, None]) | ~_can_be_alike(nodes[mine][:, None], nodes[others][None, :])] = 255
-            near = np.argpartition(bits, min(NEIGHBOURS, len(others)) - 1, axis=1)[:, :NEIGHBOURS]
-            found = np.take_along_axis(bits, near, axis=1)
-            r, c = np.nonzero(found <= WITHIN)
-            out.append((mine[r], others[near[r, c]], found[r, c]))
-    if not out:
-        return order[:0], order[:0], np.empty(0, np.uint8)
+            mine = np.arange(at, min(at + 256, e, stretch + LEADERS))
+            others = np.concatenate([np.arange(s, min(s + LEADERS, stretch)), np.arange(stretch, min(stretch + LEADERS, e))])
+            bits = _apart(nodes["fp"][mine][:, None], nodes["fp"][others][None, :])
+            bits[(bits > WITHIN) | (others[None, :] == mine[:, None]) | ~_can_be_alike(nodes[mine][:, None], nodes[others][None, :])] = 255
+            yield mine, others, bits
+
+
+def company(key: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """For each row of `nodes`, how many others are near it in its bucket."""
+    order, begin, size = _buckets(key, nodes)
+    nodes = nodes[order]
+    a, b, _ = _small(nodes, begin, size)
+    n = np.bincount(np.concatenate([a, b]), minlength=len(nodes))
+    for mine, _, bits in _large(nodes, begin, size):
+        n[mine] += (bits < 255).sum(axis=1)
+    out = np.empty(len(nodes), np.int64)
+    out[order] = n
+    return out
+
+
+def met(key: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, differing bits) of rows of `nodes` that meet under a key and may be alike; see the module's text."""
+    order, begin, size = _buckets(key, nodes)
+    nodes = nodes[order]
+    many = nodes["deg"] > SMALL
+    a, b, bits = _small(nodes, begin, size)
+    much = many[a] & many[b]
+    out = [(a[~much], b[~much], bits[~much])]
+    x, y, both = np.concatenate([a[much], b[much]]), np.concatenate([b[much], a[much]]), np.concatenate([bits[much]] * 2)
+    for by in ((both, x), (y, -nodes["deg"][y].astype(np.int64), x)):
+        chosen = np.lexsort(by)
+        chosen = chosen[np.concatenate([[True], x[chosen][1:] != x[chosen][:-1]])] if len(x) else chosen
+        out.append((x[chosen], y[chosen], both[chosen]))
+    for mine, others, near in _large(nodes, begin, size):
+        r, c = np.nonzero((near < 255) & ~(many[mine][:, None] & many[others][None, :]))
+        out.append((mine[r], others[c], near[r, c]))
+        near[~(many[mine][:, None] & many[others][None, :])] = 255
+        greatest = np.where(near < 255, nodes["deg"][others].astype(np.int64)[None, :], -1)  # the first of equal ones, for all the same
+        for c in (near.argmin(axis=1), greatest.argmax(axis=1)):
+            found = near[np.arange(len(mine)), c]
+            out.append((mine[found < 255], others[c[found < 255]], found[found < 255]))
     a, b, bits = (np.concatenate([x[k] for x in out]) for k in range(3))
     return order[a], order[b], bits
 
 
-def _unpacked(blocks: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, bits) of all that meet in a part of the keys, as sids."""
+def _unpacked(blocks: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, nodes) of a part."""
     nodes, keys = [], []
     for k in range(blocks.num_rows):
         own = np.frombuffer(blocks.column("nodes")[k].as_py(), _NODE)
         nodes.append(own[np.frombuffer(blocks.column("at")[k].as_py(), "<u2")])
         keys.append(np.frombuffer(blocks.column("keys")[k].as_py(), "<u4"))
-    nodes, key = np.concatenate(nodes), np.concatenate(keys)
-    a, b, bits = met(key, nodes)
-    return nodes["sid"][a], nodes["sid"][b], bits
+    return np.concatenate(keys), np.concatenate(nodes)
 
 
 def _meet(blocks: pa.Table) -> pa.Table:
     """(a, b, bits): pairs of sets, each once, that meet in a part of the keys."""
-    a, b, bits = _unpacked(blocks)
+    key, nodes = _unpacked(blocks)
+    a, b, bits = met(key, nodes)
+    a, b = nodes["sid"][a], nodes["sid"][b]
     low, high = np.minimum(a, b), np.maximum(a, b)
     order = np.lexsort((high, low))
     low, high, bits = low[order], high[order], bits[order]
@@ -197,15 +237,19 @@ def _meet(blocks: pa.Table) -> pa.Table:
 
 
 def _company(blocks: pa.Table) -> pa.Table:
-    """Sets that meet another in a part of the keys."""
-    a, b, _ = _unpacked(blocks)
-    return pa.table([pa.array(np.unique(np.concatenate([a, b])))], names=["sid"])
+    """(sid, deg): sets with company in a part of the keys, and the most of it."""
+    key, nodes = _unpacked(blocks)
+    n = company(key, nodes)
+    order = np.lexsort((-n, nodes["sid"]))
+    sid, n = nodes["sid"][order], n[order]
+    first = np.concatenate([[True], sid[1:] != sid[:-1]]) & (n > 0)
+    return pa.table([pa.array(sid[first]), pa.array(n[first].astype(np.int32))], names=["sid", "deg"])
 
 
 def packed(nodes: DataFrame):
-    """Blocks of nodes (sid, fp, fp2, n, c), grouped by part of the keys."""
+    """Blocks of nodes (sid, fp, fp2, n, c, deg), grouped by part of the keys."""
     parts = max(1, nodes.count() * len(masks()) // KEYS_PER_PART)
-    return nodes.select("sid", "fp", "fp2", "n", "c").mapInArrow(_pack(parts), "part int, nodes binary, keys binary, at binary").groupBy("part")
+    return nodes.select("sid", "fp", "fp2", "n", "c", "deg").mapInArrow(_pack(parts), "part int, nodes binary, keys binary, at binary").groupBy("part")
 
 
 def sets_of(nodes: DataFrame, texts: DataFrame, width: int) -> DataFrame:
@@ -241,12 +285,12 @@ def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def links(nodes: DataFrame, texts: DataFrame, width: int = 5) -> DataFrame:
     """(a, b): pairs of nodes (sid, fp, fp2, n, tid) that are alike; their components are those of all pairs that met."""
-    met_any = packed(nodes.withColumn("c", F.col("n"))).applyInArrow(_company, "sid bigint").distinct()
-    some = Written(nodes.join(met_any, "sid"), "company").df
+    found = packed(nodes.withColumn("c", F.col("n")).withColumn("deg", F.lit(0))).applyInArrow(_company, "sid bigint, deg int")
+    some = Written(nodes.join(found.groupBy("sid").agg(F.max("deg").alias("deg")), "sid"), "company").df
     sets = Written(sets_of(some, texts, width), "sets")
     only = sets.df.select("sid", F.explode("s").alias("k")).groupBy("k").agg(F.min("sid").alias("sid"), F.max("sid").alias("z")).where("sid = z").groupBy("sid").agg(F.count("*").alias("own"))
     live = some.join(only, "sid", "left").withColumn("c", F.expr("n - coalesce(own, 0)").cast("int")).where(F.col("c") * NEAR[1] >= F.col("n") * NEAR[0])
-    live = Written(live.select("sid", "fp", "fp2", "n", "c"), "live").df
+    live = Written(live.select("sid", "fp", "fp2", "n", "c", "deg"), "live").df
     pairs = Written(packed(live).applyInArrow(_meet, "a bigint, b bigint, bits tinyint").distinct(), "pairs").df
     ends = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), "bits").union(pairs.select("b", "a", "bits"))
     nearest = ends.groupBy("x").agg(F.min(F.struct("bits", "y")).alias("p")).select(F.least("x", "p.y").alias("a"), F.greatest("x", "p.y").alias("b")).distinct()

@@ -50,11 +50,13 @@ def test_large_buckets_hold_together():
     base = rng.integers(0, 1 << 63, (7, 2)).astype(np.uint64)
     noise = np.array([[sum(1 << int(p) for p in rng.choice(64, 4, False)) for _ in range(2)] for _ in range(700)], np.uint64)
     nodes["fp"], nodes["sid"], nodes["n"] = base[np.arange(700) % 7] ^ noise, np.arange(700), 100
-    nodes["c"] = nodes["n"]
+    nodes["c"], nodes["deg"] = nodes["n"], 0
     nodes["c"][699] = 80
     for key in (np.zeros(700, np.uint32), (np.arange(700) // 350).astype(np.uint32)):
+        nodes["deg"] = nearcopies.company(key, nodes)
+        assert nodes["deg"][699] == 0 and set(nodes["deg"][:699].tolist()) <= {48, 49, 98, 99}
         a, b, bits = nearcopies.met(key, nodes)
-        assert len(a) <= 8 * 700 and (key[a] == key[b]).all() and (bits == nearcopies._apart(nodes["fp"][a], nodes["fp"][b])).all() and bits.max() <= nearcopies.WITHIN
+        assert len(a) <= 2 * 700 and (key[a] == key[b]).all() and (bits == nearcopies._apart(nodes["fp"][a], nodes["fp"][b])).all() and bits.max() <= nearcopies.WITHIN
         group = list(range(700))
         for x, y in zip(a.tolist(), b.tolist(), strict=True):
             if group[x] != group[y]:
