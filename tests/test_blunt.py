@@ -125,7 +125,7 @@ def test_stream(spark, tmp_path):
     (tmp_path / "in" / "a.gfa").write_text("S\ta\tACG\nL\ta\t+\tb\t-\t2M1I\n")
     q = stream_links(spark, str(tmp_path / "in")).writeStream.format("memory").queryName("links_seen").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
     q.awaitTermination(60)
-    assert [tuple(r) for r in spark.table("links_seen").collect()] == [("a", False, "b", True, "2M1I", 2, 3)]
+    assert [tuple(r) for r in spark.table("links_seen").collect()] == [("a", False, "b", True, "2M1I", 2, 3, None)]
 
 
 def test_orders_and_orientations(spark):
