@@ -14,17 +14,21 @@ that meet are then held to the exact similarity.
 * A first pass counts each node's company, the most nodes that are near it in one
   bucket.  In the second one a node of little company meets all of it; two nodes
   of much company meet only if one is the other's nearest or its greatest in
-  company, in some table.  So small groups are compared in all pairs, and a large
-  group of near copies by its hubs, never as all its pairs.  Beyond LEADERS nodes
-  a bucket is compared with its first LEADERS and with the node's own stretch,
-  in an order that differs from table to table; that is linear in the bucket.
+  company, in some table.  So a large group of near copies is first joined by its
+  hubs.  Beyond LEADERS nodes a bucket is here compared with its first LEADERS
+  and with the node's own stretch, in an order that differs from table to table.
 * Nodes without company are done with.  Of the others the sets are made and
   each shingle that only one of them has is counted: it can be in no
   intersection, which bounds every pair's similarity exactly.  In a large group
   of copies with edits of their own this leaves those that can be alike, and
-  only these meet again, under that bound.
+  only these meet again.  They carry how many of their other shingles fall in
+  each of SLOTS slots: no intersection is larger than the sum of the lesser
+  counts, so pairs with edits in different places need not be tried.
 * First each node is held against the nearest node it met; what that links
   needs no more pairs.  Pairs whose nodes are apart afterwards come second.
+* What the hubs leave apart meets once more, now in all pairs of different
+  components and in buckets of any size.  So the components are those of all
+  pairs that meet; a group that its hubs have joined costs nothing here.
 
 Whole rows are moved only for texts that have a copy or a near copy.
 
@@ -38,7 +42,7 @@ table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import product, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -64,8 +68,11 @@ BLOCK_NODES, KEYS_PER_PART = 4_000, 500_000
 #: Company up to which a node meets all of it, and size of buckets that are compared by lags; beyond LEADERS see above.
 SMALL, LEADERS = 16, 4_096
 
-#: n: size of the set; c: how many of its shingles another set may have; deg: its company.
-_NODE = np.dtype([("fp", "<u8", 2), ("sid", "<i8"), ("n", "<u4"), ("c", "<u4"), ("deg", "<u4")])
+#: n: size of the set; c: how many of its shingles another set may have; deg: its company; root: its component so far.
+_NODE = np.dtype([("fp", "<u8", 2), ("sid", "<i8"), ("n", "<u4"), ("c", "<u4"), ("deg", "<u4"), ("root", "<i8")])
+#: Slots of a node's shingles, and the form of nodes that carry them: counts, rounded up to 1 << shift.
+SLOTS = 64
+_LIVE = np.dtype([*_NODE.descr, ("slots", "u1", SLOTS), ("shift", "u1")])
 
 
 def masks() -> list[tuple[int, int]]:
@@ -102,7 +109,27 @@ def tid_of(text: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
-def _pack(parts: int):
+def slots_of(shingles: np.ndarray, own: np.ndarray) -> bytes:
+    """Counts by slot of the shingles that are not of this set alone, rounded up to fit into a byte, and their shift."""
+    n = np.bincount(shingles & (SLOTS - 1), minlength=SLOTS) - np.bincount(own & (SLOTS - 1), minlength=SLOTS)
+    shift = 0
+    while int(n.max()) + (1 << shift) - 1 >> shift > 255:
+        shift += 1
+    return bytes([*(n + (1 << shift) - 1 >> shift).tolist(), shift])
+
+
+def _slots_allow(nodes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether rows a and b, by the lesser counts of their slots, can be alike."""
+    ok = np.ones(len(a), bool)
+    if "slots" in nodes.dtype.names:
+        for at in range(0, len(a), 1 << 15):
+            x, y = nodes[a[at : at + (1 << 15)]], nodes[b[at : at + (1 << 15)]]
+            most = np.minimum(*(v["slots"].astype(np.int64) << v["shift"][:, None].astype(np.int64) for v in (x, y))).sum(axis=1)
+            ok[at : at + (1 << 15)] = (NEAR[0] + NEAR[1]) * most >= NEAR[0] * (x["n"].astype(np.int64) + y["n"])
+    return ok
+
+
+def _pack(parts: int, form: np.dtype):
     """Blocks (part, nodes, keys, at) of the nodes of a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,10 +137,13 @@ def _pack(parts: int):
         for batch in batches:
             for begin in range(0, batch.num_rows, BLOCK_NODES):
                 rows = batch.slice(begin, BLOCK_NODES)
-                nodes = np.empty(rows.num_rows, _NODE)
-                nodes["sid"], nodes["n"], nodes["c"], nodes["deg"] = (rows.column(c).to_numpy() for c in (0, 3, 4, 5))
+                nodes = np.empty(rows.num_rows, form)
+                nodes["sid"], nodes["n"], nodes["c"], nodes["deg"], nodes["root"] = (rows.column(c).to_numpy() for c in (0, 3, 4, 5, 6))
                 for k in range(2):
                     nodes["fp"][:, k] = rows.column(1 + k).to_numpy().view(np.uint64)
+                if form is _LIVE:
+                    counts = np.frombuffer(b"".join(rows.column(7).to_pylist()), np.uint8).reshape(-1, SLOTS + 1)
+                    nodes["slots"], nodes["shift"] = counts[:, :SLOTS], counts[:, SLOTS]
                 key = ((nodes["fp"][:, words] & tables.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
                 key = ((np.arange(len(tables), dtype=np.uint64) << np.uint64(24)) | key).astype(np.uint32).ravel()
                 at = np.repeat(np.arange(len(nodes), dtype=np.uint16), len(tables))
@@ -144,9 +174,25 @@ def _buckets(key: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """(order of the rows by key, begin and size of each bucket)."""
     salt = (nodes["sid"].view(np.uint64) ^ (key.astype(np.uint64) >> np.uint64(24)) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
     order = np.argsort((key.astype(np.uint64) << np.uint64(32)) | (salt >> np.uint64(32)))
-    key = key[order]
-    begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
-    return order, begin, np.diff(np.concatenate([begin, [len(key)]]))
+    return order, *_runs(key[order])
+
+
+def _runs(*by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(begin, size) of the runs of rows that agree in all columns `by`."""
+    rows = len(by[0])
+    new = np.concatenate([[True], np.logical_or.reduce([x[1:] != x[:-1] for x in by])]) if rows else np.empty(0, bool)
+    begin = np.flatnonzero(new)
+    return begin, np.diff(np.concatenate([begin, [rows]]))
+
+
+def _near(nodes: np.ndarray, mine: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Differing bits of rows and other rows, 255 where they are the same row or not near."""
+    bits = _apart(nodes["fp"][mine][:, None], nodes["fp"][others][None, :])
+    bits[(bits > WITHIN) | (others[None, :] == mine[:, None]) | ~_can_be_alike(nodes[mine][:, None], nodes[others][None, :])] = 255
+    r, c = np.nonzero(bits < 255)
+    not_so = ~_slots_allow(nodes, mine[r], others[c])
+    bits[r[not_so], c[not_so]] = 255
+    return bits
 
 
 def _small(nodes: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -158,7 +204,8 @@ def _small(nodes: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.n
         if not len(rows):
             break
         bits = _apart(nodes["fp"][rows], nodes["fp"][rows + lag])
-        hit = (bits <= WITHIN) & _can_be_alike(nodes[rows], nodes[rows + lag])
+        hit = np.flatnonzero((bits <= WITHIN) & _can_be_alike(nodes[rows], nodes[rows + lag]))
+        hit = hit[_slots_allow(nodes, rows[hit], rows[hit] + lag)]
         out.append((rows[hit], rows[hit] + lag, bits[hit]))
     a, b, bits = (np.concatenate([x[k] for x in out]) for k in range(3))
     return a, b, bits
@@ -171,9 +218,7 @@ def _large(nodes: np.ndarray, begin: np.ndarray, size: np.ndarray) -> Iterator[t
             stretch = s + (at - s) // LEADERS * LEADERS
             mine = np.arange(at, min(at + 256, e, stretch + LEADERS))
             others = np.concatenate([np.arange(s, min(s + LEADERS, stretch)), np.arange(stretch, min(stretch + LEADERS, e))])
-            bits = _apart(nodes["fp"][mine][:, None], nodes["fp"][others][None, :])
-            bits[(bits > WITHIN) | (others[None, :] == mine[:, None]) | ~_can_be_alike(nodes[mine][:, None], nodes[others][None, :])] = 255
-            yield mine, others, bits
+            yield mine, others, _near(nodes, mine, others)
 
 
 def company(key: np.ndarray, nodes: np.ndarray) -> np.ndarray:
@@ -184,6 +229,11 @@ def company(key: np.ndarray, nodes: np.ndarray) -> np.ndarray:
     n = np.bincount(np.concatenate([a, b]), minlength=len(nodes))
     for mine, _, bits in _large(nodes, begin, size):
         n[mine] += (bits < 255).sum(axis=1)
+    for s, e in zip(begin[size > LEADERS].tolist(), (begin + size)[size > LEADERS].tolist(), strict=True):
+        alone = s + np.flatnonzero(n[s:e] == 0)  # their company may be in a stretch that _large leaves out
+        for at, c in product(range(0, len(alone), 256), range(s, e, LEADERS)):
+            mine = alone[at : at + 256]
+            n[mine] += (_near(nodes, mine, np.arange(c, min(c + LEADERS, e))) < 255).sum(axis=1)
     out = np.empty(len(nodes), np.int64)
     out[order] = n
     return out
@@ -214,11 +264,34 @@ def met(key: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return order[a], order[b], bits
 
 
-def _unpacked(blocks: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+def across(key: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, differing bits) of all near rows of `nodes` that share a key and have different roots."""
+    order = np.lexsort((nodes["root"], key))
+    key, nodes = key[order], nodes[order]
+    root = nodes["root"]
+    begin, size = _runs(key)
+    a, b, bits = _small(nodes, begin, size)
+    other = root[a] != root[b]
+    out = [(a[other], b[other], bits[other])]
+    at, rows = _runs(key, root)
+    until = (at + rows).repeat(rows)  # where the rows of the same root end
+    for s, e in zip(begin[size > SMALL].tolist(), (begin + size)[size > SMALL].tolist(), strict=True):
+        for at in range(s, e, 256):
+            mine = np.arange(at, min(at + 256, e))
+            for c in range(int(until[at]), e, LEADERS):
+                others = np.arange(c, min(c + LEADERS, e))
+                near = _near(nodes, mine, others)
+                x, y = np.nonzero((near < 255) & (others[None, :] > mine[:, None]) & (root[others][None, :] != root[mine][:, None]))
+                out.append((mine[x], others[y], near[x, y]))
+    a, b, bits = (np.concatenate([x[k] for x in out]) for k in range(3))
+    return order[a], order[b], bits
+
+
+def _unpacked(blocks: pa.Table, form: np.dtype) -> tuple[np.ndarray, np.ndarray]:
     """(keys, nodes) of a part."""
     nodes, keys = [], []
     for k in range(blocks.num_rows):
-        own = np.frombuffer(blocks.column("nodes")[k].as_py(), _NODE)
+        own = np.frombuffer(blocks.column("nodes")[k].as_py(), form)
         nodes.append(own[np.frombuffer(blocks.column("at")[k].as_py(), "<u2")])
         keys.append(np.frombuffer(blocks.column("keys")[k].as_py(), "<u4"))
     return np.concatenate(keys), np.concatenate(nodes)
@@ -226,8 +299,17 @@ def _unpacked(blocks: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 def _meet(blocks: pa.Table) -> pa.Table:
     """(a, b, bits): pairs of sets, each once, that meet in a part of the keys."""
-    key, nodes = _unpacked(blocks)
-    a, b, bits = met(key, nodes)
+    key, nodes = _unpacked(blocks, _LIVE)
+    return _once(nodes, *met(key, nodes))
+
+
+def _meet_across(blocks: pa.Table) -> pa.Table:
+    """(a, b, bits): all pairs of sets of different components, each once, that share a key of a part and are near."""
+    key, nodes = _unpacked(blocks, _LIVE)
+    return _once(nodes, *across(key, nodes))
+
+
+def _once(nodes: np.ndarray, a: np.ndarray, b: np.ndarray, bits: np.ndarray) -> pa.Table:
     a, b = nodes["sid"][a], nodes["sid"][b]
     low, high = np.minimum(a, b), np.maximum(a, b)
     order = np.lexsort((high, low))
@@ -238,7 +320,7 @@ def _meet(blocks: pa.Table) -> pa.Table:
 
 def _company(blocks: pa.Table) -> pa.Table:
     """(sid, deg): sets with company in a part of the keys, and the most of it."""
-    key, nodes = _unpacked(blocks)
+    key, nodes = _unpacked(blocks, _NODE)
     n = company(key, nodes)
     order = np.lexsort((-n, nodes["sid"]))
     sid, n = nodes["sid"][order], n[order]
@@ -247,9 +329,12 @@ def _company(blocks: pa.Table) -> pa.Table:
 
 
 def packed(nodes: DataFrame):
-    """Blocks of nodes (sid, fp, fp2, n, c, deg), grouped by part of the keys."""
+    """Blocks of nodes (sid, fp, fp2, n, c, deg, root, and slots if they have them), grouped by part of the keys."""
+    columns, form = ["sid", "fp", "fp2", "n", "c", "deg", "root"], _NODE
+    if "slots" in nodes.columns:
+        columns, form = [*columns, "slots"], _LIVE
     parts = max(1, nodes.count() * len(masks()) // KEYS_PER_PART)
-    return nodes.select("sid", "fp", "fp2", "n", "c", "deg").mapInArrow(_pack(parts), "part int, nodes binary, keys binary, at binary").groupBy("part")
+    return nodes.select(*columns).mapInArrow(_pack(parts, form), "part int, nodes binary, keys binary, at binary").groupBy("part")
 
 
 def sets_of(nodes: DataFrame, texts: DataFrame, width: int) -> DataFrame:
@@ -283,24 +368,42 @@ def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return Written(bounded_batches(rows).mapInArrow(run, "a bigint, b bigint"), "alike").df
 
 
+def with_slots(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Nodes (sid, fp, fp2, n, c, deg, own) with their slots, from sets (sid, s); each its own root."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = [[x.values.to_numpy() for x in batch.column(k)] for k in (6, 7)]
+            slots = pa.array([slots_of(s, own) for own, s in zip(*values, strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], batch.column(0), slots], names=["sid", "fp", "fp2", "n", "c", "deg", "root", "slots"])
+
+    rows = nodes.join(sets, "sid").select("sid", "fp", "fp2", "n", "c", "deg", "own", "s")
+    return bounded_batches(rows).mapInArrow(run, "sid bigint, fp bigint, fp2 bigint, n int, c int, deg int, root bigint, slots binary")
+
+
 def links(nodes: DataFrame, texts: DataFrame, width: int = 5) -> DataFrame:
     """(a, b): pairs of nodes (sid, fp, fp2, n, tid) that are alike; their components are those of all pairs that met."""
-    found = packed(nodes.withColumn("c", F.col("n")).withColumn("deg", F.lit(0))).applyInArrow(_company, "sid bigint, deg int")
+    found = packed(nodes.withColumns({"c": F.col("n"), "deg": F.lit(0), "root": F.lit(0).cast("long")})).applyInArrow(_company, "sid bigint, deg int")
     some = Written(nodes.join(found.groupBy("sid").agg(F.max("deg").alias("deg")), "sid"), "company").df
     sets = Written(sets_of(some, texts, width), "sets")
-    only = sets.df.select("sid", F.explode("s").alias("k")).groupBy("k").agg(F.min("sid").alias("sid"), F.max("sid").alias("z")).where("sid = z").groupBy("sid").agg(F.count("*").alias("own"))
-    live = some.join(only, "sid", "left").withColumn("c", F.expr("n - coalesce(own, 0)").cast("int")).where(F.col("c") * NEAR[1] >= F.col("n") * NEAR[0])
-    live = Written(live.select("sid", "fp", "fp2", "n", "c", "deg"), "live").df
+    only = sets.df.select("sid", F.explode("s").alias("k")).groupBy("k").agg(F.min("sid").alias("sid"), F.max("sid").alias("z")).where("sid = z").groupBy("sid").agg(F.collect_list("k").alias("own"))
+    live = some.join(only, "sid", "left").withColumn("own", F.coalesce("own", F.array().cast("array<bigint>"))).withColumn("c", F.expr("n - size(own)"))
+    live = Written(with_slots(live.where(F.col("c") * NEAR[1] >= F.col("n") * NEAR[0]), sets.df), "live").df
     pairs = Written(packed(live).applyInArrow(_meet, "a bigint, b bigint, bits tinyint").distinct(), "pairs").df
     ends = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), "bits").union(pairs.select("b", "a", "bits"))
     nearest = ends.groupBy("x").agg(F.min(F.struct("bits", "y")).alias("p")).select(F.least("x", "p.y").alias("a"), F.greatest("x", "p.y").alias("b")).distinct()
     tried = Written(nearest, "nearest").df
     found = alike(tried, sets.df)
+    of = lambda groups, c: groups.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}"))
     groups = Written(connected_components(found), "groups").df
-    of = lambda c: groups.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}"))
-    apart = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(c_a, a) <> coalesce(c_b, b)")
+    apart = pairs.join(of(groups, "a"), "a", "left").join(of(groups, "b"), "b", "left").where("coalesce(c_a, a) <> coalesce(c_b, b)")
     rest = Written(apart.select("a", "b").join(tried, ["a", "b"], "left_anti"), "rest").df
     found = found.union(alike(rest, sets.df))
+    groups = Written(connected_components(found), "groups").df
+    rooted = live.drop("root").join(of(groups, "sid"), "sid", "left").withColumn("root", F.coalesce("c_sid", "sid"))
+    left = packed(rooted).applyInArrow(_meet_across, "a bigint, b bigint, bits tinyint").select("a", "b").distinct()
+    untried = Written(left.join(tried.union(rest), ["a", "b"], "left_anti"), "across").df
+    found = found.union(alike(untried, sets.df))
     sets.drop()
     return found
 

@@ -65,6 +65,45 @@ def test_large_buckets_hold_together():
         assert len({(group[k], k % 7, int(key[k])) for k in range(699)}) == 7 * len(set(key.tolist())) and group.count(group[699]) == 1
 
 
+def rows_that_meet(nodes, key):
+    near = lambda i, j: key[i] == key[j] and nearcopies._near(nodes, np.array([i]), np.array([j]))[0, 0] < 255
+    return {(i, j) for j in range(len(nodes)) for i in range(j) if near(i, j)}
+
+
+@pytest.mark.parametrize("leaders", [16, 4096])
+def test_no_near_pair_of_different_components_is_left_out(monkeypatch, leaders):
+    monkeypatch.setattr(nearcopies, "LEADERS", leaders)
+    rng = np.random.default_rng(9)
+    nodes = np.zeros(300, nearcopies._NODE)
+    base = rng.integers(0, 1 << 63, (5, 2)).astype(np.uint64)
+    nodes["fp"] = base[rng.integers(0, 5, 300)] ^ np.array([[sum(1 << int(p) for p in rng.choice(64, 5, False)) for _ in range(2)] for _ in range(300)], np.uint64)
+    nodes["sid"], nodes["n"], nodes["c"] = np.arange(300), 100, rng.integers(84, 101, 300)
+    nodes["root"] = rng.integers(0, 30, 300)
+    for key in (np.zeros(300, np.uint32), rng.integers(0, 40, 300).astype(np.uint32)):
+        meet = rows_that_meet(nodes, key)
+        a, b, bits = nearcopies.across(key, nodes)
+        got = sorted((min(x), max(x)) for x in zip(a.tolist(), b.tolist(), strict=True))
+        assert got == sorted((i, j) for i, j in meet if nodes["root"][i] != nodes["root"][j])
+        assert (bits == nearcopies._apart(nodes["fp"][a], nodes["fp"][b])).all()
+        assert (nearcopies.company(key, nodes) > 0).tolist() == [any(k in p for p in meet) for k in range(300)]
+
+
+@pytest.mark.parametrize("size", [30, 400, 60_000])
+def test_slots_never_part_what_is_alike(size):
+    rng = np.random.default_rng(size)
+    base = rng.integers(-(1 << 63), 1 << 63, size)
+    sets = [np.concatenate([rng.choice(base, size - k * size // 40, replace=False), rng.integers(-(1 << 63), 1 << 63, k * size // 40)]) for k in range(8)] + [base]
+    nodes = np.zeros(len(sets), nearcopies._LIVE)
+    for k, s in enumerate(sets):
+        slots = nearcopies.slots_of(s, s[~np.isin(s, np.concatenate(sets[:k] + sets[k + 1 :]))])
+        nodes["slots"][k], nodes["shift"][k], nodes["n"][k] = list(slots[:-1]), slots[-1], len(s)
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                assert nearcopies._slots_allow(nodes, np.array([i]), np.array([j])).all()
+
+
 def test_groups_are_those_of_all_pairs(spark):
     rows = near_rows()
     got = nearcopies.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
