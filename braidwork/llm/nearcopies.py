@@ -24,8 +24,9 @@ that meet are then held to the exact similarity.
   only these meet again.  They carry how many of their other shingles fall in
   each of SLOTS slots: no intersection is larger than the sum of the lesser
   counts, so pairs with edits in different places need not be tried.
-* First each node is held against the nearest node it met; what that links
-  needs no more pairs.  Pairs whose nodes are apart afterwards come second.
+* In each of ROUNDS rounds every node is held against the nearest node that it
+  met in another component, so what is linked already needs no more pairs and
+  the links found stay few.  Pairs whose nodes are apart afterwards come last, all.
 * What the hubs leave apart meets once more, now in all pairs of different
   components and in buckets of any size.  So the components are those of all
   pairs that meet; a group that its hubs have joined costs nothing here.
@@ -42,6 +43,7 @@ table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import product, repeat
 
 import numpy as np
@@ -67,6 +69,8 @@ WITHIN = 34
 BLOCK_NODES, KEYS_PER_PART = 4_000, 500_000
 #: Company up to which a node meets all of it, and size of buckets that are compared by lags; beyond LEADERS see above.
 SMALL, LEADERS = 16, 4_096
+#: Rounds in which a node tries one pair; what they leave apart is tried in full.
+ROUNDS = 3
 
 #: n: size of the set; c: how many of its shingles another set may have; deg: its company; root: its component so far.
 _NODE = np.dtype([("fp", "<u8", 2), ("sid", "<i8"), ("n", "<u4"), ("c", "<u4"), ("deg", "<u4"), ("root", "<i8")])
@@ -383,6 +387,7 @@ def with_slots(nodes: DataFrame, sets: DataFrame) -> DataFrame:
 
 def links(nodes: DataFrame, texts: DataFrame, width: int = 5) -> DataFrame:
     """(a, b): pairs of nodes (sid, fp, fp2, n, tid) that are alike; their components are those of all pairs that met."""
+    of = lambda groups, c: groups.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}"))
     found = packed(nodes.withColumns({"c": F.col("n"), "deg": F.lit(0), "root": F.lit(0).cast("long")})).applyInArrow(_company, "sid bigint, deg int")
     some = Written(nodes.join(found.groupBy("sid").agg(F.max("deg").alias("deg")), "sid"), "company").df
     sets = Written(sets_of(some, texts, width), "sets")
@@ -390,22 +395,24 @@ def links(nodes: DataFrame, texts: DataFrame, width: int = 5) -> DataFrame:
     live = some.join(only, "sid", "left").withColumn("own", F.coalesce("own", F.array().cast("array<bigint>"))).withColumn("c", F.expr("n - size(own)"))
     live = Written(with_slots(live.where(F.col("c") * NEAR[1] >= F.col("n") * NEAR[0]), sets.df), "live").df
     pairs = Written(packed(live).applyInArrow(_meet, "a bigint, b bigint, bits tinyint").distinct(), "pairs").df
-    ends = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), "bits").union(pairs.select("b", "a", "bits"))
-    nearest = ends.groupBy("x").agg(F.min(F.struct("bits", "y")).alias("p")).select(F.least("x", "p.y").alias("a"), F.greatest("x", "p.y").alias("b")).distinct()
-    tried = Written(nearest, "nearest").df
-    found = alike(tried, sets.df)
-    of = lambda groups, c: groups.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}"))
-    groups = Written(connected_components(found), "groups").df
-    apart = pairs.join(of(groups, "a"), "a", "left").join(of(groups, "b"), "b", "left").where("coalesce(c_a, a) <> coalesce(c_b, b)")
-    rest = Written(apart.select("a", "b").join(tried, ["a", "b"], "left_anti"), "rest").df
-    found = found.union(alike(rest, sets.df))
-    groups = Written(connected_components(found), "groups").df
+    pool, tried, found = pairs, [], []
+    for _ in range(ROUNDS):
+        ends = pool.select(F.col("a").alias("x"), F.col("b").alias("y"), "bits").union(pool.select("b", "a", "bits"))
+        nearest = ends.groupBy("x").agg(F.min(F.struct("bits", "y")).alias("p")).select(F.least("x", "p.y").alias("a"), F.greatest("x", "p.y").alias("b")).distinct()
+        tried.append(Written(nearest, "nearest").df)
+        found.append(alike(tried[-1], sets.df))
+        groups = Written(connected_components(reduce(DataFrame.union, found)), "groups").df
+        apart = pool.join(of(groups, "a"), "a", "left").join(of(groups, "b"), "b", "left").where("coalesce(c_a, a) <> coalesce(c_b, b)")
+        pool = Written(apart.select("a", "b", "bits").join(tried[-1], ["a", "b"], "left_anti"), "pool").df
+    tried.append(pool.select("a", "b"))
+    found.append(alike(tried[-1], sets.df))
+    groups = Written(connected_components(reduce(DataFrame.union, found)), "groups").df
     rooted = live.drop("root").join(of(groups, "sid"), "sid", "left").withColumn("root", F.coalesce("c_sid", "sid"))
     left = packed(rooted).applyInArrow(_meet_across, "a bigint, b bigint, bits tinyint").select("a", "b").distinct()
-    untried = Written(left.join(tried.union(rest), ["a", "b"], "left_anti"), "across").df
-    found = found.union(alike(untried, sets.df))
+    untried = Written(left.join(reduce(DataFrame.union, tried), ["a", "b"], "left_anti"), "across").df
+    found.append(alike(untried, sets.df))
     sets.drop()
-    return found
+    return reduce(DataFrame.union, found)
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:
