@@ -9,19 +9,19 @@ from pyspark.sql import functions as F
 MAP_BITS = 1 << 23
 
 
-def bit_of(key: Column) -> Column:
-    return F.pmod(key, F.lit(MAP_BITS))
+def bit_of(key: Column, bits: int = MAP_BITS) -> Column:
+    return F.pmod(key, F.lit(bits))
 
 
-def collected(keys: DataFrame, key: Column, *more: Column) -> tuple[bytes, list]:
+def collected(keys: DataFrame, key: Column, *more: Column, bits: int = MAP_BITS) -> tuple[bytes, list]:
     """The map of keys (longs, nulls left out), and the rows of aggregates `more` by stretch of the map."""
-    at = bit_of(key) + 1  # numbered from 1
+    at, size = bit_of(key, bits) + 1, bits // 8  # numbered from 1
     parts = keys.groupBy(F.coalesce(F.bitmap_bucket_number(at), F.lit(0)).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"), *more).collect()
-    bits = bytearray(MAP_BITS // 8)
+    out = bytearray(size)
     for r in parts:
         if r.part:
-            bits[(r.part - 1) * len(r.bits) : r.part * len(r.bits)] = r.bits
-    return bytes(bits), parts
+            out[(r.part - 1) * len(r.bits) : r.part * len(r.bits)] = r.bits
+    return bytes(out), parts
 
 
 def marked(rows: DataFrame, key: Column, keys: DataFrame, of: Column) -> DataFrame:

@@ -1,22 +1,32 @@
 """Exact repeated-passage removal by super-k-mer partitioning.
 
 A window is ``width`` consecutive words of one document.  Its minimiser is the
-least mixed hash of its runs of ``minimiser`` words, so equal windows have equal
-minimisers wherever they stand.  Consecutive windows that share their minimiser
-travel as one packed string, about three times the text in all instead of
-``width`` times, to the bucket of the minimiser.  There the windows are sorted
-and counted, and runs of equal hashes are confirmed on the words themselves.
-
+first place of the least mixed hash among its runs of ``minimiser`` words, so
+equal windows have it at the same offset wherever they stand.  Consecutive
+windows that share the place of their minimiser are a super-k-mer.
+
+* Of a window either the left or the right half of what surrounds the minimiser
+  is whole, by its offset.  So a super-k-mer is cut in two pieces at most, and a
+  piece's signature is the hash of that half and the minimiser, which stand in
+  every window of it: equal windows are in different pieces of one signature.
+* Signatures are counted over the whole corpus first.  Those that occur once
+  hold no repeated window, and their pieces stay where they are; the others mark
+  a bit of a map that grows with their number up to MOST_BITS.  A bit that is
+  marked by chance only moves a piece in vain.
+* The other pieces travel as one packed string each to the bucket of their
+  signature.  There the windows are sorted and counted, and runs of equal hashes
+  are confirmed on the words themselves.
 * A map task packs its strings into one compressed block for each bucket.
   Equal strings of a block are one string with a count, so copies of a document
   cost a few bytes each.
-* Minimisers are counted over the whole corpus first, each by itself.  Those of
-  more than ``hot_units`` strings mark a bit of a map of one megabyte; windows
-  whose minimiser has its bit marked travel one by one, as 16 bytes of SHA-256,
-  dealt by that digest: a frequent minimiser is spread over all buckets.  A bit
-  that is marked by chance moves its windows in the same way in every task.
-* The number of buckets follows the number of strings, and none of the others
-  has more than ``hot_units``, so no bucket outgrows its share at any size.
+* Signatures of more than ``hot_units`` pieces mark a bit of a map of one
+  megabyte; windows whose signature has its bit marked travel one by one, as 16
+  bytes of SHA-256, dealt by that digest: a frequent signature is spread over all
+  buckets.  A bit that is marked by chance moves its windows in the same way in
+  every task.
+* The number of buckets follows the number of repeated pieces, and no signature
+  of the others has more than ``hot_units``, so no bucket outgrows its share at
+  any size.
 * Texts without a repeated window stay where they are; only the others meet
   their spans, which are gathered by text beforehand.
 
@@ -46,8 +56,11 @@ from braidwork.shared import Written, bounded_batches, ship_bytes
 KEY_BYTES = 12
 #: Memory of what a task has gathered; what a string and a place cost as Python objects.
 FLUSH_BYTES, STRING_BYTES, REF_BYTES = 64 << 20, 200, 220
-MOST_WINDOWS = 512
 UNITS_PER_BUCKET = 10_000
+#: Bits of the map of repeated signatures: for each of them, and at most (32 MB).
+BITS_EACH, MOST_BITS = 16, 1 << 28
+#: Words that are worked on at once; more only in one text.
+WORDS_AT_ONCE = 1 << 16
 #: Blocks under so many bytes are not worth compressing.
 SMALL_BLOCK = 512
 
@@ -67,25 +80,47 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
-def window_minimisers(hashes: np.ndarray, width: int, m: int) -> np.ndarray:
-    """The minimiser of every window, in order."""
+_FACTOR = 0x9E3779B97F4A7C15
+
+
+def minimiser_places(hashes: np.ndarray, width: int, m: int) -> np.ndarray:
+    """Where the minimiser of every window stands, in order."""
     grams = np.zeros(len(hashes) - m + 1, np.uint64)
     for k in range(m):
-        grams = grams * np.uint64(0x9E3779B97F4A7C15) + hashes[k : len(hashes) - m + 1 + k]
-    least, span, need = mix(grams), 1, width - m + 1
+        grams = grams * np.uint64(_FACTOR) + hashes[k : len(hashes) - m + 1 + k]
+    least, at, span, need = mix(grams), np.arange(len(grams), dtype=np.int32), 1, width - m + 1
     while span < need:
         step = min(span, need - span)
+        at = np.where(least[step:] < least[:-step], at[step:], at[:-step])
         least = np.minimum(least[:-step], least[step:])
         span += step
-    return least
-
-
-def super_kmers(least: np.ndarray) -> Iterator[tuple[int, int]]:
-    """(first window, windows) of every run of equal minimisers, long runs cut."""
-    cuts = np.flatnonzero(least[1:] != least[:-1]) + 1
-    for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(least)], strict=True):
-        for at in range(s, e, MOST_WINDOWS):
-            yield at, min(e - at, MOST_WINDOWS)
+    return at
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def pieces(texts: list[list[bytes]], width: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first window, windows, signature) of every piece of the texts' words; each text has a window."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    hashes = word_hashes([w for t in texts for w in t])
+    windows = sizes - width + 1
+    text = np.repeat(np.arange(len(texts)), windows)
+    begin = np.cumsum(sizes) - sizes
+    no = np.arange(len(text)) - np.repeat(np.cumsum(windows) - windows, windows)
+    window = begin[text] + no
+    at = minimiser_places(hashes, width, m)[window]
+    half = (width - m) // 2
+    left = at - window >= half
+    first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (left[1:] != left[:-1]) | (text[1:] != text[:-1])]))
+    n = np.diff(np.concatenate([first, [len(text)]]))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * _powers(_FACTOR, len(hashes)), dtype=np.uint64)])
+    left, start = left[first], at[first] - np.where(left[first], half, 0)
+    value = (sums[start + half + m] - sums[start]) * _powers(pow(_FACTOR, -1, 2**64), len(hashes))[start]
+    return text[first], no[first], n, mix(value + left.astype(np.uint64))
 
 
 def text_key(text: bytes) -> bytes:
@@ -97,23 +132,39 @@ def _texts(batch: pa.RecordBatch) -> Iterator[bytes]:
         yield x.as_py() or b""
 
 
+def _long_texts(batch: pa.RecordBatch, width: int) -> Iterator[list[tuple[bytes, list[bytes]]]]:
+    """(text, words) of the texts that have a window, a few at a time."""
+    some, held = [], 0
+    for text in _texts(batch):
+        if len(words := text.split()) >= width:
+            if some and held + len(words) > WORDS_AT_ONCE:
+                yield some
+                some, held = [], 0
+            some.append((text, words))
+            held += len(words)
+    if some:
+        yield some
+
+
 def _count(width: int, m: int):
-    """(minimiser, n) of a batch's strings."""
+    """(signature, n) of a batch's pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for text in _texts(batch):
-                if len(words := text.split()) >= width:
-                    least = window_minimisers(word_hashes(words), width, m)
-                    found.append(least[np.concatenate([[True], least[1:] != least[:-1]])])
-            if found:
-                least, n = np.unique(np.concatenate(found), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(least.view(np.int64)), pa.array(n.astype(np.int64))], names=["minimiser", "n"])
+            found = [pieces([words for _, words in some], width, m)[3] for some in _long_texts(batch, width)]
+            if not found:
+                continue
+            signature, n = np.unique(np.concatenate(found), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(signature.view(np.int64)), pa.array(n.astype(np.int64))], names=["signature", "n"])
 
     return run
 
 
+def _marked(signature: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    bit = signature % np.uint64(8 * len(bits))
+    return (bits[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
 def _squeezed(data: bytes) -> bytes:
     return b"0" + data if len(data) < SMALL_BLOCK else b"1" + zstandard.ZstdCompressor(level=3).compress(data)
 
@@ -128,11 +179,14 @@ class _Block:
     def __init__(self):
         self.index: dict[bytes, int] = {}
         self.count: list[int] = []
+        self.marks: list[int] = []
         self.refs: set[tuple[int, bytes, int]] = set()
 
-    def add(self, string: bytes, key: bytes, start: int) -> int:
+    def add(self, string: bytes, key: bytes, start: int, mark: int = 0) -> int:
+        """Bytes that are held more; equal strings have equal marks."""
         if (k := self.index.setdefault(string, len(self.index))) == len(self.count):
             self.count.append(0)
+            self.marks.append(mark)
         self.count[k] += 1
         size = len(self.refs)
         self.refs.add((k, key, start))
@@ -145,21 +199,21 @@ class _Block:
         return {
             "strings": z((b"\n" if whole else b"").join(strings)),
             "counts": z(np.array(self.count, "<u4").tobytes()),
+            "marks": z(np.array(self.marks if whole else [], "<u4").tobytes()),
             "refs": z(b"".join(np.ascontiguousarray(refs[c]).tobytes() for c in _REF.names)),
             "whole": whole,
         }
 
 
-BLOCK = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("strings", T.BinaryType()), T.StructField("counts", T.BinaryType()), T.StructField("refs", T.BinaryType()), T.StructField("whole", T.BooleanType())])
-_BLOCK_ARROW = pa.schema([("bucket", pa.int32()), ("strings", pa.binary()), ("counts", pa.binary()), ("refs", pa.binary()), ("whole", pa.bool_())])
+BLOCK = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("strings", T.BinaryType()), T.StructField("counts", T.BinaryType()), T.StructField("marks", T.BinaryType()), T.StructField("refs", T.BinaryType()), T.StructField("whole", T.BooleanType())])
+_BLOCK_ARROW = pa.schema([("bucket", pa.int32()), ("strings", pa.binary()), ("counts", pa.binary()), ("marks", pa.binary()), ("refs", pa.binary()), ("whole", pa.bool_())])
 
 
-def _deal(width: int, m: int, hot_map: str, buckets: int):
-    """Blocks of super-k-mers by bucket."""
+def _deal(width: int, minimiser: int, again_map: str, hot_map: str, buckets: int):
+    """Blocks of pieces of repeated signatures by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with open(SparkFiles.get(hot_map), "rb") as f:
-            hot = np.frombuffer(f.read(), np.uint8)
+        again, hot = (np.memmap(SparkFiles.get(x), np.uint8, "r") for x in (again_map, hot_map))  # workers of a machine share the pages
         blocks: dict[tuple[int, bool], _Block] = {}
         held = 0
 
@@ -173,22 +227,21 @@ def _deal(width: int, m: int, hot_map: str, buckets: int):
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, _BLOCK_ARROW)
 
-        for batch in batches:
-            for text in _texts(batch):
-                if len(words := text.split()) < width:
-                    continue
-                key = text_key(text)
-                least = window_minimisers(word_hashes(words), width, m)
-                bit = least % np.uint64(8 * len(hot))
-                marked = (hot[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1
-                bucket = (mix(least) % np.uint64(buckets)).astype(np.int64)
-                for start, n in super_kmers(least):
-                    if marked[start]:
-                        for k in range(start, start + n):
-                            digest = hashlib.sha256(b" ".join(words[k : k + width])).digest()[:16]
-                            held += blocks.setdefault((int.from_bytes(digest[:8], "little") % buckets, False), _Block()).add(digest, key, k)
-                    else:
-                        held += blocks.setdefault((int(bucket[start]), True), _Block()).add(b" ".join(words[start : start + n + width - 1]), key, start)
+        for long in (some for batch in batches for some in _long_texts(batch, width)):
+            found = pieces([words for _, words in long], width, minimiser)
+            moved = _marked(found[3], again)
+            text, start, n, signature = (x[moved] for x in found)
+            bucket, mark = (mix(signature) % np.uint64(buckets)).tolist(), (signature >> np.uint64(32)).tolist()
+            at, key, words = None, b"", []
+            for x, s, k, b, m, single in zip(text.tolist(), start.tolist(), n.tolist(), bucket, mark, _marked(signature, hot).tolist(), strict=True):
+                if x != at:
+                    at, key, words = x, text_key(long[x][0]), long[x][1]
+                if single:
+                    for w in range(s, s + k):
+                        digest = hashlib.sha256(b" ".join(words[w : w + width])).digest()[:16]
+                        held += blocks.setdefault((int.from_bytes(digest[:8], "little") % buckets, False), _Block()).add(digest, key, w)
+                else:
+                    held += blocks.setdefault((b, True), _Block()).add(b" ".join(words[s : s + k + width - 1]), key, s, m)
                 if held > FLUSH_BYTES:
                     yield from flush()
                     blocks, held = {}, 0
@@ -247,6 +300,21 @@ def _spans(string: np.ndarray, offset: np.ndarray, width: int) -> tuple[np.ndarr
     return string[cut], offset[cut], offset[end] + width
 
 
+def repeated_in(strings: list[bytes], counts: np.ndarray, marks: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(string, first word, word after the last) of runs of repeated windows.
+
+    Windows of strings with different marks differ, and so do those of one string:
+    a string that is alone with its mark repeats as a whole or not at all.
+    """
+    _, group, size = np.unique(marks, return_inverse=True, return_counts=True)
+    alone = size[group] == 1
+    whole = np.flatnonzero(alone & (counts > 1))
+    rest = np.flatnonzero(~alone)
+    string, lo, hi = _spans(*repeated_windows([strings[k] for k in rest.tolist()], counts[rest], width), width) if len(rest) else (rest, rest, rest)
+    ends = np.fromiter((strings[k].count(b" ") + 1 for k in whole.tolist()), np.int64, len(whole))
+    return np.concatenate([whole, rest[string]]), np.concatenate([np.zeros(len(whole), np.int64), lo]), np.concatenate([ends, hi])
+
+
 SPAN_SCHEMA = pa.schema([("key", pa.binary()), ("lo", pa.int32()), ("hi", pa.int32())])
 
 
@@ -259,18 +327,21 @@ def _solve(width: int):
         for whole in (True, False):
             index: dict[bytes, int] = {}
             total: list[int] = []
+            marks: list[int] = []
             refs = []
             for b in blocks.to_pylist():
                 if b["whole"] != whole:
                     continue
                 data = raw(b["strings"])
                 strings = data.split(b"\n") if whole else [data[k : k + 16] for k in range(0, len(data), 16)]
-                counts = np.frombuffer(raw(b["counts"]), "<u4")
+                counts = np.frombuffer(raw(b["counts"]), "<u4").tolist()
+                mark = np.frombuffer(raw(b["marks"]), "<u4").tolist()
                 renamed = np.empty(len(strings), np.int64)
                 for k, s in enumerate(strings):
                     if (at := index.setdefault(s, len(index))) == len(total):
                         total.append(0)
-                    total[at] += int(counts[k])
+                        marks += mark[k : k + 1]
+                    total[at] += counts[k]
                     renamed[k] = at
                 data = raw(b["refs"])
                 n = len(data) // _REF.itemsize
@@ -283,7 +354,7 @@ def _solve(width: int):
                 continue
             counts = np.array(total, np.int64)
             if whole:
-                string, lo, hi = _spans(*repeated_windows(list(index), counts, width), width)
+                string, lo, hi = repeated_in(list(index), counts, np.array(marks, np.uint32), width)
             else:
                 string = np.flatnonzero(counts > 1)
                 lo, hi = np.zeros(len(string), np.int64), np.full(len(string), width)
@@ -303,14 +374,20 @@ def _solve(width: int):
 def repeated_spans(texts: DataFrame, width: int = 35, minimiser: int = 3, hot_units: int = 5_000, buckets: int | None = None) -> DataFrame:
     """(key, lo, hi): word spans of a text (key: SHA-256 of its UTF-8, cut) that repeated windows cover.
 
-    texts: one string column.  hot_units: strings of a minimiser from which its windows travel one by one.
+    texts: one string column.  hot_units: pieces of a signature from which its windows travel one by one.
     """
     spark = texts.sparkSession
-    counted = bounded_batches(texts).mapInArrow(_count(width, minimiser), "minimiser bigint, n bigint").groupBy("minimiser").agg(F.sum("n").alias("n"))
-    hot, parts = bitmap.collected(counted, F.when(F.col("n") > hot_units, F.col("minimiser")), F.sum("n").alias("units"))
-    units = sum(r.units for r in parts)
-    n = buckets or max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), units // UNITS_PER_BUCKET)
-    blocks = texts.mapInArrow(_deal(width, minimiser, ship_bytes(spark, hot), n), BLOCK)
+    counted = bounded_batches(texts).mapInArrow(_count(width, minimiser), "signature bigint, n bigint").groupBy("signature").agg(F.sum("n").alias("n")).where("n > 1")
+    repeated = Written(counted, "signatures")
+    found = repeated.df.agg(F.count("*").alias("kinds"), F.coalesce(F.sum("n"), F.lit(0)).alias("units")).first()
+    bits = bitmap.MAP_BITS
+    while bits < min(BITS_EACH * found.kinds, MOST_BITS):
+        bits *= 2
+    again, _ = bitmap.collected(repeated.df, F.col("signature"), bits=bits)
+    hot, _ = bitmap.collected(repeated.df.where(F.col("n") > hot_units), F.col("signature"))
+    repeated.drop()
+    n = buckets or max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), found.units // UNITS_PER_BUCKET)
+    blocks = texts.mapInArrow(_deal(width, minimiser, ship_bytes(spark, again), ship_bytes(spark, hot), n), BLOCK)
     return blocks.groupBy("bucket").applyInArrow(_solve(width), "key binary, lo int, hi int")
 
 

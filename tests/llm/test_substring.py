@@ -71,3 +71,30 @@ def test_equal_hashes_of_different_words_are_told_apart(monkeypatch):
 
 def test_empty_table(spark):
     assert substring.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_only_pieces_of_repeated_signatures_travel(spark, monkeypatch):
+    """Texts that share runs of words up to the width, but no window: nothing is dealt."""
+    rng = random.Random(6)
+    common = [f"c{k}" for k in range(6)]
+    rows = [(d, " ".join(f"w{rng.randrange(10**9)}" if k % 40 > 5 else common[k % 40] for k in range(300))) for d in range(200)]
+    texts = [t.encode().split() for _, t in rows]
+    signature, n = np.unique(substring.pieces(texts, 20, 3)[3], return_counts=True)
+    assert n.max() == 1
+    text, first, windows, _ = substring.pieces(texts, 20, 3)
+    assert sorted((int(t), int(f) + k) for t, f, w in zip(text, first, windows, strict=True) for k in range(w)) == [(t, k) for t in range(200) for k in range(281)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(substring, "text_key", None)  # a piece that travels needs it
+    assert substring.repeated_spans(docs.select("text"), 20).count() == 0
+
+
+@pytest.mark.parametrize("width, m", [(2, 1), (3, 3), (4, 3), (12, 3), (35, 3)])
+def test_equal_windows_have_one_signature_in_different_pieces(width, m):
+    rng = random.Random(width)
+    texts = [[b"abc"[k : k + 1] for k in (rng.randrange(3) for _ in range(rng.randrange(width, 300)))] + [b"a", b"b"] * 40 for _ in range(30)]
+    seen = {}
+    for x, f, w, s in zip(*(c.tolist() for c in substring.pieces(texts, width, m)), strict=True):
+        for k in range(f, f + w):
+            assert seen.setdefault(tuple(texts[x][k : k + width]), s) == s
+        same = [tuple(texts[x][k : k + width]) for k in range(f, f + w)]
+        assert len(set(same)) == len(same)
