@@ -24,8 +24,10 @@ Longer texts are dealt in chunks to all tasks:
 3. with these a chunk gives a map from the state it is left in to the state in
    which the best path enters it; maps are composed level by level in the same
    way, which settles every chunk's last state;
-4. every chunk is traced back by itself, wherever it lies; only its ids travel
-   to the text's row.
+4. every chunk is traced back by itself, wherever it lies.  The ids between its
+   first and last cut, nearly all, wait for nothing: they lie compressed in the
+   chunk's record and travel once, to the text's row, where the few ids before and
+   behind them are put on and the whole is spelled.
 
 Costs are negated scores, so "max-plus" is min-plus in the code.
 
@@ -45,6 +47,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -358,13 +361,28 @@ def entries(v: Vocabulary, r: dict, entry: list[int]) -> bytes:
     return bytes(v.trace(r["text"], entry, reached, e, r["n"])[0] if e < len(reached) and reached[e] < NEVER else 255 for e in ends)
 
 
-def ids_from(v: Vocabulary, r: dict, entry: list[int], state: int) -> bytes:
-    """Ids of the pieces that start in a record's chunk on the best path that leaves it in a state."""
+def ends_from(v: Vocabulary, r: dict, entry: list[int], state: int) -> tuple[bytes, bytes]:
+    """Ids before and behind the head, of the pieces that start in a record's chunk on the best path that leaves it in a state."""
     if r["cut"]:
         _, pieces = v.trace(r["text"], entry, v.best(r["text"], entry, r["n"]), r["n"])
-        return v.packed(pieces) + r["head"] + r["tails"][state]
+        return v.packed(pieces), r["tails"][state]
     reached = v.best(r["text"], entry, len(r["text"]), r["n"])
-    return v.packed(v.trace(r["text"], entry, reached, r["n"] + state, r["n"])[1])
+    return v.packed(v.trace(r["text"], entry, reached, r["n"] + state, r["n"])[1]), b""
+
+
+def ids_from(v: Vocabulary, r: dict, entry: list[int], state: int) -> bytes:
+    """All ids of the pieces that start in a record's chunk on that path."""
+    before, behind = ends_from(v, r, entry, state)
+    return before + r["head"] + behind
+
+
+def squeezed(ids: bytes) -> bytes:
+    """Ids as they lie on disk: by byte of their numbers, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(np.frombuffer(ids, np.uint8).reshape(-1, 4).T.tobytes()) if ids else b""
+
+
+def unsqueezed(ids: bytes) -> bytes:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(ids), np.uint8).reshape(4, -1).T.tobytes() if ids else b""
 
 
 def compose(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -473,7 +491,8 @@ def _records(name: str):
                 rows = batch.slice(at, 256)
                 chunks = [Chunk(v, t, n) for t, n in zip(rows.column(2).to_pylist(), rows.column(3).to_pylist(), strict=True)]
                 v.learn(chain.from_iterable(c.middle for c in chunks))
-                made = pa.RecordBatch.from_pylist([c.record() for c in chunks], RECORD)
+                records = [c.record() for c in chunks]
+                made = pa.RecordBatch.from_pylist([r | {"head": squeezed(r["head"])} for r in records], RECORD)
                 yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *made.columns, rows.column(4)], names=["key", "no", *RECORD.names, "row"])
         v.forget()
 
@@ -555,33 +574,44 @@ def combined_maps(maps: list[bytes]) -> bytes:
 
 
 def _trace(name: str):
-    """The ids of each chunk, traced back by itself."""
+    """The ids before and behind each chunk's head, traced back by itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(name)
         for batch in batches:
-            ids = [ids_from(v, r, _costs(r), r["state"][0]) for r in batch.to_pylist()]
-            read = [v.spell(np.frombuffer(i, "<i4").tolist()) for i in ids]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary()), pa.array(read, pa.binary())], names=["key", "no", "ids", "read"])
+            ends = [ends_from(v, r, _costs(r), r["state"][0]) for r in batch.to_pylist()]
+            packed = (pa.array([squeezed(e[k]) for e in ends], pa.binary()) for k in range(2))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *packed], names=["key", "no", "before", "behind"])
 
     return run
 
 
-def _gather(form: str):
-    """A text's row with the ids of its chunks one after the other."""
+def _gather(name: str, form: str):
+    """A text's row with the ids of its chunks one after the other, and what they spell.
+
+    Of each chunk come two rows: the ids of its ends, then its head.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, row, ids, read = None, None, [], []
-        done = lambda: _result(row, [b"".join(ids)], [b"".join(read).decode()[1:]], form)
+        v = vocabulary(name)
+        key, row, ids, behind = None, None, [], b""
+
+        def done() -> pa.RecordBatch:
+            read = b"".join(v.spell(np.frombuffer(i, "<i4").tolist()) for i in ids)
+            return _result(row, [b"".join(ids)], [read.decode()[1:]], form)
+
         for batch in batches:
             for k, at in enumerate(batch.column(0).to_pylist()):
                 if at != key:
                     if row is not None:
                         yield done()
-                    key, ids, read = at, [], []
-                    row = batch.column("row").slice(k, 1)
-                ids.append(batch.column(1)[k].as_py())
-                read.append(batch.column(2)[k].as_py())
+                    key, row, ids = at, None, []
+                if batch.column("head")[k].is_valid:
+                    ids += [unsqueezed(batch.column("head")[k].as_py()), behind]
+                    row = batch.column("row").slice(k, 1) if row is None else row
+                else:
+                    before, behind = (unsqueezed(batch.column(c)[k].as_py()) for c in ("before", "behind"))
+                    ids.append(before)
         if row is not None:
             yield done()
 
@@ -606,11 +636,12 @@ def encode_long(rows: DataFrame, name: str, longest: int, chunk_chars: int, form
     known = records.select("key", "no", "text", "n", "cut").join(entered.hint("merge"), ["key", "no"])
     maps = Written(known.mapInArrow(_maps(name), "key bigint, no int, states binary"), "maps").df
     left = _scan(maps, "states", combined_maps, lambda state, m: m[state[0] : state[0] + 1], b"\0", backwards=True).withColumnRenamed("came", "state")
-    settled = records.select("key", "no", *(c for c in RECORD.names if c != "costs")).join(entered.hint("merge"), ["key", "no"]).join(left.hint("merge"), ["key", "no"])
-    traced = Written(settled.mapInArrow(_trace(name), "key bigint, no int, ids binary, read binary"), "traced").df
-    whose = records.where("no = 0").select("key", F.lit(0).alias("no"), "row")
-    together = traced.join(whose.hint("merge"), ["key", "no"], "left").select("key", "ids", "read", "row", "no").repartition("key").sortWithinPartitions("key", "no")
-    return together.mapInArrow(_gather(form), result_type(row, form))
+    settled = records.select("key", "no", "text", "n", "cut", "tails").join(entered.hint("merge"), ["key", "no"]).join(left.hint("merge"), ["key", "no"])
+    traced = Written(settled.mapInArrow(_trace(name), "key bigint, no int, before binary, behind binary"), "traced").df
+    ends = traced.select("key", "no", "before", "behind", F.lit(None).cast("binary").alias("head"), F.lit(None).cast(row.dataType).alias("row"))
+    heads = records.select("key", "no", F.lit(None).cast("binary").alias("before"), F.lit(None).cast("binary").alias("behind"), "head", "row")
+    together = ends.union(heads).repartition("key").sortWithinPartitions("key", "no", F.col("head").isNotNull())
+    return together.mapInArrow(_gather(name, form), result_type(row, form))
 
 
 def result_type(row: T.StructField, form: str) -> T.StructType:

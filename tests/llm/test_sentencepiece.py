@@ -130,3 +130,31 @@ def test_query_round_trips(spark):
 
     got = queries.op4_sentencepiece(spark, "/root/testdata/sf0.001")
     assert got.count() == got.where("round_trip").count() == 200
+
+
+def test_heads_of_chunks_travel_once_and_compressed(spark, monkeypatch):
+    """Between the shuffles only what waits for a scan is held; ids lie there in less than half of their bytes, decoded text nowhere."""
+    from pathlib import Path
+
+    made = []
+
+    class Kept(S.Written):
+        def __init__(self, df, name):
+            super().__init__(df, name)
+            made.append((name, self.df.columns, sum(p.stat().st_size for p in Path(self.path.removeprefix("file://")).rglob("*.parquet"))))
+
+    monkeypatch.setattr(S, "Written", Kept)
+    rng = random.Random(12)
+    words = ["the", "of", "language", "model", "house", "Strasse", "river", "and", "lemma", "verdict"]
+    texts = [" ".join(rng.choice(words) for _ in range(40_000)) for _ in range(3)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.row.doc_id: r for r in S.encode_and_read(docs, chunk_chars=4096, keep=["doc_id"]).collect()}
+    assert [got[k].text for k in range(3)] == texts
+    size = {n: b for n, _, b in made if n in ("records", "traced")}
+    assert not any("read" in c or "ids" in c for _, c, _ in made)
+    assert size["records"] < 2 * sum(len(r.ids) for r in got.values()) and size["traced"] < size["records"]
+
+
+def test_ids_are_the_same_after_squeezing():
+    for ids in (b"", np.arange(70_000, dtype="<i4").tobytes(), np.array([2**31 - 1], "<i4").tobytes()):
+        assert S.unsqueezed(S.squeezed(ids)) == ids
