@@ -69,6 +69,8 @@ WITHIN = 34
 BLOCK_NODES, KEYS_PER_PART = 4_000, 500_000
 #: Company up to which a node meets all of it, and size of buckets that are compared by lags; beyond LEADERS see above.
 SMALL, LEADERS = 16, 4_096
+#: Pairs of nodes that are looked at at once.
+AT_ONCE = 1 << 14
 #: Rounds in which a node tries one pair; what they leave apart is tried in full.
 ROUNDS = 3
 
@@ -126,10 +128,10 @@ def _slots_allow(nodes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Whether rows a and b, by the lesser counts of their slots, can be alike."""
     ok = np.ones(len(a), bool)
     if "slots" in nodes.dtype.names:
-        for at in range(0, len(a), 1 << 15):
-            x, y = nodes[a[at : at + (1 << 15)]], nodes[b[at : at + (1 << 15)]]
+        for at in range(0, len(a), AT_ONCE):
+            x, y = nodes[a[at : at + AT_ONCE]], nodes[b[at : at + AT_ONCE]]
             most = np.minimum(*(v["slots"].astype(np.int64) << v["shift"][:, None].astype(np.int64) for v in (x, y))).sum(axis=1)
-            ok[at : at + (1 << 15)] = (NEAR[0] + NEAR[1]) * most >= NEAR[0] * (x["n"].astype(np.int64) + y["n"])
+            ok[at : at + AT_ONCE] = (NEAR[0] + NEAR[1]) * most >= NEAR[0] * (x["n"].astype(np.int64) + y["n"])
     return ok
 
 
@@ -192,10 +194,12 @@ def _runs(*by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _near(nodes: np.ndarray, mine: np.ndarray, others: np.ndarray) -> np.ndarray:
     """Differing bits of rows and other rows, 255 where they are the same row or not near."""
     bits = _apart(nodes["fp"][mine][:, None], nodes["fp"][others][None, :])
-    bits[(bits > WITHIN) | (others[None, :] == mine[:, None]) | ~_can_be_alike(nodes[mine][:, None], nodes[others][None, :])] = 255
-    r, c = np.nonzero(bits < 255)
-    not_so = ~_slots_allow(nodes, mine[r], others[c])
-    bits[r[not_so], c[not_so]] = 255
+    bits[(bits > WITHIN) | (others[None, :] == mine[:, None])] = 255
+    at = np.flatnonzero(bits < 255)
+    for k in range(0, len(at), AT_ONCE):
+        some = at[k : k + AT_ONCE]
+        a, b = mine[some // len(others)], others[some % len(others)]
+        bits.ravel()[some[~(_can_be_alike(nodes[a], nodes[b]) & _slots_allow(nodes, a, b))]] = 255
     return bits
 
 
@@ -207,10 +211,13 @@ def _small(nodes: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.n
         rows = rows[left[rows] > lag]
         if not len(rows):
             break
-        bits = _apart(nodes["fp"][rows], nodes["fp"][rows + lag])
-        hit = np.flatnonzero((bits <= WITHIN) & _can_be_alike(nodes[rows], nodes[rows + lag]))
-        hit = hit[_slots_allow(nodes, rows[hit], rows[hit] + lag)]
-        out.append((rows[hit], rows[hit] + lag, bits[hit]))
+        for at in range(0, len(rows), AT_ONCE):
+            some = rows[at : at + AT_ONCE]
+            bits = _apart(nodes["fp"][some], nodes["fp"][some + lag])
+            hit = np.flatnonzero(bits <= WITHIN)
+            hit = hit[_can_be_alike(nodes[some[hit]], nodes[some[hit] + lag])]
+            hit = hit[_slots_allow(nodes, some[hit], some[hit] + lag)]
+            out.append((some[hit], some[hit] + lag, bits[hit]))
     a, b, bits = (np.concatenate([x[k] for x in out]) for k in range(3))
     return a, b, bits
 
@@ -293,12 +300,13 @@ def across(key: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 def _unpacked(blocks: pa.Table, form: np.dtype) -> tuple[np.ndarray, np.ndarray]:
     """(keys, nodes) of a part."""
-    nodes, keys = [], []
-    for k in range(blocks.num_rows):
-        own = np.frombuffer(blocks.column("nodes")[k].as_py(), form)
-        nodes.append(own[np.frombuffer(blocks.column("at")[k].as_py(), "<u2")])
-        keys.append(np.frombuffer(blocks.column("keys")[k].as_py(), "<u4"))
-    return np.concatenate(keys), np.concatenate(nodes)
+    own, at, keys = ([x.as_buffer() for x in blocks.column(c)] for c in ("nodes", "at", "keys"))
+    ends = np.cumsum([0, *(x.size // 2 for x in at)]).tolist()
+    key, nodes = np.empty(ends[-1], np.uint32), np.empty(ends[-1], form)
+    for k, (s, e) in enumerate(zip(ends, ends[1:], strict=False)):
+        nodes[s:e] = np.frombuffer(own[k], form)[np.frombuffer(at[k], "<u2")]
+        key[s:e] = np.frombuffer(keys[k], "<u4")
+    return key, nodes
 
 
 def _meet(blocks: pa.Table) -> pa.Table:
