@@ -86,7 +86,8 @@ def fingerprint(text: Column, table: list[str]) -> Column:
     hashes = F.transform(pieces, lambda p: F.when(F.length(p) > 2, F.xxhash64(p)))
     every = F.xxhash64(F.concat(F.lit("* "), F.array_join(F.sort_array(terms(text)), " ")))
     alone = F.concat(F.array(every), F.array_repeat(F.lit(None).cast("long"), len(CODES) - 1))
-    return F.when(F.exists(hashes, lambda h: h.isNotNull()), hashes).otherwise(alone)
+    # as an argument the hashes are made once; named in the condition and in the result they would be made twice
+    return F.get(F.transform(F.array(hashes), lambda hs: F.when(F.exists(hs, lambda h: h.isNotNull()), hs).otherwise(alone)), 0)
 
 
 def as_string(hashes: Column) -> Column:

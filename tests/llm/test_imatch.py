@@ -84,3 +84,10 @@ def test_keys_that_are_no_numbers(spark):
     for k, (d, t) in enumerate(order):
         third = len(t) // 3
         assert got[d] == hashlib.sha256((t[: len(t) - third] + order[(k + 1) % len(order)][1][:third]).encode()).hexdigest()
+
+
+def test_a_text_is_taken_apart_once_for_its_hashes(spark):
+    """The pieces that are hashed stand in the plan as often as the question whether there are any."""
+    docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+    plan = docs.select(imatch.fingerprint(F.col("text"), [" "]))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("slice(") == plan.count("exists(") > 0
