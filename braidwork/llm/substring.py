@@ -27,6 +27,9 @@ windows that share the place of their minimiser are a super-k-mer.
 * The number of buckets follows the number of repeated pieces, and no signature
   of the others has more than ``hot_units``, so no bucket outgrows its share at
   any size.
+* What a bucket finds goes back packed, one row for each bucket and origin, a
+  block's task and flush.  There a text's spans that meet or overlap become one,
+  so rows are made for passages of a text, not for each of their windows.
 * Texts without a repeated window stay where they are; only the others meet
   their spans, which are gathered by text beforehand.
 
@@ -45,7 +48,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark import SparkFiles
+from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,6 +68,7 @@ WORDS_AT_ONCE = 1 << 16
 SMALL_BLOCK = 512
 
 _REF = np.dtype([("string", "<u4"), ("key", f"S{KEY_BYTES}"), ("start", "<u4")])
+_SPAN = np.dtype([("key", f"S{KEY_BYTES}"), ("lo", "<i4"), ("hi", "<i4")])
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -173,6 +177,19 @@ def _unsqueezed(data: bytes) -> bytes:
     return data[1:] if data[:1] == b"0" else zstandard.ZstdDecompressor().decompress(data[1:])
 
 
+def _columns(rows: np.ndarray) -> bytes:
+    return b"".join(np.ascontiguousarray(rows[c]).tobytes() for c in rows.dtype.names)
+
+
+def _rows(data: bytes, dtype: np.dtype) -> np.ndarray:
+    n, at = len(data) // dtype.itemsize, 0
+    out = np.empty(n, dtype)
+    for c in dtype.names:
+        out[c] = np.frombuffer(data, dtype[c], n, at)
+        at += n * dtype[c].itemsize
+    return out
+
+
 class _Block:
     """What a task has gathered for one bucket: strings, their counts, and where they stand."""
 
@@ -200,13 +217,13 @@ class _Block:
             "strings": z((b"\n" if whole else b"").join(strings)),
             "counts": z(np.array(self.count, "<u4").tobytes()),
             "marks": z(np.array(self.marks if whole else [], "<u4").tobytes()),
-            "refs": z(b"".join(np.ascontiguousarray(refs[c]).tobytes() for c in _REF.names)),
+            "refs": z(_columns(refs)),
             "whole": whole,
         }
 
 
-BLOCK = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("strings", T.BinaryType()), T.StructField("counts", T.BinaryType()), T.StructField("marks", T.BinaryType()), T.StructField("refs", T.BinaryType()), T.StructField("whole", T.BooleanType())])
-_BLOCK_ARROW = pa.schema([("bucket", pa.int32()), ("strings", pa.binary()), ("counts", pa.binary()), ("marks", pa.binary()), ("refs", pa.binary()), ("whole", pa.bool_())])
+BLOCK = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("origin", T.LongType()), T.StructField("strings", T.BinaryType()), T.StructField("counts", T.BinaryType()), T.StructField("marks", T.BinaryType()), T.StructField("refs", T.BinaryType()), T.StructField("whole", T.BooleanType())])
+_BLOCK_ARROW = pa.schema([("bucket", pa.int32()), ("origin", pa.int64()), ("strings", pa.binary()), ("counts", pa.binary()), ("marks", pa.binary()), ("refs", pa.binary()), ("whole", pa.bool_())])
 
 
 def _deal(width: int, minimiser: int, again_map: str, hot_map: str, buckets: int):
@@ -215,12 +232,12 @@ def _deal(width: int, minimiser: int, again_map: str, hot_map: str, buckets: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         again, hot = (np.memmap(SparkFiles.get(x), np.uint8, "r") for x in (again_map, hot_map))  # workers of a machine share the pages
         blocks: dict[tuple[int, bool], _Block] = {}
-        held = 0
+        held, origin = 0, TaskContext.get().partitionId() << 32
 
         def flush() -> Iterator[pa.RecordBatch]:
             rows: list[dict] = []
             for (bucket, whole), block in blocks.items():
-                rows.append({"bucket": bucket} | block.packed(whole))
+                rows.append({"bucket": bucket, "origin": origin} | block.packed(whole))
                 if len(rows) == 64:
                     yield pa.RecordBatch.from_pylist(rows, _BLOCK_ARROW)
                     rows = []
@@ -244,7 +261,7 @@ def _deal(width: int, minimiser: int, again_map: str, hot_map: str, buckets: int
                     held += blocks.setdefault((b, True), _Block()).add(b" ".join(words[s : s + k + width - 1]), key, s, m)
                 if held > FLUSH_BYTES:
                     yield from flush()
-                    blocks, held = {}, 0
+                    blocks, held, origin = {}, 0, origin + 1
         yield from flush()
 
     return run
@@ -315,15 +332,30 @@ def repeated_in(strings: list[bytes], counts: np.ndarray, marks: np.ndarray, wid
     return np.concatenate([whole, rest[string]]), np.concatenate([np.zeros(len(whole), np.int64), lo]), np.concatenate([ends, hi])
 
 
+def covered(spans: np.ndarray) -> np.ndarray:
+    """Spans by text; those of a text that meet or overlap are one."""
+    if not len(spans):
+        return spans
+    spans = spans[np.lexsort((spans["lo"], spans["key"]))]
+    shift = np.cumsum(np.concatenate([[0], spans["key"][1:] != spans["key"][:-1]])) * (int(spans["hi"].max()) + 1)  # keeps texts apart
+    reach = np.maximum.accumulate(spans["hi"] + shift)
+    first = np.flatnonzero(np.concatenate([[True], spans["lo"][1:] + shift[1:] > reach[:-1]]))
+    last = np.concatenate([first[1:], [len(spans)]]) - 1
+    out = spans[first]
+    out["hi"] = (reach - shift)[last]
+    return out
+
+
+FOUND_SCHEMA = pa.schema([("origin", pa.int64()), ("spans", pa.binary())])
 SPAN_SCHEMA = pa.schema([("key", pa.binary()), ("lo", pa.int32()), ("hi", pa.int32())])
 
 
 def _solve(width: int):
-    """Repeated spans of one bucket's blocks."""
+    """Repeated spans of one bucket's blocks, packed for each origin."""
 
     def run(blocks: pa.Table) -> pa.Table:
         raw = _unsqueezed
-        out = []
+        found: dict[int, list[np.ndarray]] = {}
         for whole in (True, False):
             index: dict[bytes, int] = {}
             total: list[int] = []
@@ -343,36 +375,43 @@ def _solve(width: int):
                         marks += mark[k : k + 1]
                     total[at] += counts[k]
                     renamed[k] = at
-                data = raw(b["refs"])
-                n = len(data) // _REF.itemsize
-                mine = np.empty(n, np.dtype([("string", "<i8"), ("key", f"V{KEY_BYTES}"), ("start", "<i8")]))
-                mine["string"] = renamed[np.frombuffer(data, "<u4", n)]
-                mine["key"] = np.frombuffer(data, f"V{KEY_BYTES}", n, 4 * n)
-                mine["start"] = np.frombuffer(data, "<u4", n, (4 + KEY_BYTES) * n)
-                refs.append(mine)
+                mine = _rows(raw(b["refs"]), _REF)
+                refs.append((b["origin"], renamed[mine["string"]], mine))
             if not index:
                 continue
             counts = np.array(total, np.int64)
             if whole:
                 string, lo, hi = repeated_in(list(index), counts, np.array(marks, np.uint32), width)
+                order = np.argsort(string, kind="stable")
+                string, lo, hi = string[order], lo[order], hi[order]
             else:
                 string = np.flatnonzero(counts > 1)
                 lo, hi = np.zeros(len(string), np.int64), np.full(len(string), width)
-            refs = np.concatenate(refs)
-            refs = refs[np.argsort(refs["string"], kind="stable")]
-            begin, end = np.searchsorted(refs["string"], string, "left"), np.searchsorted(refs["string"], string, "right")
-            times = end - begin
-            row = np.repeat(begin, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-            keys = pa.Array.from_buffers(pa.binary(KEY_BYTES), len(row), [None, pa.py_buffer(np.ascontiguousarray(refs["key"][row]).tobytes())]).cast(pa.binary())
-            start = refs["start"][row]
-            out.append(pa.table([keys, pa.array((start + np.repeat(lo, times)).astype(np.int32)), pa.array((start + np.repeat(hi, times)).astype(np.int32))], schema=SPAN_SCHEMA))
-        return pa.concat_tables(out) if out else SPAN_SCHEMA.empty_table()
+            for origin, at, mine in refs:
+                begin = np.searchsorted(string, at, "left")
+                times = np.searchsorted(string, at, "right") - begin
+                if not (n := int(times.sum())):
+                    continue
+                span = np.repeat(begin - (np.cumsum(times) - times), times) + np.arange(n)
+                ref = np.repeat(np.arange(len(mine)), times)
+                out = np.empty(n, _SPAN)
+                out["key"], out["lo"], out["hi"] = mine["key"][ref], mine["start"][ref] + lo[span], mine["start"][ref] + hi[span]
+                found.setdefault(origin, []).append(out)
+        packed = [_squeezed(_columns(np.concatenate(x))) for x in found.values()]
+        return pa.table([pa.array(list(found), pa.int64()), pa.array(packed, pa.binary())], schema=FOUND_SCHEMA)
 
     return run
 
 
+def _gather(found: pa.Table) -> pa.Table:
+    """(key, lo, hi) of the passages that one origin's buckets have found."""
+    spans = covered(np.concatenate([_rows(_unsqueezed(x.as_py()), _SPAN) for x in found.column("spans")]))
+    keys = pa.Array.from_buffers(pa.binary(KEY_BYTES), len(spans), [None, pa.py_buffer(np.ascontiguousarray(spans["key"]).tobytes())]).cast(pa.binary())
+    return pa.table([keys, pa.array(spans["lo"]), pa.array(spans["hi"])], schema=SPAN_SCHEMA)
+
+
 def repeated_spans(texts: DataFrame, width: int = 35, minimiser: int = 3, hot_units: int = 5_000, buckets: int | None = None) -> DataFrame:
-    """(key, lo, hi): word spans of a text (key: SHA-256 of its UTF-8, cut) that repeated windows cover.
+    """(key, lo, hi): word spans of a text (key: SHA-256 of its UTF-8, cut) that repeated windows cover, the longest of each origin.
 
     texts: one string column.  hot_units: pieces of a signature from which its windows travel one by one.
     """
@@ -388,7 +427,8 @@ def repeated_spans(texts: DataFrame, width: int = 35, minimiser: int = 3, hot_un
     repeated.drop()
     n = buckets or max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), found.units // UNITS_PER_BUCKET)
     blocks = texts.mapInArrow(_deal(width, minimiser, ship_bytes(spark, again), ship_bytes(spark, hot), n), BLOCK)
-    return blocks.groupBy("bucket").applyInArrow(_solve(width), "key binary, lo int, hi int")
+    found = blocks.groupBy("bucket").applyInArrow(_solve(width), "origin bigint, spans binary")
+    return found.groupBy("origin").applyInArrow(_gather, "key binary, lo int, hi int")
 
 
 def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -98,3 +98,38 @@ def test_equal_windows_have_one_signature_in_different_pieces(width, m):
             assert seen.setdefault(tuple(texts[x][k : k + width]), s) == s
         same = [tuple(texts[x][k : k + width]) for k in range(f, f + w)]
         assert len(set(same)) == len(same)
+
+
+@pytest.mark.parametrize("hot_units", [5, 5_000])
+def test_a_frequent_passage_makes_one_row_a_text(spark, hot_units):
+    """Not one for each of its windows, which are dealt over all buckets."""
+    rng = random.Random(9)
+    passage, other = ([f"{x}{k}" for k in range(n)] for x, n in (("p", 40), ("q", 15)))
+    rows, expected = [], []
+    for d in range(300):
+        gap = lambda n=d % 9 + 3: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+        words = gap()
+        for part in [passage, other][: 1 + (d % 3 == 0)]:
+            at = len(words)
+            words += part + gap()
+            expected.append((d, at, at + len(part)))
+        rows.append((d, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    names = {hashlib.sha256(t.encode()).digest()[: substring.KEY_BYTES]: d for d, t in rows}
+    got = substring.repeated_spans(docs.select("text"), 12, hot_units=hot_units, buckets=64).collect()
+    assert sorted((names[bytes(r.key)], r.lo, r.hi) for r in got) == sorted(expected)
+
+
+def test_spans_that_meet_or_overlap_are_one():
+    rng = np.random.default_rng(3)
+    keys = [b"a" * 12, b"a" * 11 + b"\0", b"\0" * 12, b"b" * 12]
+    for size in (0, 1, 5, 60):
+        spans = np.empty(size, substring._SPAN)
+        spans["key"] = [keys[k] for k in rng.integers(0, 4, size)]
+        spans["lo"] = rng.integers(0, 200, size)
+        spans["hi"] = spans["lo"] + rng.integers(1, 30, size)
+        assert (substring._rows(substring._columns(spans), substring._SPAN) == spans).all()
+        got = [(k.ljust(12, b"\0"), lo, hi) for k, lo, hi in substring.covered(spans).tolist()]
+        words = {(k.ljust(12, b"\0"), w) for k, lo, hi in spans.tolist() for w in range(lo, hi)}
+        assert sorted((k, w) for k, lo, hi in got for w in range(lo, hi)) == sorted(words)
+        assert not any((k, hi) in words for k, _, hi in got)
