@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidwork.llm import imatch, langid, license, media, mixing, quality, sentencepiece, simhash, substring, urlfilter
+from braidwork.llm import bpe, imatch, langid, license, media, mixing, quality, sentencepiece, simhash, substring, urlfilter
 from braidwork.shared import table
 
 
@@ -72,6 +72,12 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"))
 
 
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document and what they decode to."""
+    found = bpe.encode(table(spark, sf_dir, "documents"), keep=["doc_id"], form="packed")
+    return found.select("row.doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op8_sql() -> str:
     labels = "|".join(urlfilter.AD_LABELS)
     domains = "|".join(d.replace(".", "[.]") for d in urlfilter.AD_DOMAINS)
@@ -100,5 +106,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_urlfilter": op8_urlfilter,
     "op9_license": op9_license,
     "op10_media": op10_media,
+    "op12_bpe": op12_bpe,
 }
 ORACLES: dict[str, str] = {"op8_urlfilter": op8_sql()}
