@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidwork.llm import bpe, imatch, langid, license, media, mixing, quality, sentencepiece, simhash, substring, urlfilter
+from braidwork.llm import bpe, elkan, imatch, langid, license, media, mixing, quality, sentencepiece, simhash, substring, urlfilter
 from braidwork.shared import table
 
 
@@ -78,6 +78,12 @@ def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op13_elkan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every vector after five rounds, with the exact inertia."""
+    found, centroids = elkan.cluster(table(spark, sf_dir, "embeddings"))
+    return elkan.with_inertia(found, centroids).select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
 def op8_sql() -> str:
     labels = "|".join(urlfilter.AD_LABELS)
     domains = "|".join(d.replace(".", "[.]") for d in urlfilter.AD_DOMAINS)
@@ -95,6 +101,25 @@ def op8_sql() -> str:
     FROM r"""
 
 
+def op13_sql(k: int = 40, rounds: int = 5) -> str:
+    """Plain k-means: every distance of every round."""
+    parts = [
+        """kept AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+           WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)""",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), v) - 1 AS c, v FROM kept QUALIFY c < {k})",
+    ]
+    for r in range(rounds + 1):
+        parts.append(f"""a{r} AS MATERIALIZED (SELECT vec_id, any_value(v) AS v, min({{'d': d, 'c': c}}) AS m FROM (
+            SELECT x.vec_id, x.v, y.c, CAST(list_sum(list_transform(range(1, 65), lambda i: (x.v[i] - y.v[i]) * (x.v[i] - y.v[i]))) AS BIGINT) AS d FROM kept x, c{r} y) GROUP BY vec_id)""")
+        if r < rounds:
+            parts.append(f"""s{r} AS MATERIALIZED (SELECT m.c AS c, i, CAST(sum(v[i]) AS BIGINT) AS s, count(*) AS n FROM a{r}, (SELECT unnest(range(1, 65)) AS i) GROUP BY m.c, i)""")
+            parts.append(f"""c{r + 1} AS MATERIALIZED (SELECT c, coalesce(f, v) AS v FROM c{r} LEFT JOIN (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS f FROM s{r} GROUP BY c) USING (c))""")
+    return f"""WITH {", ".join(parts)}
+    SELECT vec_id, CAST(c AS INTEGER) AS cluster, m.d AS distance, CAST(sum(m.d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(m.d) OVER () AS BIGINT) AS inertia,
+           sha256(array_to_string(q.v, ',')) AS centroid_sha256
+    FROM (SELECT vec_id, m, m.c AS c FROM a{rounds}) JOIN c{rounds} q USING (c)"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
     "op2_simhash": op2_simhash,
@@ -107,5 +132,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_license": op9_license,
     "op10_media": op10_media,
     "op12_bpe": op12_bpe,
+    "op13_elkan": op13_elkan,
 }
-ORACLES: dict[str, str] = {"op8_urlfilter": op8_sql()}
+ORACLES: dict[str, str] = {"op8_urlfilter": op8_sql(), "op13_elkan": op13_sql()}
