@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidwork.llm import bpe, elkan, imatch, langid, license, media, mixing, quality, sentencepiece, simhash, substring, urlfilter
+from braidwork.llm import bpe, conversation, elkan, imatch, langid, license, media, mixing, quality, sentencepiece, simhash, substring, urlfilter
 from braidwork.shared import table
 
 
@@ -72,6 +72,18 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"))
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and the cheapest repair of every conversation, after faults are planted in it."""
+    rows = table(spark, sf_dir, "conversations")
+    turns, summary = conversation.repair(conversation.damage(rows))
+    every = rows.select("conv_id").distinct()
+    named = lambda df, c: df.withColumnRenamed("conv", c)
+    found = every.join(named(summary, "c"), F.col("conv_id").eqNullSafe(F.col("c")), "left")
+    found = found.join(named(conversation.digests(turns), "d"), F.col("conv_id").eqNullSafe(F.col("d")), "left")
+    counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return found.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
 def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document and what they decode to."""
     found = bpe.encode(table(spark, sf_dir, "documents"), keep=["doc_id"], form="packed")
@@ -131,6 +143,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_urlfilter": op8_urlfilter,
     "op9_license": op9_license,
     "op10_media": op10_media,
+    "op11_repair": op11_repair,
     "op12_bpe": op12_bpe,
     "op13_elkan": op13_elkan,
 }
