@@ -9,10 +9,14 @@ pair meets in some table.  Pairs further apart meet if any stretch of theirs is
 near: at a similarity of 0.8 that is 98 of 100 pairs, at 0.85 over 99.  Pairs
 that meet are then held to the exact similarity.
 
-* Texts with equal sets are one node.  A task packs a block for each part of the
-  keys: every node once, then the keys and the nodes they belong to.
+* Texts with equal sets are one node.  Alike sets differ in size by a quarter at
+  most, so the class of its size is part of a node's key; a node near the end of
+  its class has the keys of the next one too.
 * A first pass counts each node's company, the most nodes that are near it in one
-  bucket.  In the second one a node of little company meets all of it; two nodes
+  bucket.  It moves a fingerprint, an id and a rough size with each key, so what it
+  moves is in proportion to the nodes.  Later passes see nodes with company alone:
+  there a task packs a block for each part of the keys, every node once, then the
+  keys and the nodes they belong to.  In the second one a node of little company meets all of it; two nodes
   of much company meet only if one is the other's nearest or its greatest in
   company, in some table.  So a large group of near copies is first joined by its
   hubs.  Beyond LEADERS nodes a bucket is here compared with its first LEADERS
@@ -74,6 +78,10 @@ AT_ONCE = 1 << 14
 #: Rounds in which a node tries one pair; what they leave apart is tried in full.
 ROUNDS = 3
 
+#: Sizes are classed by powers of CLASS; the next class begins where the size ratio of alike sets, 5/4, still reaches.
+CLASS = 4
+#: A node of the first pass; q: eighths of the size's binary logarithm, which differ by at most NEAR_Q between alike sets.
+_FIRST, NEAR_Q = np.dtype([("fp", "<u8", 2), ("sid", "<i8"), ("q", "u1")]), 3
 #: n: size of the set; c: how many of its shingles another set may have; deg: its company; root: its component so far.
 _NODE = np.dtype([("fp", "<u8", 2), ("sid", "<i8"), ("n", "<u4"), ("c", "<u4"), ("deg", "<u4"), ("root", "<i8")])
 #: Slots of a node's shingles, and the form of nodes that carry them: counts, rounded up to 1 << shift.
@@ -135,24 +143,37 @@ def _slots_allow(nodes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ok
 
 
+def keys_of(fp: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, the rows they belong to) of fingerprints of sets of these sizes: a table in 8 bits, what it keeps and the class in 24."""
+    words, tables = (np.array(x) for x in zip(*masks(), strict=True))
+    kept = fp[:, words] & tables.astype(np.uint64)
+    bounds = CLASS ** np.arange(1, 17, dtype=np.int64)
+    own = np.searchsorted(bounds, n, side="right")
+    also = np.flatnonzero(n.astype(np.int64) * NEAR[1] >= bounds[own] * NEAR[0])
+    rows, classes = np.concatenate([np.arange(len(n)), also]), np.concatenate([own, own[also] + 1]).astype(np.uint64)
+    hashed = (kept[rows] ^ (classes * np.uint64(0xD6E8FEB86659FD93))[:, None]) * np.uint64(0x9E3779B97F4A7C15)
+    key = ((np.arange(len(tables), dtype=np.uint64) << np.uint64(24)) | (hashed >> np.uint64(40))).astype(np.uint32)
+    return key.ravel(), np.repeat(rows, len(tables)).astype(np.uint16)
+
+
 def _pack(parts: int, form: np.dtype):
-    """Blocks (part, nodes, keys, at) of the nodes of a task."""
+    """Blocks (part, nodes, keys, at) of the nodes of a task; nodes of the first pass stand once for each key instead."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, tables = (np.array(x) for x in zip(*masks(), strict=True))
         for batch in batches:
             for begin in range(0, batch.num_rows, BLOCK_NODES):
                 rows = batch.slice(begin, BLOCK_NODES)
-                nodes = np.empty(rows.num_rows, form)
-                nodes["sid"], nodes["n"], nodes["c"], nodes["deg"], nodes["root"] = (rows.column(c).to_numpy() for c in (0, 3, 4, 5, 6))
+                nodes, size = np.empty(rows.num_rows, form), rows.column(3).to_numpy()
+                nodes["sid"] = rows.column(0).to_numpy()
                 for k in range(2):
                     nodes["fp"][:, k] = rows.column(1 + k).to_numpy().view(np.uint64)
-                if form is _LIVE:
+                if form is _FIRST:
+                    nodes["q"] = 8 * np.log2(size + 1.0)
+                else:
+                    nodes["n"], nodes["c"], nodes["deg"], nodes["root"] = size, *(rows.column(c).to_numpy() for c in (4, 5, 6))
                     counts = np.frombuffer(b"".join(rows.column(7).to_pylist()), np.uint8).reshape(-1, SLOTS + 1)
                     nodes["slots"], nodes["shift"] = counts[:, :SLOTS], counts[:, SLOTS]
-                key = ((nodes["fp"][:, words] & tables.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
-                key = ((np.arange(len(tables), dtype=np.uint64) << np.uint64(24)) | key).astype(np.uint32).ravel()
-                at = np.repeat(np.arange(len(nodes), dtype=np.uint16), len(tables))
+                key, at = keys_of(nodes["fp"], size)
                 part = (key.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03) >> np.uint64(32)) % np.uint64(parts)
                 order = np.argsort(part.astype(np.uint32), kind="stable")
                 key, at, part = key[order], at[order], part[order]
@@ -160,7 +181,8 @@ def _pack(parts: int, form: np.dtype):
                 out: list[list] = [[], [], [], []]
                 for s, e in zip(cuts.tolist(), [*cuts.tolist()[1:], len(part)], strict=True):
                     used, mine = np.unique(at[s:e], return_inverse=True)
-                    for column, value in zip(out, (int(part[s]), nodes[used].tobytes(), key[s:e].tobytes(), mine.astype("<u2").tobytes()), strict=True):
+                    block = (nodes[at[s:e]].tobytes(), b"") if form is _FIRST else (nodes[used].tobytes(), mine.astype("<u2").tobytes())
+                    for column, value in zip(out, (int(part[s]), block[0], key[s:e].tobytes(), block[1]), strict=True):
                         column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(c, pa.binary()) for c in out[1:])], names=["part", "nodes", "keys", "at"])
 
@@ -168,6 +190,8 @@ def _pack(parts: int, form: np.dtype):
 
 
 def _can_be_alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    if "q" in x.dtype.names:
+        return np.abs(x["q"].astype(np.int16) - y["q"]) <= NEAR_Q
     most = np.minimum(x["c"], y["c"]).astype(np.int64)
     return (NEAR[0] + NEAR[1]) * most >= NEAR[0] * (x["n"].astype(np.int64) + y["n"])
 
@@ -301,6 +325,8 @@ def across(key: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 def _unpacked(blocks: pa.Table, form: np.dtype) -> tuple[np.ndarray, np.ndarray]:
     """(keys, nodes) of a part."""
     own, at, keys = ([x.as_buffer() for x in blocks.column(c)] for c in ("nodes", "at", "keys"))
+    if form is _FIRST:
+        return np.frombuffer(b"".join(keys), "<u4"), np.frombuffer(b"".join(own), form)
     ends = np.cumsum([0, *(x.size // 2 for x in at)]).tolist()
     key, nodes = np.empty(ends[-1], np.uint32), np.empty(ends[-1], form)
     for k, (s, e) in enumerate(zip(ends, ends[1:], strict=False)):
@@ -332,7 +358,7 @@ def _once(nodes: np.ndarray, a: np.ndarray, b: np.ndarray, bits: np.ndarray) ->
 
 def _company(blocks: pa.Table) -> pa.Table:
     """(sid, deg): sets with company in a part of the keys, and the most of it."""
-    key, nodes = _unpacked(blocks, _NODE)
+    key, nodes = _unpacked(blocks, _FIRST)
     n = company(key, nodes)
     order = np.lexsort((-n, nodes["sid"]))
     sid, n = nodes["sid"][order], n[order]
@@ -341,10 +367,10 @@ def _company(blocks: pa.Table) -> pa.Table:
 
 
 def packed(nodes: DataFrame):
-    """Blocks of nodes (sid, fp, fp2, n, c, deg, root, and slots if they have them), grouped by part of the keys."""
-    columns, form = ["sid", "fp", "fp2", "n", "c", "deg", "root"], _NODE
+    """Blocks of nodes (sid, fp, fp2, n; of later passes also c, deg, root, slots), grouped by part of the keys."""
+    columns, form = ["sid", "fp", "fp2", "n"], _FIRST
     if "slots" in nodes.columns:
-        columns, form = [*columns, "slots"], _LIVE
+        columns, form = [*columns, "c", "deg", "root", "slots"], _LIVE
     parts = max(1, nodes.count() * len(masks()) // KEYS_PER_PART)
     return nodes.select(*columns).mapInArrow(_pack(parts, form), "part int, nodes binary, keys binary, at binary").groupBy("part")
 
@@ -396,45 +422,56 @@ def with_slots(nodes: DataFrame, sets: DataFrame) -> DataFrame:
 def links(nodes: DataFrame, texts: DataFrame, width: int = 5) -> DataFrame:
     """(a, b): pairs of nodes (sid, fp, fp2, n, tid) that are alike; their components are those of all pairs that met."""
     of = lambda groups, c: groups.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}"))
-    found = packed(nodes.withColumns({"c": F.col("n"), "deg": F.lit(0), "root": F.lit(0).cast("long")})).applyInArrow(_company, "sid bigint, deg int")
-    some = Written(nodes.join(found.groupBy("sid").agg(F.max("deg").alias("deg")), "sid"), "company").df
-    sets = Written(sets_of(some, texts, width), "sets")
+    kept: list[Written] = []  # until all pairs are tried
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        kept.append(Written(df, name))
+        return kept[-1].df
+
+    found = packed(nodes).applyInArrow(_company, "sid bigint, deg int")
+    some = Written(nodes.join(found.groupBy("sid").agg(F.max("deg").alias("deg")), "sid"), "company")
+    sets = Written(sets_of(some.df, texts, width), "sets")
     only = sets.df.select("sid", F.explode("s").alias("k")).groupBy("k").agg(F.min("sid").alias("sid"), F.max("sid").alias("z")).where("sid = z").groupBy("sid").agg(F.collect_list("k").alias("own"))
-    live = some.join(only, "sid", "left").withColumn("own", F.coalesce("own", F.array().cast("array<bigint>"))).withColumn("c", F.expr("n - size(own)"))
-    live = Written(with_slots(live.where(F.col("c") * NEAR[1] >= F.col("n") * NEAR[0]), sets.df), "live").df
-    pairs = Written(packed(live).applyInArrow(_meet, "a bigint, b bigint, bits tinyint").distinct(), "pairs").df
-    pool, tried, found = pairs, [], []
+    live = some.df.join(only, "sid", "left").withColumn("own", F.coalesce("own", F.array().cast("array<bigint>"))).withColumn("c", F.expr("n - size(own)"))
+    live = keep(with_slots(live.where(F.col("c") * NEAR[1] >= F.col("n") * NEAR[0]), sets.df), "live")
+    some.drop()
+    pool, tried, found = keep(packed(live).applyInArrow(_meet, "a bigint, b bigint, bits tinyint").distinct(), "pairs"), [], []
     for _ in range(ROUNDS):
         ends = pool.select(F.col("a").alias("x"), F.col("b").alias("y"), "bits").union(pool.select("b", "a", "bits"))
         nearest = ends.groupBy("x").agg(F.min(F.struct("bits", "y")).alias("p")).select(F.least("x", "p.y").alias("a"), F.greatest("x", "p.y").alias("b")).distinct()
-        tried.append(Written(nearest, "nearest").df)
+        tried.append(keep(nearest, "nearest"))
         found.append(alike(tried[-1], sets.df))
-        groups = Written(connected_components(reduce(DataFrame.union, found)), "groups").df
-        apart = pool.join(of(groups, "a"), "a", "left").join(of(groups, "b"), "b", "left").where("coalesce(c_a, a) <> coalesce(c_b, b)")
-        pool = Written(apart.select("a", "b", "bits").join(tried[-1], ["a", "b"], "left_anti"), "pool").df
+        groups = Written(connected_components(reduce(DataFrame.union, found)), "groups")
+        apart = pool.join(of(groups.df, "a"), "a", "left").join(of(groups.df, "b"), "b", "left").where("coalesce(c_a, a) <> coalesce(c_b, b)")
+        pool = keep(apart.select("a", "b", "bits").join(tried[-1], ["a", "b"], "left_anti"), "pool")
+        groups.drop()
     tried.append(pool.select("a", "b"))
     found.append(alike(tried[-1], sets.df))
-    groups = Written(connected_components(reduce(DataFrame.union, found)), "groups").df
+    groups = keep(connected_components(reduce(DataFrame.union, found)), "groups")
     rooted = live.drop("root").join(of(groups, "sid"), "sid", "left").withColumn("root", F.coalesce("c_sid", "sid"))
     left = packed(rooted).applyInArrow(_meet_across, "a bigint, b bigint, bits tinyint").select("a", "b").distinct()
-    untried = Written(left.join(reduce(DataFrame.union, tried), ["a", "b"], "left_anti"), "across").df
+    untried = keep(left.join(reduce(DataFrame.union, tried), ["a", "b"], "left_anti"), "across")
     found.append(alike(untried, sets.df))
-    sets.drop()
+    for w in (sets, *kept):
+        w.drop()
     return reduce(DataFrame.union, found)
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:
     """The row of docs with the smallest key of each group of near copies; of rows that tie, one."""
-    marked = Written(marks(docs, key, text, width), "marks").df
-    nodes = Written(marked.groupBy("sid").agg(F.min(F.struct("tid", "fp", "fp2", "n")).alias("m")).select("sid", "m.*"), "nodes").df
+    marked = Written(marks(docs, key, text, width), "marks")
+    nodes = Written(marked.df.groupBy("sid").agg(F.min(F.struct("tid", "fp", "fp2", "n")).alias("m")).select("sid", "m.*"), "nodes")
     texts = docs.select(tid_of(text).alias("tid"), F.col(text).alias("text"))
-    groups = Written(connected_components(links(nodes, texts, width)), "groups").df
-    rooted = marked.join(groups.withColumnRenamed("node", "sid"), "sid", "left").select("key", "tid", F.coalesce("component", "sid").alias("root"))
+    groups = Written(connected_components(links(nodes.df, texts, width)), "groups")
+    nodes.drop()
+    rooted = marked.df.join(groups.df.withColumnRenamed("node", "sid"), "sid", "left").select("key", "tid", F.coalesce("component", "sid").alias("root"))
     order = F.struct(F.col("key").isNull(), F.col("key"), F.col("tid"))
     several = rooted.groupBy("root").agg(F.count("*").alias("rows"), F.min(order).alias("first")).where("rows > 1")
-    several = Written(several, "several").df  # so that a root with many rows can be split among tasks
-    member = rooted.join(several, "root").select("key", "tid", (F.col("key").eqNullSafe(F.col("first.key")) & (F.col("tid") == F.col("first.tid"))).alias("stays"))
+    several = Written(several, "several")  # so that a root with many rows can be split among tasks
+    member = rooted.join(several.df, "root").select("key", "tid", (F.col("key").eqNullSafe(F.col("first.key")) & (F.col("tid") == F.col("first.tid"))).alias("stays"))
     member = Written(member.distinct(), "members").df
+    for w in (marked, groups, several):
+        w.drop()
     own, tid = docs.columns, tid_of(text)
     rows = docs.select(F.struct(*own).alias("row"), F.col(key).alias("key"), tid.alias("tid"))
     rows = bitmap.marked(rows, F.col("tid"), member.select("tid").distinct(), F.col("tid"))
