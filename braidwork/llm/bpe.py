@@ -54,6 +54,20 @@ def byte_symbols() -> list[str]:
     return [chr(b if b in seen else next(hidden)) for b in range(256)]
 
 
+_SYMBOLS = dict(enumerate(byte_symbols()))
+
+
+def _ascii_rules(spec: dict) -> regex.Pattern | None:
+    """What finds the parts of a lower-cased word of ASCII characters, if the file's rules are of that form; the two pattern languages agree there."""
+    rules = (spec["normalizer"] or {}).get("normalizers", []), (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+    kinds = [[r["type"] for r in x] for x in rules]
+    if kinds != [["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]]:
+        return None
+    split, level = rules[1]
+    plain = rules[0][1]["content"] == " " and split["behavior"] == "Removed" and split["invert"] and not level["add_prefix_space"] and not level["use_regex"]
+    return regex.compile(split["pattern"]["Regex"]) if plain else None
+
+
 def _remembered(known: dict[str, bytes], word: str, make: Callable[[str], bytes]) -> bytes:
     found = known.get(word)
     if found is None:
@@ -78,16 +92,16 @@ class Vocabulary:
         self.end = model["end_of_word_suffix"] or ""
         self.ids: dict[str, int] = model["vocab"]
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        #: left id << 32 | right id: (rank, id of the two as one)
-        self.merges = {self.ids[a] << 32 | self.ids[b]: (rank, self.ids[a + b]) for rank, (a, b) in enumerate(pairs)}
+        self.shift = max(self.ids.values(), default=0).bit_length()
+        #: left id << shift | right id: rank; and the id of the two as one, by rank.
+        self.merges = {self.ids[a] << self.shift | self.ids[b]: rank for rank, (a, b) in enumerate(pairs)}
+        self.made = [self.ids[a + b] for a, b in pairs]
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.strings = {i: s for s, i in [*self.ids.items(), *self.added.items()]}
         self.bytes_of = {c: b for b, c in enumerate(byte_symbols())} if decoder else None
         ruled = Tokenizer.from_str(data.decode())
         self.normalise = ruled.normalizer.normalize_str if ruled.normalizer else str
-        kinds = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
-        #: Whether a word of ASCII letters only loses its capitals.
-        self.plain_lower = kinds == ["NFC", "Replace", "Lowercase"]
+        self.ascii = _ascii_rules(spec)
         self.split = ruled.pre_tokenizer.pre_tokenize_str
         longest = sorted(self.added, key=lambda s: (-len(s), s))
         self.special = regex.compile("(" + "|".join(map(regex.escape, longest)) + ")") if longest else None
@@ -98,27 +112,35 @@ class Vocabulary:
 
     def merge(self, symbols: list[int]) -> list[int]:
         """Merge symbols until no pair is in the vocabulary."""
-        n, merges = len(symbols), self.merges
-        at = [*symbols, -1]  # the last place is before the first and after the last symbol
-        after, before = [*range(1, n + 1), 0], [n, *range(n)]
-        queue = [m[0] << 32 | k for k in range(n - 1) if (m := merges.get(at[k] << 32 | at[k + 1]))]
+        n, rank_of, made, shift = len(symbols), self.merges.get, self.made, self.shift
+        ranks = [rank_of(a << shift | b, -1) for a, b in zip(symbols, symbols[1:], strict=False)]  # of each symbol and its right neighbour
+        # an entry is rank * n + place; entries of one rank come out from left to right
+        queue = [r * n + k for k, r in enumerate(ranks) if r >= 0]
+        if not queue:
+            return symbols
         heapify(queue)
+        ranks.append(-1)
+        at, after, before = list(symbols), list(range(1, n + 1)), list(range(-1, n - 1))
         while queue:
-            entry = heappop(queue)
-            k = entry & 0xFFFFFFFF
-            j = after[k]
-            m = merges.get(at[k] << 32 | at[j]) if at[k] >= 0 <= at[j] else None
-            if m is None or m[0] != entry >> 32:
+            rank, k = divmod(heappop(queue), n)
+            if ranks[k] != rank:
                 continue  # stale: one of the two is part of something else by now
-            both = m[1]
-            at[k], at[j] = both, -1
+            j = after[k]
+            both = made[rank]
+            at[k], at[j], ranks[j] = both, -1, -1
             after[k] = j = after[j]
-            before[j] = k
-            if at[j] >= 0 and (m := merges.get(both << 32 | at[j])):
-                heappush(queue, m[0] << 32 | k)
+            if j < n:
+                before[j] = k
+                ranks[k] = r = rank_of(both << shift | at[j], -1)
+                if r >= 0:
+                    heappush(queue, r * n + k)
+            else:
+                ranks[k] = -1
             j = before[k]
-            if at[j] >= 0 and (m := merges.get(at[j] << 32 | both)):
-                heappush(queue, m[0] << 32 | j)
+            if j >= 0:
+                ranks[j] = r = rank_of(at[j] << shift | both, -1)
+                if r >= 0:
+                    heappush(queue, r * n + j)
         return [s for s in at if s >= 0]
 
     def _part(self, part: str) -> bytes:
@@ -126,27 +148,29 @@ class Vocabulary:
         return array("I", self.merge([ids[c] for c in part[:-1]] + [ids[part[-1] + self.end]])).tobytes()
 
     def _fresh(self, word: str) -> bytes:
-        parts = [p for p, _ in self.split(word.lower() if self.plain_lower and word.isascii() else self.normalise(word))]
-        return b"".join([_remembered(self.parts, p, self._part) for p in parts if p])
-
-    def _plain(self, text: str) -> Iterator[bytes]:
+        if self.ascii and word.isascii():
+            found = self.ascii.findall(word.lower())
+            parts = found if word.isprintable() and " " not in word else [p.translate(_SYMBOLS) for p in found]
+        else:
+            parts = [p for p, _ in self.split(self.normalise(word)) if p]
+        known, part = self.parts, self._part
+        return b"".join([known.get(p) or _remembered(known, p, part) for p in parts])
+
+    def _plain(self, text: str) -> bytes:
         if not self.by_word:
-            yield self._fresh(text)
-            return
-        known = self.words
-        for w in _SPACE.split(text) if _SEPARATORS.search(text) else text.split():
-            yield known.get(w) or _remembered(known, w, self._fresh)
+            return self._fresh(text)
+        known, fresh = self.words, self._fresh
+        words = _SPACE.split(text) if _SEPARATORS.search(text) else text.split()
+        return b"".join([known.get(w) or _remembered(known, w, fresh) for w in words])
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a text as 32-bit integers, little-endian on every machine that Spark runs on."""
         if not text:
             return b""
         if self.special is None or not self.special.search(text):
-            return b"".join(self._plain(text))
-        out = []
-        for k, part in enumerate(self.special.split(text)):
-            out += [array("I", [self.added[part]]).tobytes()] if k % 2 else self._plain(part)
-        return b"".join(out)
+            return self._plain(text)
+        parts = self.special.split(text)
+        return b"".join(array("I", [self.added[p]]).tobytes() if k % 2 else self._plain(p) for k, p in enumerate(parts))
 
     def decode(self, ids: bytes) -> str:
         """The text of ids, special tokens included."""

@@ -18,11 +18,11 @@ def plain(vocabulary, symbols):
     """Merge the leftmost pair of the least rank, again and again."""
     symbols = list(symbols)
     while True:
-        ranked = [(m[0], k, m[1]) for k in range(len(symbols) - 1) if (m := vocabulary.merges.get(symbols[k] << 32 | symbols[k + 1]))]
+        ranked = [(r, k) for k in range(len(symbols) - 1) if (r := vocabulary.merges.get(symbols[k] << vocabulary.shift | symbols[k + 1])) is not None]
         if not ranked:
             return symbols
-        _, k, both = min(ranked)
-        symbols[k : k + 2] = [both]
+        rank, k = min(ranked)
+        symbols[k : k + 2] = [vocabulary.made[rank]]
 
 
 @pytest.fixture(params=["word_bpe_49k.json", "byte_bpe_50k.json"])
