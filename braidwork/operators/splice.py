@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from braidwork.operators import progressive
 from braidwork.operators.poa import align_group
 from braidwork.operators.traversal import path_offsets
 
@@ -22,17 +23,19 @@ def exact_steps(termini: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def aligned_steps(termini: DataFrame, classes: DataFrame) -> DataFrame:
-    """(biclique_id, side, ord, poa, seq): paths of the members of all other groups; a group is one task's."""
+    """(biclique_id, side, ord, poa, seq): paths of the members of all other groups, aligned as their tier says; a short or medium group is one task's."""
 
     def solve(rows: pa.Table) -> pa.Table:
         data = sorted(zip(*rows.select(["biclique_id", "side", "read"]).to_pydict().values(), strict=True))
-        nodes, paths = align_group([r for _, _, r in data])
+        nodes, paths = align_group([r for _, _, r in data], rows.column("tier")[0].as_py())
         flat = [(b, s, k, v, nodes[v]) for (b, s, _), p in zip(data, paths, strict=True) for k, v in enumerate(p)]
         kinds = (("biclique_id", pa.string()), ("side", pa.int64()), ("ord", pa.int32()), ("poa", pa.int32()), ("seq", pa.string()))
         return pa.table({n: pa.array([r[i] for r in flat], kind) for i, (n, kind) in enumerate(kinds)})
 
-    mine = termini.join(classes.where("not exact").select("biclique_id"), "biclique_id").select("biclique_id", "side", "read")
-    return mine.groupBy("biclique_id").applyInArrow(solve, "biclique_id string, side bigint, ord int, poa int, seq string")
+    mine = termini.join(classes.where("not exact").select("biclique_id", "tier"), "biclique_id").select("biclique_id", "side", "read", "tier")
+    found = mine.where("tier <> 'long'").groupBy("biclique_id").applyInArrow(solve, "biclique_id string, side bigint, ord int, poa int, seq string")
+    long = mine.where("tier = 'long'")
+    return found.union(progressive.steps(long.drop("tier"))) if long.head(1) else found
 
 
 def msa_graph(rows: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -583,6 +583,35 @@ def poa_spells_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("node", "end").agg(F.max_by("sequence", F.length("sequence")).alias("sequence"))
 
 
+def _aligned(spark: SparkSession, sf_dir: str, reads: str, tier: str) -> DataFrame:
+    """For each junction the bases of its aligned graph, and whether every path spells what it should."""
+    members = synth.sql(spark, sf_dir, reads).select(F.concat(F.lit("j"), F.col("j").cast("string")).alias("biclique_id"), F.col("side").cast("long"), "read")
+    members = Written(members, "members").df
+    classes = members.select("biclique_id").distinct().select("biclique_id", F.lit(False).alias("exact"), F.lit(tier).alias("tier"))
+    steps = Written(splice.aligned_steps(members, classes), "aligned").df
+    bases = steps.select("biclique_id", "poa", F.length("seq").alias("n")).distinct().groupBy("biclique_id").agg(F.sum("n").alias("bases"))
+    path = steps.groupBy("biclique_id", "side").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "seq"))), lambda x: x["seq"]), "").alias("spelled"))
+    same = members.join(path, ["biclique_id", "side"], "left").groupBy("biclique_id").agg(F.count("*").alias("members"), F.count_if(F.col("read") == F.col("spelled")).alias("spelled"))
+    return same.join(bases, "biclique_id").select(F.substring("biclique_id", 2, 20).cast("long").alias("junction"), "members", "spelled", "bases")
+
+
+_PARTS = f"SELECT p_partkey % {synth.M} AS j, p_partkey AS k FROM part"
+
+
+@query(f"""SELECT j AS junction, count(*) AS members, count(*) AS spelled, CAST(1000 + (j * 389) % 2800 - bool_and(k % 11 = 0)::INT + (bool_or(k % 11 > 0 AND k % 7 = 0) AND NOT bool_and(k % 11 > 0 AND k % 7 = 0))::INT
++ 12 * bool_or(k % 11 > 0 AND k % 7 > 0 AND k % 5 = 0)::INT AS BIGINT) AS bases FROM ({_PARTS}) AS p GROUP BY j""")
+def poa_medium(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlaps of 1,000 to 3,800 bases with indels: a best alignment has no base more than the variants bring."""
+    return _aligned(spark, sf_dir, synth.MEDIUM_READS, "medium")
+
+
+@query(f"""SELECT j AS junction, count(*) AS members, count(*) AS spelled, CAST(12288 - 25 * bool_and(k % 11 = 0)::INT + 60 * bool_or(k % 11 > 0 AND k % 7 = 0)::INT + 40 * bool_or(k % 11 > 0 AND k % 7 > 0 AND k % 5 = 0)::INT
++ (bool_or(k % 11 > 0 AND k % 7 > 0 AND k % 15 = 0) AND NOT bool_and(k % 11 > 0 AND k % 7 > 0 AND k % 15 = 0))::INT AS BIGINT) AS bases FROM ({_PARTS}) AS p GROUP BY j""")
+def poa_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlaps of 12,000 bases: members share an insertion that the longest one lacks."""
+    return _aligned(spark, sf_dir, synth.LONG_READS, "long")
+
+
 @query("""WITH r AS (SELECT c_nationkey AS grp, c_name AS name, substr(md5(c_name), 1, 12) AS m FROM customer), a AS (SELECT grp, name, replace(replace(translate(m, '456789abcdef', 'ACGTACGTAC--'), '0', 'A'), '1', 'C') AS s FROM r), b AS (SELECT grp, name, replace(replace(s, '2', 'G'), '3', 'T') AS s FROM a),
 c AS (SELECT grp, name, i AS col, substr(s, CAST(i + 1 AS INT), 1) AS base FROM b CROSS JOIN (SELECT unnest(range(12)) AS i) AS n) SELECT grp, CAST(col AS INT) AS col, base FROM c WHERE base <> '-' GROUP BY ALL""")
 def msa_graph(spark: SparkSession, sf_dir: str) -> DataFrame:

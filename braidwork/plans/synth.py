@@ -9,6 +9,8 @@
 
 from __future__ import annotations
 
+from itertools import permutations
+
 from pyspark.sql import DataFrame, SparkSession
 
 from braidwork.shared import table
@@ -60,6 +62,22 @@ T_LINKS = "SELECT o_orderkey AS link_id, o_orderkey AS src, false AS src_rev, o_
 T3_SEGMENTS = f"SELECT o_orderkey + 1 AS node_id, 'o' || {text('o_orderkey')} AS name, {tile(text('o_orderkey'))} || {tile(text('o_orderkey + 1'))} || {tile(text('o_orderkey + 2'))} AS sequence FROM orders"
 T3_LINKS = T_LINKS.replace("'32M'", "'64M'").replace("CAST(32", "CAST(64")
 
+def _tiles(name: str, key: str, n: int) -> str:
+    return f"translate({' || '.join(f"md5('{name}{i}' || {text(key)})" for i in range(n))}, '0123456789abcdef', 'ACGTACGTACGTACGT')"
+
+
+#: Overlaps of medium length: the parts of a junction read its 1,000 to 3,800 bases with 1 missing, 1 changed or 12 more.
+MEDIUM_READS = f"""
+SELECT j, side, CASE WHEN side % 11 = 0 THEN left(x, 700) || substr(x, 702) WHEN side % 7 = 0 THEN left(x, 500) || CASE WHEN substr(x, 501, 1) = 'A' THEN 'C' ELSE 'A' END || substr(x, 502)
+       WHEN side % 5 = 0 THEN left(x, 300) || left({tile("'i' || " + text("j"))}, 12) || substr(x, 301) ELSE x END AS read
+FROM (SELECT j, side, left({_tiles("m", "j", 120)}, CAST(1000 + (j * 389) % 2800 AS INT)) AS x FROM (SELECT p_partkey % {M} AS j, p_partkey AS side FROM part) AS a) AS b"""
+#: Long overlaps: 12,288 bases with 25 missing, 60 more, or 40 more and perhaps one changed.
+_SPUN = " || ".join(f"translate(s, 'ACGT', '{''.join(p)}')" for p in permutations("ACGT"))
+LONG_READS = f"""
+SELECT j, side, CASE WHEN side % 11 = 0 THEN left(x, 6000) || substr(x, 6026) WHEN side % 7 = 0 THEN left(x, 8000) || left({_tiles("b", "j", 2)}, 60) || substr(x, 8001)
+       WHEN side % 5 = 0 THEN left(x, 3000) || left({_tiles("a", "j", 2)}, 40) || substr(x, 3001, 6000) || CASE WHEN side % 3 > 0 THEN substr(x, 9001, 1) WHEN substr(x, 9001, 1) = 'A' THEN 'C' ELSE 'A' END || substr(x, 9002) ELSE x END AS read
+FROM (SELECT j, side, {_SPUN} AS x FROM (SELECT p_partkey % {M} AS j, p_partkey AS side, {_tiles("l", f"p_partkey % {M}", 16)} AS s FROM part) AS a) AS b"""
+
 SQL = {"J": (J_SEGMENTS, J_LINKS), "V": (V_SEGMENTS, V_LINKS), "T": (T_SEGMENTS, T_LINKS), "T3": (T3_SEGMENTS, T3_LINKS)}
 TABLES = ("part", "supplier", "lineitem", "orders")
 
