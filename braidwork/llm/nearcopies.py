@@ -2,12 +2,12 @@
 
 Texts whose sets of five-word shingles have a Jaccard similarity of 4/5 differ
 in about 15 % of their fingerprint bits, too many for the tables of one covering
-code.  So a fingerprint of 128 bits is cut in four stretches: of a pair within
-23 bits one stretch differs in at most 5, and a covering code of radius 5 on
-each stretch (63 masks, see ``simhash.covering_masks``) guarantees that such a
-pair meets in some table.  Pairs further apart meet if any stretch of theirs is
-near: at a similarity of 0.8 that is 98 of 100 pairs, at 0.85 over 99.  Pairs
-that meet are then held to the exact similarity.
+code.  So a fingerprint of 128 bits is cut in five stretches: of a pair within 24
+bits one stretch differs in at most 4, and a covering code of radius 4 on each
+stretch (31 masks, see ``simhash.covering_masks``) guarantees that such a pair
+meets in some table.  Pairs further apart meet if any mask leaves out all their
+differences: at a similarity of 0.8 over 99 of 100 pairs meet.  Pairs that meet are
+then held to the exact similarity.
 
 * Texts with equal sets are one node.  Alike sets differ in size by a quarter at
   most, so the class of its size is part of a node's key; a node near the end of
@@ -66,11 +66,11 @@ from braidwork.shared import Written, bounded_batches
 #: Alike: NEAR[1] times the shared shingles are at least NEAR[0] times all of both.
 NEAR = (4, 5)
 #: Stretches of a fingerprint of two words, and the radius of each one's code: pairs within STRETCHES * (REACH + 1) - 1 bits surely meet.
-STRETCHES, REACH = 4, 5
+STRETCHES, REACH = 5, 4
 #: Pairs further apart are chance: at a similarity of 4/5 it is 19 bits, give or take 4.
 WITHIN = 34
 #: Nodes that a map task packs at once, and keys that one group compares.
-BLOCK_NODES, KEYS_PER_PART = 4_000, 500_000
+BLOCK_NODES, KEYS_PER_PART = 4_000, 200_000
 #: Company up to which a node meets all of it, and size of buckets that are compared by lags; beyond LEADERS see above.
 SMALL, LEADERS = 16, 4_096
 #: Pairs of nodes that are looked at at once.
@@ -90,9 +90,10 @@ _LIVE = np.dtype([*_NODE.descr, ("slots", "u1", SLOTS), ("shift", "u1")])
 
 
 def masks() -> list[tuple[int, int]]:
-    """(word of the fingerprint, mask) of all tables: a covering code of each stretch."""
-    width = 2 * BITS // STRETCHES
-    return [(k * width // BITS, m << k * width % BITS) for k in range(STRETCHES) for m in covering_masks(REACH, width)]
+    """Masks of the two words of a fingerprint, for all tables: a covering code of each stretch."""
+    cuts = [2 * BITS * k // STRETCHES for k in range(STRETCHES + 1)]
+    wide = [m << begin for begin, end in zip(cuts, cuts[1:], strict=False) for m in covering_masks(REACH, end - begin)]
+    return [(m & (1 << BITS) - 1, m >> BITS) for m in wide]
 
 
 def described(text: bytes | None, width: int) -> tuple[list[int], int, np.ndarray]:
@@ -145,13 +146,13 @@ def _slots_allow(nodes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def keys_of(fp: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(keys, the rows they belong to) of fingerprints of sets of these sizes: a table in 8 bits, what it keeps and the class in 24."""
-    words, tables = (np.array(x) for x in zip(*masks(), strict=True))
-    kept = fp[:, words] & tables.astype(np.uint64)
+    tables = np.array(masks(), np.uint64)
+    kept = (fp[:, :1] & tables[:, 0]) * np.uint64(0xBF58476D1CE4E5B9) + (fp[:, 1:] & tables[:, 1]) * np.uint64(0x94D049BB133111EB)
     bounds = CLASS ** np.arange(1, 17, dtype=np.int64)
     own = np.searchsorted(bounds, n, side="right")
     also = np.flatnonzero(n.astype(np.int64) * NEAR[1] >= bounds[own] * NEAR[0])
     rows, classes = np.concatenate([np.arange(len(n)), also]), np.concatenate([own, own[also] + 1]).astype(np.uint64)
-    hashed = (kept[rows] ^ (classes * np.uint64(0xD6E8FEB86659FD93))[:, None]) * np.uint64(0x9E3779B97F4A7C15)
+    hashed = (kept[rows] ^ kept[rows] >> np.uint64(32) ^ (classes * np.uint64(0xD6E8FEB86659FD93))[:, None]) * np.uint64(0x9E3779B97F4A7C15)
     key = ((np.arange(len(tables), dtype=np.uint64) << np.uint64(24)) | (hashed >> np.uint64(40))).astype(np.uint32)
     return key.ravel(), np.repeat(rows, len(tables)).astype(np.uint16)
 
@@ -401,7 +402,9 @@ def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 near.append(NEAR[1] * both >= NEAR[0] * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    at = lambda c: sets.select(F.col("sid").alias(c), F.col("s").alias(f"s_{c}"))
+    tried = pairs.select(F.explode(F.array("a", "b")).alias("sid"))
+    some = bitmap.marked(sets, F.col("sid"), tried, F.col("sid")).where("hit")  # sets travel only if they are tried
+    at = lambda c: some.select(F.col("sid").alias(c), F.col("s").alias(f"s_{c}"))
     rows = pairs.select("a", "b").join(at("a"), "a").join(at("b"), "b").select("a", "b", "s_a", "s_b")
     return Written(bounded_batches(rows).mapInArrow(run, "a bigint, b bigint"), "alike").df
 

@@ -41,7 +41,20 @@ def test_masks_leave_no_pair_within_the_radius_apart():
     for _ in range(300):
         differ = rng.sample(range(128), nearcopies.STRETCHES * (nearcopies.REACH + 1) - 1)
         words = [sum(1 << p % 64 for p in differ if p // 64 == w) for w in range(2)]
-        assert any(not words[w] & m for w, m in masks)
+        assert any(not words[0] & m and not words[1] & n for m, n in masks)
+
+
+def test_alike_sizes_share_a_class():
+    rng = np.random.default_rng(3)
+    n = np.concatenate([rng.integers(1, 70, 300), rng.integers(1, 40_000, 300), 4 ** np.arange(1, 9), 4 ** np.arange(1, 9) - 1]).astype(np.int32)
+    fp = np.tile(rng.integers(0, 1 << 63, (1, 2)).astype(np.uint64), (len(n), 1))
+    key, at = nearcopies.keys_of(fp, n)
+    keys = [set(key[at == k].tolist()) for k in range(len(n))]
+    q = np.floor(8 * np.log2(n + 1.0)).astype(int)
+    for i in range(len(n)):
+        for j in range(i):
+            if 5 * min(n[i], n[j]) >= 4 * max(n[i], n[j]):
+                assert keys[i] & keys[j] and abs(q[i] - q[j]) <= nearcopies.NEAR_Q
 
 
 def test_large_buckets_hold_together():
