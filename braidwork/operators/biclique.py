@@ -16,7 +16,7 @@ from __future__ import annotations
 from collections import deque
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from braidwork.operators.colouring import EXACT, bits, colours
@@ -25,6 +25,8 @@ from braidwork.shared import Written
 Group = tuple[int, int]
 #: Beyond so many edges the dual graph, or concepts the lattice, isn't built.
 DUAL_EDGES, LATTICE_CONCEPTS = 400, 600
+#: Edges of a block that one task covers.
+LARGE_BLOCK = 20_000
 
 
 def transpose(rows: list[int], n: int) -> list[int]:
@@ -275,38 +277,61 @@ def cover(rows: list[int], n_right: int) -> list[Group]:
     return unsimplify(found, steps)
 
 
-def cover_edges(edges: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
-    """The groups of a block of (left, right) sides, each as all its pairs, larger groups first."""
+def cover_edges(edges: list[tuple[int, int]]) -> list[tuple[list[int], list[int]]]:
+    """The groups of a block of (left, right) sides, each as its left and its right sides, larger groups first."""
     lefts, rights = sorted({a for a, _ in edges}), sorted({b for _, b in edges})
     at_l, at_r = {a: k for k, a in enumerate(lefts)}, {b: k for k, b in enumerate(rights)}
     rows = [0] * len(lefts)
     for a, b in edges:
         rows[at_l[a]] |= 1 << at_r[b]
     groups = sorted({g for g in cover(rows, len(rights)) if g[0] and g[1]}, key=lambda g: (-g[0].bit_count() * g[1].bit_count(), g))
-    return [[(lefts[u], rights[v]) for u in bits(g[0]) for v in bits(g[1])] for g in groups]
+    return [([lefts[u] for u in bits(g[0])], [rights[v] for v in bits(g[1])]) for g in groups]
+
+
+def twin_cover(pairs: DataFrame) -> DataFrame:
+    """(component, block, biclique, side, is_left): left sides with the same neighbours and these, without gathering a block.
+
+    Sides are alike if they have as many neighbours and the sums of two hashes of
+    these agree.  Groups are numbered by their smallest left side.
+    """
+    total = lambda seed: F.sum(F.xxhash64("r_side", F.lit(seed)).cast("decimal(38,0)"))
+    seen = pairs.groupBy("component", "block", "l_side").agg(F.struct(F.count("*"), total(1), total(2)).alias("near"))
+    twins = seen.groupBy("component", "block", "near").agg(F.min("l_side").alias("biclique"))
+    lefts = seen.join(twins, ["component", "block", "near"]).select("component", "block", "biclique", F.col("l_side").alias("side"), F.lit(True).alias("is_left"))
+    rights = pairs.join(twins.select("component", "block", F.col("biclique").alias("l_side"), "biclique"), ["component", "block", "l_side"])
+    return lefts.union(rights.select("component", "block", "biclique", "r_side", F.lit(False)))
 
 
 def biclique_cover(block_edges: DataFrame) -> DataFrame:
-    """(component, block, biclique, l_side, r_side): every pair of every group.
+    """(component, block, biclique, side, is_left): the members of every group; all left ones of a group are linked to all right ones.
 
-    A block whose sides are all linked is one group; only others go to Python, each as one task's group.
+    A block whose sides are all linked is one group.  Of the others those of up to
+    LARGE_BLOCK edges go to Python, each as one task's group; larger ones are
+    covered by twins.
     """
 
     def solve(rows: pa.Table) -> pa.Table:
         data = rows.to_pydict()
-        flat = [(data["component"][0], data["block"][0], k, a, b) for k, pairs in enumerate(cover_edges(list(zip(data["l_side"], data["r_side"], strict=True)))) for a, b in pairs]
-        kinds = (("component", pa.int64()), ("block", pa.int32()), ("biclique", pa.int32()), ("l_side", pa.int64()), ("r_side", pa.int64()))
+        groups = cover_edges(list(zip(data["l_side"], data["r_side"], strict=True)))
+        flat = [(data["component"][0], data["block"][0], k, side, left) for k, sides in enumerate(groups) for left, some in zip((True, False), sides, strict=True) for side in some]
+        kinds = (("component", pa.int64()), ("block", pa.string()), ("biclique", pa.int64()), ("side", pa.int64()), ("is_left", pa.bool_()))
         return pa.table({n: pa.array([r[i] for r in flat], kind) for i, (n, kind) in enumerate(kinds)})
 
     pairs = block_edges.distinct()
-    counts = pairs.groupBy("component", "block").agg((F.count("*") == F.size(F.collect_set("l_side")) * F.size(F.collect_set("r_side"))).alias("full"))
-    known = Written(pairs.join(counts, ["component", "block"]), "blocks").df
-    full = known.where("full").select("component", "block", F.lit(0).alias("biclique"), "l_side", "r_side")
-    return full.union(known.where("not full").drop("full").groupBy("component", "block").applyInArrow(solve, "component bigint, block int, biclique int, l_side bigint, r_side bigint"))
-
-
-def assigned(cover: DataFrame) -> DataFrame:
-    """(biclique_id, l_side, r_side): each edge in the first, largest group that has it; groups without an edge go."""
-    first = Window.partitionBy("component", "block", "l_side", "r_side").orderBy("biclique")
-    mine = cover.withColumn("nth", F.row_number().over(first)).where("nth = 1")
+    members = pairs.select("component", "block", F.explode(F.array(F.struct(F.lit(True).alias("is_left"), F.col("l_side").alias("side")), F.struct(F.lit(False).alias("is_left"), F.col("r_side").alias("side")))).alias("m")).select("component", "block", "m.*").distinct()
+    sizes = members.groupBy("component", "block").agg(F.count_if("is_left").alias("l"), F.count_if(~F.col("is_left")).alias("r"))
+    counts = pairs.groupBy("component", "block").agg(F.count("*").alias("n")).join(sizes, ["component", "block"])
+    counts = Written(counts.select("component", "block", F.when(F.col("n") == F.col("l") * F.col("r"), "full").when(F.col("n") <= LARGE_BLOCK, "some").otherwise("large").alias("kind")), "kinds").df
+    full = members.join(counts.where("kind = 'full'"), ["component", "block"]).select("component", "block", F.lit(0).cast("long").alias("biclique"), "side", "is_left")
+    some = pairs.join(counts.where("kind = 'some'"), ["component", "block"]).drop("kind")
+    found = full.union(some.groupBy("component", "block").applyInArrow(solve, "component bigint, block string, biclique bigint, side bigint, is_left boolean"))
+    large = counts.where("kind = 'large'")
+    return found.union(twin_cover(pairs.join(large, ["component", "block"]).drop("kind"))) if large.head(1) else found
+
+
+def assigned(cover: DataFrame, block_edges: DataFrame) -> DataFrame:
+    """(biclique_id, l_side, r_side): each edge in the first, largest group that has both its sides; groups without an edge go."""
+    at = lambda left, name: cover.where(F.col("is_left") == left).select("component", "block", "biclique", F.col("side").alias(name))
+    rows = block_edges.distinct().join(at(True, "l_side"), ["component", "block", "l_side"]).join(at(False, "r_side"), ["component", "block", "biclique", "r_side"])
+    mine = rows.groupBy("component", "block", "l_side", "r_side").agg(F.min("biclique").alias("biclique"))
     return mine.select(F.concat_ws(".", "component", "block", "biclique").alias("biclique_id"), "l_side", "r_side")

@@ -1,20 +1,28 @@
 """Cutting components into bipartite blocks.
 
-The kernels work on one component, which a grouped function gets as a table;
-they need no Spark.  Sets of vertices are bits of whole numbers.
+Sides doubled by parity tell which pieces of the graph are bipartite, and which of
+their sides go left; such pieces never leave the JVM.  Of the others, small ones
+are cut by kernels, each a task's group.  Large ones are cut where they lie: from
+a dealt start, sides that would gain by changing over and come first among such
+neighbours do so together, until none gains.  Then at least half of all edges
+cross, so the rest is done in a logarithm of rounds, and no task ever holds a
+large piece.
 """
 
 from __future__ import annotations
 
-import math
 from collections import deque
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from braidwork.operators.components import connected_components
 from braidwork.shared import Written
 
+#: Edges of an odd piece that a kernel cuts.
+SMALL_PIECE = 4_000
 #: Up to so many sides the best cut is found by going through all.
 EXHAUSTIVE = 8
 
@@ -94,26 +102,25 @@ def dealt_cut(vertices: list[int], edges: list[Edge], seed: int = 1) -> set[int]
 def refined_cut(vertices: list[int], edges: list[Edge], left: set[int]) -> set[int]:
     """Local search: moves of one vertex, then exchanges along an edge, while the cut grows; at least half of all edges in the end."""
     adj, left = adjacency(edges), set(left)
-    n = len(vertices)
-
-    def gain(v: int) -> int:
-        same = sum((y in left) == (v in left) for y in adj[v])
-        return 2 * same - len(adj[v])
-
-    for _ in range(min(math.ceil(0.5 * n**1.5), 10 * n) + 1):
-        v = max(adj, key=lambda v: (gain(v), -v))
-        if gain(v) > 0:
-            left ^= {v}
+    gain = {v: sum(1 if (y in left) == (v in left) else -1 for y in adj[v]) for v in adj}
+
+    def move(v: int) -> None:
+        left.symmetric_difference_update({v})
+        gain[v] = -gain[v]
+        for y in adj[v]:
+            gain[y] += 2 if (y in left) == (v in left) else -2
+
+    while adj:
+        v = max(gain, key=lambda v: (gain[v], -v))
+        if gain[v] > 0:
+            move(v)
             continue
-        swap = next(((x, y) for x, y in edges if (x in left) != (y in left) and gain(x) + gain(y) + 2 > 0), None)
+        swap = next(((x, y) for x, y in edges if (x in left) != (y in left) and gain[x] + gain[y] + 2 > 0), None)
         if swap is None:
             break
-        left ^= set(swap)
-    while True:  # whatever the limit, no single move may be left that helps
-        v = max(adj, key=lambda v: (gain(v), -v))
-        if gain(v) <= 0:
-            return left
-        left ^= {v}
+        for v in swap:
+            move(v)
+    return left
 
 
 def max_cut(vertices: list[int], edges: list[Edge]) -> set[int]:
@@ -145,31 +152,88 @@ def blocks(edges: list[Edge]) -> list[list[Edge]]:
     return sorted(out)
 
 
-def block_edges(edges: DataFrame, components: DataFrame) -> DataFrame:
-    """(component, block, l_side, r_side) of side edges (x, y); a component of several edges is one group, one of a single edge needs none."""
+def coloured(edges: DataFrame) -> DataFrame:
+    """(side, piece, colour, odd): the smallest side of each side's piece, the side's colour (0 for the smallest), whether an odd cycle forbids colours."""
+    doubled = edges.select((2 * F.col("x")).alias("p"), (2 * F.col("y") + 1).alias("q")).union(edges.select(2 * F.col("x") + 1, 2 * F.col("y")))
+    found = connected_components(doubled, "p", "q")  # a bipartite piece gives two, an odd one gives one
+    rows = found.groupBy(F.expr("node div 2").alias("side")).agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("component", "node").alias("own"))
+    return rows.select("side", F.expr("low div 2").alias("piece"), (F.col("own") % 2).cast("int").alias("colour"), (F.col("low") == F.col("high")).alias("odd"))
+
+
+def large_cut(edges: DataFrame, seed: int = 1) -> DataFrame:
+    """(side, flag): a cut of edges (x, y) that no side gains by leaving; at least half of them cross."""
+    both = Written(edges.select(F.col("x").alias("v"), F.col("y").alias("u")).union(edges.select("y", "x")), "both")
+    now = Written(both.df.select(F.col("v").alias("side")).distinct().withColumn("flag", F.pmod(F.xxhash64("side", F.lit(seed)), F.lit(2)).cast("int")), "flags")
+    at = lambda df, c: df.select(F.col("side").alias(c), *(F.col(n).alias(f"{c}_{n}") for n in df.columns[1:]))
+    turn = 0
+    while True:
+        turn += 1
+        rows = both.df.join(at(now.df, "v"), "v").join(at(now.df, "u"), "u")
+        gains = rows.groupBy(F.col("v").alias("side")).agg(F.sum(F.when(F.col("v_flag") == F.col("u_flag"), 1).otherwise(-1)).alias("gain")).where("gain > 0")
+        movers = Written(gains.select("side", F.struct("gain", F.xxhash64("side", F.lit(turn)).alias("deal"), "side").alias("first")), "movers")
+        if not movers.df.head(1):
+            movers.drop()
+            both.drop()
+            return now.df
+        beaten = both.df.join(at(movers.df, "v"), "v").join(at(movers.df, "u"), "u").where("u_first > v_first").select(F.col("v").alias("side")).distinct()
+        moving = movers.df.join(beaten, "side", "left_anti").select("side", F.lit(1).alias("moves"))
+        then, now = now, Written(now.df.join(moving, "side", "left").select("side", ((F.col("flag") + F.coalesce("moves", F.lit(0))) % 2).alias("flag")), "flags")
+        then.drop()
+        movers.drop()
+
+
+def _oriented(edges: DataFrame, of: DataFrame) -> DataFrame:
+    """Edges (x, y) whose sides have (piece, colour), as (piece, l_side, r_side)."""
+    rows = edges.join(of.select(F.col("side").alias("x"), "piece", "colour"), "x")
+    first = F.col("colour") == 0
+    return rows.select("component", "piece", F.when(first, F.col("x")).otherwise(F.col("y")).alias("l_side"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("r_side"))
+
+
+def block_edges(edges: DataFrame) -> DataFrame:
+    """(component, block, l_side, r_side): side edges (x, y) dealt to bipartite connected blocks, each edge once; a block's smallest side is on the left.
+
+    component is the smallest side of the piece; a loop on one side can be in no
+    block and is left out.
+    """
 
     def solve(rows: pa.Table) -> pa.Table:
         data = rows.to_pydict()
         found = blocks(list(zip(data["x"], data["y"], strict=True)))
-        flat = [(data["component"][0], k, a, b) for k, block in enumerate(found) for a, b in block]
-        return pa.table({n: pa.array([r[i] for r in flat], kind) for i, (n, kind) in enumerate((("component", pa.int64()), ("block", pa.int32()), ("l_side", pa.int64()), ("r_side", pa.int64())))})
-
-    placed = edges.join(components, F.col("x") == F.col("side")).select("component", "x", "y")
-    sizes = Written(placed.join(placed.groupBy("component").agg(F.count("*").alias("n")), "component"), "sizes").df
-    single = sizes.where("n = 1").select("component", F.lit(0).alias("block"), F.least("x", "y").alias("l_side"), F.greatest("x", "y").alias("r_side"))
-    return single.union(sizes.where("n > 1").groupBy("component").applyInArrow(solve, "component bigint, block int, l_side bigint, r_side bigint"))
+        flat = [(data["component"][0], f"k{data['turn'][0]}.{data['piece'][0]}.{k}", a, b) for k, block in enumerate(found) for a, b in block]
+        return pa.table({n: pa.array([r[i] for r in flat], kind) for i, (n, kind) in enumerate((("component", pa.int64()), ("block", pa.string()), ("l_side", pa.int64()), ("r_side", pa.int64())))})
+
+    rest = edges.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).where("x <> y").distinct()
+    out: list[DataFrame] = []
+    turn = 0
+    while True:
+        of = Written(coloured(rest), "coloured").df
+        placed = rest.join(of.select(F.col("side").alias("x"), "piece", "odd"), "x")
+        if turn == 0:
+            placed = placed.withColumn("component", F.col("piece"))
+        placed = Written(placed, "placed").df
+        fine = _oriented(placed.where("not odd").drop("piece"), of)
+        out.append(fine.select("component", F.concat(F.lit(f"{turn}."), F.col("piece").cast("string")).alias("block"), "l_side", "r_side"))
+        odd = placed.where("odd")
+        sizes = Written(odd.groupBy("piece").agg(F.count("*").alias("n")), "sizes").df
+        small, large = (odd.join(sizes.where(w), "piece", "left_semi") for w in (f"n <= {SMALL_PIECE}", f"n > {SMALL_PIECE}"))
+        if not sizes.head(1):
+            return reduce(DataFrame.union, out)
+        kept = small.select("component", "piece", F.lit(turn).alias("turn"), "x", "y").groupBy("piece").applyInArrow(solve, "component bigint, block string, l_side bigint, r_side bigint")
+        out.append(Written(kept, "odd-blocks").df)
+        if not sizes.where(f"n > {SMALL_PIECE}").head(1):
+            return reduce(DataFrame.union, out)
+        flags = large_cut(large, turn + 1)
+        at = lambda c: flags.select(F.col("side").alias(c), F.col("flag").alias(f"{c}_flag"))
+        dealt = Written(large.join(at("x"), "x").join(at("y"), "y").select("component", "x", "y", (F.col("x_flag") != F.col("y_flag")).alias("crosses")), "dealt").df
+        cut = dealt.where("crosses").select("component", "x", "y")
+        crossing = _oriented(cut, Written(coloured(cut), "coloured").df)
+        out.append(crossing.select("component", F.concat(F.lit(f"c{turn}."), F.col("piece").cast("string")).alias("block"), "l_side", "r_side"))
+        rest = dealt.where("not crosses").select("component", "x", "y")
+        turn += 1
 
 
 def bipartite_components(edges: DataFrame, components: DataFrame) -> DataFrame:
-    """(component, is_bipartite) without gathering a component.
-
-    Sides are doubled by parity; a component is bipartite if no side is joined
-    to its own other parity.
-    """
-    from braidwork.operators.components import connected_components
-
-    doubled = edges.select((2 * F.col("x")).alias("p"), (2 * F.col("y") + 1).alias("q")).union(edges.select(2 * F.col("x") + 1, 2 * F.col("y")))
-    found = connected_components(doubled, "p", "q").select(F.expr("node div 2").alias("side"), F.col("component").alias("root"))
-    odd = found.groupBy("side").agg((F.min("root") == F.max("root")).alias("odd"))
+    """(component, is_bipartite) without gathering a component."""
+    odd = coloured(edges).select("side", "odd")
     joined = components.join(odd, "side", "left")
     return joined.groupBy("component").agg((~F.coalesce(F.bool_or("odd"), F.lit(False))).alias("is_bipartite"))

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from braidwork.operators import biclique, bipartite, splice, termini
-from braidwork.operators.components import connected_components
 from braidwork.operators.links import side_edges
 from braidwork.shared import Written
 from braidwork.sources import gfa, provenance
@@ -38,10 +37,8 @@ class Blunted(NamedTuple):
 
 def covered_groups(links: DataFrame) -> DataFrame:
     """(biclique_id, l_side, r_side): links dealt to complete bipartite groups."""
-    edges = Written(side_edges(links), "edges").df
-    found = connected_components(edges, "x", "y").select(F.col("node").alias("side"), "component")
-    blocks = bipartite.block_edges(edges, found)
-    return biclique.assigned(biclique.biclique_cover(blocks))
+    blocks = Written(bipartite.block_edges(Written(side_edges(links), "edges").df), "block-edges").df
+    return biclique.assigned(biclique.biclique_cover(blocks), blocks)
 
 
 def blunt(segments: DataFrame, links: DataFrame) -> Blunted:

@@ -102,3 +102,54 @@ def test_colourings():
         prism[a] |= 1 << b
         prism[b] |= 1 << a
     assert max(colouring.colours(prism)) + 1 == 4
+
+
+def dealt(spark, edges):
+    return spark.createDataFrame(edges, "x long, y long").repartition(4)
+
+
+def check_blocks(found, edges):
+    by = {}
+    for r in found:
+        by.setdefault((r.component, r.block), []).append((r.l_side, r.r_side))
+    assert sorted(tuple(sorted(e)) for b in by.values() for e in b) == sorted(edges)
+    for b in by.values():
+        assert not {x for x, _ in b} & {y for _, y in b}
+        assert len(bipartite.pieces(bipartite.adjacency(b))) == 1 and min(map(min, b)) in {x for x, _ in b}
+
+
+def test_large_odd_pieces_are_cut_where_they_lie(spark, monkeypatch):
+    rng = random.Random(12)
+    monkeypatch.setattr(bipartite, "SMALL_PIECE", 40)
+    edges = sorted({tuple(sorted(rng.sample(range(60), 2))) for _ in range(400)} | {(100, 101), (101, 102), (100, 102)} | {(200 + a, 300 + b) for a in range(5) for b in range(4)})
+    found = bipartite.block_edges(dealt(spark, edges + edges[:3] + [(7, 7)])).collect()
+    check_blocks(found, edges)
+    assert {r.component for r in found if r.l_side >= 200} == {200} and {r.component for r in found if 100 <= r.l_side < 200} == {100}
+    assert len([r for r in found if r.block.startswith("c0.")]) >= 200 - 40
+
+
+def test_a_cut_that_no_side_gains_by_leaving(spark):
+    rng = random.Random(13)
+    edges = sorted({tuple(sorted(rng.sample(range(80), 2))) for _ in range(300)})
+    flag = {r.side: r.flag for r in bipartite.large_cut(dealt(spark, edges)).collect()}
+    adj = bipartite.adjacency(edges)
+    assert all(2 * sum(flag[y] != flag[v] for y in adj[v]) >= len(adj[v]) for v in adj)
+
+
+def test_bipartite_pieces_stay_out_of_python(spark):
+    found = bipartite.block_edges(dealt(spark, [(2 * k, 2 * k + 1) for k in range(50)] + [(2 * k + 1, 2 * k + 2) for k in range(49)]))
+    assert found.count() == 99 and "FlatMapGroups" not in found._jdf.queryExecution().toString()
+
+
+def test_cover_members_and_twins(spark, monkeypatch):
+    rng = random.Random(14)
+    edges = sorted({(a, 1_000 + b) for a in range(30) for b in range(20) if (a * b) % 3 == 0} | {(a, 1_000 + rng.randrange(20)) for a in range(30)})
+    for most in (20_000, 10):
+        monkeypatch.setattr(biclique, "LARGE_BLOCK", most)
+        blocks = bipartite.block_edges(dealt(spark, edges))
+        groups = {}
+        for r in biclique.biclique_cover(blocks).collect():
+            groups.setdefault((r.component, r.block, r.biclique), ([], []))[0 if r.is_left else 1].append(r.side)
+        assert {(a, b) for lefts, rights in groups.values() for a in lefts for b in rights} == set(edges)
+        given = biclique.assigned(biclique.biclique_cover(blocks), blocks).collect()
+        assert sorted((r.l_side, r.r_side) for r in given) == edges
