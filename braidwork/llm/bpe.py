@@ -43,7 +43,12 @@ from braidwork.shared import bounded_batches, ship_bytes
 #: Words that a worker remembers, and how long they may be.
 CACHED, CACHED_CHARS = 200_000, 48
 #: Characters that str.split takes for white space and the splitter doesn't.
-_SEPARATORS = regex.compile("[\x1c-\x1f]")
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
+_NOTHING: dict[int, int] = {}
+#: Stands for no rank: an entry of it is below 0 at every place.
+NEVER = -1
+#: Below it composition changes nothing, and both libraries' cases and classes of characters agree (see the tests).
+_AGREED = "\u0250"
 _SPACE = regex.compile(r"\s+")
 
 
@@ -57,8 +62,8 @@ def byte_symbols() -> list[str]:
 _SYMBOLS = dict(enumerate(byte_symbols()))
 
 
-def _ascii_rules(spec: dict) -> regex.Pattern | None:
-    """What finds the parts of a lower-cased word of ASCII characters, if the file's rules are of that form; the two pattern languages agree there."""
+def _rule(spec: dict) -> regex.Pattern | None:
+    """What finds the parts of a lower-cased word below _AGREED, if the file's rules are of that form."""
     rules = (spec["normalizer"] or {}).get("normalizers", []), (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
     kinds = [[r["type"] for r in x] for x in rules]
     if kinds != [["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]]:
@@ -92,16 +97,19 @@ class Vocabulary:
         self.end = model["end_of_word_suffix"] or ""
         self.ids: dict[str, int] = model["vocab"]
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        self.shift = max(self.ids.values(), default=0).bit_length()
-        #: left id << shift | right id: rank; and the id of the two as one, by rank.
-        self.merges = {self.ids[a] << self.shift | self.ids[b]: rank for rank, (a, b) in enumerate(pairs)}
+        #: By left id: the ranks of what may follow; and the id of the two as one, by rank.
+        self.follow: list[dict[int, int]] = [_NOTHING] * (max(self.ids.values(), default=0) + 1)
+        for rank, (a, b) in enumerate(pairs):
+            if not self.follow[self.ids[a]]:
+                self.follow[self.ids[a]] = {}
+            self.follow[self.ids[a]][self.ids[b]] = rank
         self.made = [self.ids[a + b] for a, b in pairs]
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.strings = {i: s for s, i in [*self.ids.items(), *self.added.items()]}
         self.bytes_of = {c: b for b, c in enumerate(byte_symbols())} if decoder else None
         ruled = Tokenizer.from_str(data.decode())
         self.normalise = ruled.normalizer.normalize_str if ruled.normalizer else str
-        self.ascii = _ascii_rules(spec)
+        self.rule = _rule(spec)
         self.split = ruled.pre_tokenizer.pre_tokenize_str
         longest = sorted(self.added, key=lambda s: (-len(s), s))
         self.special = regex.compile("(" + "|".join(map(regex.escape, longest)) + ")") if longest else None
@@ -112,35 +120,38 @@ class Vocabulary:
 
     def merge(self, symbols: list[int]) -> list[int]:
         """Merge symbols until no pair is in the vocabulary."""
-        n, rank_of, made, shift = len(symbols), self.merges.get, self.made, self.shift
-        ranks = [rank_of(a << shift | b, -1) for a, b in zip(symbols, symbols[1:], strict=False)]  # of each symbol and its right neighbour
-        # an entry is rank * n + place; entries of one rank come out from left to right
-        queue = [r * n + k for k, r in enumerate(ranks) if r >= 0]
+        n, follow, made = len(symbols), self.follow, self.made
+        # an entry is rank * n + place, so entries of one rank come out from left to right; queued has each place's own
+        queued = [follow[a].get(b, NEVER) * n + k for k, a, b in zip(range(n), symbols, symbols[1:], strict=False)]
+        queue = [e for e in queued if e >= 0]
         if not queue:
             return symbols
         heapify(queue)
-        ranks.append(-1)
+        queued.append(-1)
         at, after, before = list(symbols), list(range(1, n + 1)), list(range(-1, n - 1))
         while queue:
-            rank, k = divmod(heappop(queue), n)
-            if ranks[k] != rank:
+            entry = heappop(queue)
+            k = entry % n
+            if queued[k] != entry:
                 continue  # stale: one of the two is part of something else by now
             j = after[k]
-            both = made[rank]
-            at[k], at[j], ranks[j] = both, -1, -1
+            at[k] = both = made[entry // n]
+            at[j] = queued[j] = queued[k] = -1
             after[k] = j = after[j]
             if j < n:
                 before[j] = k
-                ranks[k] = r = rank_of(both << shift | at[j], -1)
-                if r >= 0:
-                    heappush(queue, r * n + k)
-            else:
-                ranks[k] = -1
+                r = follow[both].get(at[j])
+                if r is not None:
+                    queued[k] = r = r * n + k
+                    heappush(queue, r)
             j = before[k]
             if j >= 0:
-                ranks[j] = r = rank_of(at[j] << shift | both, -1)
-                if r >= 0:
-                    heappush(queue, r * n + j)
+                r = follow[at[j]].get(both)
+                if r is None:
+                    queued[j] = -1
+                else:
+                    queued[j] = r = r * n + j
+                    heappush(queue, r)
         return [s for s in at if s >= 0]
 
     def _part(self, part: str) -> bytes:
@@ -148,9 +159,9 @@ class Vocabulary:
         return array("I", self.merge([ids[c] for c in part[:-1]] + [ids[part[-1] + self.end]])).tobytes()
 
     def _fresh(self, word: str) -> bytes:
-        if self.ascii and word.isascii():
-            found = self.ascii.findall(word.lower())
-            parts = found if word.isprintable() and " " not in word else [p.translate(_SYMBOLS) for p in found]
+        if self.rule and (word.isascii() or max(word) < _AGREED):
+            found = self.rule.findall(word.lower())
+            parts = found if word.isascii() and word.isprintable() and " " not in word else [p.encode().decode("latin-1").translate(_SYMBOLS) for p in found]
         else:
             parts = [p for p, _ in self.split(self.normalise(word)) if p]
         known, part = self.parts, self._part
@@ -160,14 +171,14 @@ class Vocabulary:
         if not self.by_word:
             return self._fresh(text)
         known, fresh = self.words, self._fresh
-        words = _SPACE.split(text) if _SEPARATORS.search(text) else text.split()
+        words = _SPACE.split(text) if any(c in text for c in _SEPARATORS) else text.split()
         return b"".join([known.get(w) or _remembered(known, w, fresh) for w in words])
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a text as 32-bit integers, little-endian on every machine that Spark runs on."""
         if not text:
             return b""
-        if self.special is None or not self.special.search(text):
+        if not any(s in text for s in self.added):
             return self._plain(text)
         parts = self.special.split(text)
         return b"".join(array("I", [self.added[p]]).tobytes() if k % 2 else self._plain(p) for k, p in enumerate(parts))
