@@ -7,7 +7,7 @@ the right end of that orientation, so a link joins the sides a and flip(b).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from braidwork.functions import cigar
@@ -91,17 +91,41 @@ def without_links(links: DataFrame, gone: DataFrame) -> DataFrame:
     return with_handles(links).join(hidden, ["lo", "hi"], "left_anti").select(*links.columns)
 
 
+#: Positions of a node that one task orders.
+STRETCH_BITS = 16
+
+
+def carried(rows: DataFrame, by: list[str], at: str, tie: str, value: str) -> DataFrame:
+    """rows with `carried`: the last non-null `value` up to each row, in the order of (at, tie) within `by`; places are whole numbers.
+
+    A long node is ordered in stretches of its places; what a stretch begins with
+    comes from the last value of the stretches before, one row each.
+    """
+    rows = rows.withColumn("_stretch", F.shiftright(F.col(at), STRETCH_BITS))
+    inside = Window.partitionBy(*by, "_stretch").orderBy(at, tie).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("carried", F.last(value, ignorenulls=True).over(inside))
+    ends = rows.where(F.col(value).isNotNull()).groupBy(*by, "_stretch").agg(F.max_by(value, F.struct(at, tie)).alias("_end"))
+    stretches = rows.select(*by, "_stretch").distinct().join(ends, [*by, "_stretch"], "left")
+    earlier = Window.partitionBy(*by).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    begins = stretches.withColumn("_begin", F.last("_end", ignorenulls=True).over(earlier)).select(*by, "_stretch", "_begin")
+    return rows.join(begins, [*by, "_stretch"], "left").withColumn("carried", F.coalesce("carried", "_begin")).drop("_stretch", "_begin")
+
+
 def neighbours_at(positions: DataFrame, others: DataFrame, how: str = "le") -> DataFrame:
     """Range lookup: for each (node, pos) the nearest other_pos of others (node, other_pos).
 
     how: lt, le (the largest below), gt, ge (the smallest above).  Null where
-    there is none.  An equi-join on the node carries the inequality.
+    there is none.  Both sides are put in one order and the last position is
+    carried on, so no pairs are made; looking up, the order is turned round.
     """
-    compare = {"lt": lambda o, p: o < p, "le": lambda o, p: o <= p, "gt": lambda o, p: o > p, "ge": lambda o, p: o >= p}[how]
-    pick = F.max if how[0] == "l" else F.min
-    other = others.select(F.col("node").alias("n2"), "other_pos")
-    joined = positions.join(other, (F.col("node") == F.col("n2")) & compare(F.col("other_pos"), F.col("pos")), "left")
-    return joined.groupBy("node", "pos").agg(pick("other_pos").alias("other_pos"))
+    if how not in ("lt", "le", "gt", "ge"):
+        raise ValueError(how)
+    sign = 1 if how[0] == "l" else -1
+    first = 0 if how[1] == "e" else 1  # whether an equal position counts, so comes before
+    asked = positions.select("node", (F.col("pos") * sign).alias("p"), F.lit(1 - first).alias("tie"), F.lit(None).cast("long").alias("other")).distinct()
+    known = others.select("node", (F.col("other_pos") * sign).cast("long").alias("p"), F.lit(first).alias("tie"), F.col("other_pos").cast("long").alias("other")).distinct()
+    rows = carried(asked.union(known), ["node"], "p", "tie", "other").where("other is null")
+    return rows.select("node", (F.col("p") * sign).alias("pos"), F.col("carried").alias("other_pos"))
 
 
 def splice_sites(links: DataFrame, group: str = "biclique_id") -> DataFrame:

@@ -6,12 +6,12 @@ written to the shared folder, never a collected frontier.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from braidwork.functions.sequence import revcomp
 from braidwork.operators.components import connected_components
-from braidwork.operators.links import all_sides, both_ways, flipped, handle, side_edges
+from braidwork.operators.links import all_sides, both_ways, carried, flipped, handle, side_edges
 from braidwork.shared import Written, fresh_path
 
 
@@ -155,26 +155,37 @@ def append(segments: DataFrame, links: DataFrame, more_segments: DataFrame, more
     return segments, links
 
 
+def _renamed(more: DataFrame, taken: DataFrame, name: str, tag: Column) -> DataFrame:
+    """more, whose names that `taken` has too go on with "/" and the tag, or if that is taken with the next number that makes them new."""
+    mine = more.select(F.col(name).alias("_old"), tag.cast("string").alias("_tag")).distinct()
+    used = Written(taken.select(F.col(name).alias("_used")).distinct(), "names").df
+    wanted = Written(mine.join(used, F.col("_old") == F.col("_used"), "left_semi").withColumn("_wanted", F.concat_ws("/", "_old", "_tag")), "wanted").df
+    used = used.union(mine.select("_old")).distinct()
+    stem, number = F.regexp_extract("_used", "^(.*)/([0-9]{1,9})$", 1), F.regexp_extract("_used", "^(.*)/([0-9]{1,9})$", 2)
+    highest = used.where(number != "").groupBy(stem.alias("_stem")).agg(F.max(number.cast("long")).alias("_n"))
+    rows = wanted.join(used.withColumn("_hit", F.lit(True)), F.col("_wanted") == F.col("_used"), "left").join(highest, F.col("_old") == F.col("_stem"), "left")
+    new = Written(rows.select("_old", F.when(F.col("_hit"), F.concat_ws("/", "_old", (F.col("_n") + 1).cast("string"))).otherwise(F.col("_wanted")).alias("_new")), "renamed").df
+    return more.join(new, F.col(name) == F.col("_old"), "left").withColumn(name, F.coalesce("_new", name)).drop("_old", "_new")
+
+
 def append_with_paths(segments: DataFrame, links: DataFrame, paths: DataFrame | None, more_segments: DataFrame, more_links: DataFrame, more_paths: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """One graph of both with the paths of both; see append.
 
-    Names that the first graph has too get "/" and their new id, so that names
-    stay unique; a path of a name that the first graph has goes on as "name/2".
+    A segment's name that the first graph has too goes on with "/" and its new id,
+    a path's with "/2"; if that is taken, with the next number that neither has.
     """
     top = lambda df, c: df.agg(F.coalesce(F.max(c), F.lit(0))).first()[0]
     shift, link_shift = top(segments, "node_id"), top(links, "link_id") if "link_id" in links.columns else 0
     moved = more_segments.withColumn("node_id", F.col("node_id") + shift)
     if "name" in segments.columns and "name" in moved.columns:
-        taken = segments.select("name", F.lit(True).alias("_taken")).distinct()
-        moved = moved.join(taken, "name", "left").withColumn("name", F.when(F.col("_taken"), F.concat_ws("/", "name", F.col("node_id").cast("string"))).otherwise(F.col("name"))).drop("_taken")
+        moved = _renamed(moved, segments, "name", F.col("node_id"))
     moved_links = more_links.withColumns({"src": F.col("src") + shift, "dst": F.col("dst") + shift})
     if "link_id" in more_links.columns:
         moved_links = moved_links.withColumn("link_id", F.col("link_id") + link_shift)
     if more_paths is not None:
         more_paths = more_paths.withColumn("node_id", F.col("node_id") + shift)
         if paths is not None:
-            taken = paths.select("path", F.lit(True).alias("_taken")).distinct()
-            more_paths = more_paths.join(taken, "path", "left").withColumn("path", F.when(F.col("_taken"), F.concat("path", F.lit("/2"))).otherwise(F.col("path"))).drop("_taken")
+            more_paths = _renamed(more_paths, paths, "path", F.lit(2))
             more_paths = paths.unionByName(more_paths, allowMissingColumns=True)
     return segments.unionByName(moved, allowMissingColumns=True), links.unionByName(moved_links, allowMissingColumns=True), paths if more_paths is None else more_paths
 
@@ -261,8 +272,19 @@ def path_offsets(steps: DataFrame) -> DataFrame:
     return steps.withColumns({"begin": end - F.col("size"), "end": end})
 
 
-def seek(positions: DataFrame, steps: DataFrame) -> DataFrame:
-    """(path, pos, ord, offset): the step that holds each position (path, pos) of a path."""
-    placed = path_offsets(steps).select(F.col("path").alias("p"), "ord", "begin", "end")
-    found = positions.join(placed, (F.col("path") == F.col("p")) & (F.col("pos") >= F.col("begin")) & (F.col("pos") < F.col("end")))
-    return found.select("path", "pos", "ord", (F.col("pos") - F.col("begin")).alias("offset"))
+def seek(positions: DataFrame, steps: DataFrame, backward: bool = False) -> DataFrame:
+    """(path, pos, ord, offset): the step that holds each position (path, pos) of a path (steps: path, ord, size).
+
+    backward: positions and offsets count from the end of the path, 0 is its last
+    base.  A position beyond the path is left out; a step without bases holds none.
+    """
+    placed = path_offsets(steps).where("size > 0").select("path", "ord", F.col("begin").cast("long"), "size")
+    if backward:
+        total = F.max(F.col("begin") + F.col("size")).over(Window.partitionBy("path"))
+        placed = placed.withColumn("begin", total - F.col("begin") - F.col("size"))
+    asked = positions.select("path", F.col("pos").cast("long").alias("p"), F.lit(1).alias("tie"), F.lit(None).cast("struct<ord:bigint,begin:bigint,size:bigint>").alias("step"))
+    known = placed.select("path", F.col("begin").alias("p"), F.lit(0).alias("tie"), F.struct(F.col("ord").cast("long").alias("ord"), F.col("begin").alias("begin"), F.col("size").cast("long").alias("size")).alias("step"))
+    rows = carried(asked.union(known), ["path"], "p", "tie", "step").where("step is null")
+    offset = F.col("p") - F.col("carried.begin")
+    found = rows.where((F.col("p") >= 0) & (offset < F.col("carried.size")))
+    return found.select("path", F.col("p").alias("pos"), F.col("carried.ord").cast(steps.schema["ord"].dataType).alias("ord"), offset.alias("offset"))

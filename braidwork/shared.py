@@ -12,6 +12,7 @@ import os
 import shutil
 import tempfile
 import uuid
+from typing import BinaryIO
 
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
@@ -72,6 +73,15 @@ def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
     out.close()
 
 
+def spool(spark: SparkSession, stream: BinaryIO, path: str, size: int = 1 << 20) -> None:
+    """Copy a stream to a file of any store, a piece at a time."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    while piece := stream.read(size):
+        out.write(bytearray(piece))
+    out.close()
+
+
 def ship_bytes(spark: SparkSession, data: bytes) -> str:
     """Have every executor fetch a file of these bytes; its name, for SparkFiles.get."""
     name = f"blob-{hashlib.sha256(data).hexdigest()[:32]}"
@@ -82,7 +92,7 @@ def ship_bytes(spark: SparkSession, data: bytes) -> str:
 
 
 #: Rows and bytes of a batch that goes to a Python worker, so that long texts don't fill its memory.
-BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 2_000, 4 << 20
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:

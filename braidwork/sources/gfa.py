@@ -8,6 +8,7 @@ reader, so any file system that Spark reads can hold the file.
 
 from __future__ import annotations
 
+import sys
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from braidwork.functions import cigar
 from braidwork.operators.links import canonical
+from braidwork.shared import fresh_path, spool
 
 REJECTS = "line_no bigint, record string, reason string"
 
@@ -44,6 +46,11 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return raw.join(F.broadcast(sizes), on).select((F.col("at") + F.col("m") - F.col("first")).alias("line_no"), "value")
 
 
+def strand(sign: Column) -> Column:
+    """Whether a strand is the reverse one; null if the sign is neither + nor -."""
+    return F.when(sign == "-", True).when(sign == "+", False)
+
+
 def parse_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(segment records, link records, path records) of (line_no, value)."""
     fields = F.split(F.regexp_replace("value", "\\r$", ""), "\t")
@@ -53,7 +60,7 @@ def parse_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     entries = F.transform(F.filter(F.slice("f", F.lit(4), F.size("f")), lambda t: t.rlike("^[A-Za-z0-9]{2}:[A-Za-z]:")), lambda t: F.struct(F.left(t, F.lit(2)).alias("k"), F.regexp_replace(t, "^..:.:", "").alias("v")))
     tags = F.aggregate(entries, F.create_map().cast("map<string,string>"), lambda m, e: F.when(F.map_contains_key(m, e["k"]), m).otherwise(F.map_concat(m, F.create_map(e["k"], e["v"]))))  # of equal tags the first
     segments = rows.where(at(0) == "S").select("line_no", "record", name(1).alias("name"), F.coalesce(at(2), F.lit("")).alias("sequence"), tags.alias("tags"))
-    links = rows.where(at(0) == "L").select("line_no", "record", name(1).alias("src_name"), (at(2) == "-").alias("src_rev"), name(3).alias("dst_name"), (at(4) == "-").alias("dst_rev"), at(5).alias("cigar"))
+    links = rows.where(at(0) == "L").select("line_no", "record", name(1).alias("src_name"), strand(at(2)).alias("src_rev"), name(3).alias("dst_name"), strand(at(4)).alias("dst_rev"), at(5).alias("cigar"))
     paths = rows.where(at(0) == "P").select("line_no", "record", name(1).alias("path"), at(2).alias("steps"), at(3).alias("overlaps"))
     return segments, links, paths
 
@@ -107,6 +114,7 @@ def reject_reason() -> Column:
     empty = (F.col("src_name") == "") | (F.col("dst_name") == "")
     return (
         F.when(empty, "empty name")
+        .when(F.col("src_rev").isNull() | F.col("dst_rev").isNull(), "malformed strand")
         .when(F.col("src").isNull() | F.col("dst").isNull(), "unknown segment")
         .when(F.col("ops").isNull(), "malformed cigar")
         .when((F.col("src_len") > F.col("src_size")) | (F.col("dst_len") > F.col("dst_size")), "overlap longer than segment")
@@ -127,18 +135,21 @@ def parse_gfa(lines: DataFrame, with_paths: bool = False) -> Graph:
 
 
 def checked_paths(records: DataFrame, segments: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(steps, rejects): a path with a step whose segment isn't there is set aside as a whole."""
+    """(steps, rejects): a path with a step that has no strand or whose segment isn't there is set aside as a whole."""
     steps = records.select("line_no", "path", "overlaps", F.posexplode(F.split(F.coalesce("steps", F.lit("")), ",")).alias("ord", "step"))
     steps = steps.withColumn("name", F.regexp_replace(F.regexp_replace("step", "[+-]\\s*$", ""), "\\s", "")).withColumn("rev", F.col("step").rlike("-\\s*$"))
     steps = steps.join(segments.select("name", "node_id"), "name", "left")
-    unknown = steps.where("node_id is null").select("line_no").distinct()
+    unsigned = ~F.col("step").rlike("[+-]\\s*$") & (F.col("step") != "")
+    bad = steps.where(unsigned | F.col("node_id").isNull()).groupBy("line_no").agg(F.when(F.bool_or(unsigned), "path step without strand").otherwise("path with unknown segment").alias("reason"))
     overlap = F.get(F.split("overlaps", ","), F.col("ord"))
-    good = steps.join(unknown, "line_no", "left_anti").select("path", "ord", "node_id", "rev", F.when(overlap != "*", overlap).alias("overlap"))
-    return good, records.join(unknown, "line_no", "left_semi").select("line_no", "record", F.lit("path with unknown segment").alias("reason"))
+    good = steps.join(bad, "line_no", "left_anti").select("path", "ord", "node_id", "rev", F.when(overlap != "*", overlap).alias("overlap"))
+    return good, records.join(bad, "line_no").select("line_no", "record", "reason")
 
 
 def read_gfa(spark: SparkSession, path: str, with_paths: bool = False) -> Graph:
-    """The graph of a GFA file (plain or compressed, on any file system)."""
+    """The graph of a GFA file (plain or compressed, on any file system); "-": of standard input, which is copied to the shared folder first."""
+    if path == "-":
+        spool(spark, sys.stdin.buffer, path := fresh_path(spark, "stdin"))
     return parse_gfa(numbered_lines(spark, path), with_paths)
 
 

@@ -1,5 +1,7 @@
 """Appending, merging and checking graphs on small ones of known form."""
 
+import random
+
 import pytest
 from braidwork.operators import traversal, validate
 from braidwork.sources import gfa
@@ -74,3 +76,66 @@ def test_arriving_links_tell_why_they_are_none(spark, tmp_path, record, reason):
     query = stream_links(spark, f"file://{tmp_path}/in").writeStream.format("memory").queryName(f"arrived{abs(hash(record))}").option("checkpointLocation", f"file://{tmp_path}/c").trigger(availableNow=True).start()
     query.awaitTermination()
     assert [r.reason for r in spark.table(query.name).collect()] == [reason]
+
+
+def test_names_stay_apart_however_often_graphs_are_appended(spark):
+    g = small(spark)
+    segments, links, paths = g.segments, g.links, g.paths
+    for _ in range(2):
+        segments, links, paths = traversal.append_with_paths(segments, links, paths, g.segments, g.links, g.paths)
+    names = [r.name for r in segments.collect()]
+    assert len(names) == len(set(names)) == 9
+    steps = [(r.path, r.ord) for r in paths.collect()]
+    assert len(steps) == len(set(steps)) and {p for p, _ in steps} == {"p", "p/2", "p/3", "r", "r/2", "r/3"}
+
+
+def test_a_new_name_that_is_taken(spark):
+    one = spark.createDataFrame([(1, "a/6", "AC"), (2, "x", "A"), (3, "a", "AC")], "node_id long, name string, sequence string")
+    links = spark.createDataFrame([], "link_id long, src long, src_rev boolean, dst long, dst_rev boolean")
+    more, _ = traversal.append(one, links, one, links)
+    assert sorted(r.name for r in more.collect()) == ["a", "a/6", "a/6/4", "a/7", "x", "x/5"]
+
+
+def test_strands_must_be_signs(spark):
+    g = gfa.parse_gfa(lines(spark, "S\ta\tACGT", "S\tb\tACGT", "L\ta\tx\tb\t+\t2M", "L\ta\t+\tb\t?\t2M", "L\ta\t+\tb\t+\t2M", "P\tp\ta+,b\t*", "P\tq\ta+,b-\t*"), with_paths=True)
+    assert [(r.src_rev, r.dst_rev) for r in g.links.collect()] == [(False, False)]
+    assert sorted(r.reason for r in g.rejects.collect()) == ["malformed strand", "malformed strand", "path step without strand"]
+    assert {r.path for r in g.paths.collect()} == {"q"}
+
+
+def test_command_line(spark, tmp_path, monkeypatch, caplog):
+    import io
+    import sys
+    from types import SimpleNamespace
+
+    from braidwork import cli
+
+    text = "S\ta\tTTTTACGT\nS\tb\tACGTGGGG\nS\tc\tCCCC\nL\ta\t+\tb\t+\t4M\nL\tb\t+\tc\t+\t0M\nL\ta\t+\tnobody\t+\t1M\n"
+    (tmp_path / "g.gfa").write_text(text)
+    read = lambda p: sorted(r.value for r in spark.read.text(f"file://{tmp_path}/{p}").collect())
+    cli.main(["blunt", "-i", f"file://{tmp_path}/g.gfa", "-o", f"file://{tmp_path}/out", "-p", f"file://{tmp_path}/table", "-V"])
+    assert sorted(r.split("\t")[2] for r in read("out") if r.startswith("S")) == ["ACGT", "CCCC", "GGGG", "TTTT"]
+    assert "1 records left out: unknown segment" in caplog.text and len([r for r in read("table") if not r.startswith("#")]) == 4
+    monkeypatch.setattr(sys, "stdin", SimpleNamespace(buffer=io.BytesIO(text.encode())))
+    cli.main(["blunt", "-i", "-", "-o", f"file://{tmp_path}/piped"])
+    assert [r for r in read("piped") if r[0] == "S"] == [r for r in read("out") if r[0] == "S"]
+    cli.main(["extract", "-i", f"file://{tmp_path}/g.gfa", "-s", "a", "-r", "1", "-o", f"file://{tmp_path}/near"])
+    assert [r for r in read("near") if r[0] == "S"] == ["S\ta\tTTTTACGT", "S\tb\tACGTGGGG"]
+
+
+def test_seeking_both_ways_and_hot_nodes(spark, monkeypatch):
+    from braidwork.operators import links
+
+    monkeypatch.setattr(links, "STRETCH_BITS", 2)
+    rng = random.Random(4)
+    sizes = {p: [rng.randrange(0, 5) for _ in range(rng.randrange(1, 15))] for p in range(6)}
+    steps = spark.createDataFrame([(p, k, n) for p, s in sizes.items() for k, n in enumerate(s)], "path long, ord int, size long")
+    asked = [(p, x) for p, s in sizes.items() for x in range(-1, sum(s) + 2)]
+    positions = spark.createDataFrame(asked, "path long, pos long")
+    for backward in (False, True):
+        want = set()
+        for p, s in sizes.items():
+            flat = [(k, i) for k, n in enumerate(s) for i in range(n)]
+            ends = [(k, n - 1 - i) for k, n in reversed(list(enumerate(s))) for i in reversed(range(n))]
+            want |= {(p, x, *(ends if backward else flat)[x]) for x in range(sum(s))}
+        assert {tuple(r) for r in traversal.seek(positions, steps, backward).collect()} == want
