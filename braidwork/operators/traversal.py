@@ -212,10 +212,46 @@ def chop_graph(segments: DataFrame, links: DataFrame, most: int) -> tuple[DataFr
     return parts.select(name(F.col("node_id"), F.col("part")).alias("name"), "sequence"), inner.union(outer)
 
 
-def unchop(segments: DataFrame, links: DataFrame) -> DataFrame:
+def chop_paths(parts: DataFrame, paths: DataFrame) -> DataFrame:
+    """(path, ord, name, rev): paths (path, ord, node_id, rev) over the parts (node_id, part) that chop() cut; ord is a struct."""
+    last = parts.groupBy("node_id").agg(F.max("part").alias("last"))
+    rows = paths.join(last, "node_id").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
+    part = F.when(F.col("rev"), F.col("last") - F.col("k")).otherwise(F.col("k"))
+    return rows.select("path", F.struct("ord", "k").alias("ord"), F.concat(F.col("node_id").cast("string"), F.lit(":"), part.cast("string")).alias("name"), "rev")
+
+
+def left_by_paths(links: DataFrame, paths: DataFrame) -> DataFrame:
+    """(x, y): side edges of links where some path (path, ord, node_id, rev) begins, ends, turns off or comes in, so its two nodes can't be one.
+
+    A link is whole if it is passed as often as either of its nodes is visited.
+    """
+    steps = paths.select("path", "ord", handle("node_id", "rev").alias("h"))
+    following = F.lead("h").over(Window.partitionBy("path").orderBy("ord"))
+    x, y = F.col("h"), flipped("n")
+    passed = steps.withColumn("n", following).where("n is not null").groupBy(F.least(x, y).alias("p"), F.greatest(x, y).alias("q")).agg(F.count("*").alias("passed"))
+    visits = steps.groupBy(F.expr("h div 2").alias("node")).agg(F.count("*").alias("visits"))
+    at = lambda c: visits.select(F.col("node").alias(f"{c}_node"), F.col("visits").alias(f"{c}_visits"))
+    edges = side_edges(links).select("x", "y", F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q"), F.expr("x div 2").alias("x_node"), F.expr("y div 2").alias("y_node"))
+    rows = edges.join(passed, ["p", "q"], "left").join(at("x"), "x_node", "left").join(at("y"), "y_node", "left").na.fill(0, ["passed", "x_visits", "y_visits"])
+    return rows.where("passed <> x_visits or passed <> y_visits").select("x", "y").distinct()
+
+
+def unchop_paths(segments: DataFrame, links: DataFrame, paths: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(chains, links, paths): runs that every path goes through as a whole, links between them, and paths (path, ord, chain, rev) over them that spell what they did."""
+    chains, left = unchop_graph(segments, links, left_by_paths(links, paths))
+    at = chains.select("chain", F.size("nodes").alias("n"), F.posexplode("nodes").alias("d", "h"))
+    # a path enters a run at its first node, or turned at its last one
+    enters = at.where("d = 0").select("h", "chain", F.lit(False).alias("rev")).union(at.where("d = n - 1").select(flipped("h"), "chain", F.lit(True)))
+    steps = paths.select("path", "ord", handle("node_id", "rev").alias("h")).join(enters, "h")
+    order = F.row_number().over(Window.partitionBy("path").orderBy("ord")) - 1
+    return chains, left, steps.select("path", order.alias("ord"), "chain", "rev")
+
+
+def unchop(segments: DataFrame, links: DataFrame, cut: DataFrame | None = None) -> DataFrame:
     """(chain, sequence, nodes): maximal runs of nodes without a branch, spelled out; other nodes by themselves.
 
-    A link is inside a run if it is the only one at both of its sides.  Runs
+    A link is inside a run if it is the only one at both of its sides and not in
+    `cut` (side edges x, y).  Runs
     are labelled by pointer doubling from their first handle, so the rounds are
     the logarithm of the longest run.  Circular runs start at their smallest
     node.  A run is given in the direction in which its first node's id is
@@ -224,6 +260,8 @@ def unchop(segments: DataFrame, links: DataFrame) -> DataFrame:
     edges = side_edges(links)
     once = both_ways(edges).groupBy("side").agg(F.count("*").alias("n")).where("n = 1").select("side")
     inner = edges.join(once.withColumnRenamed("side", "x"), "x", "left_semi").join(once.withColumnRenamed("side", "y"), "y", "left_semi").where("x <> y")
+    if cut is not None:
+        inner = inner.join(cut.select("x", "y"), ["x", "y"], "left_anti")
     arcs = inner.select(F.col("x").alias("h"), flipped("y").alias("n"))
     arcs = Written(arcs.union(inner.select("y", flipped("x"))).distinct(), "arcs").df
     handles = all_sides(segments).withColumnRenamed("side", "h")
@@ -255,9 +293,9 @@ def unchop(segments: DataFrame, links: DataFrame) -> DataFrame:
     return rows.groupBy("first").agg(steps.alias("x")).select(F.col("first").alias("chain"), F.array_join(F.transform("x", lambda s: s["s"]), "").alias("sequence"), F.transform("x", lambda s: s["h"]).alias("nodes"))
 
 
-def unchop_graph(segments: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+def unchop_graph(segments: DataFrame, links: DataFrame, cut: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(chains, links): runs as unchop gives them, and the links between runs, (src, src_rev, dst, dst_rev) with chains as ends."""
-    chains = Written(unchop(segments, links), "chains").df
+    chains = Written(unchop(segments, links, cut), "chains").df
     first, last = F.element_at("nodes", 1), F.element_at("nodes", -1)
     begin = chains.select(first.alias("n"), F.col("chain").alias("dst"), F.lit(False).alias("dst_rev")).union(chains.select(flipped(last), "chain", F.lit(True)))
     end = chains.select(last.alias("h"), F.col("chain").alias("src"), F.lit(False).alias("src_rev")).union(chains.select(flipped(first), "chain", F.lit(True)))

@@ -371,6 +371,26 @@ def unchop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chains.select(F.least("sequence", sequence.revcomp("sequence")).alias("sequence")).crossJoin(left.agg(F.count("*").alias("links_left")))
 
 
+@query(f"""WITH {synth.views('T')}, o AS (SELECT o_orderkey AS k, o_custkey AS c, CASE WHEN lag(o_custkey) OVER (ORDER BY o_orderkey) = o_custkey THEN 0 ELSE 1 END AS fresh FROM orders)
+SELECT 'c' || CAST(c AS VARCHAR) AS path, CAST(sum(fresh) AS BIGINT) AS steps, md5(string_agg(sequence, '' ORDER BY k)) AS spelled FROM o JOIN segments ON node_id = k + 1 GROUP BY c""")
+def unchop_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T chopped and merged again with a path for each customer's orders: runs end where paths do, and paths spell the same."""
+    g = synth.graph(spark, sf_dir, "T")
+    segments = Written(g.segments, "segments").df
+    parts = traversal.chop(segments, 20)
+    named, arcs = traversal.chop_graph(segments, g.links, 20)
+    paths = table(spark, sf_dir, "orders").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("path"), F.col("o_orderkey").alias("ord"), (F.col("o_orderkey") + 1).alias("node_id"), F.lit(False).alias("rev"))
+    number = lambda n: F.xxhash64(n).bitwiseAND(F.lit(0x3FFFFFFFFFFFFFF))
+    steps = traversal.chop_paths(parts, paths).select("path", "ord", number("name").alias("node_id"), "rev")
+    ids = named.select(number("name").alias("node_id"), "name", "sequence")
+    arcs = arcs.select(F.monotonically_increasing_id().alias("link_id"), number("src_name").alias("src"), "src_rev", number("dst_name").alias("dst"), "dst_rev")
+    chains, _, merged = traversal.unchop_paths(ids, arcs, Written(steps, "steps").df)
+    text = F.when(F.col("rev"), sequence.revcomp("sequence")).otherwise(F.col("sequence"))
+    rows = merged.join(chains.select("chain", "sequence"), "chain").select("path", "ord", text.alias("s"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "s"))), lambda x: x["s"]), "")
+    return rows.groupBy("path").agg(F.count("*").alias("steps"), F.md5(whole.cast("binary")).alias("spelled"))
+
+
 @query(f"""WITH s AS (SELECT o_custkey AS path, row_number() OVER w - 1 AS ord, 1 + o_orderkey % 5 AS size, sum(1 + o_orderkey % 5) OVER w AS e FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)), t AS (SELECT path, max(e) AS total FROM s GROUP BY path)
 SELECT t.path, CAST(total // 2 AS BIGINT) AS pos, CAST(ord AS INT) AS ord, CAST(total // 2 - (e - size) AS BIGINT) AS "offset", false AS backward FROM t JOIN s ON s.path = t.path AND total // 2 >= e - size AND total // 2 < e
 UNION ALL SELECT t.path, CAST(total // 3 AS BIGINT), CAST(ord AS INT), CAST(total // 3 - (total - e) AS BIGINT), true FROM t JOIN s ON s.path = t.path AND total // 3 >= total - e AND total // 3 < total - e + size""")

@@ -139,3 +139,20 @@ def test_seeking_both_ways_and_hot_nodes(spark, monkeypatch):
             ends = [(k, n - 1 - i) for k, n in reversed(list(enumerate(s))) for i in reversed(range(n))]
             want |= {(p, x, *(ends if backward else flat)[x]) for x in range(sum(s))}
         assert {tuple(r) for r in traversal.seek(positions, steps, backward).collect()} == want
+
+
+def test_runs_end_where_a_path_does(spark):
+    """1 > 2 > 3 > 4 > 5 on one strand; p goes over all, q turned over 3 and 2, r only to 4."""
+    segments = spark.createDataFrame([(k, f"n{k}", s) for k, s in enumerate(["AC", "GG", "TA", "CC", "A"], 1)], "node_id long, name string, sequence string")
+    links = spark.createDataFrame([(k, k, False, k + 1, False) for k in range(1, 5)], "link_id long, src long, src_rev boolean, dst long, dst_rev boolean")
+    walks = {"p": [(k, False) for k in range(1, 6)], "q": [(3, True), (2, True)], "r": [(2, False), (3, False), (4, False)]}
+    paths = spark.createDataFrame([(p, k, n, r) for p, w in walks.items() for k, (n, r) in enumerate(w)], "path string, ord int, node_id long, rev boolean")
+    chains, left, merged = traversal.unchop_paths(segments, links, paths)
+    runs = {r.chain: (r.sequence, [h // 2 for h in r.nodes]) for r in chains.collect()}
+    assert sorted(sorted(n) for _, n in runs.values()) == [[1], [2, 3], [4], [5]] and left.count() == 3
+    turned = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    spelled: dict = {}
+    for r in sorted(merged.collect(), key=lambda r: (r.path, r.ord)):
+        s = runs[r.chain][0]
+        spelled[r.path] = spelled.get(r.path, "") + (turned(s) if r.rev else s)
+    assert spelled == {"p": "ACGGTACCA", "q": turned("GGTA"), "r": "GGTACC"}
