@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from braidwork.operators import poa, traversal, validate
+from braidwork.operators import poa, progressive, traversal, validate
 from braidwork.plans import blunt
 from braidwork.sources import gfa, provenance
 
@@ -103,12 +103,13 @@ def test_alignment_kernels():
     for _ in range(40):
         base = "".join(rng.choice("ACGTN") for _ in range(rng.randrange(1, 50)))
         seqs = ["".join(c for c in base if rng.random() > 0.1) or "A" for _ in range(rng.randrange(1, 6))]
-        for nodes, paths in (poa.align_group(seqs), poa.merged(*poa.star(seqs))):
+        for nodes, paths in (poa.align_group(seqs), poa.align_group(seqs, "medium")):
             assert ["".join(nodes[v] for v in p) for p in paths] == seqs
     long = "".join(rng.choice("ACGT") for _ in range(30_000))
     other = long[:9_000] + "T" + long[9_050:20_000] + "ACGTACGT" + long[20_000:]
-    found = poa.matches(long, other)
-    assert all(long[i] == other[j] for i, j in found) and len(found) > 29_900
+    x, y = progressive.profile(long), progressive.profile(other)
+    found = [(i, j) for i, j in progressive.together(x, y, long, other, 1) if long[i] == other[j]]
+    assert len(found) > 29_900
     assert all(a < c and b < d for (a, b), (c, d) in zip(found, found[1:], strict=False))
 
 
