@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from braidwork.functions.sequence import revcomp
 from braidwork.operators.components import connected_components
 from braidwork.operators.links import all_sides, both_ways, carried, flipped, handle, side_edges
+from braidwork.operators.orders import Cyclic, order
 from braidwork.shared import Written, fresh_path
 
 
@@ -95,33 +96,24 @@ def make_single_stranded(segments: DataFrame, links: DataFrame) -> tuple[DataFra
     return apply_orientations(segments, links, orientations(segments, links).where("flip"))
 
 
-def topological_order(segments: DataFrame, links: DataFrame) -> DataFrame:
+def topological_order(segments: DataFrame, links: DataFrame, strict: bool = False) -> DataFrame:
     """(node_id, rev, level): an order of oriented nodes in which links go forward wherever the graph allows it.
 
-    Nodes are oriented by orientations(); then all heads of what is left are
-    taken at once, level by level.  Where only cycles are left, the smallest
-    node of each node component that still has nodes breaks them.  `level` and
-    then `node_id` order the nodes.
+    Nodes are oriented by orientations(); `level`, which has gaps, and then
+    `node_id` order the nodes, see orders.order.  Of a cycle, arcs into one node
+    go backward; strict raises orders.Cyclic instead, and for nodes that can't be
+    oriented and loops too.
     """
-    flips = orientations(segments, links).select("node_id", F.coalesce("flip", F.lit(False)).alias("rev"))
+    turns = orientations(segments, links)
+    if strict and not turns.where("not orientable").isEmpty():
+        raise Cyclic("the graph can't be oriented")
+    flips = Written(turns.select("node_id", F.coalesce("flip", F.lit(False)).alias("rev")), "flips").df
     turn = lambda which: flips.select(F.col("node_id").alias(which), F.col("rev").alias(f"{which}_turn"))
     rows = links.join(turn("src"), "src").join(turn("dst"), "dst")
     forward = F.col("src_rev") == F.col("src_turn")
     arcs = rows.select(F.when(forward, F.col("src")).otherwise(F.col("dst")).alias("u"), F.when(forward, F.col("dst")).otherwise(F.col("src")).alias("v"))
-    left = Written(node_components(segments, links), "nodes").df
-    arcs = Written(arcs.where("u <> v").distinct(), "arcs").df
-    done, level = None, 0
-    while left.limit(1).count():
-        heads = left.join(arcs.select(F.col("v").alias("node_id")), "node_id", "left_anti")
-        stuck = left.join(heads.select("component"), "component", "left_anti").groupBy("component").agg(F.min("node_id").alias("node_id"))
-        taken = Written(heads.select("node_id").union(stuck.select("node_id")).withColumn("level", F.lit(level)), "level").df
-        done = taken if done is None else done.union(taken)
-        left = Written(left.join(taken, "node_id", "left_anti"), "nodes").df
-        gone = taken.select("node_id")
-        arcs = Written(arcs.join(gone.withColumnRenamed("node_id", "u"), "u", "left_anti").join(gone.withColumnRenamed("node_id", "v"), "v", "left_anti").select("u", "v"), "arcs").df
-        level += 1
-    done = done if done is not None else left.select("node_id", F.lit(0).alias("level"))
-    return done.join(flips, "node_id").select("node_id", "rev", "level")
+    found = order(segments.select(F.col("node_id").alias("v")), arcs, strict)
+    return flips.join(found, F.col("node_id") == F.col("v")).select("node_id", "rev", "level")
 
 
 def source_sink_paths(segments: DataFrame, links: DataFrame) -> DataFrame:
