@@ -58,25 +58,50 @@ def node_arcs(steps: DataFrame, links: DataFrame) -> DataFrame:
     return joined.join(arcs, ["src", "src_rev", "dst", "dst_rev"], "left_semi").select("node", "a", "b")
 
 
+def chosen_walks(states: DataFrame, arcs: DataFrame) -> DataFrame:
+    """(node, at, d): for each node a walk over arcs (node, a, b) from a state (node, at) at its first base to the smallest state at its last one (`last`), d its places counted from the end; no row if there is none.
+
+    Every state points at its smallest predecessor and pointers are doubled, so
+    rounds are the logarithm of the longest walk.  Where pointers lead to no
+    first base or round a circle, but another predecessor comes from one, they
+    are turned to it and doubled again; all that points there follows.  The walk
+    is then taken from the end by the doubled pointers, longest first.
+    """
+    most = states.groupBy("node").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    first = F.col("at.lo") == 0
+    back = arcs.groupBy("node", F.col("b").alias("at")).agg(F.min("a").alias("to"))
+    now = Written(states.join(back, ["node", "at"], "left").select("node", "at", F.when(first, F.col("at")).otherwise(F.coalesce("to", "at")).alias("to")), "pointers").df
+    while True:
+        tables = [now]
+        for _ in range(max(most - 1, 0).bit_length()):
+            ahead = tables[-1].select("node", F.col("at").alias("to"), F.col("to").alias("further"))
+            tables.append(Written(tables[-1].join(ahead, ["node", "to"]).select("node", "at", F.col("further").alias("to")), "pointers").df)
+        good = tables[-1].where("to.lo = 0").select("node", "at")
+        bad = tables[-1].select("node", "at").join(good, ["node", "at"], "left_anti")
+        if bad.isEmpty():
+            break
+        better = arcs.join(good.withColumnRenamed("at", "a"), ["node", "a"]).groupBy("node", F.col("b").alias("at")).agg(F.min("a").alias("better"))
+        turned = Written(bad.join(better, ["node", "at"]), "turned").df
+        if turned.isEmpty():
+            break
+        now = Written(now.join(turned, ["node", "at"], "left").select("node", "at", F.coalesce("better", "to").alias("to")), "pointers").df
+    walk = good.join(states.where("last"), ["node", "at"]).groupBy("node").agg(F.min("at").alias("at")).withColumn("d", F.lit(0))
+    for k in reversed(range(len(tables))):
+        walk = walk.union(walk.join(tables[k], ["node", "at"]).where("at <> to").select("node", F.col("to").alias("at"), F.col("d") + (1 << k)))
+        walk = Written(walk.groupBy("node", "at").agg(F.max("d").alias("d")), "walk").df
+    return walk
+
+
 def spelled(steps: DataFrame, links: DataFrame, pieces: DataFrame, parents: DataFrame) -> DataFrame:
     """(name, sequence): what a walk of linked pieces from each parent's first base to its last one spells; null if there is none."""
-    at = F.struct("piece", "rev", "lo", "hi")
-    seqs = pieces.select(F.col("name").alias("piece"), "sequence")
-    own = Written(steps.select("node", "piece", "rev", "lo", "hi").distinct().join(seqs, "piece").select("node", at.alias("b"), oriented("sequence", "rev").alias("s")), "own").df
-    arcs = Written(node_arcs(steps, links).join(own, ["node", "b"]), "arcs").df
-    seen = Written(own.where("b.lo = 0").select("node", F.col("b").alias("at"), F.col("s").alias("text"), F.lit(0).alias("k")), "walks").df
-    for k in count(1):  # ends, as no (node, step) is reached twice
-        rim = seen.where(F.col("k") == k - 1)
-        fresh = rim.join(arcs.withColumnRenamed("a", "at"), ["node", "at"]).select("node", F.col("b").alias("at"), F.concat("text", "s").alias("text"))
-        fresh = fresh.groupBy("node", "at").agg(F.min("text").alias("text")).join(seen.select("node", "at"), ["node", "at"], "left_anti").withColumn("k", F.lit(k))
-        fresh = Written(fresh, "walks").df
-        if not fresh.limit(1).count():
-            break
-        seen = seen.union(fresh)
     sized = parents.select(F.col("node_id").alias("node"), "name", F.length("sequence").alias("size"))
-    ends = seen.select("node", F.col("at.hi").alias("hi"), "text").groupBy("node", "hi").agg(F.min("text").alias("text"))
-    found = sized.join(ends.withColumnRenamed("node", "n2"), (F.col("node") == F.col("n2")) & (F.col("size") == F.col("hi")), "left")
-    return found.select("name", F.col("text").alias("sequence"))
+    at = F.struct("piece", "rev", "lo", "hi").alias("at")
+    states = Written(steps.select("node", at).distinct().join(sized.select("node", "size"), "node").select("node", "at", (F.col("at.hi") == F.col("size")).alias("last")), "states").df
+    walk = chosen_walks(states, Written(node_arcs(steps, links), "arcs").df)
+    seqs = pieces.select(F.col("name").alias("piece"), "sequence")
+    rows = walk.select("node", "d", "at.piece", "at.rev").join(seqs, "piece").select("node", F.struct(-F.col("d"), oriented("sequence", "rev").alias("s")).alias("x"))
+    texts = rows.groupBy("node").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["s"]), "").alias("sequence"))
+    return sized.join(texts, "node", "left").select("name", "sequence")
 
 
 def shared_pieces(steps: DataFrame, groups: DataFrame) -> DataFrame:

@@ -313,15 +313,29 @@ def make_single_stranded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.is_single_stranded(traversal.make_single_stranded(g.segments, g.links)[1])
 
 
+def _forward(links: DataFrame, order: DataFrame) -> DataFrame:
+    """Counts of links and of links that go forward."""
+    at = lambda w: order.select(F.col("node_id").alias(w), F.col("level").alias(f"{w}_level"), F.col("rev").alias(f"{w}_turn"))
+    rows = links.join(at("src"), "src").join(at("dst"), "dst")
+    forward = F.when(F.col("src_rev") == F.col("src_turn"), F.col("src_level") < F.col("dst_level")).otherwise(F.col("src_level") > F.col("dst_level"))
+    return rows.agg(F.count("*").alias("edges_total"), F.count_if(forward).alias("edges_forward"))
+
+
 @query(f"WITH {synth.views('V')} SELECT count(*) AS edges_total, count(*) AS edges_forward FROM links")
 def topological_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V has no cycle, so every link goes forward."""
     g = synth.graph(spark, sf_dir, "V")
-    order = traversal.topological_order(g.segments, g.links)
-    at = lambda w: order.select(F.col("node_id").alias(w), F.col("level").alias(f"{w}_level"), F.col("rev").alias(f"{w}_turn"))
-    rows = g.links.join(at("src"), "src").join(at("dst"), "dst")
-    forward = F.when(F.col("src_rev") == F.col("src_turn"), F.col("src_level") < F.col("dst_level")).otherwise(F.col("src_level") > F.col("dst_level"))
-    return rows.agg(F.count("*").alias("edges_total"), F.count_if(forward).alias("edges_forward"))
+    return _forward(g.links, traversal.topological_order(g.segments, g.links))
+
+
+@query(f"""WITH {synth.views('B')} SELECT 'links' AS what, count(*) AS rows, count(*) AS good FROM links
+UNION ALL SELECT 'levels of orders', count(*), count(*) FROM segments WHERE node_id % 8 = 0""")
+def topological_order_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B is a chain of bubbles over all orders and line items: all links go forward and each order has a level of its own; strict, as there is no cycle."""
+    g = synth.graph(spark, sf_dir, "B")
+    order = Written(traversal.topological_order(g.segments, g.links, strict=True), "order").df
+    links = _forward(g.links, order).select(F.lit("links").alias("what"), F.col("edges_total").alias("rows"), F.col("edges_forward").alias("good"))
+    return links.union(order.where("node_id % 8 = 0").agg(F.count("*"), F.countDistinct("level")).select(F.lit("levels of orders"), "*"))
 
 
 @query(f"""WITH {synth.views('J')}

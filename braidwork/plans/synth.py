@@ -5,6 +5,7 @@
 * V: J with reverse-complemented nodes, substituted and deleted bases.
 * T: a chain of orders whose neighbours share one tile; T3: nodes of three tiles
   that share two, so overlaps from both ends cross.
+* B: a chain of bubbles over orders and their line items, without overlaps.
 """
 
 from __future__ import annotations
@@ -62,6 +63,18 @@ T_LINKS = "SELECT o_orderkey AS link_id, o_orderkey AS src, false AS src_rev, o_
 T3_SEGMENTS = f"SELECT o_orderkey + 1 AS node_id, 'o' || {text('o_orderkey')} AS name, {tile(text('o_orderkey'))} || {tile(text('o_orderkey + 1'))} || {tile(text('o_orderkey + 2'))} AS sequence FROM orders"
 T3_LINKS = T_LINKS.replace("'32M'", "'64M'").replace("CAST(32", "CAST(64")
 
+#: Orders in a row, with a way over each line item between an order and the next; every third order is stored turned.
+_ORDER = "(SELECT a.k, b.k AS following FROM (SELECT o_orderkey AS k FROM orders) AS a LEFT JOIN (SELECT o_orderkey AS k FROM orders) AS b ON b.k = a.k + 1)"
+_ITEM = "(SELECT DISTINCT l_orderkey AS k, l_linenumber AS n FROM lineitem WHERE l_linenumber BETWEEN 1 AND 7)"
+B_SEGMENTS = f"""
+SELECT CAST(8 * (o_orderkey + 1) AS BIGINT) AS node_id, 'o' || {text("o_orderkey")} AS name, {tile(text("o_orderkey"))} AS sequence FROM orders
+UNION ALL SELECT CAST(8 * (k + 1) + n AS BIGINT) AS node_id, 'l' || {text("k")} || '.' || {text("n")} AS name, {tile(text("k") + " || '.' || " + text("n"))} AS sequence FROM {_ITEM} AS i"""
+B_LINKS = f"""
+SELECT CAST(0 AS BIGINT) AS link_id, CAST(8 * (k + 1) AS BIGINT) AS src, k % 3 = 0 AS src_rev, CAST(8 * (following + 1) AS BIGINT) AS dst, following % 3 = 0 AS dst_rev FROM {_ORDER} AS o WHERE following IS NOT NULL
+UNION ALL SELECT CAST(1 AS BIGINT) AS link_id, CAST(8 * (o.k + 1) AS BIGINT) AS src, o.k % 3 = 0 AS src_rev, CAST(8 * (o.k + 1) + n AS BIGINT) AS dst, false AS dst_rev FROM {_ORDER} AS o JOIN {_ITEM} AS i ON o.k = i.k
+UNION ALL SELECT CAST(2 AS BIGINT) AS link_id, CAST(8 * (o.k + 1) + n AS BIGINT) AS src, false AS src_rev, CAST(8 * (following + 1) AS BIGINT) AS dst, following % 3 = 0 AS dst_rev FROM {_ORDER} AS o JOIN {_ITEM} AS i ON o.k = i.k WHERE following IS NOT NULL"""
+
+
 def _tiles(name: str, key: str, n: int) -> str:
     return f"translate({' || '.join(f"md5('{name}{i}' || {text(key)})" for i in range(n))}, '0123456789abcdef', 'ACGTACGTACGTACGT')"
 
@@ -78,7 +91,7 @@ SELECT j, side, CASE WHEN side % 11 = 0 THEN left(x, 6000) || substr(x, 6026) WH
        WHEN side % 5 = 0 THEN left(x, 3000) || left({_tiles("a", "j", 2)}, 40) || substr(x, 3001, 6000) || CASE WHEN side % 3 > 0 THEN substr(x, 9001, 1) WHEN substr(x, 9001, 1) = 'A' THEN 'C' ELSE 'A' END || substr(x, 9002) ELSE x END AS read
 FROM (SELECT j, side, {_SPUN} AS x FROM (SELECT p_partkey % {M} AS j, p_partkey AS side, {_tiles("l", f"p_partkey % {M}", 16)} AS s FROM part) AS a) AS b"""
 
-SQL = {"J": (J_SEGMENTS, J_LINKS), "V": (V_SEGMENTS, V_LINKS), "T": (T_SEGMENTS, T_LINKS), "T3": (T3_SEGMENTS, T3_LINKS)}
+SQL = {"J": (J_SEGMENTS, J_LINKS), "V": (V_SEGMENTS, V_LINKS), "T": (T_SEGMENTS, T_LINKS), "T3": (T3_SEGMENTS, T3_LINKS), "B": (B_SEGMENTS, B_LINKS)}
 TABLES = ("part", "supplier", "lineitem", "orders")
 
 

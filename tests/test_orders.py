@@ -74,3 +74,30 @@ def test_a_node_that_turns_on_itself_has_no_strict_order(spark):
     assert traversal.topological_order(segments, twisted).count() == 2
     with pytest.raises(orders.Cyclic):
         traversal.topological_order(segments, twisted, strict=True)
+
+
+def test_walks_find_their_way_past_dead_ends_and_circles(spark):
+    """Random places, some of them without bases so that arcs can go round, against a search."""
+    from braidwork.operators import validate
+
+    rng = random.Random(11)
+    states, arcs, ends = [], [], {}
+    for node in range(30):
+        size = rng.randrange(1, 8)
+        mine = sorted({(f"x{rng.randrange(4)}", False, lo, min(size, lo + rng.choice((0, 1, 1, 2)))) for lo in [rng.randrange(size + 1) for _ in range(14)]})
+        links = [(a, b) for a in mine for b in mine if a != b and a[3] == b[2] and rng.random() < 0.4]
+        seen = {a for a in mine if a[2] == 0}
+        while more := {b for a, b in links if a in seen} - seen:
+            seen |= more
+        ends[node] = (size, mine, set(links), any(a[3] == size for a in seen))
+        states += [(node, a, a[3] == size) for a in mine]
+        arcs += [(node, a, b) for a, b in links]
+    at = "struct<piece:string,rev:boolean,lo:bigint,hi:bigint>"
+    found: dict = {}
+    for r in validate.chosen_walks(spark.createDataFrame(states, f"node long, at {at}, last boolean"), spark.createDataFrame(arcs, f"node long, a {at}, b {at}")).collect():
+        found.setdefault(r.node, []).append((-r.d, tuple(r["at"])))
+    assert set(found) == {n for n, e in ends.items() if e[3]} and 5 < len(found) < 30
+    for node, places in found.items():
+        size, _, links, _ = ends[node]
+        walk = [a for _, a in sorted(places)]
+        assert walk[0][2] == 0 and walk[-1][3] == size and all(p in links for p in zip(walk, walk[1:]))
