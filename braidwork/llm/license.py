@@ -3,7 +3,8 @@
 A text is first put in a normal form: A-Z lower-cased, words joined by single
 spaces.  Base phrases are counted there.  Signature rules are regular
 expressions over the normal form; a rule runs only if its keyword occurs, and a
-text without any keyword costs a few substring searches.  Every match is an
+text without any keyword costs a few substring searches; there "+" behind a
+version reads "or later".  Every match is an
 interval.  Sweeping them by start (longer first, better priority first), a
 match is suppressed if one of a better or equal priority that came before
 contains it, so "general public license" inside "gnu general public license
@@ -84,23 +85,26 @@ SIGNATURES = [
     ("creativecommons", r"creativecommons org publicdomain zero 1 0", 1, "cc0-1.0", ""),
     ("creativecommons", r"creativecommons org publicdomain mark 1 0", 1, "public-domain-mark", ""),
     # GNU
-    ("general public licen", r"(?:gnu )?affero general public licen[sc]e(?: as published by the free software foundation)?(?: either)? v(?:ersion)? ?{v} or (?:any )?later(?: version)?", 1, "agpl-{v}-or-later", "1.0 3.0"),
-    ("general public licen", r"(?:gnu )?lesser general public licen[sc]e(?: as published by the free software foundation)?(?: either)? v(?:ersion)? ?{v} or (?:any )?later(?: version)?", 1, "lgpl-{v}-or-later", "2.1 3.0"),
+    ("general public licen", r"(?:gnu )?affero general public licen[sc]e(?: as published by the free software foundation)?(?: either)? v(?:ersion)? ?{v}(?: of the licen[sc]e)? or (?:at your option )?(?:any )?later(?: version)?", 1, "agpl-{v}-or-later", "1.0 3.0"),
+    ("general public licen", r"(?:gnu )?lesser general public licen[sc]e(?: as published by the free software foundation)?(?: either)? v(?:ersion)? ?{v}(?: of the licen[sc]e)? or (?:at your option )?(?:any )?later(?: version)?", 1, "lgpl-{v}-or-later", "2.1 3.0"),
     ("general public licen", r"(?:gnu )?library general public licen[sc]e(?: as published by the free software foundation)?(?: either)? v(?:ersion)? ?{v}(?: or (?:any )?later(?: version)?)?", 1, "lgpl-{v}", "2.0 2.1"),
-    ("general public licen", r"(?:gnu )?general public licen[sc]e(?: as published by the free software foundation)?(?: either)? v(?:ersion)? ?{v} or (?:any )?later(?: version)?", 1, "gpl-{v}-or-later", "1.0 2.0 3.0"),
+    ("general public licen", r"(?:gnu )?general public licen[sc]e(?: as published by the free software foundation)?(?: either)? v(?:ersion)? ?{v}(?: of the licen[sc]e)? or (?:at your option )?(?:any )?later(?: version)?", 1, "gpl-{v}-or-later", "1.0 2.0 3.0"),
     ("general public licen", r"(?:gnu )?affero general public licen[sc]e v(?:ersion)? ?{v}", 1, "agpl-{v}", "1.0 3.0"),
     ("general public licen", r"(?:gnu )?lesser general public licen[sc]e v(?:ersion)? ?{v}", 1, "lgpl-{v}", "2.1 3.0"),
     ("general public licen", r"(?:gnu )?general public licen[sc]e v(?:ersion)? ?{v}", 1, "gpl-{v}", "1.0 2.0 3.0"),
+    ("general public licen", r"v(?:ersion)? ?{v} of the (?:gnu )?affero general public licen[sc]e", 1, "agpl-{v}", "1.0 3.0"),
+    ("general public licen", r"v(?:ersion)? ?{v} of the (?:gnu )?lesser general public licen[sc]e", 1, "lgpl-{v}", "2.1 3.0"),
+    ("general public licen", r"v(?:ersion)? ?{v} of the (?:gnu )?general public licen[sc]e", 1, "gpl-{v}", "1.0 2.0 3.0"),
     ("general public licen", r"(?:gnu )?affero general public licen[sc]e", 2, "agpl", ""),
     ("general public licen", r"(?:gnu )?lesser general public licen[sc]e", 2, "lgpl", ""),
     ("general public licen", r"gnu general public licen[sc]e", 2, "gpl", ""),
     ("general public licen", r"general public licen[sc]e", 3, "gpl", ""),
-    ("gpl", r"agpl ?v?{v} or (?:any )?later", 1, "agpl-{v}-or-later", "3.0"),
-    ("gpl", r"lgpl ?v?{v} or (?:any )?later", 1, "lgpl-{v}-or-later", "2.1 3.0"),
-    ("gpl", r"gpl ?v?{v} or (?:any )?later", 1, "gpl-{v}-or-later", "1.0 2.0 3.0"),
-    ("gpl", r"agpl ?v?{v}(?: only)?", 1, "agpl-{v}", "1.0 3.0"),
-    ("gpl", r"lgpl ?v?{v}(?: only)?", 1, "lgpl-{v}", "2.0 2.1 3.0"),
-    ("gpl", r"gpl ?v?{v}(?: only)?", 1, "gpl-{v}", "1.0 2.0 3.0"),
+    ("gpl", r"(?:gnu )?agpl ?(?:v(?:ersion)? ?)?{v} or (?:any )?later", 1, "agpl-{v}-or-later", "3.0"),
+    ("gpl", r"(?:gnu )?lgpl ?(?:v(?:ersion)? ?)?{v} or (?:any )?later", 1, "lgpl-{v}-or-later", "2.1 3.0"),
+    ("gpl", r"(?:gnu )?gpl ?(?:v(?:ersion)? ?)?{v} or (?:any )?later", 1, "gpl-{v}-or-later", "1.0 2.0 3.0"),
+    ("gpl", r"(?:gnu )?agpl ?(?:v(?:ersion)? ?)?{v}(?: only)?", 1, "agpl-{v}", "1.0 3.0"),
+    ("gpl", r"(?:gnu )?lgpl ?(?:v(?:ersion)? ?)?{v}(?: only)?", 1, "lgpl-{v}", "2.0 2.1 3.0"),
+    ("gpl", r"(?:gnu )?gpl ?(?:v(?:ersion)? ?)?{v}(?: only)?", 1, "gpl-{v}", "1.0 2.0 3.0"),
     ("gpl", r"(?:gnu )?agpl", 3, "agpl", ""),
     ("gpl", r"(?:gnu )?lgpl", 3, "lgpl", ""),
     ("gpl", r"(?:gnu )?gpl", 3, "gpl", ""),
@@ -108,6 +112,8 @@ SIGNATURES = [
     ("free documentation licen", r"(?:gnu )?free documentation licen[sc]e", 2, "gfdl", ""),
     # Permissive
     ("mit licen", r"(?:the )?mit licen[sc]e", 2, "mit", ""),
+    (" mit ", r"(?<=(?: 2 0| gpl| isc| bsd|ause|zlib) or )mit", 2, "mit", ""),
+    (" mit ", r"mit(?= (?:or|and) (?:apache|bsd|0bsd|gpl|lgpl|mpl|isc|zlib|unlicen[sc]e|cc0) )", 2, "mit", ""),
     ("permission is hereby granted", r"permission is hereby granted free of charge to any person obtaining a copy", 2, "mit", ""),
     ("permission is hereby granted", r"permission is hereby granted without written agreement", 3, "permissive", ""),
     ("permission to use copy modify", r"permission to use copy modify and or distribute this software for any purpose with or without fee", 2, "isc", ""),
@@ -147,6 +153,8 @@ SIGNATURES = [
     ("eclipse", r"eclipse distribution licen[sc]e(?: v(?:ersion)? ?1 0)?", 1, "edl-1.0", ""),
     ("european union", r"european union public licen[sc]e v(?:ersion)? ?{v}", 1, "eupl-{v}", "1.0 1.1 1.2"),
     ("european union", r"european union public licen[sc]e", 2, "eupl", ""),
+    ("eupl", r"eupl ?(?:v(?:ersion)? ?)?{v}", 1, "eupl-{v}", "1.0 1.1 1.2"),
+    ("eupl", r"eupl", 3, "eupl", ""),
     ("common development", r"common development and distribution licen[sc]e (?:v(?:ersion)? ?)?{v}", 1, "cddl-{v}", "1.0 1.1"),
     ("common development", r"common development and distribution licen[sc]e", 2, "cddl", ""),
     ("common public", r"common public licen[sc]e (?:v(?:ersion)? ?)?{v}", 1, "cpl-{v}", "1.0"),
@@ -202,7 +210,10 @@ def default_rules() -> list[Rule]:
         for v in versions.split() or [""]:
             out.append(Rule(keyword, pattern.replace("{v}", _version(v) if v else ""), priority, label.replace("{v}", v)))
     for prefix, name in product(("spdx license identifier ",), SPDX.split()):
-        out.append(Rule("spdx", prefix + name.replace("-", " ").replace(".", " ") + "(?: only| or later)?", 1, name))
+        words = prefix + name.replace("-", " ").replace(".", " ")
+        if "gpl-" in name:
+            out.append(Rule("spdx", words + " or later", 1, f"{name}-or-later"))
+        out.append(Rule("spdx", words + "(?: only| or later)?", 1, name))
     return out
 
 
@@ -213,6 +224,11 @@ def normal_form(text):
     return F.regexp_replace(F.concat(F.lit("."), F.lower(kept), F.lit(".")), NOT_WORD, " ")
 
 
+def signed_form(text, w):
+    """Column: the normal form w, but with a plus behind a version ("2.0+") as the words it stands for."""
+    return F.when(F.contains(text, F.lit("+")), normal_form(F.regexp_replace(text, r"([0-9])\+(?![0-9A-Za-z+])", "$1 or later "))).otherwise(w)
+
+
 def _spaces(column: str) -> str:
     return f"(length({column}) - length(replace({column}, ' ', '')))"
 
@@ -242,7 +258,7 @@ def _array(items: Iterable[str]) -> str:
 
 
 def _detections(rules: list[Rule]) -> str:
-    """SQL: sorted array of (start, minus_end, priority, rule) of all matches in w."""
+    """SQL: sorted array of (start, minus_end, priority, rule) of all matches in v."""
     # Arrays of literals are folded into one constant when the query is planned.
     listed = _array(f"named_struct('k', {_quoted(r.keyword)}, 'x', {_quoted(f'(?<= ){r.pattern}(?= )')}, 'p', {r.priority}, 'i', {i})" for i, r in enumerate(rules))
     keywords = _array(map(_quoted, sorted({r.keyword for r in rules})))
@@ -252,8 +268,8 @@ def _detections(rules: list[Rule]) -> str:
     hits = f"""aggregate(sequence(1, greatest(size(m.h), 1), {STEP}), named_struct('at', 0, 'all', cast(array() as array<array<struct<s:int,e:int,p:int,i:int>>>)),
         (a, b) -> transform(array({step}), d -> named_struct('at', d.at, 'all', concat(a.all, array(d.out))))[0],
         a -> flatten(a.all))"""
-    matched = f"transform(array(named_struct('h', regexp_extract_all(w, r.x, 0), 't', split(w, r.x, -1))), m -> if(size(m.h) = 0, null, {hits}))[0]"
-    found = f"transform(filter({keywords}, k -> contains(w, k)), k -> k)"
+    matched = f"transform(array(named_struct('h', regexp_extract_all(v, r.x, 0), 't', split(v, r.x, -1))), m -> if(size(m.h) = 0, null, {hits}))[0]"
+    found = f"transform(filter({keywords}, k -> contains(v, k)), k -> k)"
     return f"""transform(array({found}), ks -> if(size(ks) = 0, cast(array() as array<struct<s:int,e:int,p:int,i:int>>),
         sort_array(flatten(array_compact(transform(filter({listed}, r -> array_contains(ks, r.k)), r -> {matched}))))))[0]"""
 
@@ -270,7 +286,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: list[R
     rules = default_rules() if rules is None else rules
     names = F.expr(_array(_quoted(r.label) for r in rules))
     weights = F.expr(_array(f"{WEIGHTS[r.priority]}D" for r in rules))
-    words = docs.select(F.col(key).alias("key"), normal_form(F.col(text)).alias("w"))
+    words = docs.select(F.col(key).alias("key"), normal_form(F.col(text)).alias("w"), F.col(text).alias("text")).withColumn("v", signed_form(F.col("text"), F.col("w")))
     found = words.select("key", *(F.expr(sql).alias(name) for name, sql in _base_columns().items()), F.expr(_detections(rules)).alias("found"))
     kept = found.withColumn("kept", F.expr(_kept(len(WEIGHTS))))
     of_rules = lambda table: F.transform("kept", lambda i: F.get(table, i))

@@ -59,26 +59,34 @@ class DigestArray:
     """Entries in sorted digest order, memory-mapped from one file."""
 
     def __init__(self, path: str):
-        head = np.memmap(path, np.uint64, mode="r", shape=(2,))
-        n, n_lengths = map(int, head)
-        at = 16
+        head = np.memmap(path, np.uint64, mode="r", shape=(3,))
+        n, n_lengths, n_hosts = map(int, head)
+        at = 24
         self.keys = np.memmap(path, np.uint64, mode="r", offset=at, shape=(n,)) if n else np.empty(0, np.uint64)
         at += 8 * n
         self.offsets = np.memmap(path, np.uint64, mode="r", offset=at, shape=(n + 1,))
         at += 8 * (n + 1)
         self.path_lengths = np.memmap(path, np.uint64, mode="r", offset=at, shape=(n_lengths,)).tolist() if n_lengths else []
         at += 8 * n_lengths
+        self.hosts = np.memmap(path, np.uint64, mode="r", offset=at, shape=(n_hosts,)) if n_hosts else np.empty(0, np.uint64)
+        at += 8 * n_hosts
         size = int(self.offsets[-1])
         self.strings = np.memmap(path, np.uint8, mode="r", offset=at, shape=(size,)) if size else np.empty(0, np.uint8)
 
     @staticmethod
     def dump(entries: Iterable[str], digest=xxhash.xxh64_intdigest) -> bytes:
         rows = sorted((digest(b), b) for b in {e.encode() for e in entries})
-        lengths = sorted({len(b.decode()) - b.decode().index("/") for _, b in rows})
-        head = np.array([len(rows), len(lengths)], np.uint64), np.array([k for k, _ in rows], np.uint64)
-        tail = np.cumsum([0, *(len(b) for _, b in rows)]).astype(np.uint64), np.array(lengths, np.uint64)
+        split = [b.decode().partition("/") for _, b in rows]  # an entry without "/" is a host with any path, an empty one too
+        lengths, hosts = sorted({len(slash + path) for _, slash, path in split}), sorted({xxhash.xxh64_intdigest(host.encode()) for host, _, _ in split})
+        head = np.array([len(rows), len(lengths), len(hosts)], np.uint64), np.array([k for k, _ in rows], np.uint64)
+        tail = np.cumsum([0, *(len(b) for _, b in rows)]).astype(np.uint64), np.array(lengths, np.uint64), np.array(hosts, np.uint64)
         return b"".join(x.tobytes() for x in (*head, *tail)) + b"".join(b for _, b in rows)
 
+    def may_hold(self, hosts: list[str]) -> np.ndarray:
+        """Which hosts have entries, by digest alone."""
+        probe = np.fromiter((xxhash.xxh64_intdigest(h.encode()) for h in hosts), np.uint64, len(hosts))
+        return np.searchsorted(self.hosts, probe, "right") > np.searchsorted(self.hosts, probe, "left")
+
     def entry(self, k: int) -> bytes:
         return self.strings[int(self.offsets[k]) : int(self.offsets[k + 1])].tobytes()
 
@@ -96,17 +104,16 @@ class DigestArray:
 
 def longest_fits(array: DigestArray, split: list[tuple[str, str]]) -> list[str | None]:
     """The longest entry that fits each (host, path), or None."""
+    suffixes = [(row, host[s:]) for row, (host, _) in enumerate(split) if host for s in [0] + [k + 1 for k, c in enumerate(host) if c == "."]]
     owner: list[int] = []
     candidates: list[str] = []
-    for row, (host, path) in enumerate(split):
-        if not host:
-            continue
-        starts = [0] + [k + 1 for k, c in enumerate(host) if c == "."]
+    for k in np.flatnonzero(array.may_hold([host for _, host in suffixes])):
+        row, host = suffixes[k]
+        path = split[row][1]
         for length in array.path_lengths:
             if length <= len(path):
-                for s in starts:
-                    owner.append(row)
-                    candidates.append(host[s:] + path[:length])
+                owner.append(row)
+                candidates.append(host + path[:length])
     best: list[str | None] = [None] * len(split)
     for c in np.flatnonzero(array.contains([x.encode() for x in candidates])):
         if best[owner[c]] is None or len(candidates[c]) > len(best[owner[c]]):
@@ -122,6 +129,9 @@ def filter_urls(pages: DataFrame, key: str = "page_id", url: str = "url", rules:
 
     rules: (entry, verdict); the longest that fits decides.  Where none fits,
     a url that fits an entry of blocklist is blocked and any other allowed.
+    An entry is a host and the beginning of a path; without "/" it fits every
+    path of its host.  Paths are only looked up for hosts that have entries.
+    Null and repeated keys are kept as they are; a url may be of any length.
     """
     verdicts = dict(rules)
     rule_file = ship_bytes(pages.sparkSession, DigestArray.dump(verdicts))

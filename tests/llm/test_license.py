@@ -19,7 +19,8 @@ def plain(text):
         at = [k for k in range(len(words) - len(p) + 1) if words[k : k + len(p)] == p]
         places += at
         labels |= {label} if at else set()
-    w = " " + "".join(x + " " for x in words)
+    low = re.sub(r"([0-9])\+(?![0-9a-z+])", r"\1 or later ", low)
+    w = " " + "".join(x + " " for x in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low))
     found = sorted((m.start(), -m.end(), r.priority, i) for i, r in enumerate(RULES) if r.keyword in w for m in COMPILED[i].finditer(w))
     kept = []
     for k, (_, e, p, i) in enumerate(found):
@@ -68,6 +69,19 @@ WANTED = {
     "SIL Open Font License 1.1": "ofl-1.1",
     "a copy of the MIT licence": "mit",
     "This gadget needs no permit at all.": "",
+    "It is under the GNU GPL v3 now.": "gpl-3.0",
+    "It is under GNU LGPL version 2.1.": "lgpl-2.1",
+    "License: GPL-2.0+": "gpl-2.0-or-later",
+    "This library is LGPLv2.1+.": "lgpl-2.1-or-later",
+    "SPDX-License-Identifier: GPL-2.0+": "gpl-2.0-or-later",
+    "SPDX-License-Identifier: LGPL-3.0-only": "lgpl-3.0",
+    "Licensed under the EUPL v1.2": "eupl-1.2,licensed",
+    "License: Apache-2.0 OR MIT": "apache-2.0,mit",
+    "MIT or Apache 2.0, as you like": "apache-2.0,mit",
+    "He went to MIT or Harvard.": "",
+    "either version 3 of the License, or (at your option) any later version of the GNU General Public License": "gpl",
+    "GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.": "gpl,gpl-3.0-or-later",
+    "the terms of version 2 of the GNU General Public License": "gpl,gpl-2.0",
 }
 
 
