@@ -18,8 +18,9 @@ Without ``budget``, the budget is the least at which every source is taken at
 least once: nothing is dropped, and smaller sources are repeated.
 
 Tokens are runs of ``[^\\x20\\x09-\\x0D]``.  Defined results: a null text has no
-token; a null source is a source; documents without tokens cost nothing and are
-taken in every epoch; repeated rows are each dealt; a null key is drawn by its
+token; a null source is a source; documents without tokens cost nothing, stand
+at the beginning of their block and are taken in every whole epoch, and in the
+last one if their block begins in it; repeated rows are each dealt; a null key is drawn by its
 text, and rows of one key stand in the order of their texts' hashes (equal texts
 are interchangeable); an empty table gives an empty result.  Columns in ``keep`` travel in one struct, so names do not clash.
 """
@@ -94,6 +95,7 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
         F.xxhash64(F.col(text)).alias("tie"),
         F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("tokens"),
         F.struct(*(keep or docs.columns)).alias("row"),
+        F.coalesce(F.col(text).rlike(WORD), F.lit(False)).alias("worded"),
     )
     narrow = Written(rows.select("sid", "draw", "tokens"), "tokens").df
     sources = Written(narrow.groupBy("sid").agg(F.sum("tokens").alias("tokens")), "sources").df
@@ -115,8 +117,10 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
     bases = epochs.select("sid", "block", "epoch", F.coalesce(F.sum("size").over(in_epoch), F.lit(0)).alias("base"))
     bases = bases.groupBy("sid", "block").agg(F.collect_list(F.struct("epoch", "base")).alias("bases"))  # one entry for each epoch
     in_block = Window.partitionBy("sid", "block").orderBy("draw", "tie").rowsBetween(Window.unboundedPreceding, -1)
-    dealt = rows.join(plan, "sid").select("sid", "draw", "tie", "tokens", "row", "weight", "whole", "rest", block)
-    placed = dealt.withColumn("before", F.coalesce(F.sum("tokens").over(in_block), F.lit(0)))
+    dealt = lambda some: some.join(plan, "sid").select("sid", "draw", "tie", "tokens", "row", "weight", "whole", "rest", block)
+    placed = dealt(rows.where("worded")).withColumn("before", F.coalesce(F.sum("tokens").over(in_block), F.lit(0)))
+    # any number of rows without tokens stands where their block begins, so no task orders them
+    placed = placed.union(dealt(rows.where("not worded")).withColumn("before", F.lit(0).cast("long")))
     copies = placed.join(bases, ["sid", "block"]).select("row", "tokens", "weight", "whole", "rest", "block", "before", F.explode("bases").alias("b"))
     start = F.col("b.base") + F.col("before")
     return copies.where((F.col("b.epoch") < F.col("whole")) | (start + F.col("tokens") <= F.col("rest"))).select(

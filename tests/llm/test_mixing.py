@@ -74,3 +74,15 @@ def test_empty_tables(spark):
     assert mixing.mix(docs).count() == 0
     docs = spark.createDataFrame([(1, "a", None)], "doc_id long, source string, text string")
     assert mixing.mix(docs).count() == 1
+
+
+def test_rows_without_tokens_stand_at_the_beginning(spark):
+    """3,000 equal rows without tokens and some with: all are taken, at the beginning of their block."""
+    rows = [(None, "e", None)] * 2000 + [(None, "s", " ")] * 1000 + [(d, "s", "a b c") for d in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    mixed = mixing.mix(docs, block_tokens=20)
+    got = mixed.collect()
+    assert sum(r.row.source == "e" for r in got) == 2000 and sum(r.tokens == 0 for r in got if r.epoch == 0) == 3000
+    assert sorted(r.start_token for r in got if r.tokens and r.epoch == 0) == list(range(0, 150, 3))
+    begins = {(r.epoch, r.block): r.start_token for r in sorted(got, key=lambda r: -r.start_token) if r.tokens and r.row.source == "s"}
+    assert all(r.start_token == begins[r.epoch, r.block] for r in got if not r.tokens and r.row.source == "s" and (r.epoch, r.block) in begins)
