@@ -1,7 +1,7 @@
 """Walks from heads to tails, whole and of any length."""
 
-from braidwork.operators import traversal
-from braidwork.plans import registry, synth
+from braidwork.operators import traversal, validate
+from braidwork.plans import blunt, registry, synth
 
 
 def test_walks_of_any_length(spark):
@@ -18,3 +18,16 @@ def test_walks_of_the_whole_graph(spark):
     links = {(r.src, r.dst) for r in g.links.collect()}
     linked = {v for e in links for v in e}
     assert got == {f"{a}+,{b}+" for a, b in links} | {f"{r.node_id}+" for r in g.segments.collect() if r.node_id not in linked}
+
+
+def test_chain_without_overlaps(spark, tmp_path):
+    """Links of B, which have neither overlap nor cigar, are passed on by blunting."""
+    spark.range(6).selectExpr("id as o_orderkey").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(12).selectExpr("id div 2 as l_orderkey", "cast(id % 2 + 1 as int) as l_linenumber").write.parquet(f"{tmp_path}/lineitem.parquet")
+    g = synth.graph(spark, str(tmp_path), "B")
+    n = g.links.count()
+    assert validate.not_blunt(g.links).count() == n == 5 + 12 + 10
+    b = blunt.blunt(g.segments, g.links)
+    assert b.links.count() == n and b.segments.count() == g.segments.count() == 18
+    assert validate.not_blunt(registry._written_links(b)).isEmpty()
+    assert sorted(map(tuple, validate.spelled(b.steps, b.links, b.segments, b.parents).collect())) == sorted(map(tuple, g.segments.select("name", "sequence").collect()))
