@@ -153,3 +153,20 @@ def test_cover_members_and_twins(spark, monkeypatch):
         assert {(a, b) for lefts, rights in groups.values() for a in lefts for b in rights} == set(edges)
         given = biclique.assigned(biclique.biclique_cover(blocks), blocks).collect()
         assert sorted((r.l_side, r.r_side) for r in given) == edges
+
+
+def test_dense_pieces_are_dealt_in_few_turns(spark, monkeypatch):
+    """However dense a large piece, the number of rounds that better its cut is bounded and all its edges are dealt in a turn or two."""
+    monkeypatch.setattr(bipartite, "SMALL_PIECE", 40)
+    bounds, cut = [], bipartite.large_cut
+    monkeypatch.setattr(bipartite, "large_cut", lambda edges, seed=1, rounds=None: bounds.append(rounds) or cut(edges, seed, rounds))
+    edges = [(a, b) for a in range(40) for b in range(a)]
+    found = bipartite.block_edges(dealt(spark, edges)).collect()
+    assert sorted((min(r.l_side, r.r_side), max(r.l_side, r.r_side)) for r in found) == sorted((b, a) for a, b in edges)
+    blocks = {}
+    for r in found:
+        lefts, rights = blocks.setdefault((r.component, r.block), (set(), set()))
+        lefts.add(r.l_side)
+        rights.add(r.r_side)
+    assert all(not lefts & rights and min(lefts) < min(rights) for lefts, rights in blocks.values())
+    assert len(bounds) <= 2 and None not in bounds
