@@ -112,11 +112,12 @@ def _placed(sequences: DataFrame, least: int) -> DataFrame:
     return rows.withColumn("begins", F.col("at") + WORD <= least)
 
 
-def overlaps(sequences: DataFrame, least: int, least_score: int | None = None) -> DataFrame:
+def overlaps(sequences: DataFrame, least: int, least_score: int | None = None, exact: bool = False) -> DataFrame:
     """(a, b, score, a_len, b_len, cigar): for each ordered pair of different sequences (id, sequence) its best overlap, if it has `least` bases of b or more.
 
     least: WORD + WINDOW - 1 or more.  least_score: default half of least.  An
     overlap that takes in the whole of either sequence counts like any other.
+    exact: a pair's best overlap is its longest one without any difference.
     """
     if least < WORD + WINDOW - 1:
         raise ValueError(f"overlaps under {WORD + WINDOW - 1} bases may share no minimiser")
@@ -130,7 +131,10 @@ def overlaps(sequences: DataFrame, least: int, least_score: int | None = None) -
     met = begin.join(whole, ["hash", "part"]).where("a <> b and a_at >= b_at").select("a", "b", n.alias("n")).where(f"n >= {least}").distinct()
     pairs = met.groupBy("a", "b").agg(F.array_sort(F.collect_set("n")).alias("ends"))
     at = lambda c: sequences.select(F.col("id").alias(c), F.col("sequence").alias(f"{c}_seq"))
-    rows = pairs.join(at("a"), "a").join(at("b"), "b").withColumn("n", F.element_at("ends", -1))
+    rows = pairs.join(at("a"), "a").join(at("b"), "b")
+    if exact:
+        rows = rows.withColumn("ends", F.filter("ends", lambda n: (F.right(F.col("a_seq"), n.cast("int")) == F.left(F.col("b_seq"), n.cast("int"))) & (F.length("b_seq") >= n))).where("size(ends) > 0")
+    rows = rows.withColumn("n", F.element_at("ends", -1))
     same = (F.length("b_seq") >= F.col("n")) & (F.expr("right(a_seq, cast(n as int))") == F.expr("left(b_seq, cast(n as int))"))
     rows = Written(rows.withColumn("same", same), "candidates").df
     plain = rows.where("same").select("a", "b", (F.col("n") * EQUAL).alias("score"), F.col("n").alias("a_len"), F.col("n").alias("b_len"), F.concat(F.col("n").cast("string"), F.lit("M")).alias("cigar"))

@@ -85,3 +85,18 @@ def test_bands(monkeypatch):
 def test_short_lengths_are_refused(spark):
     with pytest.raises(ValueError):
         overlaps.overlaps(spark.createDataFrame([], "id long, sequence string"), 10)
+
+
+def test_sequences_alike_by_chance_have_no_exact_overlap(spark, tmp_path):
+    """Suppliers 0 and 2619 begin alike and go on alike in 19 of 32 places, so their whole sequences align with a score over 32."""
+    from braidwork.plans import registry, synth
+
+    spark.createDataFrame([(0,), (2619,)], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(5,), (6,)], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(5, 0)], "l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = sorted(map(tuple, registry.QUERIES["found_overlaps"](spark, str(tmp_path)).collect()))
+    assert got == [(p, s, 32, "32M") for p in ("p5", "p6") for s in ("s0", "s2619")]
+    segments = synth.sql(spark, str(tmp_path), synth.J_SEGMENTS).selectExpr("node_id as id", "sequence")
+    assert {(3, 5241), (5241, 3)} <= {(r.a, r.b) for r in overlaps.overlaps(segments, 32, 32).collect()}
+    with_more = spark.createDataFrame([(1, "ACGGTTACAT" * 6), (2, "ACGGTTACAT" * 6)], "id long, sequence string")
+    assert {(r.a_len, r.cigar) for r in overlaps.overlaps(with_more, 32, exact=True).collect()} == {(60, "60M")}
