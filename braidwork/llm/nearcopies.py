@@ -61,7 +61,7 @@ from braidwork.llm import bitmap
 from braidwork.llm.simhash import BITS, as_bytes, bits_of, covering_masks, shingle_hashes
 from braidwork.llm.substring import mix
 from braidwork.operators.components import connected_components
-from braidwork.shared import Written, bounded_batches
+from braidwork.shared import Written, bounded_batches, released
 
 #: Alike: NEAR[1] times the shared shingles are at least NEAR[0] times all of both.
 NEAR = (4, 5)
@@ -117,7 +117,7 @@ def marks(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sid, fp, fp2, pa.array(np.array([g[3] for g in got], np.int32))], names=["key", "tid", "sid", "fp", "fp2", "n"])
 
     rows = bounded_batches(docs.select(F.col(key).alias("key"), tid_of(text).alias("tid"), F.col(text).alias("text")))
-    return rows.mapInArrow(run, T.StructType([rows.schema["key"], *T.StructType.fromDDL("tid bigint, sid bigint, fp bigint, fp2 bigint, n int").fields]))
+    return rows.mapInArrow(released(run), T.StructType([rows.schema["key"], *T.StructType.fromDDL("tid bigint, sid bigint, fp bigint, fp2 bigint, n int").fields]))
 
 
 def tid_of(text: str) -> Column:
@@ -373,7 +373,7 @@ def packed(nodes: DataFrame):
     if "slots" in nodes.columns:
         columns, form = [*columns, "c", "deg", "root", "slots"], _LIVE
     parts = max(1, nodes.count() * len(masks()) // KEYS_PER_PART)
-    return nodes.select(*columns).mapInArrow(_pack(parts, form), "part int, nodes binary, keys binary, at binary").groupBy("part")
+    return nodes.select(*columns).mapInArrow(released(_pack(parts, form)), "part int, nodes binary, keys binary, at binary").groupBy("part")
 
 
 def sets_of(nodes: DataFrame, texts: DataFrame, width: int) -> DataFrame:
@@ -387,7 +387,7 @@ def sets_of(nodes: DataFrame, texts: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([_longs([g[1] for g in got]), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["sid", "s"])
 
     some = bitmap.marked(texts, F.col("tid"), nodes, F.col("tid")).where("hit").join(nodes.select("tid"), "tid", "left_semi").dropDuplicates(["tid"]).select("text")
-    return bounded_batches(some).mapInArrow(run, "sid bigint, s array<bigint>")
+    return bounded_batches(some).mapInArrow(released(run), "sid bigint, s array<bigint>")
 
 
 def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -406,7 +406,7 @@ def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     some = bitmap.marked(sets, F.col("sid"), tried, F.col("sid")).where("hit")  # sets travel only if they are tried
     at = lambda c: some.select(F.col("sid").alias(c), F.col("s").alias(f"s_{c}"))
     rows = pairs.select("a", "b").join(at("a"), "a").join(at("b"), "b").select("a", "b", "s_a", "s_b")
-    return Written(bounded_batches(rows).mapInArrow(run, "a bigint, b bigint"), "alike").df
+    return Written(bounded_batches(rows).mapInArrow(released(run), "a bigint, b bigint"), "alike").df
 
 
 def with_slots(nodes: DataFrame, sets: DataFrame) -> DataFrame:
@@ -419,7 +419,7 @@ def with_slots(nodes: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:6], batch.column(0), slots], names=["sid", "fp", "fp2", "n", "c", "deg", "root", "slots"])
 
     rows = nodes.join(sets, "sid").select("sid", "fp", "fp2", "n", "c", "deg", "own", "s")
-    return bounded_batches(rows).mapInArrow(run, "sid bigint, fp bigint, fp2 bigint, n int, c int, deg int, root bigint, slots binary")
+    return bounded_batches(rows).mapInArrow(released(run), "sid bigint, fp bigint, fp2 bigint, n int, c int, deg int, root bigint, slots binary")
 
 
 def links(nodes: DataFrame, texts: DataFrame, width: int = 5) -> DataFrame:

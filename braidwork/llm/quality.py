@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from braidwork.shared import bounded_batches
+from braidwork.shared import bounded_batches, released
 
 BLOCK_BYTES = 2 << 20
 CHAIN_LINES = 100
@@ -242,7 +242,7 @@ def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(found) if found else [], pa.float64())], names=["row", "score"])
 
     rows = bounded_batches(docs.select(F.struct(*docs.columns).alias("row")))
-    return rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())]))
+    return rows.mapInArrow(released(run), T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())]))
 
 
 def learnable(rows: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -53,7 +53,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from braidwork.shared import Written, bounded_batches, ship_bytes
+from braidwork.shared import Written, bounded_batches, released, ship_bytes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK_CHARS = 16_384
@@ -437,7 +437,7 @@ def id_lists(packed: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values))
 
 
-BLOCK_CHARS = 2 << 20
+BLOCK_CHARS = 1 << 20
 
 
 def _result(row: pa.Array, packed: list[bytes], read: list[str], form: str) -> pa.RecordBatch:
@@ -521,7 +521,7 @@ def _blocks(work, value: str):
 def _in_blocks(rows: DataFrame, work, value: str, backwards: bool) -> DataFrame:
     """(key, no, value) by work over every FAN neighbours of a key; rows have key, no and what else work reads."""
     ordered = rows.withColumn("block", F.expr(f"no div {FAN}").cast("int")).repartition("key", "block")
-    return ordered.sortWithinPartitions("key", "block", F.desc("no") if backwards else F.col("no")).mapInArrow(_blocks(work, value), f"key bigint, no int, {value} binary")
+    return ordered.sortWithinPartitions("key", "block", F.desc("no") if backwards else F.col("no")).mapInArrow(released(_blocks(work, value)), f"key bigint, no int, {value} binary")
 
 
 def _scan(rows: DataFrame, value: str, combine, pass_on, first, backwards: bool = False) -> DataFrame:
@@ -628,20 +628,20 @@ def encode_long(rows: DataFrame, name: str, longest: int, chunk_chars: int, form
     chunk = T.StructType([T.StructField("key", T.LongType()), T.StructField("no", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("n", T.IntegerType()), row])
     record = T.StructType([*chunk.fields[:2], *T.StructType.fromDDL(RECORD_SQL).fields, row])
     keyed = rows.select("text", F.monotonically_increasing_id().alias("key"), "row")
-    chunks = keyed.mapInArrow(_split_rows(name, chunk_chars), chunk).repartition("key", "no")
-    records = Written(chunks.mapInArrow(_records(name), record), "records").df
+    chunks = keyed.mapInArrow(released(_split_rows(name, chunk_chars)), chunk).repartition("key", "no")
+    records = Written(chunks.mapInArrow(released(_records(name)), record), "records").df
     start = np.full(longest, NEVER, np.int64)
     start[0] = 0
     entered = _scan(records, "costs", lambda some: product(some, longest), _entered(longest), start.astype("<i8").tobytes()).withColumnRenamed("came", "entry")
     known = records.select("key", "no", "text", "n", "cut").join(entered.hint("merge"), ["key", "no"])
-    maps = Written(known.mapInArrow(_maps(name), "key bigint, no int, states binary"), "maps").df
+    maps = Written(known.mapInArrow(released(_maps(name)), "key bigint, no int, states binary"), "maps").df
     left = _scan(maps, "states", combined_maps, lambda state, m: m[state[0] : state[0] + 1], b"\0", backwards=True).withColumnRenamed("came", "state")
     settled = records.select("key", "no", "text", "n", "cut", "tails").join(entered.hint("merge"), ["key", "no"]).join(left.hint("merge"), ["key", "no"])
-    traced = Written(settled.mapInArrow(_trace(name), "key bigint, no int, before binary, behind binary"), "traced").df
+    traced = Written(settled.mapInArrow(released(_trace(name)), "key bigint, no int, before binary, behind binary"), "traced").df
     ends = traced.select("key", "no", "before", "behind", F.lit(None).cast("binary").alias("head"), F.lit(None).cast(row.dataType).alias("row"))
     heads = records.select("key", "no", F.lit(None).cast("binary").alias("before"), F.lit(None).cast("binary").alias("behind"), "head", "row")
     together = ends.union(heads).repartition("key").sortWithinPartitions("key", "no", F.col("head").isNotNull())
-    return together.mapInArrow(_gather(name, form), result_type(row, form))
+    return together.mapInArrow(released(_gather(name, form)), result_type(row, form))
 
 
 def result_type(row: T.StructField, form: str) -> T.StructType:
@@ -658,7 +658,7 @@ def encode_and_read(docs: DataFrame, text: str = "text", model: str = MODEL, chu
     name = ship(docs.sparkSession, model)
     rows = bounded_batches(docs.select(F.col(text).alias("text"), F.struct(*(keep or docs.columns)).alias("row")))
     giant = F.coalesce(F.length("text"), F.lit(0)) >= chunk_chars
-    short = rows.where(~giant).mapInArrow(_encode_short(name, form), result_type(rows.schema["row"], form))
+    short = rows.where(~giant).mapInArrow(released(_encode_short(name, form)), result_type(rows.schema["row"], form))
     return short.union(encode_long(rows.where(giant), name, Vocabulary.load(model).longest, chunk_chars, form))
 
 

@@ -54,7 +54,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from braidwork.llm import bitmap
-from braidwork.shared import Written, bounded_batches, ship_bytes
+from braidwork.shared import Written, bounded_batches, released, ship_bytes
 
 KEY_BYTES = 12
 #: Memory of what a task has gathered; what a string and a place cost as Python objects.
@@ -416,7 +416,7 @@ def repeated_spans(texts: DataFrame, width: int = 35, minimiser: int = 3, hot_un
     texts: one string column.  hot_units: pieces of a signature from which its windows travel one by one.
     """
     spark = texts.sparkSession
-    counted = bounded_batches(texts).mapInArrow(_count(width, minimiser), "signature bigint, n bigint").groupBy("signature").agg(F.sum("n").alias("n")).where("n > 1")
+    counted = bounded_batches(texts).mapInArrow(released(_count(width, minimiser)), "signature bigint, n bigint").groupBy("signature").agg(F.sum("n").alias("n")).where("n > 1")
     repeated = Written(counted, "signatures")
     found = repeated.df.agg(F.count("*").alias("kinds"), F.coalesce(F.sum("n"), F.lit(0)).alias("units")).first()
     bits = bitmap.MAP_BITS
@@ -426,7 +426,7 @@ def repeated_spans(texts: DataFrame, width: int = 35, minimiser: int = 3, hot_un
     hot, _ = bitmap.collected(repeated.df.where(F.col("n") > hot_units), F.col("signature"))
     repeated.drop()
     n = buckets or max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), found.units // UNITS_PER_BUCKET)
-    blocks = texts.mapInArrow(_deal(width, minimiser, ship_bytes(spark, again), ship_bytes(spark, hot), n), BLOCK)
+    blocks = texts.mapInArrow(released(_deal(width, minimiser, ship_bytes(spark, again), ship_bytes(spark, hot), n)), BLOCK)
     found = blocks.groupBy("bucket").applyInArrow(_solve(width), "origin bigint, spans binary")
     return found.groupBy("origin").applyInArrow(_gather, "key binary, lo int, hi int")
 
@@ -462,4 +462,4 @@ def remove_repeats(docs: DataFrame, text: str = "text", width: int = 35, **how)
     rows = bitmap.marked(rows, F.xxhash64("key"), by_text, F.xxhash64("key"))
     moved = rows.where("hit").join(by_text, "key", "left").select("text", "spans", "row")
     joined = rows.where("not hit").select("text", F.lit(None).cast(by_text.schema["spans"].dataType).alias("spans"), "row").union(moved)
-    return joined.mapInArrow(_strip, T.StructType([joined.schema["row"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())]))
+    return joined.mapInArrow(released(_strip), T.StructType([joined.schema["row"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())]))
