@@ -156,3 +156,29 @@ def test_runs_end_where_a_path_does(spark):
         s = runs[r.chain][0]
         spelled[r.path] = spelled.get(r.path, "") + (turned(s) if r.rev else s)
     assert spelled == {"p": "ACGGTACCA", "q": turned("GGTA"), "r": "GGTACC"}
+
+
+def test_components_move_few_rows(spark, monkeypatch):
+    """All rounds over a path write a few times its rows, not its rows in each of a logarithmic number of rounds."""
+    from braidwork.operators import components
+
+    rows = []
+
+    class Counted(components.Written):
+        def __init__(self, df, name):
+            super().__init__(df, name)
+            rows.append(self.df.count())
+
+    monkeypatch.setattr(components, "Written", Counted)
+    n = 4096
+    path = spark.range(1, n).selectExpr("id AS a", "id + 1 AS b")
+    assert components.connected_components(path).selectExpr("count(*)", "max(component)").first()[:] == (n, 1)
+    assert sum(rows) < 8 * n
+
+
+def test_components_of_wide_and_repeated_ids(spark):
+    from braidwork.operators.components import connected_components
+
+    edges = [(-7, 1 << 62), (1 << 62, -7), (1 << 62, 5), (9, 9), (None, 3), (11, None), (12, 13)]
+    found = connected_components(spark.createDataFrame(edges, "a bigint, b bigint"))
+    assert sorted(map(tuple, found.collect())) == [(-7, -7), (5, -7), (12, 12), (13, 12), (1 << 62, -7)]
