@@ -149,3 +149,24 @@ def test_range_lookups(spark):
     for how, pairs in want.items():
         got = {(r.node, r.pos): r.other_pos for r in neighbours_at(at, others, how).collect()}
         assert got == pairs | {(2, 3): None}
+
+
+def test_lonely_links_skip_the_cover(spark, monkeypatch):
+    """Links whose sides have no other are groups without blocks or covers; with others beside them they are named and dealt as blocks would be."""
+    from braidwork.operators import biclique, bipartite
+    from braidwork.plans.blunt import covered_groups
+
+    rows = [(1, 1, False, 2, False), (2, 2, False, 3, True), (3, 2, False, 3, True), (4, 4, True, 4, False), (5, 5, True, 6, False)]
+    more = [(6, 7, False, 8, False), (7, 7, False, 9, False), (8, 10, False, 8, False)]
+    links = lambda some: spark.createDataFrame(some, "link_id bigint, src bigint, src_rev boolean, dst bigint, dst_rev boolean")
+    of = lambda df: sorted(map(tuple, df.select("biclique_id", "l_side", "r_side").collect()))
+
+    def through_blocks(some):
+        edges = spark.createDataFrame([(2 * s + r, (2 * d + e) ^ 1) for _, s, r, d, e in some], "x bigint, y bigint")
+        blocks = bipartite.block_edges(edges)
+        return of(biclique.assigned(biclique.biclique_cover(blocks), blocks))
+
+    assert of(covered_groups(links(rows + more))) == through_blocks(rows + more)
+    expected = through_blocks(rows)
+    monkeypatch.setattr(bipartite, "block_edges", None)
+    assert of(covered_groups(links(rows))) == expected
