@@ -83,6 +83,28 @@ class Direction:
         after += state
         return after, update, reset, fresh
 
+    def states(self, x: np.ndarray, order: range) -> Iterator[tuple[int, np.ndarray]]:
+        """(t, state after it) as step() gives them; what goes into the gates is halved beforehand, which is exact."""
+        h = len(self.candidate)
+        inputs, gates = self.inputs.copy(), self.gates * np.float32(0.5)
+        inputs[: 2 * h] *= np.float32(0.5)
+        state = np.zeros((h, x.shape[1]), np.float32)
+        for t in order:
+            added = inputs.take(x[t], axis=1)
+            both = gates @ state
+            both += added[: 2 * h]
+            np.tanh(both, out=both)
+            both *= 0.5
+            both += 0.5
+            fresh = self.candidate @ (both[h:] * state)
+            fresh += added[2 * h :]
+            np.tanh(fresh, out=fresh)
+            fresh -= state
+            fresh *= both[:h]
+            fresh += state
+            state = fresh
+            yield t, state
+
 
 @dataclass
 class Network:
@@ -101,20 +123,18 @@ class Network:
     def params(self) -> list[np.ndarray]:
         return [self.forward.inputs, self.forward.gates, self.forward.candidate, self.backward.inputs, self.backward.gates, self.backward.candidate, self.out, self.bias]
 
-    def distributions(self, x: np.ndarray) -> np.ndarray:
-        """(steps, languages, windows) of windows (steps, windows)."""
-        steps, n = x.shape
+    def distributions(self, x: np.ndarray, core: slice = slice(None)) -> np.ndarray:
+        """(steps, languages, windows) of the steps `core` of windows (steps, windows); either layer ends where no more of these come."""
+        begin, end, _ = core.indices(len(x))
         h = self.out.shape[1] // 2
-        logits = np.empty((steps, len(self.languages), n), np.float32)
+        logits = np.empty((end - begin, len(self.languages), x.shape[1]), np.float32)
         left, right = np.ascontiguousarray(self.out[:, :h]), np.ascontiguousarray(self.out[:, h:])
-        state = np.zeros((h, n), np.float32)
-        for t in range(steps):
-            state = self.forward.step(x[t], state)[0]
-            logits[t] = left @ state + self.bias
-        state = np.zeros((h, n), np.float32)
-        for t in range(steps - 1, -1, -1):
-            state = self.backward.step(x[t], state)[0]
-            logits[t] += right @ state
+        for t, state in self.forward.states(x, range(end)):
+            if t >= begin:
+                logits[t - begin] = left @ state + self.bias
+        for t, state in self.backward.states(x, range(len(x) - 1, begin - 1, -1)):
+            if t < end:
+                logits[t - begin] += right @ state
         logits -= logits.max(axis=1, keepdims=True)
         np.exp(logits, out=logits)
         logits /= logits.sum(axis=1, keepdims=True)
@@ -191,7 +211,7 @@ def pooled(network: Network, texts: list[bytes]) -> np.ndarray:
     for k in range(0, len(starts), WINDOWS_AT_ONCE):
         x = symbols[starts[k : k + WINDOWS_AT_ONCE] + np.arange(SPAN)[:, None]]
         core = slice(CONTEXT, CONTEXT + CORE)
-        sums[k : k + WINDOWS_AT_ONCE] = (network.distributions(x)[core] * (x[core] != PAD)[:, None, :]).sum(axis=0).T
+        sums[k : k + WINDOWS_AT_ONCE] = (network.distributions(x, core) * (x[core] != PAD)[:, None, :]).sum(axis=0).T
     of_text = np.repeat(np.arange(len(texts)), [-(-len(t) // CORE) for t in texts])
     total = np.stack([np.bincount(of_text, sums[:, c], len(texts)) for c in range(len(network.languages))], axis=1)
     return total / np.maximum(np.fromiter(map(len, texts), float, len(texts)), 1)[:, None]
