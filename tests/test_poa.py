@@ -200,3 +200,48 @@ def test_no_open_groups(spark):
     ends = spark.createDataFrame([], "biclique_id string, side long, read string")
     classes = spark.createDataFrame([], "biclique_id string, exact boolean, tier string")
     assert splice.aligned_steps(ends, classes).count() == 0
+
+
+def test_what_ends_alike_is_not_aligned_again(monkeypatch):
+    rng = random.Random(12)
+    for _ in range(150):
+        a = "".join(rng.choice("ACG") for _ in range(rng.randrange(1, 30)))
+        g = poa.BaseGraph()
+        for _ in range(rng.randrange(1, 4)):
+            g.thread(changed(rng, a, rng.randrange(4)), poa.MEDIUM)
+        seq = changed(rng, a, rng.randrange(4))
+        assert g.align(seq, poa.MEDIUM)[0] == poa._Table(g, seq, poa.MEDIUM, False, None).best()[0]
+    rows = []
+    table = poa._Table
+    monkeypatch.setattr(poa, "_Table", lambda *a: (rows.append(len((t := table(*a)).nodes)), t)[1])
+    a = "".join(rng.choice("ACGT") for _ in range(3_000))
+    nodes, _ = poa.align_group([a, a[:700] + a[702:], a[:600] + "ACGTACGTACGT" + a[600:]], "medium")
+    assert sum(map(len, nodes)) == 3_012 and max(rows) < 150
+
+
+def test_runs_are_those_of_plain_merging():
+    rng = random.Random(13)
+    for _ in range(60):
+        base = "".join(rng.choice("ACGT") for _ in range(20))
+        paths = [sorted(rng.sample(range(20), rng.randrange(20))) for _ in range(rng.randrange(5))]
+        nodes, runs = poa.merged(base, paths)
+        assert ["".join(nodes[v] for v in r) for r in runs] == ["".join(base[v] for v in p) for p in paths]
+        after, before = {}, {}
+        for p in paths:
+            for u, v in zip([-1, *p], [*p, -1], strict=True):
+                after.setdefault(u, set()).add(v)
+                before.setdefault(v, set()).add(u)
+        cuts = [sum(k == 0 or after[p[k - 1]] != {v} or before[v] != {p[k - 1]} for k, v in enumerate(p)) for p in paths]
+        assert [len(r) for r in runs] == cuts
+
+
+def test_columns_and_profiles_travel_small():
+    rng = random.Random(14)
+    a = "".join(rng.choice("ACGT") for _ in range(12_000))
+    _, x, y = progressive.joined(progressive.profile(a), progressive.profile(a[:6_000] + a[6_025:]), (1, 1))
+    for c in (x, y, np.array([0, 2, 3, 9]), np.array([], int)):
+        assert progressive.spread(progressive.stretched(c)).tolist() == c.tolist()
+    assert len(progressive.stretched(y)) == 4 * 5 and len(progressive.sketch_of(a)) == progressive.SKETCH
+    stored = progressive.stored(progressive.profile(a))
+    assert len(stored) < 12_000 and (progressive.restored(stored) == progressive.profile(a)).all()
+    assert progressive.sketch_of("ACG") and progressive.sketch_of("")
