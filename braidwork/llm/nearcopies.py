@@ -13,7 +13,8 @@ then held to the exact similarity.
   most, so the class of its size is part of a node's key; a node near the end of
   its class has the keys of the next one too.
 * A first pass counts each node's company, the most nodes that are near it in one
-  bucket.  It moves a fingerprint, an id and a rough size with each key, so what it
+  bucket.  It moves a fingerprint, an id and a rough size with each two keys: tables
+  are taken in twos, and what both keep decides where both keys go.  So what it
   moves is in proportion to the nodes.  Later passes see nodes with company alone:
   there a task packs a block for each part of the keys, every node once, then the
   keys and the nodes they belong to.  In the second one a node of little company meets all of it; two nodes
@@ -144,21 +145,43 @@ def _slots_allow(nodes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ok
 
 
-def keys_of(fp: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, the rows they belong to) of fingerprints of sets of these sizes: a table in 8 bits, what it keeps and the class in 24."""
-    tables = np.array(masks(), np.uint64)
-    kept = (fp[:, :1] & tables[:, 0]) * np.uint64(0xBF58476D1CE4E5B9) + (fp[:, 1:] & tables[:, 1]) * np.uint64(0x94D049BB133111EB)
+def together() -> list[tuple[int, int]]:
+    """For each table the bits of the two words that its neighbour in the code keeps too, whole masks where there is none; neighbours stand next to each other."""
+    tables = masks()
+    of = len(tables) // STRETCHES
+    pair = lambda k: min(k ^ 1, of - 1)
+    return [tuple(a & b for a, b in zip(tables[t], tables[t - t % of + pair(t % of)], strict=True)) for t in range(len(tables))]
+
+
+def _hashed(fp: np.ndarray, n: np.ndarray, tables: list[tuple[int, int]], also_by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of what tables keep and of the class, and of numbers, by row and table; the rows)."""
+    kept_by = np.array(tables, np.uint64)
+    kept = (fp[:, :1] & kept_by[:, 0]) * np.uint64(0xBF58476D1CE4E5B9) + (fp[:, 1:] & kept_by[:, 1]) * np.uint64(0x94D049BB133111EB) + also_by
     bounds = CLASS ** np.arange(1, 17, dtype=np.int64)
     own = np.searchsorted(bounds, n, side="right")
     also = np.flatnonzero(n.astype(np.int64) * NEAR[1] >= bounds[own] * NEAR[0])
     rows, classes = np.concatenate([np.arange(len(n)), also]), np.concatenate([own, own[also] + 1]).astype(np.uint64)
-    hashed = (kept[rows] ^ kept[rows] >> np.uint64(32) ^ (classes * np.uint64(0xD6E8FEB86659FD93))[:, None]) * np.uint64(0x9E3779B97F4A7C15)
+    return (kept[rows] ^ kept[rows] >> np.uint64(32) ^ (classes * np.uint64(0xD6E8FEB86659FD93))[:, None]) * np.uint64(0x9E3779B97F4A7C15), rows
+
+
+def parts_of(fp: np.ndarray, n: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each key of keys_of().  What keys of neighbouring tables share decides, so both of a node are in one part and it travels once for them."""
+    shared = together()
+    first, at = np.unique([shared.index(s) for s in shared], return_inverse=True)
+    hashed, _ = _hashed(fp, n, [shared[t] for t in first.tolist()], first.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
+    return ((hashed >> np.uint64(32)) % np.uint64(parts)).astype(np.uint32)[:, at].ravel()
+
+
+def keys_of(fp: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, the rows they belong to) of fingerprints of sets of these sizes: a table in 8 bits, what it keeps and the class in 24."""
+    tables = masks()
+    hashed, rows = _hashed(fp, n, tables, np.zeros(len(tables), np.uint64))
     key = ((np.arange(len(tables), dtype=np.uint64) << np.uint64(24)) | (hashed >> np.uint64(40))).astype(np.uint32)
     return key.ravel(), np.repeat(rows, len(tables)).astype(np.uint16)
 
 
 def _pack(parts: int, form: np.dtype):
-    """Blocks (part, nodes, keys, at) of the nodes of a task; nodes of the first pass stand once for each key instead."""
+    """Blocks (part, nodes, keys, at) of the nodes of a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,15 +198,14 @@ def _pack(parts: int, form: np.dtype):
                     counts = np.frombuffer(b"".join(rows.column(7).to_pylist()), np.uint8).reshape(-1, SLOTS + 1)
                     nodes["slots"], nodes["shift"] = counts[:, :SLOTS], counts[:, SLOTS]
                 key, at = keys_of(nodes["fp"], size)
-                part = (key.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03) >> np.uint64(32)) % np.uint64(parts)
-                order = np.argsort(part.astype(np.uint32), kind="stable")
+                part = parts_of(nodes["fp"], size, parts)
+                order = np.argsort(part, kind="stable")
                 key, at, part = key[order], at[order], part[order]
                 cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.empty(0, np.int64)
                 out: list[list] = [[], [], [], []]
                 for s, e in zip(cuts.tolist(), [*cuts.tolist()[1:], len(part)], strict=True):
                     used, mine = np.unique(at[s:e], return_inverse=True)
-                    block = (nodes[at[s:e]].tobytes(), b"") if form is _FIRST else (nodes[used].tobytes(), mine.astype("<u2").tobytes())
-                    for column, value in zip(out, (int(part[s]), block[0], key[s:e].tobytes(), block[1]), strict=True):
+                    for column, value in zip(out, (int(part[s]), nodes[used].tobytes(), key[s:e].tobytes(), mine.astype("<u2").tobytes()), strict=True):
                         column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(c, pa.binary()) for c in out[1:])], names=["part", "nodes", "keys", "at"])
 
@@ -326,8 +348,6 @@ def across(key: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 def _unpacked(blocks: pa.Table, form: np.dtype) -> tuple[np.ndarray, np.ndarray]:
     """(keys, nodes) of a part."""
     own, at, keys = ([x.as_buffer() for x in blocks.column(c)] for c in ("nodes", "at", "keys"))
-    if form is _FIRST:
-        return np.frombuffer(b"".join(keys), "<u4"), np.frombuffer(b"".join(own), form)
     ends = np.cumsum([0, *(x.size // 2 for x in at)]).tolist()
     key, nodes = np.empty(ends[-1], np.uint32), np.empty(ends[-1], form)
     for k, (s, e) in enumerate(zip(ends, ends[1:], strict=False)):

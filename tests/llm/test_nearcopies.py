@@ -142,3 +142,15 @@ def test_no_near_copy_stays_in_the_pipeline(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     kept = corpus_pipeline.one_of_each_group(spark, docs, "").collect()
     assert sorted(r.doc_id for r in kept) == kept_by_all_pairs([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_a_node_travels_once_for_two_keys():
+    rng = np.random.default_rng(15)
+    fp, n = rng.integers(0, 1 << 64, (3_000, 2), np.uint64), rng.integers(1, 400, 3_000).astype(np.uint32)
+    key, at = nearcopies.keys_of(fp, n)
+    part = nearcopies.parts_of(fp, n, 1_000)
+    assert len(part) == len(key) and len(np.unique(at.astype(np.int64) * 1_000 + part)) < 0.55 * len(key)
+    near = fp.copy()
+    near[:, 0] ^= np.uint64(1)  # tables that leave this bit out keep their keys, and their parts
+    same = nearcopies.keys_of(near, n)[0] == key
+    assert 0.8 < same.mean() < 1 and (nearcopies.parts_of(near, n, 1_000) == part)[same].all()
