@@ -115,13 +115,15 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
     epochs = sizes.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("rest") > 0, F.col("whole")).otherwise(F.col("whole") - 1)))).where((F.col("whole") > 0) | (F.col("rest") > 0))
     in_epoch = Window.partitionBy("sid", "epoch").orderBy(F.xxhash64(F.lit(seed), "epoch", "sid", "block"), "block").rowsBetween(Window.unboundedPreceding, -1)
     bases = epochs.select("sid", "block", "epoch", F.coalesce(F.sum("size").over(in_epoch), F.lit(0)).alias("base"))
-    bases = bases.groupBy("sid", "block").agg(F.collect_list(F.struct("epoch", "base")).alias("bases"))  # one entry for each epoch
+    bases = Written(bases.groupBy("sid", "block").agg(F.collect_list(F.struct("epoch", "base")).alias("bases")), "bases").df  # one entry for each epoch
     in_block = Window.partitionBy("sid", "block").orderBy("draw", "tie").rowsBetween(Window.unboundedPreceding, -1)
     dealt = lambda some: some.join(plan, "sid").select("sid", "draw", "tie", "tokens", "row", "weight", "whole", "rest", block)
     placed = dealt(rows.where("worded")).withColumn("before", F.coalesce(F.sum("tokens").over(in_block), F.lit(0)))
     # any number of rows without tokens stands where their block begins, so no task orders them
-    placed = placed.union(dealt(rows.where("not worded")).withColumn("before", F.lit(0).cast("long")))
-    copies = placed.join(bases, ["sid", "block"]).select("row", "tokens", "weight", "whole", "rest", "block", "before", F.explode("bases").alias("b"))
+    bare = dealt(rows.where("not worded")).withColumn("before", F.lit(0).cast("long"))
+    # joined before their union: ordered texts lie by block already and are not shuffled a second time
+    based = lambda some: some.join(bases, ["sid", "block"]).select("row", "tokens", "weight", "whole", "rest", "block", "before", F.explode("bases").alias("b"))
+    copies = based(placed).union(based(bare))
     start = F.col("b.base") + F.col("before")
     return copies.where((F.col("b.epoch") < F.col("whole")) | (start + F.col("tokens") <= F.col("rest"))).select(
         "row", "tokens", F.lit(found.exponent).alias("exponent"), "weight", F.col("b.epoch").alias("epoch"), "block", start.alias("start_token")

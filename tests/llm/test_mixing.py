@@ -86,3 +86,17 @@ def test_rows_without_tokens_stand_at_the_beginning(spark):
     assert sorted(r.start_token for r in got if r.tokens and r.epoch == 0) == list(range(0, 150, 3))
     begins = {(r.epoch, r.block): r.start_token for r in sorted(got, key=lambda r: -r.start_token) if r.tokens and r.row.source == "s"}
     assert all(r.start_token == begins[r.epoch, r.block] for r in got if not r.tokens and r.row.source == "s" and (r.epoch, r.block) in begins)
+
+
+def test_ordered_texts_are_not_shuffled_again(spark):
+    """However large the table of blocks is, only narrow tables are shuffled once texts lie by block."""
+    docs = spark.createDataFrame(fixture(), "doc_id long, source string, text string")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        plan = mixing.mix(docs, block_tokens=200)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert plan.index("Union") < plan.index("Exchange")
