@@ -182,3 +182,100 @@ def test_components_of_wide_and_repeated_ids(spark):
     edges = [(-7, 1 << 62), (1 << 62, -7), (1 << 62, 5), (9, 9), (None, 3), (11, None), (12, 13)]
     found = connected_components(spark.createDataFrame(edges, "a bigint, b bigint"))
     assert sorted(map(tuple, found.collect())) == [(-7, -7), (5, -7), (12, 12), (13, 12), (1 << 62, -7)]
+
+
+def runs_by_hand(nodes, links, paths):
+    """Node handles of unchop's runs, by walking; nodes: id to sequence."""
+    at = {}
+    for s, r, d, q in links:
+        x, y = 2 * s + r, (2 * d + q) ^ 1
+        for a, b in {(x, y), (y, x)}:
+            at.setdefault(a, []).append(b)
+    passed = {}
+    for walk in paths.values():
+        hs = [2 * n + r for n, r in walk]
+        for k, h in enumerate(hs):
+            passed.setdefault(h, set()).add(hs[k + 1] ^ 1 if k + 1 < len(hs) else None)
+            passed.setdefault(h ^ 1, set()).add(hs[k - 1] if k else None)
+    leads = lambda a, b: at.get(a) == [b] and a != b and passed.get(a, {b}) == {b}
+    after = {a: b ^ 1 for a, (b, *_) in at.items() if leads(a, b) and leads(b, a)}
+    before = {n: h for h, n in after.items()}
+    runs, seen = set(), set()
+    for n in sorted(nodes):
+        if n in seen:
+            continue
+        h = 2 * n
+        while h in before and before[h] != 2 * n:
+            h = before[h]
+        if h in before:  # a circle starts at its smallest node
+            h = 2 * n
+        run = [h]
+        while run[-1] in after and after[run[-1]] != run[0]:
+            run.append(after[run[-1]])
+        seen |= {x >> 1 for x in run}
+        turned = [x ^ 1 for x in reversed(run)]
+        runs.add(tuple(min(run, turned)))
+    return runs
+
+
+@pytest.mark.parametrize("spread", [1, 4099, 2731])
+def test_runs_of_random_graphs(spark, spread):
+    """Ids in a row, one to a stretch, and two to a stretch; turned nodes, branches, circles, loops, repeated links and paths."""
+    rng = random.Random(spread)
+    n = 240
+    ids = [spread * (k + 1) for k in range(n)]
+    links, k = [], 0
+    rev = {i: rng.random() < 0.15 for i in ids}
+    while k < n:
+        size = min(rng.choice([1, 1, 2, 3, 5, 9, 30]), n - k)
+        some = ids[k : k + size]
+        if rng.random() < 0.4:
+            rng.shuffle(some)
+        links += [(a, rev[a], b, rev[b]) for a, b in zip(some, some[1:])]
+        if rng.random() < 0.3:
+            links.append((some[-1], rev[some[-1]], some[0], rev[some[0]]))
+        k += size
+    links = [(b, not q, a, not p) if rng.random() < 0.3 else (a, p, b, q) for a, p, b, q in links]
+    links += [(rng.choice(ids), rng.random() < 0.5, rng.choice(ids), rng.random() < 0.5) for _ in range(12)] + [links[5], (ids[7], False, ids[7], True)]
+    ahead = {}
+    for a, p, b, q in links:
+        ahead.setdefault(2 * a + p, []).append(2 * b + q)
+        ahead.setdefault((2 * b + q) ^ 1, []).append((2 * a + p) ^ 1)
+    paths = {}
+    for w in range(12):
+        walk = [2 * rng.choice(ids) + rng.randrange(2)]
+        while walk[-1] in ahead and rng.random() < 0.85:
+            walk.append(rng.choice(ahead[walk[-1]]))
+        paths[f"w{w}"] = [(h >> 1, bool(h & 1)) for h in walk]
+    sequence = {i: "".join(rng.choice("ACGT") for _ in range(rng.randrange(4))) for i in ids}
+    turned = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    spell = lambda hs: "".join(turned(sequence[h >> 1]) if h & 1 else sequence[h >> 1] for h in hs)
+    segments = spark.createDataFrame(list(sequence.items()), "node_id long, sequence string")
+    table = spark.createDataFrame([(k, *x) for k, x in enumerate(links)], "link_id long, src long, src_rev boolean, dst long, dst_rev boolean")
+    steps = spark.createDataFrame([(p, k, *x) for p, w in paths.items() for k, x in enumerate(w)], "path string, ord int, node_id long, rev boolean")
+    for walks, (chains, merged) in (({}, (traversal.unchop(segments, table), None)), (paths, traversal.unchop_paths(segments, table, steps)[::2])):
+        rows = chains.collect()
+        assert {tuple(r.nodes) for r in rows} == runs_by_hand(sequence, links, walks) and len(rows) == len({r.chain for r in rows})
+        assert all(r.sequence == spell(r.nodes) and r.chain == r.nodes[0] for r in rows)
+    found = {r.chain: r.sequence for r in rows}
+    spelled = {}
+    for r in sorted(merged.collect(), key=lambda r: (r.path, r.ord)):
+        spelled[r.path] = spelled.get(r.path, "") + (turned(found[r.chain]) if r.rev else found[r.chain])
+    assert {p: spelled.get(p, "") for p in paths} == {p: spell([2 * n + r for n, r in w]) for p, w in paths.items()}
+
+
+def test_merging_near_nodes_moves_few_rows(spark, monkeypatch):
+    """Chopped nodes, numbered in a row, are merged where they lie: no round writes a row for each of their handles."""
+    rows = []
+
+    class Counted(traversal.Written):
+        def __init__(self, df, name):
+            super().__init__(df, name)
+            rows.append(self.df.count())
+
+    monkeypatch.setattr(traversal, "Written", Counted)
+    n = 4000
+    segments = spark.range(n).selectExpr("id AS node_id", "'AC' AS sequence")
+    links = spark.range(n - 1).where("id % 4 < 3").selectExpr("id AS link_id", "id AS src", "false AS src_rev", "id + 1 AS dst", "false AS dst_rev")
+    assert traversal.unchop(segments, links).count() == n / 4
+    assert sum(rows) < n
