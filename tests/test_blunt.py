@@ -151,6 +151,26 @@ def test_range_lookups(spark):
         assert got == pairs | {(2, 3): None}
 
 
+def test_range_lookups_over_long_nodes(spark):
+    """Positions in several stretches of a node, some repeated, against a scan; and every task holds one sort."""
+    from braidwork.operators import links as L
+
+    rng = random.Random(6)
+    far = 5 << L.STRETCH_BITS
+    at = [(n, rng.randrange(far)) for n in range(4) for _ in range(40)]
+    at += at[:30]
+    known = [(n, rng.randrange(far)) for n in range(3) for _ in range(6)] + [(3, None)] + [(0, at[0][1])] * 2
+    positions, others = spark.createDataFrame(at, "node long, pos long"), spark.createDataFrame(known, "node long, other_pos long")
+    fits = {"lt": (max, lambda o, p: o < p), "le": (max, lambda o, p: o <= p), "gt": (min, lambda o, p: o > p), "ge": (min, lambda o, p: o >= p)}
+    for how, (best, good) in fits.items():
+        want = {(n, p): best((o for m, o in known if m == n and o is not None and good(o, p)), default=None) for n, p in at}
+        found = L.neighbours_at(positions, others, how)
+        rows = found.collect()
+        assert {(r.node, r.pos): r.other_pos for r in rows} == want and len(rows) == len(want)
+    plan = L.neighbours_at(positions, spark.createDataFrame([(9, 1)], "node long, other_pos long"))._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Sort", "Aggregate", "Join", "Window"))
+
+
 def test_lonely_links_skip_the_cover(spark, monkeypatch):
     """Links whose sides have no other are groups without blocks or covers; with others beside them they are named and dealt as blocks would be."""
     from braidwork.operators import biclique, bipartite
