@@ -68,3 +68,18 @@ def test_gaps_and_tails(spark):
     parents = spark.createDataFrame([("a", "ACGTACGT"), ("b", "ACG"), ("c", "")], "name string, sequence string")
     p = spark.createDataFrame([("a", 1, 3), ("a", 2, 3), ("a", 5, 6), ("c", 0, 0)], "parent string, begin long, end long")
     assert sorted(map(tuple, validate.not_covered(p, parents).collect())) == [("a", 0), ("a", 3), ("a", 6), ("b", 0)]
+
+
+def test_hops_within_a_row_and_by_rounds(spark, monkeypatch):
+    segments, links = mixed(spark)
+    b = blunt.blunt(segments, links)
+    hops = lambda links: sorted(map(tuple, validate.two_hops(b.steps, links, b.groups).collect()))
+    name = {r.name: r.node_id for r in segments.collect()}
+    found = hops(b.links)
+    assert {n for n, _, _ in found} == {name["b"]} and len(found) == 2
+    alone = hops(b.links.limit(0))
+    assert set(alone) <= set(found)
+    for bound in ("FEW", "FEW_MET"):
+        with monkeypatch.context() as m:
+            m.setattr(validate, bound, 1)
+            assert hops(b.links) == found and hops(b.links.limit(0)) == alone
