@@ -83,3 +83,20 @@ def test_hops_within_a_row_and_by_rounds(spark, monkeypatch):
         with monkeypatch.context() as m:
             m.setattr(validate, bound, 1)
             assert hops(b.links) == found and hops(b.links.limit(0)) == alone
+
+
+def test_lost_links_and_new_adjacencies_of_steps_told_twice(spark):
+    """Steps that are told twice change nothing; steps that are taken away lose their links; sides put together are new."""
+    segments, links = mixed(spark)
+    b = blunt.blunt(segments, links)
+    twice = b.steps.union(b.steps)
+    assert validate.lost_links(twice, b.groups).isEmpty() and validate.new_adjacencies(twice, b.groups).isEmpty()
+    at = b.groups.orderBy("link_id").first()
+    gone = b.steps.where(f"not (biclique_id = '{at.biclique_id}' and side = {at.l_side}) or biclique_id is null")
+    assert at.link_id in {r.link_id for r in validate.lost_links(gone, b.groups).collect()}
+    s, g = "biclique_id string, side bigint, piece string", "biclique_id string, link_id bigint, l_side bigint, r_side bigint"
+    steps = spark.createDataFrame([("g", 1, "x"), ("g", 2, "x"), ("g", 3, "y"), ("g", 4, "y"), ("g", 4, "x")], s)
+    groups = spark.createDataFrame([("g", 7, 1, 2), ("g", 8, 3, 4)], g)
+    found = validate.new_adjacencies(steps.union(steps), groups)
+    assert sorted(map(tuple, found.collect())) == [(1, 4)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 3
